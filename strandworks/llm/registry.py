@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import media, simhash
+from . import linedup, media, simhash, substring, tokenfiles, winnow
 
 
 def queries() -> dict:
     return {
         "op1_media_columns": media.op1_media_columns,
+        "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_simhash": simhash.op3_simhash,
+        "op4_winnowing": winnow.op4_winnowing,
+        "op6_token_shards": tokenfiles.op6_token_shards,
+        "op10_line_dedup": linedup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": substring.OP2_SQL, "op10_line_dedup": linedup.OP10_SQL}
