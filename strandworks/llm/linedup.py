@@ -130,14 +130,14 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-x AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS at FROM s),
-y AS (SELECT doc_id, line, at, len(list_filter(string_split_regex(line, '[ \\t-\\r]+'), lambda w: w <> '')) AS words FROM x),
-z AS (SELECT doc_id, line, at, words, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS pos FROM y WHERE words > 0),
+x AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS num FROM s),
+y AS (SELECT doc_id, line, num, len(list_filter(string_split_regex(line, '[ \\t-\\r]+'), lambda w: w <> '')) AS words FROM x),
+z AS (SELECT doc_id, line, num, words, row_number() OVER (PARTITION BY doc_id ORDER BY num) AS pos FROM y WHERE words > 0),
 p AS (SELECT a.doc_id, a.pos, a.line AS l1, b.line AS l2 FROM z a JOIN z b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1),
 q AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY l1, l2 ORDER BY doc_id, pos) AS n FROM p) WHERE n > 1),
 g AS (SELECT doc_id, pos FROM q UNION SELECT doc_id, pos + 1 FROM q
   UNION SELECT doc_id, pos FROM (SELECT doc_id, pos, words, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS n FROM z) WHERE n > 1 AND words >= 10),
-gone AS (SELECT z.doc_id, list(z.at) AS ats FROM g JOIN z USING (doc_id, pos) GROUP BY z.doc_id),
+gone AS (SELECT z.doc_id, list(z.num) AS ats FROM g JOIN z USING (doc_id, pos) GROUP BY z.doc_id),
 k AS (SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(len(ats), 0) AS n_removed,
   CASE WHEN d.text IS NULL THEN '' WHEN ats IS NULL THEN d.text
   ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda t, i: NOT list_contains(ats, i)), chr(10)) END AS kept

@@ -137,19 +137,28 @@ def links(fps: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     return _pairs(shared.where(F.col("n") <= bucket_cap)).union(_stars(shared.where(F.col("n") > bucket_cap))).distinct()
 
 
-def components(docs: DataFrame, *carry: str, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """``(doc_id, *carry, fp, root)``: documents of a component share ``root``, its least fingerprint."""
+def components(docs: DataFrame, *carry: str, bucket_cap: int = BUCKET_CAP) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, *carry, fp)``, and for each fingerprint ``(fp, root)``.
+
+    Fingerprints of a component share ``root``, its least fingerprint.
+    """
     rows = keep(fingerprints(docs, *carry), "simhash-fps")
     nodes = rows.groupBy("fp").agg(F.count("*").alias("n")).select("fp")
     found = connected(links(nodes, bucket_cap)).withColumnRenamed("node", "fp")
-    return rows.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rows, nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, one row for each row of ``docs``."""
-    rows = components(docs, bucket_cap=bucket_cap)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """``(doc_id, fingerprint, component_id)``, one row for each row of ``docs``.
+
+    Ids are summed up by fingerprint before components, so neither a component
+    nor a fingerprint with very many documents meets in one task.
+    """
+    rows, roots = components(docs, bucket_cap=bucket_cap)
+    of_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = keep(of_fp.join(of_root, "root").select("fp", "component_id"), "simhash-ids")
+    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -160,8 +169,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     key = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_k2")]
     keyed = docs.select("*", *key)
-    rows = components(keyed, "_k1", "_k2")
-    best = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_k1", "_k2")).alias("b")).select("b._k1", "b._k2")
+    rows, roots = components(keyed, "_k1", "_k2")
+    of_fp = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "_k1", "_k2")).alias("b")).join(roots, "fp")
+    best = of_fp.groupBy("root").agg(F.min("b").alias("b")).select("b._k1", "b._k2")
     return keyed.join(best, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*cols)
 
 
