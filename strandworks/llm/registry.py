@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linedup, media, simhash, substring, tokenfiles, winnow
+from . import linedup, media, mixing, packing, simhash, substring, tokenfiles, winnow
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_simhash": simhash.op3_simhash,
         "op4_winnowing": winnow.op4_winnowing,
+        "op5_packing": packing.op5_packing,
         "op6_token_shards": tokenfiles.op6_token_shards,
+        "op9_mixing": mixing.op9_mixing,
         "op10_line_dedup": linedup.op10_line_dedup,
     }
 
