@@ -14,7 +14,8 @@ lies in a window whose word sequence also starts elsewhere in the corpus.
    hash bucket that owns it, once for each chunk of text (repeats within a chunk
    are combined first). The bucket groups equal hashes and answers with one bit
    for each hash; the chunk turns the bits into removed word ranges of its texts.
-3. The ranges, keyed by text, are joined to the documents.
+3. The ranges, keyed by text and written as a table, are joined to the documents,
+   so that the adaptive join can split a text that very many documents share.
 
 The sketch is broadcast; its size is ``ROWS * cells / 8`` bytes, with ``cells``
 growing with the input up to ``MAX_CELLS`` (48 MiB in all). Beyond, more windows
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrid import Words, chunks, lanes64, split_words, splitmix, text_bytes, xxh64
+from .scratch import keep
 
 WIDTH = 35
 GRAM = 16
@@ -302,7 +304,7 @@ def removed_ranges(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: int
             yield settle(group)
 
     keyed = docs.select("k1", "k2", "text")
-    asked = keyed.mapInArrow(ask, _EXCHANGE).repartition(F.col("dealt")).sortWithinPartitions("bucket")
+    asked = keyed.mapInArrow(ask, _EXCHANGE).repartition(buckets, F.col("dealt")).sortWithinPartitions("bucket")
     answered = asked.mapInArrow(answer, _EXCHANGE).repartition(F.col("chunk")).sortWithinPartitions("chunk")
     return answered.mapInArrow(gather, "k1 long, k2 long, begin array<long>, size array<long>")
 
@@ -357,7 +359,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, max_c
     buckets = max(8, -(-size // BUCKET_TEXT_BYTES))
     sketch = repeated_sketch(keyed, cells, width, gram)
     ranges = removed_ranges(keyed, sketch, cells, buckets, width, gram)
-    one = ranges.dropDuplicates(["k1", "k2"])  # copies of a text have the same ranges
+    one = keep(ranges.dropDuplicates(["k1", "k2"]), "removed-ranges")  # copies of a text have the same ranges
     return cut_words(keyed.join(one, ["k1", "k2"], "left"))
 
 
