@@ -1,11 +1,66 @@
-"""Corpus pipeline: language ID, line dedup, near-dedup, mixing, packing."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, mixing, packing.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
+last keep the columns of ``documents``. ``run`` writes each stage as Parquet in
+the folder the cluster shares and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandworks.llm import langid, linedup, mixing, packing, scratch, simhash
+
+#: A text is rejected if no language reaches this probability, or if it has no letter.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language; a missing ``lang`` is filled in."""
+    cols = docs.columns
+    seen = langid.predict(docs, langid.fit(docs), *cols)
+    kept = seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*cols)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated runs of lines; those of which no word is left go."""
+    cols = docs.columns
+    done = linedup.dedup_lines(docs)
+    left = done.where((F.col("_ld_gone") == 0) | F.col("text").rlike("[^ \t-\r]"))
+    return left.withColumn("n_chars", F.when(F.col("_ld_gone") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*cols)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    return simhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the temperature mixture wants them."""
+    return mixing.mix(docs)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches of documents in optimal length buckets."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack_batches),
+]
+
+#: Language ID by a trained network has no SQL form; a test holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"pipeline-{name.lower().replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

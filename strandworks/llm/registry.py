@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linedup, media, mixing, packing, simhash, substring, tokenfiles, winnow
+from . import langid, linedup, media, mixing, packing, simhash, substring, tokenfiles, toxicity, winnow
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_winnowing": winnow.op4_winnowing,
         "op5_packing": packing.op5_packing,
         "op6_token_shards": tokenfiles.op6_token_shards,
+        "op7_language_id": langid.op7_language_id,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
         "op10_line_dedup": linedup.op10_line_dedup,
     }
