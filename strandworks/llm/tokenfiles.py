@@ -5,10 +5,11 @@ range and writes one shard in the shared folder (see ``sstable``), under a name
 of its own, so a retried task never touches another's file. The list of shards
 is a written table: only shards of tasks that Spark committed are in it.
 
-Texts are encoded word by word with a cache: the byte-level pre-tokeniser always
+Texts are encoded piece by piece with a cache: the byte-level pre-tokeniser always
 cuts before a space that follows a non-space, so a text without white space
-before a space is the concatenation of its space-led pieces. Other texts are
-encoded whole. A test holds both ways against each other.
+before a space is the concatenation of its space-led pieces, and a piece of plain
+characters that of its pre-tokens, which go to the library's BPE model. Other
+texts and pieces are encoded whole. A test holds both ways against each other.
 
 Edge cases: a null or empty text has only the end id; a null doc_id comes first;
 repeated doc_ids keep all their rows, ordered by text hash; very long pieces are
@@ -17,6 +18,8 @@ not cached; an empty table gives no shards. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import uuid
 import zlib
@@ -24,17 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytegrid import chunks
 from .scratch import fresh, keep
 from .sstable import Reader, Writer, id_of, key_of
 
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
+CACHE_CHARS = 40
 MANIFEST = "path string, first_id long, last_id long, n_docs long, n_tokens long"
 _WHITE_THEN_SPACE = re.compile(r"\s ")
 
@@ -46,6 +50,45 @@ def tokenizer_file(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+# Fixed values of byte-level BPE: the pre-tokeniser's pattern, and the bytes that stand for themselves.
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_OWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ALPHABET = {b: b if b in _OWN else 256 + sum(x not in _OWN for x in range(b)) for b in range(256)}
+#: Characters on whose classes all Unicode versions agree.
+_PLAIN = re.compile("[\n!-~\u00a1-\u024f]+")
+
+
+class _Parts(dict):
+    """Ids of pre-tokens, each one call of the library's BPE model."""
+
+    def __init__(self, model, width: int) -> None:
+        super().__init__()
+        self.model, self.width = model, width
+
+    def __missing__(self, part: str) -> bytes:
+        out = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(part.encode().decode("latin-1").translate(_ALPHABET))])
+        if len(self) < CACHE_ENTRIES and len(part) <= CACHE_CHARS:
+            self[part] = out
+        return out
+
+
+class _Pieces(dict):
+    """Ids of space-led pieces, made of pre-tokens."""
+
+    def __init__(self, parts: _Parts, whole) -> None:
+        super().__init__()
+        self.parts, self.whole = parts, whole
+
+    def __missing__(self, piece: str) -> bytes:
+        if _PLAIN.fullmatch(piece):
+            out = b"".join([self.parts[p] for p in _CUT.findall(" " + piece)])
+        else:
+            out = self.whole(" " + piece)
+        if len(self) < CACHE_ENTRIES and len(piece) <= CACHE_CHARS:
+            self[piece] = out
+        return out
+
+
 class Encoder:
     """Token ids of texts as little-endian bytes of ``width`` each."""
 
@@ -55,45 +98,25 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.known: dict[str, bytes] = {}
+        said = json.loads(self.tok.to_str())
+        pre = said["pre_tokenizer"] or {}
+        self.by_piece = said["normalizer"] is None and said["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.added = [t["content"] for t in said["added_tokens"]]
+        model = self.tok.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # the caches here take its place
+        self.pieces = _Pieces(_Parts(model, self.width), self.whole)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _pieces(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word with a space before it; many words go into one string."""
-        out, plain = {}, []
-        for w in words:
-            if not w or w[-1].isspace():  # no cut before the space that would follow
-                out[w] = self.whole(" " + w)
-            else:
-                plain.append(w)
-        groups = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
-        for group, got in zip(groups, self.tok.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1
-            begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
-            cut = np.append(np.searchsorted(begins, np.cumsum(sizes) - sizes), len(got)) * self.width
-            raw = np.array(got.ids, self.kind).tobytes()
-            out.update((w, raw[a:b]) for w, a, b in zip(group, cut[:-1].tolist(), cut[1:].tolist()))
-        return out
-
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        parts = [None if not t or _WHITE_THEN_SPACE.search(t) else t.split(" ") for t in texts]
-        need: set[str] = set()
-        for p in parts:
-            if p:
-                need.update(p[1:])
-        known = self.known
-        new = self._pieces([w for w in need if w not in known])
-        if len(known) + len(new) <= CACHE_ENTRIES:
-            known.update(new)
-            table = known
-        else:  # a full cache keeps what it has; this batch has its own table
-            table = {w: known[w] if w in known else new[w] for w in need}
-        return [
-            (self.whole(t) if t else b"") if p is None else b"".join([self.whole(p[0]) if p[0] else b"", *map(table.__getitem__, p[1:])])
-            for t, p in zip(texts, parts)
-        ]
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.by_piece or _WHITE_THEN_SPACE.search(text) or any(a in text for a in self.added):
+            return self.whole(text)
+        head, *rest = text.split(" ")
+        return b"".join([self.whole(head) if head else b"", *map(self.pieces.__getitem__, rest)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -110,22 +133,23 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_file(tokenizer))
+        gc.disable()  # cached ids and pieces are no garbage, and are many
         end = end_id.to_bytes(encode.width, "little")
         store = name = out = writer = first = last = None
         tokens = 0
         for batch in batches:
-            for part in chunks(batch):
-                coded = encode.many(part.column("text").to_pylist())
-                for ident, ids in zip(part.column("doc_id").to_pylist(), coded):
-                    if writer is None:
-                        store, folder = fs.FileSystem.from_uri(path)
-                        store.create_dir(folder, recursive=True)
-                        name, first = f"shard-{uuid.uuid4().hex}.sst", ident
-                        out = store.open_output_stream(f"{folder}/{name}", compression=None)
-                        writer = Writer(out, encode.width)
-                    writer.add(key_of(ident), ids + end)
-                    tokens += len(ids) // encode.width + 1
-                    last = ident
+            for ident, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = encode(text.as_py())
+                if writer is None:
+                    store, folder = fs.FileSystem.from_uri(path)
+                    store.create_dir(folder, recursive=True)
+                    name, first = f"shard-{uuid.uuid4().hex}.sst", ident
+                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                    writer = Writer(out, encode.width)
+                writer.add(key_of(ident), ids + end)
+                tokens += len(ids) // encode.width + 1
+                last = ident
+        gc.enable()
         if writer is not None:
             writer.close()
             out.close()
