@@ -21,7 +21,7 @@ P4 = np.uint64(0x85EBCA77C2B2AE63)
 P5 = np.uint64(0x27D4EB2F165667C5)
 
 #: Text bytes handled at once; a single longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True

@@ -367,7 +367,7 @@ FEATURE_SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
     "media_bytes long, media_sha256 string, width int, height int, feature string"
 )
-_IMAGES_AT_ONCE = 4 << 20
+_IMAGES_AT_ONCE = 1 << 20
 
 
 def encode_media(docs: DataFrame) -> DataFrame:

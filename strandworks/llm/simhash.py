@@ -44,6 +44,7 @@ SEGMENTS = 8
 MAX_BITS = 3
 BUDGETS = [MAX_BITS * length // SEGMENTS for length in range(1, SEGMENTS + 1)]
 BUCKET_CAP = 1024
+_GRAMS_AT_ONCE = 1 << 16
 
 
 def fingerprint_arrow(texts: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -58,11 +59,12 @@ def fingerprint_arrow(texts: pa.Array, shingle: int = 3, seed: int = 42) -> np.n
     begin = np.arange(first[-1]) - first[doc] + words.first[doc]
     last = np.minimum(begin + shingle - 1, words.first[doc + 1] - 1)
     h = xxh64(lanes64(words.norm), words.start[begin], words.start[last] + words.length[last] - words.start[begin], seed)
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     sums = np.zeros((len(n), 64), np.int64)
-    if len(bits):
-        some = grams > 0
-        sums[some] = np.add.reduceat(bits, first[:-1][some], axis=0, dtype=np.int32)
+    for at in range(0, len(h), _GRAMS_AT_ONCE):
+        bits = np.unpackbits(h[at : at + _GRAMS_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        of = doc[at : at + _GRAMS_AT_ONCE]
+        starts = np.append(0, np.flatnonzero(np.diff(of)) + 1)
+        sums[of[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
     return np.packbits(2 * sums > grams[:, None], axis=1).reshape(-1, 8).copy().view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 

@@ -47,6 +47,7 @@ MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 27
 BYTES_A_CELL = 32  # of text; about one anchor in three cells
 SLICE_CELLS = 1 << 18
 BUCKET_TEXT_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20  # of text whose equal windows are combined before they are sent
 
 # Bases of the two polynomial sequence hashes: odd, so that powers have inverses.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -128,7 +129,7 @@ def repeated_sketch(docs: DataFrame, cells: int, width: int = WIDTH, gram: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros((ROWS, cells), np.uint8)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=CHUNK_BYTES):
                 *_, where, grams = _prepared(part, width, gram)
                 if not len(where):
                     continue
@@ -197,7 +198,7 @@ def removed_ranges(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: int
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=CHUNK_BYTES):
                 seq, starts, text, where, grams = _prepared(part, width, gram)
                 if not len(where):
                     continue
