@@ -64,7 +64,8 @@ def _repeated(named: DataFrame) -> DataFrame:
     """Suffixes whose name occurs at more than one place, and whether they are later copies."""
     place = F.struct("_ld_doc", *_DOC, "_ld_pos")
     groups = named.groupBy(*_NAME).agg(F.min(place).alias("_ld_first"), F.max(place).alias("_ld_last")).where("_ld_first <> _ld_last")
-    joined = named.join(groups.drop("_ld_last"), _NAME)
+    # A written table, so that the join has an exchange of its own, which the adaptive join can split.
+    joined = named.join(keep(groups.drop("_ld_last"), "lines-groups"), _NAME)
     return joined.withColumn("_ld_later", place > F.col("_ld_first")).drop("_ld_first")
 
 
