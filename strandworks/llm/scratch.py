@@ -28,15 +28,23 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/strandworks/{tag}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+ROWS_A_FILE = 500_000
+
+
+def files_for(rows: int) -> int:
+    """Files (and last tasks) for a table of so many narrow rows."""
+    return max(1, -(-rows // ROWS_A_FILE))
+
+
+def keep(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, in at most ``files`` files if given.
 
     Cuts the lineage: a lost executor costs a re-read of files, never a rerun of
     what lies before.
     """
     spark = df.sparkSession
     path = fresh(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

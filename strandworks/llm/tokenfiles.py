@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by doc_id; each task tokenises its
 range and writes one shard in the shared folder (see ``sstable``), under a name
 of its own, so a retried task never touches another's file. The list of shards
-is a written table: only shards of tasks that Spark committed are in it.
+has a row a shard and comes from the tasks that Spark counted as done.
 
 Texts are encoded piece by piece with a cache: the byte-level pre-tokeniser always
 cuts before a space that follows a non-space, so a text without white space
@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import fresh, keep
+from .scratch import fresh
 from .sstable import Reader, Writer, id_of, key_of
 
 END_ID = 2
@@ -129,7 +129,7 @@ def encoder(path: str) -> Encoder:
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """Write the shards of ``docs`` below ``path``; returns their written manifest."""
+    """Write the shards of ``docs`` below ``path``; returns their manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_file(tokenizer))
@@ -159,7 +159,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    return keep(ordered.mapInArrow(run, MANIFEST), "token-manifest")
+    done = ordered.mapInArrow(run, MANIFEST).collect()  # a row a shard, from the tasks that count
+    return docs.sparkSession.createDataFrame([tuple(r) for r in done], MANIFEST)
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
