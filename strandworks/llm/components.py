@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import forget, fresh
+from .scratch import files_for, forget, fresh
 
 MAX_ROUNDS = 60
 
@@ -33,9 +33,9 @@ def connected(links: DataFrame) -> DataFrame:
     """``(node, root)`` for each node of the ``(u, v)`` links; the root is the least node."""
     spark = links.sparkSession
 
-    def settle(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+    def settle(df: DataFrame, files: int | None = None) -> tuple[DataFrame, str, tuple]:
         path = fresh(spark, "links")
-        df.write.parquet(path)
+        (df if files is None else df.coalesce(files)).write.parquet(path)
         kept = spark.read.schema("u long, v long").parquet(path)
         sums = kept.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return kept, path, tuple(sums)
@@ -44,7 +44,7 @@ def connected(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if sums[0] == 0:
             break
-        then, then_path, then_sums = settle(_small_star(_large_star(now)))
+        then, then_path, then_sums = settle(_small_star(_large_star(now)), files_for(sums[0]))
         forget(spark, path)
         now, path, same, sums = then, then_path, then_sums == sums, then_sums
         if same:

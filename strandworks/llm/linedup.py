@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import files_for, keep
 
 MIN_LINES = 2
 MIN_WORDS = 10
@@ -60,12 +60,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _repeated(named: DataFrame) -> DataFrame:
+def _repeated(named: DataFrame, files: int) -> DataFrame:
     """Suffixes whose name occurs at more than one place, and whether they are later copies."""
     place = F.struct("_ld_doc", *_DOC, "_ld_pos")
     groups = named.groupBy(*_NAME).agg(F.min(place).alias("_ld_first"), F.max(place).alias("_ld_last")).where("_ld_first <> _ld_last")
     # A written table, so that the join has an exchange of its own, which the adaptive join can split.
-    joined = named.join(keep(groups.drop("_ld_last"), "lines-groups"), _NAME)
+    joined = named.join(keep(groups.drop("_ld_last"), "lines-groups", files), _NAME)
     return joined.withColumn("_ld_later", place > F.col("_ld_first")).drop("_ld_first")
 
 
@@ -80,25 +80,26 @@ def _longer(level: DataFrame, shift: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
     """Suffixes of repeated single lines, and of repeated runs of ``min_lines`` lines."""
     lines = keep(_lines(docs), "lines")
-    single = keep(_repeated(lines), "lines-repeated")
+    files = files_for(lines.count())
+    single = keep(_repeated(lines, files), "lines-repeated", files)
     level, depth = single, 1
     while depth < min_lines:
         shift = min(depth, min_lines - depth)
-        level = _repeated(_longer(level, shift))
+        level = _repeated(_longer(level, shift), files)
         depth += shift
         if depth < min_lines:
-            level = keep(level, "lines-level")
+            level = keep(level, "lines-level", files)
     return single, level
 
 
 def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(_ld_k, _ld_l, gone)``: sorted numbers (among all lines) of the deleted lines of each document that has any."""
+    """``(_ld_k, _ld_l, _ld_del)``: sorted numbers (among all lines) of the deleted lines of each document that has any."""
     single, runs = repeated_runs(docs, min_lines)
     starts = runs.where("_ld_later").select(*_DOC, F.explode(F.sequence("_ld_pos", F.col("_ld_pos") + min_lines - 1)).alias("_ld_pos"))
     # Every line of a repeated run is a repeated line, so its number among all lines is at hand.
     in_runs = single.select(*_DOC, "_ld_pos", "_ld_at").join(starts.distinct(), [*_DOC, "_ld_pos"]).select(*_DOC, "_ld_at")
     alone = single.where(F.col("_ld_later") & (F.col("_ld_words") >= min_words)).select(*_DOC, "_ld_at")
-    return in_runs.union(alone).groupBy(*_DOC).agg(F.sort_array(F.collect_set("_ld_at")).alias("gone"))
+    return in_runs.union(alone).groupBy(*_DOC).agg(F.sort_array(F.collect_set("_ld_at")).alias("_ld_del"))
 
 
 def without_lines(text: str, gone: str) -> Column:
@@ -117,8 +118,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     """
     gone = deleted_lines(docs, min_lines, min_words)
     joined = docs.select("*", *_doc_keys()).join(gone, _DOC, "left")
-    cols = [F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines("text", "gone")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*cols, F.coalesce(F.size("gone"), F.lit(0)).alias("_ld_gone"), F.size(F.split("text", "\n")).alias("_ld_lines"))
+    cols = [F.when(F.col("_ld_del").isNull(), F.col("text")).otherwise(without_lines("text", "_ld_del")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return joined.select(*cols, F.coalesce(F.size("_ld_del"), F.lit(0)).alias("_ld_gone"), F.size(F.split("text", "\n")).alias("_ld_lines"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

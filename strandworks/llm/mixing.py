@@ -83,7 +83,7 @@ def copies(docs: DataFrame, budget: int | None = None, gap: float = ENTROPY_GAP,
         F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("name"),
     )
     rows = keep(named, "mix-rows")
-    sources = keep(rows.groupBy("name").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-sources")
+    sources = keep(rows.groupBy("name").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-sources", 8)
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     budget = total if budget is None else budget
     shares = sources.where("tokens > 0").withColumn("lnp", F.log(F.col("tokens") / F.lit(float(total or 1))))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .bytegrid import chunks, lanes64, split_words, text_bytes, xxh64
 from .components import connected
-from .scratch import keep
+from .scratch import files_for, keep
 
 SEGMENTS = 8
 MAX_BITS = 3
@@ -135,7 +135,7 @@ def links(fps: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """
     keyed = fps.select("fp", F.explode(_keys()).alias("key"))
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keep(keyed.join(size, "key"), "simhash-keys")
+    shared = keep(keyed.join(size, "key"), "simhash-keys", files_for(fps.count() * 3 * SEGMENTS))
     return _pairs(shared.where(F.col("n") <= bucket_cap)).union(_stars(shared.where(F.col("n") > bucket_cap))).distinct()
 
 
@@ -145,7 +145,7 @@ def components(docs: DataFrame, *carry: str, bucket_cap: int = BUCKET_CAP) -> tu
     Fingerprints of a component share ``root``, its least fingerprint.
     """
     rows = keep(fingerprints(docs, *carry), "simhash-fps")
-    nodes = rows.groupBy("fp").agg(F.count("*").alias("n")).select("fp")
+    nodes = keep(rows.groupBy("fp").agg(F.count("*").alias("n")).select("fp"), "simhash-nodes", files_for(rows.count()))
     found = connected(links(nodes, bucket_cap)).withColumnRenamed("node", "fp")
     return rows, nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     rows, roots = components(docs, bucket_cap=bucket_cap)
     of_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
     of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = keep(of_fp.join(of_root, "root").select("fp", "component_id"), "simhash-ids")
+    ids = keep(of_fp.join(of_root, "root").select("fp", "component_id"), "simhash-ids", files_for(rows.count()))
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

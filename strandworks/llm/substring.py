@@ -360,7 +360,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, max_c
     buckets = max(8, -(-size // BUCKET_TEXT_BYTES))
     sketch = repeated_sketch(keyed, cells, width, gram)
     ranges = removed_ranges(keyed, sketch, cells, buckets, width, gram)
-    one = keep(ranges.dropDuplicates(["k1", "k2"]), "removed-ranges")  # copies of a text have the same ranges
+    one = keep(ranges.dropDuplicates(["k1", "k2"]), "removed-ranges", max(1, buckets // 16))  # copies of a text have the same ranges
     return cut_words(keyed.join(one, ["k1", "k2"], "left"))
 
 
