@@ -37,7 +37,7 @@ from .sstable import Reader, Writer, id_of, key_of
 
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 40
 MANIFEST = "path string, first_id long, last_id long, n_docs long, n_tokens long"
 _WHITE_THEN_SPACE = re.compile(r"\s ")
