@@ -54,6 +54,8 @@ def tokenizer_file(name: str = TOKENIZER) -> str:
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _OWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _ALPHABET = {b: b if b in _OWN else 256 + sum(x not in _OWN for x in range(b)) for b in range(256)}
+_SPACE = chr(_ALPHABET[0x20])
+_STOPS = (",", ".", ";", ":", "!", "?")
 #: Characters on whose classes all Unicode versions agree.
 _PLAIN = re.compile("[\n!-~\u00a1-\u024f]+")
 
@@ -61,12 +63,16 @@ _PLAIN = re.compile("[\n!-~\u00a1-\u024f]+")
 class _Parts(dict):
     """Ids of pre-tokens, each one call of the library's BPE model."""
 
-    def __init__(self, model, width: int) -> None:
+    def __init__(self, model, width: int, vocabulary: int) -> None:
         super().__init__()
-        self.model, self.width = model, width
+        self.model, self.coded = model, [i.to_bytes(width, "little") for i in range(vocabulary)]
 
     def __missing__(self, part: str) -> bytes:
-        out = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(part.encode().decode("latin-1").translate(_ALPHABET))])
+        if part.isascii() and part[1:].isalpha():  # of such characters only the space has another sign
+            signs = part.replace(" ", _SPACE)
+        else:
+            signs = part.encode().decode("latin-1").translate(_ALPHABET)
+        out = b"".join([self.coded[t.id] for t in self.model.tokenize(signs)])
         if len(self) < CACHE_ENTRIES and len(part) <= CACHE_CHARS:
             self[part] = out
         return out
@@ -80,7 +86,11 @@ class _Pieces(dict):
         self.parts, self.whole = parts, whole
 
     def __missing__(self, piece: str) -> bytes:
-        if _PLAIN.fullmatch(piece):
+        if piece.isascii() and piece.isalpha():
+            out = self.parts[" " + piece]
+        elif piece.isascii() and piece[-1:] in _STOPS and piece[:-1].isalpha():
+            out = self.parts[" " + piece[:-1]] + self.parts[piece[-1]]
+        elif _PLAIN.fullmatch(piece):
             out = b"".join([self.parts[p] for p in _CUT.findall(" " + piece)])
         else:
             out = self.whole(" " + piece)
@@ -105,7 +115,7 @@ class Encoder:
         model = self.tok.model
         if hasattr(model, "_resize_cache"):
             model._resize_cache(0)  # the caches here take its place
-        self.pieces = _Pieces(_Parts(model, self.width), self.whole)
+        self.pieces = _Pieces(_Parts(model, self.width, self.tok.get_vocab_size(with_added_tokens=True)), self.whole)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
