@@ -49,6 +49,7 @@ _FOLD[ord("0") : ord("9") + 1] = 27
 _FOLD[128:] = 29 + np.arange(128)
 _LETTERISH = np.array([*[1] * 26, 0, 0, 0, *[1] * 128], np.float32)
 _AT_ONCE = 512
+_TEXTS_AT_ONCE = 200
 
 
 def text_windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +124,12 @@ def train(texts: list[str], langs: list[str], seed: int = SEED, epochs: int = EP
     """Fit a network on whole texts cut into windows (at most SAMPLE_WINDOWS of them, drawn evenly)."""
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
-    x, text = text_windows(*text_bytes(pa.array(texts, pa.string())))
-    y = np.array([labels.index(v) for v in langs])[text] if len(texts) else np.zeros(0, np.int64)
-    wordy = _LETTERISH[x].sum(1) >= 16
-    x, y = x[wordy], y[wordy]
+    pieces = []
+    for i in range(0, len(texts), _TEXTS_AT_ONCE):
+        some, text = text_windows(*text_bytes(pa.array(texts[i : i + _TEXTS_AT_ONCE], pa.string())))
+        wordy = _LETTERISH[some].sum(1) >= 16
+        pieces.append((some[wordy], np.array([labels.index(v) for v in langs[i : i + _TEXTS_AT_ONCE]])[text[wordy]]))
+    x, y = (np.concatenate([p[k] for p in pieces]) for k in range(2))
     pick = rng.permutation(len(x))[:SAMPLE_WINDOWS]
     x, y = x[pick], y[pick]
     net = ByteNet(

@@ -145,7 +145,7 @@ def components(docs: DataFrame, *carry: str, bucket_cap: int = BUCKET_CAP) -> tu
     Fingerprints of a component share ``root``, its least fingerprint.
     """
     rows = keep(fingerprints(docs, *carry), "simhash-fps")
-    nodes = keep(rows.groupBy("fp").agg(F.count("*").alias("n")).select("fp"), "simhash-nodes", files_for(rows.count()))
+    nodes = keep(rows.groupBy("fp").agg(F.count("*").alias("n")).select("fp"), "simhash-nodes", files_for(rows.count() * 3 * SEGMENTS))
     found = connected(links(nodes, bucket_cap)).withColumnRenamed("node", "fp")
     return rows, nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
