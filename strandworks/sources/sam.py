@@ -36,6 +36,8 @@ def bgzf_blocks(raw: bytes) -> Iterator[bytes]:
             if ident == b"BC":
                 size = struct.unpack_from("<H", raw, p + 4)[0] + 1
             p += 4 + n
+        if size is None or at + size > len(raw):
+            raise ValueError("damaged BGZF block")
         body = raw[at + 12 + extra : at + size - 8]
         out = zlib.decompress(body, -15)
         crc, n = struct.unpack_from("<II", raw, at + size - 8)
