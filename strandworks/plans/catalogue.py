@@ -353,7 +353,7 @@ def header_parse(spark, sf_dir):
 _ART_K = 12
 _ART_VALUES = ", ".join(f"({i}, '{s}')" for i, _, _, s in constants.artifact_rows())
 _ART_SQL = _with(SQL_READS, f"art AS (SELECT * FROM (VALUES {_ART_VALUES}) t(artifact_id, seq))") + f""", w AS (SELECT DISTINCT artifact_id, substring(seq, i, {_ART_K}) AS m FROM art, unnest(generate_series(1, length(seq) - {_ART_K - 1})) t(i)),
-w1 AS (SELECT artifact_id, m FROM w WHERE NOT contains(m, 'N') UNION SELECT artifact_id, substring(m, 1, i - 1) || b || substring(m, i + 1) FROM w, unnest(generate_series(1, {_ART_K})) t(i), unnest(['A','C','G','T']) u(b) WHERE NOT contains(m, 'N')),
+w1 AS (SELECT artifact_id, m FROM w WHERE NOT regexp_matches(m, '[^ACGT]') UNION SELECT artifact_id, substring(m, 1, i - 1) || b || substring(m, i + 1) FROM w, unnest(generate_series(1, {_ART_K})) t(i), unnest(['A','C','G','T']) u(b) WHERE NOT regexp_matches(m, '[^ACGT]')),
 ak AS (SELECT kmer, min(artifact_id) AS artifact_id FROM (SELECT m AS kmer, artifact_id FROM w1 UNION ALL SELECT {RC.format('m')}, artifact_id FROM w1) GROUP BY kmer),
 pr AS (SELECT read_id, p, substring(seq, p + 1, {_ART_K}) AS kmer FROM reads, unnest(generate_series(0, length(seq) - {_ART_K}, 4)) t(p)),
 h AS (SELECT read_id, artifact_id, min(p) AS a, max(p) + {_ART_K} AS b FROM pr JOIN ak USING (kmer) GROUP BY 1, 2),

@@ -43,13 +43,18 @@ REPEAT_UNITS = (
     "TTAA TTAAA TTAAG CACCAT CCCGAA CCCCAA CCCCAG CCCTAA GAAAAA TAAAAA GGAGAA GGGAGA TGGGGG CGGGGG AGGGGG CAGAGA"
 ).split()
 REPEAT_BASES = 120
+# Fixed value: a satellite unit, four times in a row; it comes before the units of six bases.
+SATELLITE = ("SUBTEL_sat#Satellite", "GCGCCTCTCTGCGCCTGCGCCGGCGCSSC", 4)
 
 
 def artifact_rows(repeats: bool = True) -> list[tuple[int, str, str, str]]:
     """``(artifact_id, name, kind, seq)``."""
     rows = [(name, "adapter", seq) for name, seq in ADAPTERS]
     if repeats:
-        rows += [(f"({u})n#Simple_repeat", "repeat", (u * REPEAT_BASES)[:REPEAT_BASES]) for u in REPEAT_UNITS]
+        made = [(f"({u})n#Simple_repeat", "repeat", (u * REPEAT_BASES)[:REPEAT_BASES]) for u in REPEAT_UNITS]
+        at = REPEAT_UNITS.index("CACCAT")
+        name, unit, times = SATELLITE
+        rows += [*made[:at], (name, "repeat", unit * times), *made[at:]]
     return [(i, *r) for i, r in enumerate(rows)]
 
 

@@ -132,7 +132,7 @@ def test_pairs(spark):
 
 def test_artifacts(spark):
     adapter = dict((n, s) for _, n, _, s in constants.artifact_rows())["PE_Adapters1"]
-    assert len(constants.artifact_rows()) == 188
+    assert len(constants.artifact_rows()) == 188 == len(constants.ADAPTERS) + len(constants.REPEAT_UNITS) + 1
     body = genome(60, 11)
     one = adapter[:10] + ("A" if adapter[10] != "A" else "C") + adapter[11:]
     rows = [(0, body), (1, adapter + body), (2, body + one), (3, body[:5] + rc(adapter)), (4, adapter)]
