@@ -55,7 +55,8 @@ def read_fastq(spark: SparkSession, *paths: str, base: int | None = None, drop_f
     """FASTQ files as ``read_id, file_id, name, comment, seq, qual`` with qualities at base 33.
 
     Bases are upper-cased, ``.`` becomes N. Without ``base`` the quality base is found
-    for each file: 64 if no quality character is below ``;``, else 33. Reads whose
+    for each file: 64 if no quality character is below ``;`` and one is above ``K``,
+    else 33. Reads whose
     comment says they failed the filter (``1:Y:...``) are dropped.
     """
     lines = _numbered(spark, list(paths))
@@ -69,8 +70,9 @@ def read_fastq(spark: SparkSession, *paths: str, base: int | None = None, drop_f
     if drop_filtered:
         rows = rows.where(F.col("comment").isNull() | ~F.col("comment").rlike("^[12]:Y:"))
     if base is None:
-        low = rows.groupBy("file_id").agg(F.min(F.array_min(F.transform(F.split("qual", ""), F.ascii))).alias("_low"))
-        rows = rows.join(F.broadcast(low), "file_id").withColumn("qual", F.when(F.col("_low") >= ord(";"), quality.rescale("qual", 64, 33)).otherwise(F.col("qual"))).drop("_low")
+        codes = F.transform(F.split("qual", ""), F.ascii)
+        low = rows.groupBy("file_id").agg(F.min(F.array_min(codes)).alias("_low"), F.max(F.array_max(codes)).alias("_high"))
+        rows = rows.join(F.broadcast(low), "file_id").withColumn("qual", F.when((F.col("_low") >= ord(";")) & (F.col("_high") > ord("K")), quality.rescale("qual", 64, 33)).otherwise(F.col("qual"))).drop("_low", "_high")
     elif base != 33:
         rows = rows.withColumn("qual", quality.rescale("qual", base, 33))
     return rows.select("read_id", "file_id", "name", "comment", "seq", "qual")
