@@ -44,19 +44,24 @@ def qual_numbers(qual: Column | str, base: int = 33) -> Column:
     return F.array_join(F.transform(phreds(qual, base), lambda v: v.cast("string")), " ")
 
 
-def longest_run(flags: Column) -> Column:
-    """``struct(bl, bo)``: length and 0-based offset of the longest run of true values, the earliest on ties.
+def longest_run_text(marks: Column) -> Column:
+    """``struct(bl, bo)`` of a string of 1 and 0: length and 0-based offset of the longest run of 1, the earliest on ties.
 
-    One fold over the array.
+    String functions only: the longest piece between zeros, and where it first occurs.
     """
-    def step(s: Column, ok: Column) -> Column:
-        n = s["cl"] + 1
-        grown = F.struct(n.alias("cl"), F.greatest(n, s["bl"]).alias("bl"), F.when(n > s["bl"], s["i"] + 1 - n).otherwise(s["bo"]).alias("bo"), (s["i"] + 1).alias("i"))
-        ended = F.struct(F.lit(0).alias("cl"), s["bl"].alias("bl"), s["bo"].alias("bo"), (s["i"] + 1).alias("i"))
-        return F.when(ok, grown).otherwise(ended)
-
-    start = F.struct(*(F.lit(0).alias(c) for c in ("cl", "bl", "bo", "i")))
-    return F.aggregate(flags, start, step)
+    best = F.array_max(F.transform(F.split(marks, "0"), F.length))
+    return F.struct(best.alias("bl"), F.when(best > 0, F.instr(marks, F.repeat(F.lit("1"), best)) - 1).otherwise(0).alias("bo"))
+
+
+def longest_run(flags: Column) -> Column:
+    """:func:`longest_run_text` of an array of booleans; null counts as false."""
+    return longest_run_text(F.array_join(F.transform(flags, lambda ok: F.when(ok, "1").otherwise("0")), ""))
+
+
+def good_marks(qual: Column | str, min_quality: int, base: int = 33) -> Column:
+    """A string with 1 for each quality of at least ``min_quality`` and 0 for others."""
+    codes = range(33, 127)
+    return F.translate(_c(qual), "".join(map(chr, codes)), "".join("1" if c - base >= min_quality else "0" for c in codes))
 
 
 def passes_length(length: Column, of: Column, minimum: float) -> Column:

@@ -16,6 +16,30 @@ from strandworks.functions import dna, quality
 EXTENSION_LETTERS = "ACGTNX"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: the optimizer does not copy it into its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def window_products(p: Column, k: int) -> Column:
+    """The product over each window of k elements of an array (the last k - 1 values mean nothing).
+
+    Products over 2, 4, 8, ... elements double up, and the binary digits of k put
+    the window together: some 2 log2(k) multiplications an element instead of k.
+    """
+    def step(at: Column, width: int, taken: int) -> Column:
+        bits, done = at["p"], at["w"]
+        if k & width:
+            done = bits if taken == 0 else F.transform(done, lambda x, i: x * F.get(bits, i + taken))
+            taken += width
+        if taken == k:
+            return done
+        longer = F.transform(bits, lambda x, i: x * F.coalesce(F.get(bits, i + width), F.lit(0.0)))
+        return _let(F.struct(longer.alias("p"), done.alias("w")), lambda s: step(s, 2 * width, taken))
+
+    return _let(F.struct(p.alias("p"), F.lit(None).cast("array<double>").alias("w")), lambda s: step(s, 1, 0))
+
+
 def observe(reads: DataFrame, k: int, weighted: bool = False, extensions: bool = False, options: KmerOptions = KmerOptions()) -> DataFrame:
     """Windows of reads: ``read_id, pos, kmer, is_fwd`` and, if asked for, ``weight`` and both neighbours.
 
@@ -29,13 +53,12 @@ def observe(reads: DataFrame, k: int, weighted: bool = False, extensions: bool =
         src = src.withColumn("_q", quality.phreds("qual"))
         cols.append("_q")
     if weighted:
-        src = src.withColumn("_p", F.transform("_q", lambda q: quality.p_correct(q, options.min_quality)))
-        cols.append("_p")
+        src = src.withColumn("_w", window_products(F.transform("_q", lambda q: quality.p_correct(q, options.min_quality)), k))
+        cols.append("_w")
     each = src.where(F.length("seq") >= k).select(*cols, F.posexplode(dna.windows("seq", k)).alias("pos", "fwd"))
     each = each.where(~F.col("fwd").rlike("[^ACGT]"))
     if weighted:
-        each = each.withColumn("weight", F.aggregate(F.slice("_p", F.col("pos") + 1, F.lit(k)), F.lit(1.0), lambda a, p: a * p))
-        each = each.where(F.col("weight") > options.min_weight)
+        each = each.withColumn("weight", F.get("_w", F.col("pos"))).where(F.col("weight") > options.min_weight)
     out = each.withColumn("kmer", dna.canonical("fwd")).withColumn("is_fwd", F.col("kmer") == F.col("fwd"))
     keep = ["read_id", "pos", "kmer", "is_fwd"] + (["weight"] if weighted else [])
     if extensions:

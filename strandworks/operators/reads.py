@@ -15,7 +15,7 @@ def quality_trim(reads: DataFrame, min_quality: int = 3, min_length: float = 0.4
     A read that is one whole run is left alone; a run that fails the length rule
     discards the read.
     """
-    run = reads.withColumn("_r", quality.longest_run(F.transform(quality.phreds("qual"), lambda q: q >= min_quality)))
+    run = reads.withColumn("_r", quality.longest_run_text(quality.good_marks("qual", min_quality)))
     whole = F.col("_r.bl") == F.length("seq")
     return run.select(
         "read_id", F.col("_r.bo").alias("trim_offset"), F.col("_r.bl").alias("trim_length"), (~whole).alias("trimmed"),
@@ -25,7 +25,7 @@ def quality_trim(reads: DataFrame, min_quality: int = 3, min_length: float = 0.4
 
 def apply_quality_trim(reads: DataFrame, min_quality: int = 3, min_length: float = 0.40) -> DataFrame:
     """Reads cut to their longest good run, labelled ``AFTrim:off+len``, or marked discarded. One pass, no join."""
-    run = reads.withColumn("_r", quality.longest_run(F.transform(quality.phreds("qual"), lambda q: q >= min_quality)))
+    run = reads.withColumn("_r", quality.longest_run_text(quality.good_marks("qual", min_quality)))
     whole = F.col("_r.bl") == F.length("seq")
     ok = quality.passes_length(F.col("_r.bl"), F.length("seq"), min_length)
     cut = lambda c: F.when(whole | ~ok, F.col(c)).otherwise(F.substring(c, F.col("_r.bo") + 1, F.col("_r.bl")))
@@ -35,12 +35,11 @@ def apply_quality_trim(reads: DataFrame, min_quality: int = 3, min_length: float
 
 def rescue_runs(reads: DataFrame, min_quality: int = 3, min_length: float = 0.40) -> DataFrame:
     """Second-best quality runs that pass the length rule, as reads named ``<name>-qtrim``."""
-    ok = reads.select("*", F.posexplode(F.transform(quality.phreds("qual"), lambda q: q >= min_quality)).alias("_j", "_ok"))
-    w = Window.partitionBy("read_id").orderBy("_j")
-    runs = ok.withColumn("_g", F.col("_j") - F.row_number().over(Window.partitionBy("read_id", "_ok").orderBy("_j"))).where("_ok")
+    marked = reads.select("read_id", F.posexplode(F.split(quality.good_marks("qual", min_quality), "")).alias("_j", "_m"))
+    by_mark = Window.partitionBy("read_id", "_m").orderBy("_j")
+    runs = marked.withColumn("_g", F.col("_j") - F.row_number().over(by_mark)).where("_m = '1'")
     each = runs.groupBy("read_id", "_g").agg(F.min("_j").alias("bo"), F.count("*").alias("bl"))
     second = each.withColumn("rn", F.row_number().over(Window.partitionBy("read_id").orderBy(F.desc("bl"), "bo"))).where("rn = 2")
-    del w
     return reads.join(second, "read_id").where(quality.passes_length(F.col("bl"), F.length("seq"), min_length)).select(
         "read_id", F.concat("name", F.lit("-qtrim")).alias("name"), F.substring("seq", F.col("bo") + 1, F.col("bl")).alias("seq"), F.substring("qual", F.col("bo") + 1, F.col("bl")).alias("qual")
     )
