@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandworks.functions.bind import let
+
 BASES = "ACGT"
 
 
@@ -29,7 +31,7 @@ def canonical(kmer: Column | str) -> Column:
 def windows(seq: Column | str, k: int) -> Column:
     """All substrings of length k, in order."""
     s = _c(seq)
-    made = F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))
+    made = let(s, lambda v: F.transform(F.sequence(F.lit(1), F.length(v) - k + 1), lambda i: F.substring(v, i, F.lit(k))))
     return F.when(F.length(s) >= k, made).when(s.isNotNull(), F.array().cast("array<string>"))
 
 
@@ -55,11 +57,11 @@ def unpack(number: Column | str, k: int) -> Column:
 
 def neighbours(kmer: Column | str, k: int) -> Column:
     """The 3k k-mers with exactly one substitution."""
-    m = _c(kmer)
-    at = F.sequence(F.lit(1), F.lit(k))
-    one = lambda i, b: F.overlay(m, b, i, F.lit(1))
-    made = F.flatten(F.transform(at, lambda i: F.transform(F.array(*map(F.lit, BASES)), lambda b: one(i, b))))
-    return F.filter(made, lambda x: x != m)
+    def made(m: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.transform(F.array(*map(F.lit, BASES)), lambda b: F.overlay(m, b, i, F.lit(1))))
+        return F.filter(F.flatten(each), lambda x: x != m)
+
+    return let(_c(kmer), made)
 
 
 def neighbours_within(kmer: Column | str, k: int, distance: int) -> Column:
@@ -130,6 +132,9 @@ def read_number(name: Column | str, comment: Column | str | None = None) -> Colu
 
 def mismatches(a: Column | str, b: Column | str) -> Column:
     """Positions at which two strings differ, over the shorter length."""
-    n = F.least(F.length(_c(a)), F.length(_c(b)))
-    same = lambda i: F.substring(_c(a), i, F.lit(1)) != F.substring(_c(b), i, F.lit(1))
-    return F.when(n > 0, F.size(F.filter(F.sequence(F.lit(1), n), same))).otherwise(0)
+    def count(s: Column) -> Column:
+        n = F.least(F.length(s["a"]), F.length(s["b"]))
+        differ = lambda i: F.substring(s["a"], i, F.lit(1)) != F.substring(s["b"], i, F.lit(1))
+        return F.when(n > 0, F.size(F.filter(F.sequence(F.lit(1), n), differ))).otherwise(0)
+
+    return let(F.struct(_c(a).alias("a"), _c(b).alias("b")), count)

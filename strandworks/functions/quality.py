@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandworks.functions.bind import let
+
 REFERENCE_PHRED = 127  # quality of bases that come without one
 
 
@@ -49,8 +51,11 @@ def longest_run_text(marks: Column) -> Column:
 
     String functions only: the longest piece between zeros, and where it first occurs.
     """
-    best = F.array_max(F.transform(F.split(marks, "0"), F.length))
-    return F.struct(best.alias("bl"), F.when(best > 0, F.instr(marks, F.repeat(F.lit("1"), best)) - 1).otherwise(0).alias("bo"))
+    def run(s: Column) -> Column:
+        best = F.array_max(F.transform(F.split(s, "0"), F.length))
+        return let(best, lambda n: F.struct(n.alias("bl"), F.when(n > 0, F.instr(s, F.repeat(F.lit("1"), n)) - 1).otherwise(0).alias("bo")))
+
+    return let(marks, run)
 
 
 def longest_run(flags: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from strandworks.functions.bind import let
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -19,8 +21,8 @@ def l2_norm(v: Column | str) -> Column:
 
 def unit(v: Column | str) -> Column:
     """The vector over its L2 norm; zeros stay."""
-    n = l2_norm(v)
-    return F.transform(_c(v), lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    norm = l2_norm(v)
+    return let(F.struct(norm.alias("n"), _c(v).alias("v")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))
 
 
 def euclidean(a: Column | str, b: Column | str) -> Column:
@@ -29,10 +31,12 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
 
 def average_ranks(v: Column | str) -> Column:
     """Ranks from 1, ties share their mean rank."""
-    a = _c(v)
-    less = lambda x: F.size(F.filter(a, lambda y: y < x))
-    same = lambda x: F.size(F.filter(a, lambda y: y == x))
-    return F.transform(a, lambda x: less(x) + (same(x) + 1) / 2.0)
+    def ranks(a: Column) -> Column:
+        less = lambda x: F.size(F.filter(a, lambda y: y < x))
+        same = lambda x: F.size(F.filter(a, lambda y: y == x))
+        return F.transform(a, lambda x: less(x) + (same(x) + 1) / 2.0)
+
+    return let(_c(v), ranks)
 
 
 def spearman_distance(rank_a: Column | str, rank_b: Column | str) -> Column:

@@ -12,15 +12,11 @@ from pyspark.sql import functions as F
 
 from strandworks.config import KmerOptions
 from strandworks.functions import dna, quality
+from strandworks.functions.bind import let
 
 EXTENSION_LETTERS = "ACGTNX"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: the optimizer does not copy it into its uses."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def window_products(p: Column, k: int) -> Column:
     """The product over each window of k elements of an array (the last k - 1 values mean nothing).
 
@@ -35,9 +31,9 @@ def window_products(p: Column, k: int) -> Column:
         if taken == k:
             return done
         longer = F.transform(bits, lambda x, i: x * F.coalesce(F.get(bits, i + width), F.lit(0.0)))
-        return _let(F.struct(longer.alias("p"), done.alias("w")), lambda s: step(s, 2 * width, taken))
+        return let(F.struct(longer.alias("p"), done.alias("w")), lambda s: step(s, 2 * width, taken))
 
-    return _let(F.struct(p.alias("p"), F.lit(None).cast("array<double>").alias("w")), lambda s: step(s, 1, 0))
+    return let(F.struct(p.alias("p"), F.lit(None).cast("array<double>").alias("w")), lambda s: step(s, 1, 0))
 
 
 def observe(reads: DataFrame, k: int, weighted: bool = False, extensions: bool = False, options: KmerOptions = KmerOptions()) -> DataFrame:

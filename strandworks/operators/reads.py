@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandworks.config import SelectOptions
 from strandworks.functions import dna, quality, stats
+from strandworks.functions.bind import let
 
 
 def quality_trim(reads: DataFrame, min_quality: int = 3, min_length: float = 0.40) -> DataFrame:
@@ -25,12 +26,17 @@ def quality_trim(reads: DataFrame, min_quality: int = 3, min_length: float = 0.4
 
 def apply_quality_trim(reads: DataFrame, min_quality: int = 3, min_length: float = 0.40) -> DataFrame:
     """Reads cut to their longest good run, labelled ``AFTrim:off+len``, or marked discarded. One pass, no join."""
-    run = reads.withColumn("_r", quality.longest_run_text(quality.good_marks("qual", min_quality)))
-    whole = F.col("_r.bl") == F.length("seq")
-    ok = quality.passes_length(F.col("_r.bl"), F.length("seq"), min_length)
-    cut = lambda c: F.when(whole | ~ok, F.col(c)).otherwise(F.substring(c, F.col("_r.bo") + 1, F.col("_r.bl")))
-    label = F.when(~whole & ok, F.format_string("AFTrim:%d+%d", F.col("_r.bo"), F.col("_r.bl")))
-    return run.withColumns({"_s": cut("seq"), "_t": cut("qual"), "label": label, "discarded": ~whole & ~ok}).drop("seq", "qual", "_r").withColumnsRenamed({"_s": "seq", "_t": "qual"})
+    def made(s: Column) -> Column:
+        n, off, size = s["r"]["bl"], s["r"]["bo"], F.length(s["seq"])
+        whole, ok = n == size, quality.passes_length(n, size, min_length)
+        cut = lambda c: F.when(whole | ~ok, s[c]).otherwise(F.substring(s[c], off + 1, n))
+        label = F.when(~whole & ok, F.format_string("AFTrim:%d+%d", off, n))
+        return F.struct(cut("seq").alias("seq"), cut("qual").alias("qual"), label.alias("label"), (~whole & ~ok).alias("discarded"))
+
+    run = quality.longest_run_text(quality.good_marks("qual", min_quality))
+    out = reads.withColumn("_o", let(F.struct(run.alias("r"), F.col("seq").alias("seq"), F.col("qual").alias("qual")), made))
+    kept = [c for c in reads.columns if c not in ("seq", "qual", "label", "discarded")]
+    return out.select(*kept, "_o.seq", "_o.qual", "_o.label", "_o.discarded")
 
 
 def rescue_runs(reads: DataFrame, min_quality: int = 3, min_length: float = 0.40) -> DataFrame:
