@@ -37,10 +37,11 @@ from .sstable import Reader, Writer, id_of, key_of
 
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 800_000
 CACHE_CHARS = 40
 MANIFEST = "path string, first_id long, last_id long, n_docs long, n_tokens long"
-_WHITE_THEN_SPACE = re.compile(r"\s ")
+# Every character that any definition of white space holds, before a space.
+_WHITE_THEN_SPACE = tuple(f"{c} " for c in map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -123,7 +124,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_piece or _WHITE_THEN_SPACE.search(text) or any(a in text for a in self.added):
+        if not self.by_piece or any(x in text for x in _WHITE_THEN_SPACE) or any(a in text for a in self.added):
             return self.whole(text)
         head, *rest = text.split(" ")
         return b"".join([self.whole(head) if head else b"", *map(self.pieces.__getitem__, rest)])
