@@ -34,7 +34,9 @@ def cut_reads(docs: DataFrame, ident: str = "doc_id") -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_reads(load(spark, sf_dir, "documents"))
+    """Reads of the documents; a file of fewer parts than there are cores is dealt out first."""
+    docs, cores = load(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return cut_reads(docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
