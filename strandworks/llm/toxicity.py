@@ -6,8 +6,11 @@ inflected forms share features. Filters of several widths run over the whole
 text, the maximum of each is taken, and a logistic layer gives a raw probability.
 
 Training, in numpy, takes at most SAMPLE_ROWS labelled documents, half of them
-toxic as far as there are so many, drawn by a hash; a fifth of them is kept for
-calibration. There, for each language, the raw threshold of best F1 is found
+toxic as far as there are so many, drawn by a hash. Calibration takes every
+labelled row that is not held out, once: rows of the sample with the raw value of
+a network trained on the other half of the sample, all others with the raw value
+of the network itself. Their counts by language, label and bin of the raw value,
+so at the true class shares, give the raw threshold of best F1 of each language
 (with the threshold of all languages as a prior for small groups). At scoring
 time the language of a text is what the network of ``langid`` reads from the
 text; the language's threshold is moved to 0.7 by a piecewise linear map, so
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, scratch
 from .bytegrid import chunks, lanes64, split_words, text_bytes, xxh64
 from .langid import Adam, bucket_of
 
@@ -45,6 +48,8 @@ MIN_STEPS = 600  # small samples are passed over more often
 SEED = 11
 HELD_OUT = (3, 1)  # crc32(doc_id) mod 3 = 1
 DECISION = 0.7
+FOLDS = 2
+BINS = 4096  # of the raw value, for thresholds
 _TEXTS_AT_ONCE = 200
 
 _EDGE = np.zeros(256, bool)
@@ -171,90 +176,159 @@ def train(texts: list[str], toxic: list[int], seed: int = SEED, epochs: int = EP
     return net
 
 
-def best_threshold(raw: np.ndarray, y: np.ndarray) -> float:
-    """The raw value between two neighbours at which F1 is best; the middle of a tie."""
-    order = np.argsort(-raw, kind="stable")
-    r, hit = raw[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(r) + 1) + y.sum())
-    f1[:-1][r[:-1] == r[1:]] = -1
+def best_threshold(counts: np.ndarray) -> float:
+    """The raw value between two filled bins of a histogram (clean and toxic, BINS) at which F1 is best; of a tie the lowest."""
+    full = np.flatnonzero(counts.sum(0))[::-1]
+    hit, taken = np.cumsum(counts[1, full]), np.cumsum(counts.sum(0)[full])
+    f1 = 2 * hit / (taken + hit[-1])
     top = np.flatnonzero(f1 >= f1.max() - 1e-12)[-1]
-    below = r[top + 1] if top + 1 < len(r) else 0.0
-    return float(np.clip((r[top] + below) / 2, 0.02, 0.98))
+    below = full[top + 1] + 1 if top + 1 < len(full) else 0
+    return float(np.clip((full[top] + below) / 2 / BINS, 0.02, 0.98))
+
+
+def set_thresholds(net: WordNet, cells: list[tuple[str, int, int, int]]) -> None:
+    """Thresholds from ``(lang, toxic, bin, rows)``."""
+    by_language: dict[str, np.ndarray] = {}
+    for lang, toxic, at, rows in cells:
+        by_language.setdefault(lang, np.zeros((2, BINS), np.int64))[toxic, at] += rows
+    every = sum(by_language.values(), np.zeros((2, BINS), np.int64))
+    if every[1].sum() >= 3:
+        net.threshold = best_threshold(every)
+    for lang, counts in sorted(by_language.items()):
+        clean, pos = (int(n) for n in counts.sum(1))
+        if pos >= 10 and clean >= 10:
+            own, weight = best_threshold(counts), pos / (pos + 20)
+            net.by_language[lang] = weight * own + (1 - weight) * net.threshold
+
+
+def raw_of(net: WordNet, texts: list[str]) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(net.raw(*features_of(texts[i : i + _TEXTS_AT_ONCE])) for i in range(0, len(texts), _TEXTS_AT_ONCE))])
 
 
 def calibrate(net: WordNet, texts: list[str], toxic: list[int], langs: list[str]) -> None:
-    raw = np.concatenate([net.raw(*features_of(texts[i : i + _TEXTS_AT_ONCE])) for i in range(0, len(texts), _TEXTS_AT_ONCE)]) if texts else np.zeros(0)
-    y, lang = np.array(toxic), np.array(langs)
-    if y.sum() >= 3:
-        net.threshold = best_threshold(raw, y)
-    for v in sorted(set(langs)):
-        mine = lang == v
-        pos = int(y[mine].sum())
-        if pos >= 10 and mine.sum() - pos >= 10:
-            own, weight = best_threshold(raw[mine], y[mine]), pos / (pos + 20)
-            net.by_language[v] = weight * own + (1 - weight) * net.threshold
+    """Thresholds from labelled texts that the network has not seen."""
+    bins = np.minimum(raw_of(net, texts) * BINS, BINS - 1).astype(int)
+    set_thresholds(net, [(lang, int(y), int(at), 1) for lang, y, at in zip(langs, toxic, bins)])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list:
-    """About ``rows`` labelled ``(text, lang, toxic)``, half of them toxic if there are so many; bounded by ``rows``."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """``(doc_id, toxic)`` of the labelled documents that are not held out."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(bucket_of(HELD_OUT[0]) != HELD_OUT[1])
+    return known.where(bucket_of(HELD_OUT[0]) != HELD_OUT[1])
+
+
+def text_key():
+    """A hash of the text; null for a null one."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text").cast("string")))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list:
+    """About ``rows`` labelled ``(text, toxic, doc_id, key)``, half of them toxic if there are so many; bounded by ``rows``."""
+    known = known_labels(labels)
     counts = {int(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     if len(counts) < 2:
         return []
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     share = F.when(F.col("toxic") == 1, min(1.0, rows / 2 / counts[1])).otherwise(min(1.0, rows / 2 / counts[0]))
     drawn = F.broadcast(known.where(draw < share).orderBy(draw).limit(2 * rows))  # two numbers a row, of bounded count
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where("text IS NOT NULL AND doc_id IS NOT NULL").join(drawn, "doc_id")
-    return sorted(got.limit(2 * rows).select("text", "lang", "toxic", "doc_id").collect(), key=lambda r: (r.doc_id, r.text))
+    got = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key().alias("key")).where("text IS NOT NULL AND doc_id IS NOT NULL").join(drawn, "doc_id")
+    return sorted(got.limit(2 * rows).select("text", "toxic", "doc_id", "key").collect(), key=lambda r: (r.doc_id, r.text))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> WordNet | None:
-    """Train and calibrate on labelled rows that are not held out."""
-    got = labelled_sample(docs, labels)
+def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[WordNet | None, list]:
+    """The network of the training sample, and ``(doc_id, key, own)`` of its rows.
+
+    ``own`` is the raw value by a network trained on the folds that the text is not
+    in; -1 where those folds lack a class. Equal texts are in one fold.
+    """
+    got = labelled_sample(docs, labels, rows)
     if len({r.toxic for r in got}) < 2:
-        return None
-    last = [r for i, r in enumerate(got) if i % 5 == 4]
-    first = [r for i, r in enumerate(got) if i % 5 != 4]
-    if len({r.toxic for r in first}) < 2:
-        return None
-    net = train([r.text for r in first], [int(r.toxic) for r in first])
-    calibrate(net, [r.text for r in last], [int(r.toxic) for r in last], [r.lang or "" for r in last])
+        return None, []
+    texts, toxic = [r.text for r in got], [int(r.toxic) for r in got]
+    fold: dict[str, int] = {}
+    for y in (0, 1):
+        for i, t in enumerate(dict.fromkeys(t for t, v in zip(texts, toxic) if v == y and t not in fold)):
+            fold[t] = i % FOLDS
+    of = np.array([fold[t] for t in texts])
+    own = np.full(len(got), -1.0)
+    for k in range(FOLDS):
+        inside, outside = np.flatnonzero(of != k), np.flatnonzero(of == k)
+        if len(outside) and len({toxic[i] for i in inside}) == 2:
+            own[outside] = raw_of(train([texts[i] for i in inside], [toxic[i] for i in inside]), [texts[i] for i in outside])
+    return train(texts, toxic), list({(r.doc_id, r.key): (r.doc_id, r.key, float(v)) for r, v in zip(got, own)}.values())
+
+
+def calibration_cells(raws: DataFrame, labels: DataFrame, sampled: list) -> DataFrame:
+    """``(lang, toxic, bin, rows)`` over all labelled rows of ``raws`` (doc_id, key, lang, raw) that are not held out.
+
+    Only numbers and languages are shuffled; the sample's rows are broadcast.
+    """
+    own = raws.sparkSession.createDataFrame(sampled, "doc_id long, key long, own double")
+    known = known_labels(labels).where("toxic IN (0, 1)")
+    rows = raws.where("key IS NOT NULL").select("doc_id", "key", "raw", F.coalesce("lang", F.lit("")).alias("lang")).join(known, "doc_id")
+    rows = rows.join(F.broadcast(own), ["doc_id", "key"], "left").withColumn("raw", F.coalesce("own", "raw")).where("raw >= 0")
+    return rows.groupBy("lang", "toxic", F.least(F.floor(F.col("raw") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("rows"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> WordNet | None:
+    """Train on a sample of the labelled rows that are not held out, calibrate on all of them."""
+    net, sampled = learn(docs, labels)
+    if net is not None:
+        raws = raw_scores(docs.where(bucket_of(HELD_OUT[0]) != HELD_OUT[1]).withColumn("key", text_key()), net, None, "doc_id", "key", "lang")
+        set_thresholds(net, [tuple(r) for r in calibration_cells(raws, labels, sampled).collect()])
     return net
 
 
-def score(docs: DataFrame, net: WordNet | None, languages: langid.ByteNet | None, *carry: str) -> DataFrame:
-    """``(*carry, score, predicted)`` for each row; ``carry`` names columns that go along unread."""
+def raw_scores(docs: DataFrame, net: WordNet, languages: langid.ByteNet | None, *carry: str) -> DataFrame:
+    """``(*carry, raw, lang_read)`` for each row: the raw value and the language that ``languages`` reads from the text."""
     names = list(carry)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "score double", "predicted int"])
+    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "raw double", "lang_read string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = languages.tables() if languages is not None else None
         for batch in batches:
             for part in chunks(batch, "_text"):
                 data, off = text_bytes(part.column("_text"))
-                if net is None:
-                    out = np.zeros(part.num_rows)
+                raw = np.asarray(net.raw(*word_features(data, off)), np.float64)
+                if tables is None or not len(data):
+                    langs = [""] * part.num_rows
                 else:
-                    raw = net.raw(*word_features(data, off))
-                    if tables is None or not len(data):
-                        langs = [""] * part.num_rows
-                    else:
-                        langs = [languages.labels[k] for k in langid.text_log_probs(languages, tables, data, off).argmax(1)]
-                    out = net.calibrated(raw, langs)
-                out = np.clip(out, 0.0, 1.0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(out, pa.float64()), pa.array((out >= DECISION).astype(np.int32))], [*names, "score", "predicted"])
+                    langs = [languages.labels[k] for k in langid.text_log_probs(languages, tables, data, off).argmax(1)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(raw, pa.float64()), pa.array(langs, pa.string())], [*names, "raw", "lang_read"])
 
     return docs.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def decided(raws: DataFrame, net: WordNet | None, *carry: str) -> DataFrame:
+    """``(*carry, score, predicted)`` of :func:`raw_scores`; without a network every score is 0."""
+    if net is None:
+        return raws.select(*carry, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    t = F.lit(net.threshold)
+    if net.by_language:
+        t = F.coalesce(F.create_map(*(F.lit(x) for pair in sorted(net.by_language.items()) for x in pair))[F.col("lang_read")], t)
+    raw = F.col("raw")
+    score = F.when(raw < t, DECISION * raw / t).otherwise(DECISION + (1 - DECISION) * (raw - t) / (1 - t))
+    rows = raws.select(*carry, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
+
+
+def score(docs: DataFrame, net: WordNet | None, languages: langid.ByteNet | None, *carry: str) -> DataFrame:
+    """``(*carry, score, predicted)`` for each row; ``carry`` names columns that go along unread."""
+    return decided(docs if net is None else raw_scores(docs, net, languages, *carry), net, *carry)
+
+
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    net = fit(docs, labels)
+    rows = docs.withColumn("held_out", bucket_of(HELD_OUT[0]) == HELD_OUT[1]).withColumn("key", text_key())
+    net, sampled = learn(docs, labels)
+    if net is None:
+        return decided(rows, None, "doc_id", "held_out")
     # The language network of operator 7; it learns from lang alone, on rows held in by this operator's rule too.
-    languages = langid.fit(docs.where(bucket_of(HELD_OUT[0]) != HELD_OUT[1])) if net is not None else None
-    rows = docs.withColumn("held_out", bucket_of(HELD_OUT[0]) == HELD_OUT[1])
-    return score(rows, net, languages, "doc_id", "held_out")
+    languages = langid.fit(docs.where(bucket_of(HELD_OUT[0]) != HELD_OUT[1]))
+    # Every text is scored once; thresholds and decisions read the numbers.
+    raws = scratch.keep(raw_scores(rows, net, languages, "doc_id", "held_out", "key", "lang"), "toxicity")
+    set_thresholds(net, [tuple(r) for r in calibration_cells(raws, labels, sampled).collect()])
+    return decided(raws, net, "doc_id", "held_out")

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -107,3 +108,24 @@ def test_toxicity_edges(spark, docs, rows, wide, empty):
     assert toxicity.fit(docs, labels.limit(0)) is None and toxicity.fit(empty, labels) is None
     assert {r.score for r in toxicity.score(docs, None, None, "doc_id").collect()} == {0.0}
     assert toxicity.score(empty, net, None, "doc_id").count() == 0
+
+
+def test_toxicity_thresholds_cover_all_labelled_rows(spark, monkeypatch):
+    """Every held-in labelled row counts once, and a language of few labels has its own threshold."""
+    monkeypatch.setattr(toxicity, "MIN_STEPS", 60)
+    texts, _ = make_toxic(800)
+    rows = [(i, t, ("en", "de", "fr")[i % 3 if i % 10 < 5 else 0]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    held_in = [i for i in range(800) if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = Counter((rows[i][2], int(i % 4 == 0)) for i in held_in)
+    assert min(want[v, 1] for v in ("de", "fr")) >= 10 > max(want[v, 1] for v in ("de", "fr")) // 5
+    net = toxicity.fit(docs, labels)
+    assert set(net.by_language) == {"en", "de", "fr"}
+    net, sampled = toxicity.learn(docs, labels, rows=100)
+    assert len(sampled) < 200
+    raws = toxicity.raw_scores(docs.withColumn("key", toxicity.text_key()), net, None, "doc_id", "key", "lang")
+    got = Counter()
+    for r in toxicity.calibration_cells(raws, labels, sampled).collect():
+        got[r.lang, r.toxic] += r.rows
+    assert got == want
