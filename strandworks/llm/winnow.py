@@ -6,6 +6,12 @@ grams the one of least hash is chosen, the rightmost on ties. Chosen hashes are
 kept with their positions. Any run of ``K + W - 1`` or more words that two texts
 share gives them a common chosen hash.
 
+Words do not serve texts of few words or of long unspaced ones. So the words over
+``LONG`` code points, or all words of a text of under ``2 * (K + W - 1)``, joined by
+blanks, give grams of ``CHARS`` code points too, one chosen of ``CHARS_W`` in turn;
+where there are under ``SMALL`` code points, all of these and all grams of
+``FEW_CHARS`` are kept. Every gram is hashed anew, there is no rolling hash.
+
 Likeness is the Jaccard index of the sets of chosen hashes; two texts without
 any word are alike (1.0).
 
@@ -15,7 +21,8 @@ quantiles, each range gets a copy of the first document of the next one, and the
 rest is a window function within the range. Text is shuffled once.
 
 Edge cases: null text counts as empty; fewer than K words make one gram; fewer
-than W grams make one window; a null doc_id comes after all others; of equal
+than W grams make one window; an edited text of under 6 code points may share
+nothing with the text; a null doc_id comes after all others; of equal
 doc_ids the smaller text hash comes first; an only document is its own
 neighbour; an empty table gives an empty result. Other columns are not read.
 """
@@ -27,6 +34,11 @@ from pyspark.sql import functions as F
 
 K = 5
 W = 4
+LONG = 16
+CHARS = 12
+CHARS_W = 8
+SMALL = 64
+FEW_CHARS = 4
 RANGE_ROWS = 2000
 MAX_RANGES = 4096
 _FINE = 64
@@ -34,8 +46,12 @@ _WHITE = "[ \t-\r]+"
 _LEAST_ID = -(1 << 63)
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, _WHITE), lambda w: w != "")
+
+
 def word_hashes(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, _WHITE), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
 def gram_hashes(words: str, k: int = K) -> Column:
@@ -70,6 +86,24 @@ def winnow(df: DataFrame, text: str, prefix: str, k: int = K, w: int = W) -> Dat
     return step.withColumn(f"{prefix}hash", F.expr(f"transform({prefix}pos, p -> {prefix}g[p])")).drop(f"{prefix}w", f"{prefix}g")
 
 
+def fingerprint(df: DataFrame, text: str, prefix: str, k: int = K, w: int = W) -> DataFrame:
+    """:func:`winnow` with the character grams of long words and of short texts behind the word grams."""
+    p = prefix
+    step = df.withColumn(f"{p}s", words_of(F.col(text))).withColumn(f"{p}w", F.transform(f"{p}s", lambda x: F.xxhash64(x)))
+    few = F.size(f"{p}s") < 2 * (k + w - 1)
+    stretch = F.array_join(F.filter(f"{p}s", lambda x: few | (F.char_length(x) > LONG)), " ")
+    step = step.withColumn(f"{p}c", F.filter(F.split(stretch, ""), lambda x: x != "")).drop(f"{p}s")
+    small = F.size(f"{p}c") < SMALL
+    none = F.array().cast("array<long>")
+    step = step.withColumn(f"{p}g", gram_hashes(f"{p}w", k)).withColumn(f"{p}cg", gram_hashes(f"{p}c", CHARS))
+    step = step.withColumn(f"{p}fg", F.when(small, gram_hashes(f"{p}c", FEW_CHARS)).otherwise(none))
+    every = F.expr(f"IF(size({p}cg) > 0, sequence(0, size({p}cg) - 1), array())").cast("array<int>")
+    step = step.withColumn(f"{p}wpos", chosen_positions(f"{p}g", w)).withColumn(f"{p}cpos", F.when(small, every).otherwise(chosen_positions(f"{p}cg", CHARS_W)))
+    step = step.withColumn(f"{p}hash", F.expr(f"concat(transform({p}wpos, i -> {p}g[i]), transform({p}cpos, i -> {p}cg[i]), {p}fg)"))
+    step = step.withColumn(f"{p}pos", F.expr(f"concat({p}wpos, {p}cpos, transform({p}fg, (g, i) -> i))"))
+    return step.drop(*(f"{p}{c}" for c in ("w", "c", "g", "cg", "fg", "wpos", "cpos")))
+
+
 def digest(prefix: str) -> Column:
     """128 bits over chosen hashes and positions, as hexadecimal digits."""
     halves = [F.lower(F.lpad(F.hex(F.xxhash64(F.lit(s), f"{prefix}hash", f"{prefix}pos")), 16, "0")) for s in (1, 2)]
@@ -126,12 +160,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 def fingerprint_report(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likenesses (see ``op4_winnowing``)."""
     order = Window.partitionBy("range").orderBy("guest", F.desc("did"), "tie")
-    own = winnow(with_next(docs), "text", "a_", k, w).withColumn("n_hash", F.lead("a_hash").over(order)).where("NOT guest")
+    own = fingerprint(with_next(docs), "text", "a_", k, w).withColumn("n_hash", F.lead("a_hash").over(order)).where("NOT guest")
     cut = F.floor(F.char_length("text") / 3).cast("int")
     own = own.withColumn("n_chars", F.char_length("text").cast("long")).withColumn(
         "edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
     )
-    both = winnow(own.drop("text", "next_text"), "edited", "e_", k, w)
+    both = fingerprint(own.drop("text", "next_text"), "edited", "e_", k, w)
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("a_").alias("fingerprint"), digest("e_").alias("edited_fingerprint"),
         likeness("a_hash", "e_hash").alias("near_edited"), likeness("a_hash", "n_hash").alias("near_next"), F.size("a_hash").alias("n_chosen"),

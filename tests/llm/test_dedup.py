@@ -223,6 +223,23 @@ def test_winnowing_edges(wide, empty, rows, spark):
     assert only.near_next == 1.0
 
 
+def test_short_and_unspaced_texts_survive_the_edit(spark):
+    """Texts of few words, or without white space, share fingerprints with their edited texts."""
+    unspaced = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(3000))
+    dna = "".join("ACGT"[(i * i * 31 + i // 7) % 4] for i in range(2000))
+    far = "".join(chr(0x20000 + i * 31 % 40000) for i in range(500))
+    texts = ["alpha beta gamma", "seven little words are all it has", "extraordinarily", "a few", unspaced, dna, far, prose(3, 40) + " " + unspaced[:900], "nine words are in this text as it is"]
+    got = winnow.fingerprint_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        if len(texts[r.doc_id]) >= 6:
+            assert r.near_edited > 0, texts[r.doc_id][:40]
+    for r in got:
+        if r.doc_id in (4, 6):
+            assert r.near_edited > 0.3
+    assert {r.near_next for r in got if r.doc_id in (5, 6)} == {0.0}
+
+
 # ------------------------------------------------------------ lines
 
 
