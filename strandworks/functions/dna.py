@@ -45,6 +45,9 @@ def digits(seq: Column | str) -> Column:
     return F.translate(F.upper(_c(seq)), "ACGT", "0123")
 
 
+WORD = 31  # bases of a BIGINT
+
+
 def pack(kmer: Column | str) -> Column:
     """A k-mer of up to 31 bases as a BIGINT of two bits a base."""
     return F.conv(digits(kmer), 4, 10).cast("bigint")
@@ -55,6 +58,33 @@ def unpack(number: Column | str, k: int) -> Column:
     return F.translate(F.lpad(F.conv(_c(number).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def pack_whole(seq: Column | str) -> Column:
+    """A sequence of any length as ``words, bases, marks``.
+
+    ``words``: BIGINTs of up to WORD bases each, two bits a base, the last one
+    shorter; ``marks``: ``at`` (1-based) and ``base`` of letters other than ACGT,
+    which count as A in the words.
+    """
+    def made(s: Column) -> Column:
+        n = F.length(s)
+        plain = F.regexp_replace(s, "[^ACGT]", "A")
+        words = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(WORD)), lambda i: pack(F.substring(plain, i + 1, F.lit(WORD))))
+        odd = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(1)).rlike("[^ACGT]")), lambda i: F.struct(i.alias("at"), F.substring(s, i, F.lit(1)).alias("base")))
+        return F.when(s.isNotNull(), F.struct(F.when(n > 0, words).otherwise(F.array().cast("array<bigint>")).alias("words"), n.alias("bases"), odd.alias("marks")))
+
+    return let(_c(seq), made)
+
+
+def unpack_whole(packed: Column | str) -> Column:
+    """The sequence of a value made by :func:`pack_whole`."""
+    def made(p: Column) -> Column:
+        four = F.transform(p["words"], lambda w, i: F.lpad(F.conv(w.cast("string"), 10, 4), F.least(F.lit(WORD), p["bases"] - i * WORD), F.lit("0")))
+        plain = F.translate(F.array_join(four, ""), "0123", "ACGT")
+        return F.aggregate(p["marks"], plain, lambda s, m: F.overlay(s, m["base"], m["at"], F.lit(1)))
+
+    return let(_c(packed), made)
+
+
 def neighbours(kmer: Column | str, k: int) -> Column:
     """The 3k k-mers with exactly one substitution."""
     def made(m: Column) -> Column:

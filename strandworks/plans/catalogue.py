@@ -86,6 +86,13 @@ def twobit_encode(spark, sf_dir):
     return packed.select("read_id", "packed", dna.unpack("packed", 15).alias("unpacked"))
 
 
+@query(_with(SQL_READS) + """SELECT read_id, CAST(length(seq) AS INT) AS bases, seq AS unpacked, array_to_string(list_transform(generate_series(0, (length(seq) - 1) // 31), lambda w:
+list_reduce(list_prepend(0::BIGINT, list_transform(generate_series(w * 31 + 1, least(length(seq), w * 31 + 31)), lambda j: (instr('ACGT', seq[j]) - 1)::BIGINT)), lambda a, b: a * 4 + b)), ' ') AS words FROM reads""")
+def twobit_encode_whole(spark, sf_dir):
+    packed = derived.reads(spark, sf_dir).select("read_id", dna.pack_whole("seq").alias("p"))
+    return packed.select("read_id", "p.bases", dna.unpack_whole("p").alias("unpacked"), F.array_join(F.col("p.words").cast("array<string>"), " ").alias("words"))
+
+
 @query(
     _spec_sql(K_TINY)
     + f"""SELECT kmer, nb FROM (SELECT kmer, substring(kmer, 1, i - 1) || b || substring(kmer, i + 1) AS nb FROM sp, unnest(generate_series(1, {K_TINY})) t(i), unnest(['A','C','G','T']) u(b)) WHERE nb <> kmer"""

@@ -99,3 +99,14 @@ def test_cluster_and_dimension(spark):
     assert len(vectors.canonical_kmers(4)) == 136
     assert [r.kmer for r in vectors.dimension(spark, 4).orderBy("idx").collect()] == vectors.canonical_kmers(4)
     assert sorted(vectors.cluster(["a", "b", "c"], np.array([[9, 1], [18, 2.1], [1, 9]]), 0.2)) == [["a", "b"], ["c"]]
+
+
+def test_whole_sequences_are_packed(spark):
+    from strandworks.functions import dna
+
+    seqs = ["", "A", "ACGT" * 8, "T" * 31, "G" * 62, "ACGTNNRA" + "TTGCA" * 30 + "N", "N", None]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "i int, s string").select("i", dna.pack_whole("s").alias("p")).select("i", "p", dna.unpack_whole("p").alias("u")).collect()
+    for r in rows:
+        assert r.u == seqs[r.i]
+        if r.p is not None:
+            assert r.p.bases == len(seqs[r.i]) and len(r.p.words) == -(-len(seqs[r.i]) // 31)
