@@ -640,7 +640,7 @@ def contig_extend(spark, sf_dir):
     from strandworks.lineage import cut
 
     spec = cut(_spec(spark, sf_dir, K, 2).select("kmer", "n"))
-    return assembly.extend_both(_contigs(spark, sf_dir), spec, K, ExtendOptions(min_coverage=2.0, max_steps=5))
+    return assembly.extend_both(_contigs(spark, sf_dir), spec, K, ExtendOptions())
 
 
 @query(_with(SQL_READS, sql_kmers(K), sql_spectrum(), _CONTIG_SQL, sql_kmers(K, "ctg", "cc", "contig_id")) + f"SELECT contig_id, count(DISTINCT b) AS covered FROM (SELECT contig_id, unnest(generate_series(p, p + {K - 1})) AS b FROM cc WHERE kmer IN (SELECT kmer FROM sp WHERE n >= 2)) GROUP BY 1")

@@ -208,3 +208,15 @@ def test_discarded_mate_is_a_placeholder(spark):
     picked = spark.createDataFrame([(0, "a/1", "ACGT", "IIII", None, True, None, None, None, None)], "read_id long, name string, seq string, qual string, label string, discarded boolean, trim_offset int, trim_length int, score double, windows int")
     row = rd.as_output(picked, 3).first()
     assert (row.seq, row.qual, row.labels) == ("N", '"', "") and dna.common_name(F.lit("a/1")) is not None
+
+
+def test_contigs_grow_by_more_than_five_bases(spark, tmp_path):
+    import random
+
+    from strandworks.plans import catalogue
+
+    letters = "".join(random.Random(5).choices("ABCD", k=400))
+    spark.createDataFrame([(i, letters) for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, letters[:392])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    r = catalogue.contig_extend(spark, str(tmp_path)).first()
+    assert (r["left"], r["right"]) == (0, 8)
