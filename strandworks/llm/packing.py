@@ -1,18 +1,21 @@
 """Operator 5, packing into optimal length buckets.
 
-A document's length is its number of words. The global length histogram (exact up
-to EXACT_LENGTHS, then in bins of 1/64 octave: a few thousand bins at any corpus
-size) goes to the driver, where dynamic programming chooses the bucket boundaries
-that minimise padding. Inside a bucket, documents in hash order form batches of
-``budget // boundary`` documents, so a padded batch never exceeds the token
-budget; a document longer than the budget is a batch of its own.
+A document's length is its number of words. The global histogram of every distinct
+length goes to the driver as an Arrow table, where dynamic programming chooses the
+bucket boundaries that minimise padding; the last boundary is the longest document.
+Its size is bounded by the square root of the corpus: D distinct lengths need
+D * D / 2 words at least, so 100 TB of text have some six million at most, and the
+tables at hand some thousands. Inside a bucket, documents in hash order form
+batches of ``budget // boundary`` documents, so a padded batch never exceeds the
+token budget; a document longer than the budget is a batch of its own.
 
 Positions inside a bucket come from counts by (bucket, shard), with shards of
 about SHARD_ROWS documents: a bucket with a third of all rows is many shards.
 
 Edge cases: null and empty texts have length 0 and go to the first bucket;
 repeated rows are packed each; ties in hash order are rows equal in doc_id and
-text; an empty table gives an empty result. Other columns are not read.
+text; of boundaries with equal padding the lowest are taken; an empty table gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from .scratch import keep
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-EXACT_LENGTHS = 2048
 SHARD_ROWS = 20_000
 _WORD = "[^ \t-\r]+"
 
@@ -35,50 +37,61 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def length_bin(n: str) -> Column:
-    """Upper edge of the histogram bin of a length."""
-    step = f"shiftleft(1L, char_length(bin({n})) - 7)"
-    return F.expr(f"IF({n} <= {EXACT_LENGTHS}, {n}, (({n} + {step} - 1) div {step}) * {step})")
+def optimal_boundaries(lengths, counts, buckets: int) -> list[int]:
+    """Boundaries (some of ``lengths``, ascending, the last included) of at most ``buckets`` buckets with least padding.
 
-
-def optimal_boundaries(edges: list[int], counts: list[int], sums: list[int], buckets: int) -> list[int]:
-    """Boundaries (some of ``edges``, ascending, the last included) of at most ``buckets`` buckets with least padding.
-
-    ``counts`` and ``sums`` are documents and total length of each bin.
+    ``lengths`` are distinct and ascending, ``counts`` the documents of each. The cost
+    of one more bucket fulfils the quadrangle inequality, so the best last cut grows
+    with the number of lengths: cuts are found for every second, fourth, ... number
+    first, and each bounds the search of its neighbours.
     """
-    m = len(edges)
+    edge, n = np.maximum(np.asarray(lengths, np.int64), 1), np.asarray(counts, np.int64)
+    m = len(edge)
     if not m:
         return []
-    edge = np.maximum(np.array(edges, np.float64), 1)
-    docs, total = (np.concatenate([[0.0], np.cumsum(np.array(x, np.float64))]) for x in (counts, sums))
-    best = np.full(m + 1, np.inf)
-    best[0] = 0
-    back = []
-    for _ in range(min(buckets, m)):
-        then, came = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-        for j in range(1, m + 1):
-            cost = best[:j] + edge[j - 1] * (docs[j] - docs[:j]) - (total[j] - total[:j])
-            came[j] = int(np.argmin(cost))
-            then[j] = cost[came[j]]
-        then[0] = 0
-        back.append(came)
+    docs, total = (np.concatenate([[0], np.cumsum(x)]) for x in (n, n * np.asarray(lengths, np.int64)))
+    edge = np.concatenate([[0], edge])
+    best = edge * docs - total  # of one bucket for the first 0, 1, ..., m lengths
+    cuts = []
+    top = 1 << m.bit_length()
+    for _ in range(min(buckets, m) - 1):
+        then, cut = best.copy(), np.zeros(m + 2, np.int64)
+        step = top
+        while step:
+            js = np.arange(step, m + 1, 2 * step)
+            if len(js):
+                low, high = cut[js - step], np.where(js + step <= m, cut[np.minimum(js + step, m)], js)
+                high = np.maximum(np.minimum(high, js), low)
+                sizes = high - low + 1
+                begin = np.cumsum(sizes) - sizes
+                i = np.arange(sizes.sum()) + np.repeat(low - begin, sizes)
+                j = np.repeat(js, sizes)
+                cost = best[i] + edge[j] * (docs[j] - docs[i]) - (total[j] - total[i])
+                least = np.minimum.reduceat(cost, begin)
+                first = np.where(cost == np.repeat(least, sizes), i, m + 1)
+                then[js], cut[js] = least, np.minimum.reduceat(first, begin)
+            step //= 2
+        cuts.append(cut)
         best = then
     out, j = [], m
-    for came in reversed(back):
-        if j == 0:
+    for cut in reversed(cuts):
+        if cut[j] < j:  # else a bucket less is as good
+            out.append(int(edge[j]))
+            j = int(cut[j])
+        if not j:
             break
-        out.append(int(max(edges[j - 1], 1)))
-        j = int(came[j])
+    if j:
+        out.append(int(edge[j]))
     return out[::-1]
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """``(doc_id, n_tokens, bucket, bucket_len, batch, slot)``, one row for each row of ``docs``."""
     rows = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("n_tokens"), F.xxhash64("doc_id", "text").alias("k")), "pack-lengths")
-    bins = rows.groupBy(length_bin("n_tokens").alias("edge")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s")).collect()
-    bins.sort(key=lambda r: r.edge)
-    limits = optimal_boundaries([b.edge for b in bins], [b.n for b in bins], [b.s for b in bins], buckets) or [1]
-    shards = max(1, -(-sum(b.n for b in bins) // SHARD_ROWS))
+    found = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow().sort_by("n_tokens")
+    lengths, held = (found.column(c).to_numpy() for c in ("n_tokens", "n"))
+    limits = optimal_boundaries(lengths, held, buckets) or [1]
+    shards = max(1, -(-int(held.sum()) // SHARD_ROWS))
     edges = F.array(*(F.lit(x).cast("long") for x in limits))
     placed = rows.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("n_tokens")))).withColumn("shard", F.pmod("k", F.lit(shards)))
     placed = placed.withColumn("bucket_len", F.element_at(edges, F.col("bucket") + 1))

@@ -17,6 +17,10 @@ lies in a window whose word sequence also starts elsewhere in the corpus.
 3. The ranges, keyed by text and written as a table, are joined to the documents,
    so that the adaptive join can split a text that very many documents share.
 
+A chunk is named by its task, its turn in the task and its content, so a task that
+is run again after a lost executor sends the same names: read ``docs`` from a table
+or a checkpoint, whose partitions are the same each time.
+
 The sketch is broadcast; its size is ``ROWS * cells / 8`` bytes, with ``cells``
 growing with the input up to ``MAX_CELLS`` (48 MiB in all). Beyond, more windows
 pass to the exact pass; the result stays the same.
@@ -34,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +52,7 @@ MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 27
 BYTES_A_CELL = 32  # of text; about one anchor in three cells
 SLICE_CELLS = 1 << 18
 BUCKET_TEXT_BYTES = 8 << 20
+MAX_TASKS = 20_000
 CHUNK_BYTES = 2 << 20  # of text whose equal windows are combined before they are sent
 
 # Bases of the two polynomial sequence hashes: odd, so that powers have inverses.
@@ -91,23 +97,22 @@ class Sequences:
 def anchors(seq: Sequences, starts: np.ndarray, text: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchor position of each window, and the hash of every gram of the chunk.
 
-    The minimum runs over (truncated hash, position) packed in 64 bits, so ties go
-    to the leftmost gram, at the same offset in equal windows.
+    The minimum runs over whole hashes, and ties go to the leftmost gram, so equal
+    windows have their anchor at the same offset in whatever chunk they lie.
     """
     n_words = len(seq.words.start)
     n = n_words - gram + 1
     if not len(starts) or n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = seq.hashes(np.arange(n), gram, 0)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    packed = (grams >> bits) << bits | np.arange(n, dtype=np.uint64)
-    span, have, low = width - gram + 1, 1, packed
+    span, have, low, where = width - gram + 1, 1, grams, np.arange(n)
     while have < span:  # sliding minimum by doubling
         step = min(have, span - have)
-        low = np.minimum(low[: len(low) - step], low[step:])
+        right = low[step:] < low[: len(low) - step]
+        low = np.where(right, low[step:], low[: len(low) - step])
+        where = np.where(right, where[step:], where[: len(where) - step])
         have += step
-    mask = (np.uint64(1) << bits) - np.uint64(1)
-    return (low[starts] & mask).astype(np.int64), grams
+    return where[starts], grams
 
 
 def _cells(gram_hash: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -127,7 +132,7 @@ def repeated_sketch(docs: DataFrame, cells: int, width: int = WIDTH, gram: int =
     cut = min(cells, SLICE_CELLS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((ROWS, cells), np.uint8)
+        one, two = np.zeros((ROWS, cells // 8), np.uint8), np.zeros((ROWS, cells // 8), np.uint8)  # is the count over 0, over 1?
         for batch in batches:
             for part in chunks(batch, limit=CHUNK_BYTES):
                 *_, where, grams = _prepared(part, width, gram)
@@ -137,13 +142,15 @@ def repeated_sketch(docs: DataFrame, cells: int, width: int = WIDTH, gram: int =
                 new[1:] = where[1:] != where[:-1]  # an anchor is shared by neighbouring windows
                 for row, cell in enumerate(_cells(grams[where[new]], cells)):
                     cell, n = np.unique(cell, return_counts=True)
-                    sketch[row, cell] = np.minimum(sketch[row, cell] + np.minimum(n, 2), 2)
+                    at, bit = cell >> 3, np.uint8(128) >> (cell & 7).astype(np.uint8)
+                    again = (n > 1) | (one[row, at] & bit > 0)
+                    np.bitwise_or.at(two[row], at[again], bit[again])
+                    np.bitwise_or.at(one[row], at, bit)
         codec = pa.Codec("zstd", 1)
-        for at in range(0, ROWS * cells, cut):
-            piece = sketch.ravel()[at : at + cut]
-            if piece.any():
-                both = np.packbits(piece > 0).tobytes() + np.packbits(piece > 1).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([at // cut], pa.int64()), pa.array([codec.compress(both, asbytes=True)], pa.binary())], ["slice", "counts"])
+        for k in range(ROWS * cells // cut):
+            a, b = (x.ravel()[k * cut // 8 : (k + 1) * cut // 8] for x in (one, two))
+            if a.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([codec.compress(a.tobytes() + b.tobytes(), asbytes=True)], pa.binary())], ["slice", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, one, two = pa.Codec("zstd"), {}, {}
@@ -184,28 +191,32 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _EXCHANGE = "chunk binary, bucket int, dealt int, body binary, extra binary"
 
 
-def removed_ranges(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: int, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """``(k1, k2, begin, size)``: removed word ranges (arrays) of each text that has any, by text key."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)
-    kind = np.dtype([("a", "<u8"), ("b", "<u8")])
+_HASHES = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def _exchanged(chunk: list[bytes], bucket: list[int], dealt: list[int], body: list[bytes], extra: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunk, pa.binary()), pa.array(bucket, pa.int32()), pa.array(dealt, pa.int32()), pa.array(body, pa.binary()), pa.array(extra, pa.binary())],
+        ["chunk", "bucket", "dealt", "body", "extra"],
+    )
+
 
-    def rows(chunk: list[bytes], bucket: list[int], dealt: list[int], body: list[bytes], extra: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(chunk, pa.binary()), pa.array(bucket, pa.int32()), pa.array(dealt, pa.int32()), pa.array(body, pa.binary()), pa.array(extra, pa.binary())],
-            ["chunk", "bucket", "dealt", "body", "extra"],
-        )
+def asked_windows(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: int, tasks: int, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """Rows of the first exchange: the hashes of windows estimated repeated, dealt to ``tasks`` tasks by their bucket."""
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, turn_of = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in chunks(batch, limit=CHUNK_BYTES):
+                turn_of += 1
                 seq, starts, text, where, grams = _prepared(part, width, gram)
                 if not len(where):
                     continue
                 maybe = np.flatnonzero(_estimate_repeated(shared.value, cells, grams[where]))
                 if not len(maybe):
                     continue
-                got = np.empty(len(maybe), kind)
+                got = np.empty(len(maybe), _HASHES)
                 got["a"], got["b"] = seq.hashes(starts[maybe], width, 0), seq.hashes(starts[maybe], width, 1)
                 order = np.lexsort((got["b"], got["a"]))
                 put = got[order]
@@ -215,7 +226,8 @@ def removed_ranges(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: int
                 number[order] = np.cumsum(new) - 1
                 put, often = put[new], np.diff(np.append(np.flatnonzero(new), len(put))) > 1
                 keys = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2")])
-                name = hashlib.blake2b(got.tobytes() + keys.tobytes() + np.random.default_rng().bytes(16), digest_size=16).digest()
+                # The same in a rerun of the task: answers that other tasks hold by this name stay valid.
+                name = hashlib.blake2b(b"%d:%d:" % (partition, turn_of) + keys.tobytes() + got.tobytes(), digest_size=16).digest()
                 used = np.unique(text[maybe])
                 local = np.searchsorted(used, text[maybe])
                 word = starts[maybe] - seq.words.first[text[maybe]]
@@ -225,20 +237,30 @@ def removed_ranges(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: int
                 place[turn] = np.arange(len(put))
                 plan = np.concatenate([[len(used), len(maybe), len(put)], keys[0, used], keys[1, used], local, word, place[number]]).astype("<i8")
                 plan_raw = pa.Codec("zstd", 1).compress(plan.tobytes(), asbytes=True)
-                chunk, bucket, dealt, body, extra = [name], [-1], [int.from_bytes(name[:3], "big") % buckets], [plan_raw], [len(plan).to_bytes(8, "little")]
-                cut = np.searchsorted(owner[turn], np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(cut)).tolist():
-                    rows_k = turn[cut[k] : cut[k + 1]]
+                chunk, bucket, dealt, body, extra = [name], [-1], [int.from_bytes(name[:3], "big") % tasks], [plan_raw], [len(plan).to_bytes(8, "little")]
+                owners, begin = np.unique(owner[turn], return_index=True)
+                for k, a, b in zip(owners.tolist(), begin.tolist(), [*begin[1:].tolist(), len(turn)]):
+                    rows_k = turn[a:b]
                     chunk.append(name)
                     bucket.append(k)
-                    dealt.append(k)
+                    dealt.append(k % tasks)
                     body.append(put[rows_k].tobytes())
                     extra.append(np.packbits(often[rows_k]).tobytes())
-                yield rows(chunk, bucket, dealt, body, extra)
+                yield _exchanged(chunk, bucket, dealt, body, extra)
+
+    return docs.select("k1", "k2", "text").mapInArrow(ask, _EXCHANGE)
+
+
+def removed_ranges(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: int, width: int = WIDTH, gram: int = GRAM, tasks: int = MAX_TASKS) -> DataFrame:
+    """``(k1, k2, begin, size)``: removed word ranges (arrays) of each text that has any, by text key.
+
+    With more buckets than ``tasks``, a task answers several buckets, one after the other.
+    """
+    tasks = min(buckets, tasks)
 
     def answer_bucket(asked: list[tuple[bytes, int, bytes, bytes]]) -> pa.RecordBatch:
-        got = np.concatenate([np.frombuffer(b, kind) for _, _, b, _ in asked])
-        sizes = [len(b) // kind.itemsize for _, _, b, _ in asked]
+        got = np.concatenate([np.frombuffer(b, _HASHES) for _, _, b, _ in asked])
+        sizes = [len(b) // _HASHES.itemsize for _, _, b, _ in asked]
         often = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for n, (_, _, _, x) in zip(sizes, asked)]).astype(bool)
         order = np.argsort(got["a"], kind="stable")
         a = got["a"][order]
@@ -255,14 +277,14 @@ def removed_ranges(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: int
         flags[order] |= twice
         cut = np.append(0, np.cumsum(sizes))
         bodies = [np.packbits(flags[cut[i] : cut[i + 1]]).tobytes() for i in range(len(sizes))]
-        return rows([c for c, *_ in asked], [k for _, k, _, _ in asked], [0] * len(asked), bodies, [n.to_bytes(8, "little") for n in sizes])
+        return _exchanged([c for c, *_ in asked], [k for _, k, _, _ in asked], [0] * len(asked), bodies, [n.to_bytes(8, "little") for n in sizes])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: list[tuple[bytes, int, bytes, bytes]] = []
         for batch in batches:  # sorted by bucket
             for c, k, b, x in zip(*(batch.column(n).to_pylist() for n in ("chunk", "bucket", "body", "extra"))):
                 if k == -1:
-                    yield rows([c], [-1], [0], [b], [x])
+                    yield _exchanged([c], [-1], [0], [b], [x])
                     continue
                 if asked and asked[0][1] != k:
                     yield answer_bucket(asked)
@@ -304,8 +326,7 @@ def removed_ranges(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: int
         if group:
             yield settle(group)
 
-    keyed = docs.select("k1", "k2", "text")
-    asked = keyed.mapInArrow(ask, _EXCHANGE).repartition(buckets, F.col("dealt")).sortWithinPartitions("bucket")
+    asked = asked_windows(docs, sketch, cells, buckets, tasks, width, gram).repartition(tasks, F.col("dealt")).sortWithinPartitions("bucket")
     answered = asked.mapInArrow(answer, _EXCHANGE).repartition(F.col("chunk")).sortWithinPartitions("chunk")
     return answered.mapInArrow(gather, "k1 long, k2 long, begin array<long>, size array<long>")
 
@@ -317,8 +338,9 @@ def _spans(sorted_ids: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return sorted_ids[begin].tolist(), begin.tolist(), np.append(begin[1:], len(sorted_ids)).tolist()
 
 
-def cut_words(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256, kept)`` of documents with ``begin`` and ``size`` arrays."""
+def cut_words(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256, kept)`` of documents with ``begin`` and ``size`` arrays; ``kept`` only with ``texts``."""
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 5 if texts else 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,20 +359,20 @@ def cut_words(docs: DataFrame) -> DataFrame:
                 span = words.length + 1
                 kept = words.norm[np.repeat(~gone, span)] if len(span) else words.norm
                 edge = np.append(0, np.cumsum(span[kept_words]))[np.searchsorted(kept_words, words.first)]
-                raw, digests, texts = kept.tobytes(), [], []
+                raw, digests, pieces = kept.tobytes(), [], []
                 for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                     piece = raw[a : max(a, b - 1)]
                     digests.append(hashlib.sha256(piece).hexdigest())
-                    texts.append(piece)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(np.diff(counts), pa.int64()), pa.array(digests), pa.array(texts, pa.binary())],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-                )
+                    if texts:
+                        pieces.append(piece)
+                made = [part.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(np.diff(counts), pa.int64()), pa.array(digests)]
+                yield pa.RecordBatch.from_arrays([*made, pa.array(pieces, pa.binary())][: len(names)], names)
 
-    return docs.select("doc_id", "text", "begin", "size").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept binary" if texts else "")
+    return docs.select("doc_id", "text", "begin", "size").mapInArrow(run, schema)
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, max_cells: int = MAX_CELLS) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, max_cells: int = MAX_CELLS, texts: bool = True) -> DataFrame:
     """Remove the words of windows that start more than once; see :func:`cut_words` for the columns."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
         "*", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")
@@ -361,13 +383,13 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, max_c
     sketch = repeated_sketch(keyed, cells, width, gram)
     ranges = removed_ranges(keyed, sketch, cells, buckets, width, gram)
     one = keep(ranges.dropDuplicates(["k1", "k2"]), "removed-ranges", max(1, buckets // 16))  # copies of a text have the same ranges
-    return cut_words(keyed.join(one, ["k1", "k2"], "left"))
+    return cut_words(keyed.join(one, ["k1", "k2"], "left"), texts)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Words kept of every document once repeated 35-word windows are gone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP2_SQL = """

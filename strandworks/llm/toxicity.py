@@ -108,16 +108,13 @@ class WordNet:
             best, pos = np.full((n, FILTERS), -1.0), np.full((n, FILTERS), -1)
             some = np.flatnonzero(sizes >= w)
             if len(some):
-                span = len(e) - w + 1
-                conv = sum(e[j : j + span] @ f[j].astype(e.dtype) for j in range(w))
-                if w > 1:  # starts whose run leaves the text never win
-                    over = first[1:][some][:, None] - np.arange(1, w)
-                    over = over[over < span]
-                    conv[over] = -1e9
-                best[some] = np.maximum.reduceat(conv, first[:-1][some], axis=0) + self.bias[w]
+                begin, end = first[:-1][some], first[1:][some] - w + 1  # starts of runs that lie in the text
+                conv = sum(e[j : j + len(e) - w + 1] @ f[j].astype(e.dtype) for j in range(w))
+                cuts = np.stack([begin, end], 1).ravel()  # every second segment is what lies between two texts
+                best[some] = np.maximum.reduceat(conv, cuts[:-1] if end[-1] == len(conv) else cuts, axis=0)[::2] + self.bias[w]
                 if where:
-                    for t in some:
-                        pos[t] = first[t] + conv[first[t] : min(first[t + 1], span)].argmax(0)
+                    for t, a, b in zip(some, begin, end):
+                        pos[t] = a + conv[a:b].argmax(0)
             out.append(best)
             at.append(pos)
         return (out, at) if where else np.concatenate(out, 1)
@@ -230,9 +227,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         return []
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     share = F.when(F.col("toxic") == 1, min(1.0, rows / 2 / counts[1])).otherwise(min(1.0, rows / 2 / counts[0]))
-    drawn = F.broadcast(known.where(draw < share).orderBy(draw).limit(2 * rows))  # two numbers a row, of bounded count
+    drawn = F.broadcast(known.withColumn("draw", draw).where(F.col("draw") < share).orderBy("draw", "doc_id").limit(2 * rows))  # three numbers a row, of bounded count
     got = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key().alias("key")).where("text IS NOT NULL AND doc_id IS NOT NULL").join(drawn, "doc_id")
-    return sorted(got.limit(2 * rows).select("text", "toxic", "doc_id", "key").collect(), key=lambda r: (r.doc_id, r.text))
+    got = got.orderBy("draw", "doc_id", "key").limit(2 * rows)  # ordered: repeated ids give the same sample each time
+    return sorted(got.select("text", "toxic", "doc_id", "key").collect(), key=lambda r: (r.doc_id, r.text))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[WordNet | None, list]:
@@ -290,7 +288,7 @@ def raw_scores(docs: DataFrame, net: WordNet, languages: langid.ByteNet | None,
         for batch in batches:
             for part in chunks(batch, "_text"):
                 data, off = text_bytes(part.column("_text"))
-                raw = np.asarray(net.raw(*word_features(data, off)), np.float64)
+                raw = np.round(np.asarray(net.raw(*word_features(data, off)), np.float64), 6)  # as far as the order of sums has no part in it
                 if tables is None or not len(data):
                     langs = [""] * part.num_rows
                 else:

@@ -5,10 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from strandworks.llm import components, linedup, simhash, substring, winnow
+from strandworks.llm.bytegrid import split_words, text_bytes
 
 from .cases import prose
 
@@ -57,6 +59,30 @@ def test_full_sketch_loses_nothing(docs, rows):
     assert {(r.k1, tuple(r.begin), tuple(r["size"])) for r in got} == {(r.k1, tuple(r.begin), tuple(r["size"])) for r in exact}
 
 
+def test_anchors_do_not_depend_on_the_chunk(monkeypatch):
+    """Hashes that differ in their last bits only give the same anchor in a short and in a long chunk."""
+    def offset(n):
+        seq = substring.Sequences(split_words(*text_bytes(pa.array([" ".join(f"w{i}" for i in range(n))]))))
+        hashes = np.full(n - 15, (1 << 63) + (1 << 40), np.uint64)
+        hashes[3], hashes[9] = (1 << 62) + 5, (1 << 62) + 4
+        monkeypatch.setattr(seq, "hashes", lambda first, size, which: hashes)
+        starts, text = seq.windows(35)
+        return substring.anchors(seq, starts, text, 35, 16)[0][0]
+
+    assert offset(35) == offset(300_000) == 9
+
+
+def test_rerun_tasks_send_the_same_names(spark, docs):
+    """What a task asks, chunk names included, is the same each time it runs."""
+    keyed = docs.selectExpr("doc_id", "text", "xxhash64(text) k1", "xxhash64(1L, text) k2")
+    sketch = substring.repeated_sketch(keyed, 1 << 16)
+    runs = [sorted(tuple(map(bytes, (r.chunk, r.body))) + (r.bucket,) for r in substring.asked_windows(keyed, sketch, 1 << 16, 8, 3).collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and runs[0]
+    few = substring.removed_ranges(keyed, sketch, 1 << 16, 64, tasks=3).collect()  # a task that answers many buckets
+    many = substring.removed_ranges(keyed, sketch, 1 << 16, 64).collect()
+    assert {(r.k1, tuple(r.begin)) for r in few} == {(r.k1, tuple(r.begin)) for r in many}
+
+
 def test_substring_edges(wide, empty, rows):
     assert substring.substring_dedup(wide).count() == len(rows)
     assert substring.substring_dedup(empty).count() == 0

@@ -17,23 +17,35 @@ def padding(edges, counts, sums, chosen):
     return total
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(6))
 def test_boundaries_are_optimal(seed):
     rng = np.random.default_rng(seed)
-    edges = sorted(map(int, rng.choice(np.arange(0, 60), 9, replace=False)))
+    edges = sorted(map(int, rng.choice(np.arange(0, 60 if seed % 2 else 40_000), 9, replace=False)))
     counts = list(map(int, rng.integers(1, 30, 9)))
     sums = [c * e for c, e in zip(counts, edges)]
-    for k in (1, 2, 3, 5):
-        got = packing.optimal_boundaries(edges, counts, sums, k)
+    for k in (1, 2, 3, 5, 9, 12):
+        got = packing.optimal_boundaries(edges, counts, k)
         best = min(padding(edges, counts, sums, [*some, edges[-1]]) for n in range(k) for some in combinations([max(e, 1) for e in edges[:-1]], n))
         assert len(got) <= k and got[-1] == edges[-1] and padding(edges, counts, sums, got) == best
-    assert packing.optimal_boundaries([], [], [], 3) == []
+        assert sorted(set(got)) == got
+    assert packing.optimal_boundaries([], [], 3) == [] and packing.optimal_boundaries([0], [5], 3) == [1]
 
 
-def test_bins_cover_lengths(spark):
-    got = spark.range(0, 300_000, 37).selectExpr("id n").withColumn("edge", packing.length_bin("n")).collect()
-    for r in got:
-        assert r.edge >= r.n and (r.edge == r.n if r.n <= packing.EXACT_LENGTHS else r.edge < r.n * (1 + 1 / 60))
+def test_boundaries_of_long_documents():
+    """Every length counts, whatever its size."""
+    assert packing.optimal_boundaries([2100, 5001, 19000], [50, 50, 10], 16) == [2100, 5001, 19000]
+
+
+def test_boundaries_of_many_lengths():
+    """The bounded search finds what the full one finds."""
+    rng = np.random.default_rng(3)
+    lengths, counts = np.unique((rng.lognormal(5, 1.5, 4000)).astype(int) + 1, return_counts=True)
+    docs, total = (np.append(0, np.cumsum(x)) for x in (counts, counts * lengths))
+    best = np.append(0, lengths * docs[1:] - total[1:]).astype(float)
+    for _ in range(7):
+        best = np.append(0, [min(best[i] + lengths[j - 1] * (docs[j] - docs[i]) - (total[j] - total[i]) for i in range(j)) for j in range(1, len(best))])
+    got = packing.optimal_boundaries(lengths, counts, 8)
+    assert padding(lengths.tolist(), counts.tolist(), (counts * lengths).tolist(), got) == best[-1]
 
 
 @pytest.mark.parametrize("budget,shard", [(65_536, 20_000), (130, 3)])
