@@ -289,11 +289,11 @@ def brute_lines(rows, keys, min_lines, min_words):
     return {(i, t): "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]) for d, (i, t, _) in enumerate(seqs)}
 
 
-@pytest.mark.parametrize("min_lines,min_words", [(2, 10), (3, 10**6), (5, 8), (4, 10**6)])
-def test_line_dedup(docs, rows, min_lines, min_words):
+@pytest.mark.parametrize("min_lines,min_words,fold", [(2, 10, 5), (3, 10**6, 2), (5, 8, 1), (4, 10**6, 5)])
+def test_line_dedup(docs, rows, min_lines, min_words, fold):
     keys = {(r.doc_id, r.text): (r.a, r.b) for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id, text) a", "xxhash64(1, doc_id, text) b").collect()}
     want = brute_lines(rows, keys, min_lines, min_words)
-    got = linedup.dedup_lines(docs.withColumn("orig", docs.text), min_lines, min_words).collect()
+    got = linedup.dedup_lines(docs.withColumn("orig", docs.text), min_lines, min_words, fold=fold).collect()
     assert len(got) == len(rows)
     for g in got:
         assert g.text == (want[(g.doc_id, g.orig)] if g.orig is not None else None)
@@ -305,3 +305,74 @@ def test_line_dedup_edges(wide, empty, rows):
     got = linedup.dedup_lines(wide)
     assert got.count() == len(rows) and "x-n" in {r.n for r in got.collect()}
     assert linedup.dedup_lines(empty).count() == 0
+
+
+def brute_runs(texts):
+    """(text, line, lines) of maximal runs: the longest common prefix of each suffix with any other, by comparing all."""
+    seqs = [[(i, x) for i, x in enumerate(t.split("\n")) if words(x)] for t in texts]
+    suffixes = [(d, p) for d, s in enumerate(seqs) for p in range(len(s))]
+    longest = {}
+    for d, p in suffixes:
+        best = 0
+        for e, q in suffixes:
+            if (d, p) != (e, q):
+                n = 0
+                while p + n < len(seqs[d]) and q + n < len(seqs[e]) and seqs[d][p + n][1] == seqs[e][q + n][1]:
+                    n += 1
+                best = max(best, n)
+        longest[d, p] = best
+    return {(d, seqs[d][p][0], n) for (d, p), n in longest.items() if n and longest.get((d, p - 1), 0) <= n}
+
+
+def run_texts():
+    """Runs of 1 to 20 lines that repeat across and inside documents, copies, and texts of one line."""
+    rng = np.random.default_rng(8)
+    line = lambda: " ".join(f"w{v}" for v in rng.integers(0, 10**6, 3))
+    passages = [[line() for _ in range(n)] for n in (1, 2, 3, 4, 5, 7, 8, 9, 16, 20)]
+    texts = []
+    for _ in range(14):
+        parts = []
+        for k in rng.permutation(len(passages))[:3]:
+            cut = rng.integers(0, len(passages[k]))
+            parts += [*passages[k][cut:], *(line() for _ in range(rng.integers(0, 3))), *([""] if rng.integers(2) else [])]
+        texts.append("\n".join(parts))
+    return [*texts, texts[0], texts[1] + "\n" + texts[1], "same\n" * 37, "same\n" * 9 + "other", passages[5][0], passages[5][0], ""]
+
+
+@pytest.mark.parametrize("fold", [2, 5])
+def test_maximal_runs(spark, monkeypatch, fold):
+    """The suffix array's runs, whatever the number of doublings a round and the ranges of the sort."""
+    monkeypatch.setattr(linedup, "KEYS_A_RANGE", 20)
+    texts = run_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in linedup.maximal_runs(docs, fold).collect()} == brute_runs(texts)
+
+
+def test_suffix_array_is_in_order(spark, monkeypatch):
+    """Ranks sort suffixes by their lines, and neighbours have the common prefix that is said."""
+    monkeypatch.setattr(linedup, "KEYS_A_RANGE", 20)
+    texts = run_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    single, files = linedup.repeated_lines(docs)
+    levels = linedup.suffix_array(single, files, fold=1)
+    ids = defaultdict(dict)
+    for r in single.collect():
+        ids[r._ld_doc][r._ld_pos] = r.id
+
+    def sequence(d, p):
+        out = []
+        while p in ids[d]:
+            out.append(ids[d][p])
+            p += 1
+        return out
+
+    assert len(levels) > 4
+    for level in levels:
+        keys = {(k._ld_a, k._ld_b): k for k in level.keys.collect()}
+        members = sorted(((keys[m._ld_a, m._ld_b], sequence(m._ld_doc, m._ld_pos)) for m in level.members.collect()), key=lambda x: x[0].rank)
+        cut = [(k, s[: 2 * level.h]) for k, s in members]
+        assert [s for _, s in cut] == sorted(s for _, s in cut)
+        for (a, s), (b, t) in zip(members, members[1:]):
+            if a.rank != b.rank:
+                common = next((i for i, (x, y) in enumerate(zip(s, t)) if x != y), min(len(s), len(t)))
+                assert b.lcp == a.lcp_next == common
