@@ -45,7 +45,7 @@ def digits(seq: Column | str) -> Column:
     return F.translate(F.upper(_c(seq)), "ACGT", "0123")
 
 
-WORD = 31  # bases of a BIGINT
+WORD = LONGEST = 31  # bases of a BIGINT
 
 
 def pack(kmer: Column | str) -> Column:
@@ -58,6 +58,16 @@ def unpack(number: Column | str, k: int) -> Column:
     return F.translate(F.lpad(F.conv(_c(number).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def code(kmer: Column | str) -> Column:
+    """A k-mer of up to 31 bases as a BIGINT with a leading one, so that its length is known and codes of one k sort as k-mers do."""
+    return F.conv(F.concat(F.lit("1"), digits(kmer)), 4, 10).cast("bigint")
+
+
+def kmer_of(number: Column | str) -> Column:
+    """The k-mer of a number made by :func:`code`."""
+    return F.translate(F.substring(F.conv(_c(number).cast("string"), 10, 4), 2, LONGEST), "0123", "ACGT")
+
+
 def pack_whole(seq: Column | str) -> Column:
     """A sequence of any length as ``words, bases, marks``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +26,14 @@ def quality_text(q: Column | str, base: int = 33) -> Column:
 
 
 def p_correct(q: Column, min_quality: int = 3) -> Column:
-    """Probability that a base is right, to six decimals; 0 below ``min_quality``, 1 without quality."""
-    return F.when(q.isNull() | (q >= REFERENCE_PHRED), 1.0).when(q < min_quality, 0.0).otherwise(F.round(1 - F.pow(F.lit(10.0), -q / 10.0), 6))
+    """Probability that a base is right; 0 below ``min_quality``, 1 without quality."""
+    return F.when(q.isNull() | (q >= REFERENCE_PHRED), 1.0).when(q < min_quality, 0.0).otherwise(1 - F.pow(F.lit(10.0), -q / 10.0))
+
+
+def p_table(min_quality: int = 3) -> np.ndarray:
+    """:func:`p_correct` of the Phred values 0 to REFERENCE_PHRED."""
+    q = np.arange(REFERENCE_PHRED + 1)
+    return np.where(q >= REFERENCE_PHRED, 1.0, np.where(q < min_quality, 0.0, 1 - 10.0 ** (-q / 10.0)))
 
 
 def to_phred(p: Column) -> Column:

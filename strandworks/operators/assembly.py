@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandworks.config import ExtendOptions, MatchOptions
 from strandworks.functions import dna, sam
 from strandworks.lineage import cut
+from strandworks.operators import kmers
 
 
 class Matcher(Protocol):
@@ -30,8 +31,11 @@ def contig_kmers(contigs: DataFrame, k: int, edge: int) -> DataFrame:
 
 def match(contigs: DataFrame, observations: DataFrame, k: int, options: MatchOptions = MatchOptions()) -> DataFrame:
     """``contig_id, read_id, shared``: reads sharing k-mers with a contig's ends, by hits; one equi-join on the k-mer."""
-    hits = contig_kmers(contigs, k, options.max_from_edge).join(observations.select("read_id", "kmer"), "kmer")
-    return hits.groupBy("contig_id", "read_id").agg(F.countDistinct("kmer").alias("shared"))
+    ends, key = contig_kmers(contigs, k, options.max_from_edge), kmers.key_of(observations)
+    if key == "code":  # some thousand k-mers a contig, so that the reads' stay numbers
+        ends = ends.where(~F.col("kmer").rlike("[^ACGT]")).withColumn("code", dna.code("kmer"))
+    hits = ends.select("contig_id", key).distinct().join(observations.select("read_id", key), key)
+    return hits.groupBy("contig_id", "read_id").agg(F.countDistinct(key).alias("shared"))
 
 
 def complete_mates(matches: DataFrame, reads: DataFrame) -> DataFrame:
@@ -127,8 +131,6 @@ def rename(name: str = "name", left: str = "left", right: str = "right"):
 
 def assemble(contigs: DataFrame, reads: DataFrame, k: int, options: ExtendOptions = ExtendOptions(), match_options: MatchOptions = MatchOptions(), rounds: int | None = None) -> DataFrame:
     """Match reads, count their k-mers, extend; until no contig grows or all have ``max_contig`` bases."""
-    from strandworks.operators import kmers
-
     now = contigs.select("contig_id", "seq")
     for _ in range(rounds or options.max_iterations):
         hits = match(now, kmers.observe(reads, k), k, match_options)

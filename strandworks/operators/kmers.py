@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandworks.config import KmerOptions
 from strandworks.functions import dna, quality
 from strandworks.functions.bind import let
+from strandworks.operators import windows
 
 EXTENSION_LETTERS = "ACGTNX"
 
@@ -36,17 +37,37 @@ def window_products(p: Column, k: int) -> Column:
     return let(F.struct(p.alias("p"), F.lit(None).cast("array<double>").alias("w")), lambda s: step(s, 1, 0))
 
 
-def observe(reads: DataFrame, k: int, weighted: bool = False, extensions: bool = False, options: KmerOptions = KmerOptions()) -> DataFrame:
+def key_of(*tables: DataFrame) -> str:
+    """The column that tables of k-mers are joined on: the code if all have it."""
+    return "code" if all("code" in t.columns for t in tables) else "kmer"
+
+
+def observe(reads: DataFrame, k: int, weighted: bool = False, extensions: bool = False, options: KmerOptions = KmerOptions(), every: bool = False) -> DataFrame:
     """Windows of reads: ``read_id, pos, kmer, is_fwd`` and, if asked for, ``weight`` and both neighbours.
 
     Windows with letters other than ACGT and windows of discarded reads give no
     row. The weight is the product of the bases' probabilities; with ``weighted``,
-    windows at or below ``options.min_weight`` are dropped.
+    windows at or below ``options.min_weight`` are dropped, unless ``every`` is set.
+    Up to 31 bases there is a ``code`` too, which counts and joins use; ``kmer`` is
+    then an expression that is left out of plans that do not read it.
     """
     src = reads.where("NOT discarded") if "discarded" in reads.columns else reads
+    made = _numbered(src, k, weighted, extensions, options) if k <= dna.LONGEST else _spelled(src, k, weighted, extensions, options)
+    return made.where(F.col("weight") > options.min_weight) if weighted and not every else made
+
+
+def _numbered(src: DataFrame, k: int, weighted: bool, extensions: bool, options: KmerOptions) -> DataFrame:
+    out = windows.windows(src, k, quality.p_table(options.min_quality) if weighted else None, extensions)
+    letter = lambda c: F.substring(F.lit(windows.LETTERS), F.col(c).cast("int") + 1, F.lit(1)).alias(c)
+    more = (["weight"] if weighted else []) + ([letter("left"), "left_q", letter("right"), "right_q"] if extensions else [])
+    return out.select("read_id", "pos", dna.kmer_of("code").alias("kmer"), "is_fwd", *more, "code")
+
+
+def _spelled(src: DataFrame, k: int, weighted: bool, extensions: bool, options: KmerOptions) -> DataFrame:
+    """K-mers too long for a code, as text."""
     cols = ["read_id", "seq"]
     if weighted or extensions:
-        src = src.withColumn("_q", quality.phreds("qual"))
+        src = src.withColumn("_q", F.coalesce(quality.phreds("qual"), F.transform(F.split("seq", ""), lambda _: F.lit(quality.REFERENCE_PHRED))))
         cols.append("_q")
     if weighted:
         src = src.withColumn("_w", window_products(F.transform("_q", lambda q: quality.p_correct(q, options.min_quality)), k))
@@ -54,7 +75,7 @@ def observe(reads: DataFrame, k: int, weighted: bool = False, extensions: bool =
     each = src.where(F.length("seq") >= k).select(*cols, F.posexplode(dna.windows("seq", k)).alias("pos", "fwd"))
     each = each.where(~F.col("fwd").rlike("[^ACGT]"))
     if weighted:
-        each = each.withColumn("weight", F.get("_w", F.col("pos"))).where(F.col("weight") > options.min_weight)
+        each = each.withColumn("weight", F.get("_w", F.col("pos")))
     out = each.withColumn("kmer", dna.canonical("fwd")).withColumn("is_fwd", F.col("kmer") == F.col("fwd"))
     keep = ["read_id", "pos", "kmer", "is_fwd"] + (["weight"] if weighted else [])
     if extensions:
@@ -83,14 +104,17 @@ def extension_counts(threshold: int) -> list[Column]:
     return out
 
 
-def spectrum(observations: DataFrame, min_depth: int = 1, extension_quality: int | None = None) -> DataFrame:
-    """Counts by k-mer: ``kmer, n, n_fwd`` and ``w`` or twelve extension counters if observed."""
+def spectrum(observations: DataFrame, min_depth: int = 1, extension_quality: int | None = None, coded: bool = False) -> DataFrame:
+    """Counts by k-mer: ``kmer, n, n_fwd`` and ``w`` or twelve extension counters if observed; ``coded`` keeps the code beside the k-mer."""
     aggs = [F.count("*").alias("n"), F.count_if("is_fwd").alias("n_fwd")]
     if "weight" in observations.columns:
         aggs.append(F.sum("weight").alias("w"))
     if extension_quality is not None:
         aggs += extension_counts(extension_quality)
-    out = observations.groupBy("kmer").agg(*aggs)
+    key = key_of(observations)
+    out = observations.groupBy(key).agg(*aggs)
+    if key == "code":
+        out = out.select(dna.kmer_of("code").alias("kmer"), *out.columns[1:], *(["code"] if coded else []))
     return out.where(F.col("n") >= min_depth) if min_depth > 1 else out
 
 
@@ -111,7 +135,8 @@ def in_sample(kmer: str, n: int) -> Column:
 
 def subtract_kmers(table: DataFrame, reference: DataFrame) -> DataFrame:
     """Rows whose k-mer the reference lacks; all occurrences of a reference k-mer go."""
-    return table.join(reference.select("kmer").distinct(), "kmer", "left_anti")
+    key = key_of(table, reference)
+    return table.join(reference.select(key).distinct(), key, "left_anti")
 
 
 def tiers(spec: DataFrame, solid: DataFrame | None = None) -> DataFrame:
@@ -168,8 +193,9 @@ def size_history(observations: DataFrame, cuts: int = 20) -> DataFrame:
     """
     bounds = observations.agg(F.min("read_id").alias("lo"), F.max("read_id").alias("hi"))
     parted = observations.crossJoin(F.broadcast(bounds)).withColumn("part", F.floor((F.col("read_id") - F.col("lo")) * cuts / (F.col("hi") - F.col("lo") + 1)).cast("int"))
-    by_part = parted.groupBy("kmer", "part").agg(F.count("*").alias("n"))
-    seen = by_part.groupBy("kmer").agg(F.min("part").alias("first"), F.min_by("n", "part").alias("n_first"), F.sort_array(F.collect_list("part")).alias("parts"))
+    key = key_of(observations)
+    by_part = parted.groupBy(key, "part").agg(F.count("*").alias("n"))
+    seen = by_part.groupBy(key).agg(F.min("part").alias("first"), F.min_by("n", "part").alias("n_first"), F.sort_array(F.collect_list("part")).alias("parts"))
     second = F.when(F.col("n_first") > 1, F.col("first")).otherwise(F.get("parts", F.lit(1)))
     news = seen.groupBy(F.col("first").alias("part")).agg(F.count("*").alias("new"))
     again = seen.select(second.alias("part")).where("part IS NOT NULL").groupBy("part").agg(F.count("*").alias("again"))
@@ -193,8 +219,9 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def compare_per_read(observations: DataFrame, other: DataFrame) -> DataFrame:
     """``read_id, kmers, common``: how many of a read's different k-mers the other spectrum has."""
-    own = observations.select("read_id", "kmer").distinct()
-    hit = own.join(other.select("kmer", F.lit(1).alias("hit")).distinct(), "kmer", "left")
+    key = key_of(observations, other)
+    own = observations.select("read_id", key).distinct()
+    hit = own.join(other.select(key, F.lit(1).alias("hit")).distinct(), key, "left")
     return hit.groupBy("read_id").agg(F.count("*").alias("kmers"), F.count("hit").alias("common"))
 
 

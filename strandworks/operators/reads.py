@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandworks.config import SelectOptions
+from strandworks.config import KmerOptions, SelectOptions
 from strandworks.functions import dna, quality, stats
 from strandworks.functions.bind import let
+from strandworks.operators import kmers
 
 
 def quality_trim(reads: DataFrame, min_quality: int = 3, min_length: float = 0.40) -> DataFrame:
@@ -71,11 +72,16 @@ def identify_pairs(reads: DataFrame) -> DataFrame:
 
 
 def window_scores(observations: DataFrame, spectrum: DataFrame, min_depth: int = 2) -> DataFrame:
-    """``read_id, values``: depth of each window in order; missing or shallow k-mers are 0."""
-    depth = spectrum.select("kmer", "n").where(F.col("n") >= min_depth)
-    hit = observations.select("read_id", "pos", "kmer").join(depth, "kmer", "left")
+    """``read_id, values``: depth of each window in order; missing or shallow k-mers are 0.
+
+    Only windows before the first letter other than ACGT count: those whose
+    positions follow each other from 0.
+    """
+    key = kmers.key_of(observations, spectrum)
+    depth = spectrum.select(key, "n").where(F.col("n") >= min_depth)
+    hit = observations.select("read_id", "pos", key).join(depth, key, "left")
     by_read = hit.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0)).alias("n")))).alias("v"))
-    return by_read.select("read_id", F.transform("v", lambda s: s["n"]).alias("values"))
+    return by_read.select("read_id", F.expr("transform(filter(v, (s, i) -> s.pos = i), s -> s.n)").alias("values"))
 
 
 def score(values: Column, how: str) -> Column:
@@ -124,14 +130,11 @@ def filter_reads(reads: DataFrame, k: int, options: SelectOptions = SelectOption
     ``reads`` need ``read_id, name, comment, seq, qual``. Returned reads keep the
     columns of the pipeline; :func:`as_output` cuts and labels them.
     """
-    from strandworks.config import KmerOptions
-    from strandworks.operators import kmers
-
     first = with_pair_key(apply_quality_trim(reads, min_quality, trim_min_length))
-    obs = kmers.observe(first, k, weighted=True, options=KmerOptions(k=k, min_quality=min_quality, min_weight=min_weight))
-    spec = kmers.spectrum(obs, min_depth)
-    every = kmers.observe(first, k)  # scoring looks at all windows
-    trimmed = score_and_trim(window_scores(every, spec, min_depth), k, options.scoring)
+    # All windows are scored, those with enough weight are counted: one observation with a weight serves both.
+    obs = kmers.observe(first, k, weighted=True, options=KmerOptions(k=k, min_quality=min_quality, min_weight=min_weight), every=True)
+    spec = kmers.spectrum(obs.where(F.col("weight") > min_weight), min_depth, coded=True)
+    trimmed = score_and_trim(window_scores(obs, spec, min_depth), k, options.scoring)
     return select_pairs(passes(trimmed, first, options), options.min_passing_in_pair)
 
 
@@ -141,7 +144,7 @@ def as_output(picked: DataFrame, k: int, scoring: str = "MEDIAN", base: int = 33
     cut = lambda c: F.substring(c, F.col("trim_offset") + 1, F.col("trim_length"))
     shorter = F.col("trim_length") - k + 1 < F.col("windows")
     trim = F.when(shorter, F.format_string("Trim:%d+%d", F.col("trim_offset"), F.col("trim_length")))
-    value = F.concat(F.lit({"MEDIAN": "MedianScore:", "MAX": "MaxScore:", "MIN": "MinScore:", "AVG": "AvgScore:", "SUM": "SumScore:"}[scoring]), F.col("score").cast("bigint").cast("string"))
+    value = F.concat(F.lit({"MEDIAN": "MedianScore:", "MAX": "MaxScore:", "MIN": "MinScore:", "AVG": "AvgScore:", "SUM": "SumScore:"}[scoring]), F.floor(F.col("score") + 0.5).cast("string"))
     gone = F.col("discarded") | ~some
     return picked.select(
         "read_id", "name", F.when(gone, F.lit("")).otherwise(F.concat_ws(" ", "label", trim, value)).alias("labels"),

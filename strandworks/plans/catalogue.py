@@ -15,7 +15,7 @@ from strandworks.config import ExtendOptions, KmerOptions, MatchOptions, SelectO
 from strandworks.functions import dna, quality, sam, stats
 from strandworks.operators import align, artifacts, assembly, dedup, kmers, reads as rd, size, vectors
 from strandworks.plans import derived
-from strandworks.plans.derived import SQL_PAIRS, SQL_READS, SQL_RECORDS, load, sql_kmers, sql_p, sql_q, sql_spectrum
+from strandworks.plans.derived import SQL_PAIRS, SQL_READS, SQL_READS_N, SQL_RECORDS, load, sql_kmers, sql_p, sql_q, sql_spectrum
 from strandworks.sources import constants
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,10 +80,10 @@ def gc_content(spark, sf_dir):
     return derived.reads(spark, sf_dir).select("read_id", dna.gc_count("seq").alias("gc"), F.length("seq").alias("bases"))
 
 
-@query(_with(SQL_READS) + "SELECT read_id, list_reduce(list_prepend(0::BIGINT, list_transform(generate_series(1, 15), lambda j: (instr('ACGT', seq[j]) - 1)::BIGINT)), lambda a, b: a * 4 + b) AS packed, substring(seq, 1, 15) AS unpacked FROM reads")
+@query(_with(SQL_READS) + "SELECT read_id, list_reduce(list_prepend(0::BIGINT, list_transform(generate_series(1, least(length(seq), 31)), lambda j: (instr('ACGT', seq[j]) - 1)::BIGINT)), lambda a, b: a * 4 + b) AS first_word, CAST((length(seq) + 30) // 31 AS INT) AS words, seq AS unpacked FROM reads")
 def twobit_encode(spark, sf_dir):
-    packed = derived.reads(spark, sf_dir).select("read_id", dna.pack(F.substring("seq", 1, 15)).alias("packed"))
-    return packed.select("read_id", "packed", dna.unpack("packed", 15).alias("unpacked"))
+    packed = derived.reads(spark, sf_dir).select("read_id", dna.pack_whole("seq").alias("p"))
+    return packed.select("read_id", F.get("p.words", F.lit(0)).alias("first_word"), F.size("p.words").alias("words"), dna.unpack_whole("p").alias("unpacked"))
 
 
 @query(_with(SQL_READS) + """SELECT read_id, CAST(length(seq) AS INT) AS bases, seq AS unpacked, array_to_string(list_transform(generate_series(0, (length(seq) - 1) // 31), lambda w:
@@ -182,7 +182,7 @@ def kmer_subsample(spark, sf_dir):
 
 
 _BENCH_READS = f"""bs AS (SELECT item_id AS doc_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{derived.LETTERS}', '{derived.AS_BASES}') AS dna FROM benchmark),
-br AS (SELECT doc_id * 10000 + i AS read_id, substring(dna, 1 + i * 60, 100) AS seq FROM bs, unnest(generate_series(0, greatest(0, (length(dna) - 1) // 60))) t(i) WHERE length(substring(dna, 1 + i * 60, 100)) >= 60)"""
+br AS (SELECT doc_id * {derived.ROOM} + i AS read_id, substring(dna, 1 + i * 60, 100) AS seq FROM bs, unnest(generate_series(0, greatest(0, (length(dna) - 1) // 60))) t(i) WHERE length(substring(dna, 1 + i * 60, 100)) > 0)"""
 
 
 def _bench(spark, sf_dir):
@@ -269,7 +269,7 @@ _VALUES_SQL = _spec_sql(K) + ", v AS (SELECT ck.read_id, p, CASE WHEN n >= 2 THE
 
 def _values(spark, sf_dir):
     obs = _obs(spark, sf_dir, K)
-    return rd.window_scores(obs, kmers.spectrum(obs, 2))
+    return rd.window_scores(obs, kmers.spectrum(obs, 2, coded=True))
 
 
 def _score(how: str, sql: str) -> None:
@@ -313,6 +313,27 @@ def filter_reads(spark, sf_dir):
     return picked.select("read_id", "pair_key", "discarded", "trim_offset", "trim_length", "score", "passes")
 
 
+# The same over reads with an N: windows from the first N on are no part of a trim.
+_VALUES_N_SQL = _VALUES_SQL.replace(SQL_READS, SQL_READS_N).replace("FROM ck JOIN sp USING (kmer))", f"FROM ck JOIN sp USING (kmer) JOIN reads USING (read_id) WHERE instr(seq, 'N') = 0 OR p + {K} < instr(seq, 'N'))")
+_SOME_SQL = ", seen AS (SELECT DISTINCT read_id FROM ck)\n"
+
+
+@query(_VALUES_N_SQL + _TRIM_SQL + _SOME_SQL + "SELECT read_id, coalesce(trim_offset, 0) AS trim_offset, coalesce(trim_length, 0) AS trim_length, coalesce(score, 0) AS score, coalesce(windows, 0) AS windows FROM seen LEFT JOIN trim_ USING (read_id)")
+def longest_run_trim_n(spark, sf_dir):
+    obs = kmers.observe(derived.reads_with_n(spark, sf_dir), K)
+    return rd.score_and_trim(rd.window_scores(obs, kmers.spectrum(obs, 2, coded=True)), K, "MEDIAN")
+
+
+@query(
+    ORACLES["filter_reads"].replace(SQL_READS, SQL_READS_N)
+    .replace("SELECT ck.read_id, p, coalesce(n, 0) AS v FROM ck LEFT JOIN sp USING (kmer)", f"SELECT ck.read_id, p, coalesce(n, 0) AS v FROM ck JOIN live USING (read_id) LEFT JOIN sp USING (kmer) WHERE instr(seq, 'N') = 0 OR p + {K} < instr(seq, 'N')")
+    .replace("SELECT read_id, pair_key, discarded, trim_offset, trim_length, score, passes FROM t", "SELECT read_id, pair_key, discarded, coalesce(trim_offset, CASE WHEN read_id IN (SELECT read_id FROM ck) THEN 0 END) AS trim_offset, coalesce(trim_length, CASE WHEN read_id IN (SELECT read_id FROM ck) THEN 0 END) AS trim_length, coalesce(score, CASE WHEN read_id IN (SELECT read_id FROM ck) THEN 0 END) AS score, passes FROM t")
+)
+def filter_reads_n(spark, sf_dir):
+    picked = rd.filter_reads(derived.reads_with_n(spark, sf_dir), K, SelectOptions(scoring="MEDIAN"))
+    return picked.select("read_id", "pair_key", "discarded", "trim_offset", "trim_length", "score", "passes")
+
+
 _DEPTH = [64, 32, 16, 8, 4, 2]
 
 
@@ -386,7 +407,7 @@ def artifact_summary(spark, sf_dir):
     return artifacts.summary(artifacts.trim_artifacts(derived.reads(spark, sf_dir), _hits(spark, sf_dir), constants.artifacts(spark)))
 
 
-_FRAG_SQL = _with(SQL_READS, SQL_PAIRS) + f""", fk AS (SELECT pair_id, seq1, seq2, substring(seq1, 1, 24) || {RC.format('substring(seq2, 1, 24)')} AS k0 FROM pairs), fr AS (SELECT *, least(k0, {RC.format('k0')}) AS frag_key FROM fk),
+_FRAG_SQL = _with(SQL_READS, SQL_PAIRS) + f""", fk AS (SELECT pair_id, seq1, seq2, substring(seq1, 1, 24) || {RC.format('substring(seq2, 1, 24)')} AS k0 FROM pairs), fr AS (SELECT *, least(k0, {RC.format('k0')}) AS frag_key FROM fk WHERE length(seq1) >= 24 AND length(seq2) >= 24),
 gr AS (SELECT frag_key, count(*) AS members, min(pair_id) AS first_pair FROM fr GROUP BY 1 HAVING count(*) >= 2)
 """
 
@@ -451,7 +472,7 @@ def rescale_quality(spark, sf_dir):
     return derived.reads(spark, sf_dir).select("read_id", quality.rescale("qual", 33, 64).alias("qual"))
 
 
-@query(_with(SQL_READS) + "SELECT read_id, seq || substring(seq, 1, 20) AS ring, 'N' AS none, substring(seq, 1, 10) || repeat('X', 30) || substring(seq, 41) AS masked FROM reads")
+@query(_with(SQL_READS) + "SELECT read_id, seq || substring(seq, 1, 20) AS ring, 'N' AS none, substring(seq, 1, 10) || repeat('X', greatest(0, least(30, length(seq) - 10))::INT) || substring(seq, 41) AS masked FROM reads")
 def circularize(spark, sf_dir):
     return derived.reads(spark, sf_dir).select("read_id", dna.circularize("seq", 20).alias("ring"), F.lit("N").alias("none"), dna.mask("seq", 10, 30).alias("masked"))
 

@@ -1,8 +1,9 @@
 """Tables derived from the driver's tables, the same in both engines.
 
 Reads come from the letters of each whole text: letters become bases, and every
-60 bases a read of up to 100 starts (at least 60 long). Consecutive reads are mates.
-Alignment records come from ``orders``.
+60 bases a read of up to 100 starts, the last ones as long as the text goes on.
+Consecutive reads are mates; a text has room for 2**31 reads in the ids. Alignment
+records come from ``orders``.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 AS_BASES = ("ACGT" * 7)[:26] * 2
-READ, STEP, LEAST = 100, 60, 60
+READ, STEP, ROOM = 100, 60, 1 << 31
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,9 +28,9 @@ def cut_reads(docs: DataFrame, ident: str = "doc_id") -> DataFrame:
     """``read_id, doc_id, i, file_id, name, comment, seq, qual`` of documents; a narrow transformation."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("dna") - 1) / STEP).cast("int")))
     each = docs.select(F.col(ident).alias("doc_id"), dna("text").alias("dna")).select("doc_id", F.posexplode(starts).alias("i", "_"), "dna")
-    cut = each.select("doc_id", "i", F.substring("dna", F.col("i") * STEP + 1, F.lit(READ)).alias("seq")).where(F.length("seq") >= LEAST)
+    cut = each.select("doc_id", "i", F.substring("dna", F.col("i") * STEP + 1, F.lit(READ)).alias("seq")).where(F.length("seq") > 0)
     q = "transform(sequence(1, length(seq)), j -> char(33 + IF((j * j * j + read_id * 31) % 257 < 3, 2, 8 + (j * 7 + read_id * 3) % 33)))"
-    named = cut.withColumn("read_id", F.col("doc_id") * 10_000 + F.col("i")).withColumn("name", F.expr("concat('d', doc_id, '.', i div 2, '/', 1 + i % 2)"))
+    named = cut.withColumn("read_id", F.col("doc_id") * ROOM + F.col("i")).withColumn("name", F.expr("concat('d', doc_id, '.', i div 2, '/', 1 + i % 2)"))
     return named.select("read_id", "doc_id", "i", F.lit(0).alias("file_id"), "name", F.lit(None).cast("string").alias("comment"), "seq", F.expr(f"array_join({q}, '')").alias("qual"))
 
 
@@ -39,6 +40,12 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_reads(docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores))
 
 
+def reads_with_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`reads` with an N in every third, at a place that moves."""
+    at = (1 + (F.col("doc_id") * 7 + F.col("i") * 13) % F.length("seq")).cast("int")
+    return reads(spark, sf_dir).withColumn("seq", F.when(F.col("i") % 3 == 0, F.overlay("seq", F.lit("N"), at, F.lit(1))).otherwise(F.col("seq")))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pair_id, seq1, seq2`` of reads with both mates."""
     r = reads(spark, sf_dir).select((F.floor(F.col("read_id") / 2)).alias("pair_id"), (F.col("i") % 2).alias("m"), "seq")
@@ -61,8 +68,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ SQL of the same tables
 
 SQL_READS = f"""s AS (SELECT doc_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{AS_BASES}') AS dna FROM documents),
-reads AS (SELECT doc_id * 10000 + i AS read_id, doc_id, i, 'd' || doc_id || '.' || (i // 2) || '/' || (1 + i % 2) AS name, substring(dna, 1 + i * 60, 100) AS seq
-  FROM s, unnest(generate_series(0, greatest(0, (length(dna) - 1) // 60))) t(i) WHERE length(substring(dna, 1 + i * 60, 100)) >= 60)"""
+reads AS (SELECT doc_id * {ROOM} + i AS read_id, doc_id, i, 'd' || doc_id || '.' || (i // 2) || '/' || (1 + i % 2) AS name, substring(dna, 1 + i * 60, 100) AS seq
+  FROM s, unnest(generate_series(0, greatest(0, (length(dna) - 1) // 60))) t(i) WHERE length(substring(dna, 1 + i * 60, 100)) > 0)"""
+
+SQL_READS_N = SQL_READS.replace("reads AS (", "reads0 AS (") + """,
+reads AS (SELECT read_id, doc_id, i, name, CASE WHEN i % 3 = 0 THEN substring(seq, 1, n_at - 1) || 'N' || substring(seq, n_at + 1) ELSE seq END AS seq
+  FROM (SELECT *, 1 + (doc_id * 7 + i * 13) % length(seq) AS n_at FROM reads0))"""
 
 SQL_PAIRS = """pairs AS (SELECT a.read_id // 2 AS pair_id, a.seq AS seq1, b.seq AS seq2 FROM reads a JOIN reads b ON b.read_id = a.read_id + 1 AND a.read_id % 2 = 0)"""
 
@@ -79,13 +90,13 @@ def sql_q(j: str, read_id: str = "read_id") -> str:
 
 def sql_p(j: str, read_id: str = "read_id") -> str:
     q = sql_q(j, read_id)
-    return f"(CASE WHEN {q} < 3 THEN 0.0::DOUBLE ELSE round(1 - pow(10.0, -{q} / 10.0), 6) END)"
+    return f"(CASE WHEN {q} < 3 THEN 0.0::DOUBLE ELSE 1 - pow(10.0, -{q} / 10.0) END)"
 
 
 def sql_kmers(k: int, source: str = "reads", name: str = "ck", ident: str = "read_id") -> str:
     """Windows of a table with ``seq``: ``ident, p (0-based), f, kmer``."""
     return f"""{name}_w AS (SELECT {ident}, p, substring(seq, p + 1, {k}) AS f FROM {source}, unnest(generate_series(0, length(seq) - {k})) t(p)),
-{name} AS (SELECT {ident}, p, f, least(f, translate(reverse(f), 'ACGT', 'TGCA')) AS kmer FROM {name}_w)"""
+{name} AS (SELECT {ident}, p, f, least(f, translate(reverse(f), 'ACGT', 'TGCA')) AS kmer FROM {name}_w WHERE NOT contains(f, 'N'))"""
 
 
 def sql_spectrum(name: str = "sp", source: str = "ck") -> str:

@@ -73,14 +73,15 @@ def brute_filter(rows, k, minimum, both):
             continue
         for p in range(len(s) - k + 1):
             m = s[p : p + k]
-            w = math.prod(0 if ord(c) - 33 < 3 else round(1 - 10 ** (-(ord(c) - 33) / 10), 6) for c in q[p : p + k])
+            w = math.prod(0 if ord(c) - 33 < 3 else 1 - 10 ** (-(ord(c) - 33) / 10) for c in q[p : p + k])
             if set(m) <= set("ACGT") and w > 0.1:
                 count[min(m, rc(m))] += 1
     out = {}
     for i, name, s, q, label, gone in cut:
-        # Windows with a letter other than ACGT are skipped by the observer.
-        vals = [(p, count[min(s[p : p + k], rc(s[p : p + k]))]) for p in range(len(s) - k + 1) if set(s[p : p + k]) <= set("ACGT")]
-        vals = [v if v >= 2 else 0 for _, v in vals] if not gone else []
+        # Windows from the first letter other than ACGT on are not scored.
+        end = next((j for j, c in enumerate(s) if c not in "ACGT"), len(s))
+        vals = [count[min(s[p : p + k], rc(s[p : p + k]))] for p in range(end - k + 1)]
+        vals = [v if v >= 2 else 0 for v in vals] if not gone else []
         off, n = run_of([v > 0 for v in vals])
         med = sorted(vals[off : off + n])[n // 2] if n else 0
         length = n + k - 1 if n else 0
