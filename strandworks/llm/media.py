@@ -8,14 +8,14 @@ out of range and any block can be decoded alone.
 
 The decoder is a general Baseline one: it parses the markers (SOI, APPn, COM,
 DQT, SOF0, DHT, DRI, SOS, RSTn, EOI), builds the Huffman tables from DHT, decodes
-interleaved scans of 1 to 4 components with any sampling factors, and rebuilds
-the luminance thumbnail from DC terms alone. All restart intervals of all images
+interleaved scans of 1 to 4 components with any sampling factors as well as scans
+of some components each, and rebuilds the luminance thumbnail from DC terms alone. All restart intervals of all images
 of a batch are decoded side by side, one numpy step for each symbol.
 
 Edge cases: a null text is an empty one, whose payload is 64 zero bytes. Long
 texts fill a rectangle of blocks (up to 65,535 pixels each way); the blocks
 behind the payload hold zeros. Repeated rows get equal values. An empty table
-gives an empty result. Columns of the input that are not asked for are ignored,
+gives an empty result. Media that cannot be read give a row with an error. Columns of the input that are not asked for are ignored,
 so clashing names do no harm.
 """
 
@@ -25,7 +25,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrid import chunks, text_bytes
+from .scratch import keep
 
 # Fixed values of the JPEG format.
 SOI, EOI, SOF0, DHT, DQT, DRI, SOS, COM, RST0 = 0xD8, 0xD9, 0xC0, 0xC4, 0xDB, 0xDD, 0xDA, 0xFE, 0xD0
@@ -129,15 +130,27 @@ class Jpeg:
     restart: int = 0
     scan: list[Component] = field(default_factory=list)
     scan_start: int = 0
+    scan_end: int = 0
     comment: bytes = b""
 
 
-def parse_markers(raw: bytes) -> Jpeg:
-    """Walk the segments up to the scan; raises ValueError on what is not Baseline."""
+def _scan_end(raw: bytes, at: int) -> int:
+    """Where the coded data that begin at ``at`` end: the next marker that is no restart."""
+    coded = np.frombuffer(raw, np.uint8)[at:]
+    mark = np.flatnonzero(coded[:-1] == 0xFF)
+    follow = coded[mark + 1]
+    stop = mark[(follow == EOI) | ((follow > 0) & (follow < RST0)) | ((follow > 0xD9) & (follow < 0xFF))]
+    return at + (int(stop[0]) if len(stop) else len(coded))
+
+
+def parse_scans(raw: bytes) -> list[Jpeg]:
+    """Walk the segments and give one header for each scan; raises ValueError on what is not Baseline."""
     if raw[:2] != bytes([0xFF, SOI]):
         raise ValueError("no SOI marker")
-    out, at = Jpeg(), 2
+    out, at, scans = Jpeg(), 2, []
     while True:
+        if raw[at : at + 2] == bytes([0xFF, EOI]) and scans:
+            raise ValueError("a component has no scan")
         if at + 4 > len(raw) or raw[at] != 0xFF:
             raise ValueError("broken segment")
         marker = raw[at + 1]
@@ -172,15 +185,19 @@ def parse_markers(raw: bytes) -> Jpeg:
         elif marker == COM:
             out.comment = body
         elif marker == SOS:
+            scan = []
             for i in range(body[0]):
                 ident, tables = body[1 + 2 * i : 3 + 2 * i]
-                part = next(p for p in out.parts if p.ident == ident)
+                part = next((p for p in out.parts if p.ident == ident), None)
+                if part is None:
+                    raise ValueError("a scan of an unknown component")
                 part.dc, part.ac = tables >> 4, tables & 15
-                out.scan.append(part)
-            if len(out.scan) != len(out.parts):
-                raise ValueError("more than one scan")
-            out.scan_start = at
-            return out
+                scan.append(part)
+            # Tables may change from scan to scan.
+            scans.append(replace(out, scan=scan, scan_start=at, scan_end=_scan_end(raw, at), huffman=dict(out.huffman), quants=dict(out.quants)))
+            if {p.ident for s in scans for p in s.scan} == {p.ident for p in out.parts}:
+                return scans
+            at = scans[-1].scan_end
 
 
 def huffman_lut(spec: bytes) -> np.ndarray:
@@ -203,10 +220,11 @@ def _window16(win: np.ndarray, bit: np.ndarray) -> np.ndarray:
 def decode_blocks(raws: list[bytes]) -> tuple[list[Jpeg], list[np.ndarray], list[np.ndarray]]:
     """Quantised coefficients of many images.
 
-    Returns the headers, per image an int16 array (blocks in scan order, 64 in
-    zigzag order), and the index of each block's component in the scan.
+    Returns a header for each scan of each image, per scan an int16 array (blocks in
+    scan order, 64 in zigzag order), and the index of each block's component in the scan.
     """
-    heads = [parse_markers(r) for r in raws]
+    read = [(h, raw) for raw in raws for h in parse_scans(raw)]
+    heads, raws = [h for h, _ in read], [raw for _, raw in read]
     luts: dict[bytes, int] = {}
     for h in heads:
         for spec in h.huffman.values():
@@ -226,12 +244,10 @@ def decode_blocks(raws: list[bytes]) -> tuple[list[Jpeg], list[np.ndarray], list
             mcus = -(-h.width // (8 * most_a)) * -(-h.height // (8 * most_d))
             order = [i for i, c in enumerate(h.scan) for _ in range(c.across * c.down)]
         plans.append(np.array(order))
-        coded = np.frombuffer(raw, np.uint8)[h.scan_start :]
+        end = h.scan_end - h.scan_start
+        coded = np.frombuffer(raw, np.uint8)[h.scan_start : h.scan_end]
         mark = np.flatnonzero(coded[:-1] == 0xFF)
         follow = coded[mark + 1]
-        stop = mark[(follow == EOI) | ((follow > 0) & (follow < RST0)) | ((follow > 0xD9) & (follow < 0xFF))]
-        end = int(stop[0]) if len(stop) else len(coded)
-        mark, follow = mark[mark < end], follow[mark < end]
         drop = np.zeros(end, bool)
         drop[mark[follow == 0] + 1] = True
         rst = mark[(follow >= RST0) & (follow <= RST0 + 7)]
@@ -274,7 +290,7 @@ def decode_blocks(raws: list[bytes]) -> tuple[list[Jpeg], list[np.ndarray], list
     flat = table.ravel()
     one_table = len(luts) == 1
 
-    def read(lut: np.ndarray | None, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def symbols(lut: np.ndarray | None, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbol, magnitude value, and the bit behind both."""
         w = _window16(win, bits)
         got = table[0][w] if lut is None else flat[lut * 65536 + w]
@@ -292,12 +308,12 @@ def decode_blocks(raws: list[bytes]) -> tuple[list[Jpeg], list[np.ndarray], list
         part = of_step[image[live], step[live]]
         dc = None if one_table else tab[image[live], part, 0]
         ac = None if one_table else tab[image[live], part, 1]
-        _, diff, at = read(dc, bit[live])
+        _, diff, at = symbols(dc, bit[live])
         pred[live, part] += diff
         coef[block[live], 0] = pred[live, part]
         rows, pos, inner = block[live], np.ones(len(live), np.int64), np.arange(len(live))
         while len(inner):
-            symbol, value, then = read(None if one_table else ac[inner], at[inner])
+            symbol, value, then = symbols(None if one_table else ac[inner], at[inner])
             at[inner] = then
             run, size = (symbol >> 4).astype(np.int64), symbol & 15
             where = pos[inner] + run
@@ -323,9 +339,9 @@ def decode_blocks(raws: list[bytes]) -> tuple[list[Jpeg], list[np.ndarray], list
 
 def thumbnail(head: Jpeg, coef: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """DC-only luminance: one uint8 pixel for each 8x8 block of the first component."""
-    y = head.scan[0]
+    y = head.parts[0]
     most_a, most_d = max(c.across for c in head.parts), max(c.down for c in head.parts)
-    mean = coef[kinds == 0, 0].astype(np.float64) * head.quants[y.quant][0] / 8 + 128
+    mean = coef[kinds == head.scan.index(y), 0].astype(np.float64) * head.quants[y.quant][0] / 8 + 128
     wide = -(-(-(-head.width * y.across // most_a)) // 8)
     high = -(-(-(-head.height * y.down // most_d)) // 8)
     if len(head.scan) == 1:
@@ -363,9 +379,13 @@ def payload_of(head: Jpeg, coef: np.ndarray) -> tuple[bytes, int]:
 # ---------------------------------------------------------------- DataFrames
 
 MEDIA_SCHEMA = "doc_id long, media binary"
+FEATURES = {
+    "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
+    "media_bytes": pa.int64(), "media_sha256": pa.string(), "width": pa.int32(), "height": pa.int32(), "feature": pa.string(), "error": pa.string(),
+}
 FEATURE_SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "media_bytes long, media_sha256 string, width int, height int, feature string"
+    "media_bytes long, media_sha256 string, width int, height int, feature string, error string"
 )
 _IMAGES_AT_ONCE = 1 << 20
 
@@ -382,32 +402,51 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, MEDIA_SCHEMA)
 
 
+def describe(raws: list[bytes]) -> list[tuple]:
+    """``(n_bytes, payload, width, height, feature, error)`` of each image; of one that cannot be read only the error."""
+    try:
+        heads, coefs, kinds = decode_blocks(raws)
+    except (ValueError, IndexError, KeyError, struct.error) as broken:
+        if len(raws) == 1:
+            return [(None, None, None, None, None, str(broken) or type(broken).__name__)]
+        return [row for raw in raws for row in describe([raw])]  # the others of the batch are fine
+    out = []
+    for head, coef, kind in zip(heads, coefs, kinds):
+        if head.parts[0] not in head.scan:
+            continue  # a scan of colours only
+        payload, n_bytes = payload_of(head, coef) if head.comment[:7] == b"payload" else (None, None)
+        out.append((n_bytes, payload, head.width, head.height, f"{head.width}x{head.height}:{difference_hash(thumbnail(head, coef, kind)):016x}", None))
+    return out
+
+
 def decode_media(media: DataFrame) -> DataFrame:
-    """Read stored JPEG bytes back: payload digests, dimensions, thumbnail hash."""
+    """Read stored JPEG bytes back: payload digests, dimensions, thumbnail hash.
+
+    Images without a payload of :func:`encode_media` have null payload columns; null
+    or broken media, and kinds of JPEG other than Baseline, have an ``error`` instead
+    of all that is read from the image.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws, ids, n = batch.column("media").to_pylist(), batch.column("doc_id").to_pylist(), 0
             while n < len(raws):
                 m, size = n, 0
-                while m < len(raws) and (m == n or size + len(raws[m]) <= _IMAGES_AT_ONCE):
-                    size += len(raws[m])
+                while m < len(raws) and (m == n or size + len(raws[m] or b"") <= _IMAGES_AT_ONCE):
+                    size += len(raws[m] or b"")
                     m += 1
                 rows = []
-                for ident, raw, head, coef, kinds in zip(ids[n:m], raws[n:m], *decode_blocks(raws[n:m])):
-                    payload, n_bytes = payload_of(head, coef)
-                    feature = f"{head.width}x{head.height}:{difference_hash(thumbnail(head, coef, kinds)):016x}"
-                    rows.append((ident, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), head.width, head.height, feature))
+                for ident, raw, (n_bytes, payload, width, height, feature, error) in zip(ids[n:m], raws[n:m], describe([r or b"" for r in raws[n:m]])):
+                    held = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+                    stored = (None, None) if raw is None else (len(raw), hashlib.sha256(raw).hexdigest())
+                    rows.append((ident, n_bytes, *held, *stored, width, height, feature, error))
                 n = m
-                cols = list(zip(*rows))
-                kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), FEATURES.values())], list(FEATURES))
 
     return media.mapInArrow(run, FEATURE_SCHEMA)
 
 
 def op1_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Every text stored as a JPEG media column, read back and described."""
+    """Every text stored as a JPEG media column of a table, read back from it and described."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode_media(encode_media(docs))
+    return decode_media(keep(encode_media(docs), "media"))

@@ -2,8 +2,10 @@
 
 Documents are range-partitioned and sorted by doc_id; each task tokenises its
 range and writes one shard in the shared folder (see ``sstable``), under a name
-of its own, so a retried task never touches another's file. The list of shards
-has a row a shard and comes from the tasks that Spark counted as done.
+of its own, so a retried task never touches another's file. The manifest, a row a
+shard, comes from the tasks that Spark counted as done and is written last, beside
+the shards: a folder with a manifest is whole, and files that it does not name are
+leftovers of tasks that were run again.
 
 Texts are encoded piece by piece with a cache: the byte-level pre-tokeniser always
 cuts before a space that follows a non-space, so a text without white space
@@ -39,6 +41,7 @@ END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 CACHE_ENTRIES = 800_000
 CACHE_CHARS = 40
+MANIFEST_NAME = "manifest"
 MANIFEST = "path string, first_id long, last_id long, n_docs long, n_tokens long"
 # Every character that any definition of white space holds, before a space.
 _WHITE_THEN_SPACE = tuple(f"{c} " for c in map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -140,27 +143,29 @@ def encoder(path: str) -> Encoder:
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """Write the shards of ``docs`` below ``path``; returns their manifest."""
+    """Write the shards of ``docs`` below ``path`` and then their manifest, which is returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_file(tokenizer))
-        gc.disable()  # cached ids and pieces are no garbage, and are many
         end = end_id.to_bytes(encode.width, "little")
         store = name = out = writer = first = last = None
         tokens = 0
-        for batch in batches:
-            for ident, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py())
-                if writer is None:
-                    store, folder = fs.FileSystem.from_uri(path)
-                    store.create_dir(folder, recursive=True)
-                    name, first = f"shard-{uuid.uuid4().hex}.sst", ident
-                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
-                    writer = Writer(out, encode.width)
-                writer.add(key_of(ident), ids + end)
-                tokens += len(ids) // encode.width + 1
-                last = ident
-        gc.enable()
+        gc.disable()  # cached ids and pieces are no garbage, and are many
+        try:
+            for batch in batches:
+                for ident, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                    ids = encode(text.as_py())
+                    if writer is None:
+                        store, folder = fs.FileSystem.from_uri(path)
+                        store.create_dir(folder, recursive=True)
+                        name, first = f"shard-{uuid.uuid4().hex}.sst", ident
+                        out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                        writer = Writer(out, encode.width)
+                    writer.add(key_of(ident), ids + end)
+                    tokens += len(ids) // encode.width + 1
+                    last = ident
+        finally:
+            gc.enable()
         if writer is not None:
             writer.close()
             out.close()
@@ -171,7 +176,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     done = ordered.mapInArrow(run, MANIFEST).collect()  # a row a shard, from the tasks that count
-    return docs.sparkSession.createDataFrame([tuple(r) for r in done], MANIFEST)
+    docs.sparkSession.createDataFrame([tuple(r) for r in done], MANIFEST).coalesce(1).write.parquet(f"{path}/{MANIFEST_NAME}")
+    return open_shards(docs.sparkSession, path)
+
+
+def open_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of the shards below ``path``; fails if they were not written to their end."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/{MANIFEST_NAME}")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:

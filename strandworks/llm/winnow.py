@@ -158,7 +158,11 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_report(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likenesses (see ``op4_winnowing``)."""
+    """Fingerprints of each text and of its edited text, and their likenesses (see ``op4_winnowing``).
+
+    ``hashes`` and ``positions`` are the chosen grams of the text and where they start:
+    in words for word grams, then in code points of the joined long or few words.
+    """
     order = Window.partitionBy("range").orderBy("guest", F.desc("did"), "tie")
     own = fingerprint(with_next(docs), "text", "a_", k, w).withColumn("n_hash", F.lead("a_hash").over(order)).where("NOT guest")
     cut = F.floor(F.char_length("text") / 3).cast("int")
@@ -168,7 +172,7 @@ def fingerprint_report(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     both = fingerprint(own.drop("text", "next_text"), "edited", "e_", k, w)
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("a_").alias("fingerprint"), digest("e_").alias("edited_fingerprint"),
-        likeness("a_hash", "e_hash").alias("near_edited"), likeness("a_hash", "n_hash").alias("near_next"), F.size("a_hash").alias("n_chosen"),
+        likeness("a_hash", "e_hash").alias("near_edited"), likeness("a_hash", "n_hash").alias("near_next"), F.size("a_hash").alias("n_chosen"), F.col("a_hash").alias("hashes"), F.col("a_pos").alias("positions"),
     )
 
 

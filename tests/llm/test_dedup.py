@@ -220,6 +220,9 @@ def test_match_guarantee(spark):
     a, b = f"{prose(10, 30)} {shared} {prose(11, 30)}", f"{prose(12, 17)} {shared} {prose(13, 44)}"
     x, y = (set(r.a_hash) for r in winnow.winnow(spark.createDataFrame([(a,), (b,)], "text string"), "text", "a_").collect())
     assert x & y
+    p, q = (dict(zip(r.hashes, r.positions)) for r in winnow.fingerprint_report(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).orderBy("doc_id").collect())
+    common = [(p[h], q[h]) for h in p.keys() & q.keys()]
+    assert common and all(words(a)[i : i + winnow.K] == words(b)[j : j + winnow.K] for i, j in common)
 
 
 @pytest.mark.parametrize("range_rows", [2000, 3])

@@ -107,6 +107,38 @@ def test_decoder_on_grey_and_colour_images():
         assert got == sorted(map(tuple, lum.reshape(-1, 64)))
 
 
+def split_scans(raw):
+    """The three components of an interleaved 4:4:4 image of :func:`slow_jpeg`, each coded in a scan of its own."""
+    heads, coefs, kinds = media.decode_blocks([raw])
+    sos = raw.index(bytes([0xFF, media.SOS]))
+    out = raw[:sos]
+    for c, part in enumerate(heads[0].parts):
+        blocks = coefs[0][kinds[0] == c].astype(int)
+        rows, cols = -(-heads[0].height // 8), -(-heads[0].width // 8)
+        one = slow_jpeg([blocks.reshape(rows, cols, 64)], [(1, 1)], heads[0].width, heads[0].height)
+        at = one.index(bytes([0xFF, media.SOS]))
+        out += media._segment(media.SOS, bytes([1, part.ident, 0, 0, 63, 0])) + one[at + 10 : -2]
+    return out + bytes([0xFF, media.EOI])
+
+
+def test_foreign_and_broken_images(spark):
+    rng = np.random.default_rng(5)
+    y, cb, cr = (_planes(rng, 3, 4) for _ in range(3))
+    mixed = slow_jpeg([y, cb, cr], [(1, 1)] * 3, 30, 20)
+    apart = split_scans(mixed)
+    fine = media.encode_payloads(np.frombuffer(b"some bytes", np.uint8), np.array([0, 10]))[0]
+    progressive = fine.replace(bytes([0xFF, media.SOF0]), bytes([0xFF, 0xC2]), 1)
+    assert len(media.parse_scans(apart)) == 3
+    rows = [(1, fine), (2, mixed), (3, apart), (4, b"no image"), (5, None), (6, fine[: len(fine) // 2]), (7, progressive), (8, mixed[:-40]), (9, b""), (None, fine)]
+    got = {r.doc_id: r for r in media.decode_media(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)).collect()}
+    assert len(got) == len(rows)
+    assert got[2].feature == got[3].feature and got[2].error is None and got[2].n_bytes is None and got[2].width == 30
+    assert got[1].n_bytes == got[None].n_bytes == 10 and got[1].error is None
+    for i in (4, 5, 6, 7, 9):
+        assert got[i].error and got[i].feature is None, i
+    assert got[5].media_sha256 is None and got[4].media_bytes == 8
+
+
 def test_every_byte_survives():
     raw = bytes(range(256)) * 5 + b"\xff\xff\x00"
     heads, coefs, _ = media.decode_blocks(media.encode_payloads(np.frombuffer(raw, np.uint8), np.array([0, len(raw), len(raw)])))

@@ -79,3 +79,18 @@ def test_token_shards(spark, docs, rows, tokenizer):
 def test_token_edges(spark, wide, empty, rows):
     assert tokenfiles.read_shards(spark, tokenfiles.write_shards(wide, fresh(spark, "test-shards"))).count() == len(rows)
     assert tokenfiles.read_shards(spark, tokenfiles.write_shards(empty, fresh(spark, "test-shards"))).count() == 0
+
+
+def test_manifest_is_written_last(spark, docs, rows):
+    path = fresh(spark, "shards")
+    with pytest.raises(Exception):
+        tokenfiles.open_shards(spark, path).collect()
+    written = tokenfiles.write_shards(docs, path)
+    again = tokenfiles.open_shards(spark, path)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, written.collect())) and sum(r.n_docs for r in again.collect()) == len(rows)
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(path)
+    with store.open_output_stream(f"{folder}/shard-leftover.sst") as out:
+        out.write(b"half a shard")
+    assert tokenfiles.read_shards(spark, tokenfiles.open_shards(spark, path)).count() == len(rows)
