@@ -12,8 +12,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandworks.config import ExtendOptions, KmerOptions, SelectOptions
-from strandworks.functions import quality
+from strandworks.config import ArtifactOptions, DedupOptions, ExtendOptions, KmerOptions, SelectOptions
 from strandworks.operators import align, artifacts, assembly, dedup, kmers, reads, size, vectors
 from strandworks.session import session
 from strandworks.sources import constants, fastx, sam, writers
@@ -28,9 +27,8 @@ def filter_reads(spark, a) -> None:
     r = _reads(spark, a)
     if a.artifacts:
         table = constants.artifacts(spark, reference_fasta=a.reference)
-        hits = artifacts.match(r, table, edits=a.edits)
-        cut = artifacts.trim_artifacts(r, hits, table, a.min_read_length).where("action <> 'discarded'")
-        r = cut.select("read_id", "file_id", "name", "comment", *(F.substring(c, F.col("keep_offset") + 1, F.col("keep_length")).alias(c) for c in ("seq", "qual")))
+        found = artifacts.artifact_filter(r, table, ArtifactOptions(edit_distance=a.edits), a.min_quality, a.min_read_length)
+        r = artifacts.apply_filter(r, found).where("NOT discarded")
     picked = reads.filter_reads(r, a.kmer_size, SelectOptions(scoring=a.scoring, min_length=a.min_read_length, min_passing_in_pair=a.min_passing_in_pair), a.min_quality, a.min_depth, a.min_weight, a.min_read_length)
     if a.max_depth > 0:
         top = picked.groupBy("pair_key").agg(F.max("score").alias("score"))
@@ -39,15 +37,9 @@ def filter_reads(spark, a) -> None:
 
 
 def dedup_reads(spark, a) -> None:
-    """Replace duplicate fragments by their consensus."""
-    r = _reads(spark, a)
-    p = reads.identify_pairs(r).where("read1 IS NOT NULL AND read2 IS NOT NULL").withColumn("pair_id", F.col("read1"))
-    side = lambda n: r.select(F.col("read_id").alias(f"read{n}"), F.col("seq").alias(f"seq{n}"), quality.phreds("qual").alias(f"q{n}"))
-    pairs = p.join(side(1), "read1").join(side(2), "read2")
-    single, made = dedup.dedup_fragments(pairs, a.length, 0, a.mode)
-    ids = single.select(F.explode(F.array("read1", "read2")).alias("read_id"))
-    writers.write_reads(r.join(ids, "read_id", "left_semi"), f"{a.output}/reads", writers.FASTQ)
-    made.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.text(f"{a.output}/consensus")
+    """Replace duplicate fragments by their consensus; reads without a mate stay."""
+    made = dedup.dedup_reads(_reads(spark, a), DedupOptions(mode=a.mode, length=a.length, edit_distance=a.edits, single=a.single))
+    writers.write_reads(made.withColumn("read_id", F.xxhash64("name", "seq")), a.output, writers.FASTQ)
 
 
 def mer_count(spark, a) -> None:
@@ -148,11 +140,13 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--min-quality", type=int, default=3)
             p.add_argument("--max-depth", type=int, default=-1)
             p.add_argument("--artifacts", action="store_true")
-            p.add_argument("--edits", type=int, default=1)
+            p.add_argument("--edits", type=int, default=2)
             p.add_argument("--reference", help="FASTA of control genomes whose reads are discarded")
         elif name == "dedup-reads":
             p.add_argument("--length", type=int, default=24)
             p.add_argument("--mode", type=int, default=1)
+            p.add_argument("--edits", type=int, default=0)
+            p.add_argument("--single", action="store_true")
         elif name == "tnf":
             p.add_argument("--formula", default="EUCLIDEAN", choices=["EUCLIDEAN", "SPEARMAN"])
         elif name == "extend":

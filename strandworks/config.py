@@ -29,18 +29,13 @@ class SelectOptions:
     min_length: float = 0.40  # up to 1: share of the read; above: bases
     min_score: float = 2.0
     min_passing_in_pair: int = 1
-    max_output_depth: int = -1
-    normalization: str = "RANDOM"  # RANDOM, OPTIMAL
 
 
 @dataclass(frozen=True)
 class ArtifactOptions:
     match_length: int = 24
     edit_distance: int = 2
-    build_edits: int = 2
     stride: int = 4
-    mask_simple_repeats: bool = False
-    phix: bool = False
 
 
 @dataclass(frozen=True)
@@ -50,11 +45,12 @@ class DedupOptions:
     offset: int = 0
     consensus: bool = True
     edit_distance: int = 0
+    single: bool = False  # also unpaired reads, by their own starts
 
 
 @dataclass(frozen=True)
 class MatchOptions:
-    max_read_matches: int = 450
+    max_read_matches: int = 450  # of a contig, by hash order
     include_mate: bool = True
     min_overlap: int = 51
     min_identity: float = 0.986
@@ -70,20 +66,3 @@ class ExtendOptions:
     max_steps: int = 50
     max_contig: int = 3000
     max_iterations: int = 1000
-
-
-@dataclass(frozen=True)
-class VectorOptions:
-    k: int = 4
-    bins: int = 100
-    window: int = 10_000
-    step: int = 1_000
-    cluster_threshold: float = 0.175
-    formula: str = "EUCLIDEAN"  # or SPEARMAN
-
-
-@dataclass(frozen=True)
-class SampleOptions:
-    by_pair: bool = True
-    n: int = 1000
-    seed: int = 0

@@ -38,7 +38,7 @@ def p_table(min_quality: int = 3) -> np.ndarray:
 
 def to_phred(p: Column) -> Column:
     """Phred value of a probability, at most 40."""
-    return F.when(p >= 0.9999, 40).otherwise(F.least(F.floor(-10 * F.log10(1 - p)), F.lit(40)).cast("int"))
+    return F.when(p >= 0.9999, 40).otherwise(F.least(F.floor(-10 * F.log10(1 - p) + 1e-6), F.lit(40)).cast("int"))
 
 
 def rescale(qual: Column | str, from_base: int, to_base: int) -> Column:

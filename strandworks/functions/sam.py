@@ -37,6 +37,12 @@ def rank_score(flag: Column, nm: Column, mapq: Column, aligned: Column, length:
     return F.when(flag.isNull(), F.lit(1 << 30).cast("bigint")).when(has(flag, "unmapped"), F.lit(1 << 20).cast("bigint")).otherwise(mapped)
 
 
+def pair_terms(flag: Column, apart: Column) -> Column:
+    """What a paired record adds to its rank: for an unmapped mate, else for no proper pair and for mates on two references."""
+    loose = F.when(has(flag, "proper"), 0).otherwise(1 << 23) + F.when(apart, 1 << 25).otherwise(0)
+    return F.when(has(flag, "mate_unmapped"), 255 << 21).otherwise(loose).cast("bigint")
+
+
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Shared positions of two inclusive ranges."""
     return F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start) + 1)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from strandworks.functions.bind import let
 
@@ -59,23 +56,43 @@ def poisson_deviation(mean: Column, variance: Column) -> Column:
     return F.greatest(variance, F.sqrt(mean))
 
 
-def change_point(values: list[float]) -> int:
-    """Index at which a series splits into two levels with the greatest gap against both spreads.
+def random_bits(key: Column | str, seed: int = 0) -> Column:
+    """60 reproducible random bits of a key, as a BIGINT."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), _c(key).cast("string"))), 1, 15), 16, 10).cast("bigint")
 
-    0 if no split separates the levels.
+
+def random_int(key: Column | str, bound: int, seed: int = 0) -> Column:
+    """A reproducible random number from 0 to ``bound`` - 1."""
+    return random_bits(key, seed) % bound
+
+
+def random_double(key: Column | str, seed: int = 0) -> Column:
+    """A reproducible random number from 0 to 1 (excluded)."""
+    return random_bits(key, seed) / F.lit(float(1 << 60))
+
+
+def list_hash(names: Column | str) -> Column:
+    """A name for a list of names, such as the files of an input: the MD5 of the names, a line each."""
+    return F.md5(F.array_join(F.transform(_c(names), lambda n: F.concat(n, F.lit("\n"))), ""))
+
+
+def change_point(values: Column | str) -> Column:
+    """Index at which a series splits into two levels with the greatest gap against both spreads; 0 if no split separates them.
+
+    The spread of a level is the root of its variance, at least of the root of its mean.
     """
-    v = np.asarray(values, float)
-    best, at = 0.0, 0
-    for i in range(1, len(v)):
-        a, b = v[:i], v[i:]
-        spread = [max(float(x.var(ddof=1)) if len(x) > 1 else 0.0, float(np.sqrt(abs(x.mean())))) for x in (a, b)]
-        gap = abs(a.mean() - b.mean()) - sum(np.sqrt(s) for s in spread)
-        if gap > best:
-            best, at = gap, i
-    return at
-
-
-@F.pandas_udf(IntegerType())
-def change_points(values: pd.Series) -> pd.Series:
-    """Arrow form of :func:`change_point` for array columns."""
-    return values.map(lambda v: change_point(v) if v is not None else None)
+    def level(part: Column) -> Column:
+        n = F.size(part)
+        mean = F.aggregate(part, F.lit(0.0), lambda s, x: s + x) / n
+        square = let(F.struct(part.alias("p"), mean.alias("m")), lambda z: F.aggregate(z["p"], F.lit(0.0), lambda s, x: s + (x - z["m"]) * (x - z["m"])))
+        return F.struct(mean.alias("m"), F.greatest(F.when(n > 1, square / (n - 1)).otherwise(0.0), F.sqrt(F.abs(mean))).alias("s"))
+
+    def best(v: Column) -> Column:
+        def gap(i: Column) -> Column:
+            two = F.struct(level(F.slice(v, F.lit(1), i)).alias("a"), level(F.slice(v, i + 1, F.size(v) - i)).alias("b"))
+            return let(two, lambda t: F.struct((F.abs(t["a"]["m"] - t["b"]["m"]) - F.sqrt(t["a"]["s"]) - F.sqrt(t["b"]["s"])).alias("g"), (-i).alias("i")))
+
+        top = F.array_max(F.transform(F.sequence(F.lit(1), F.size(v) - 1), gap))
+        return F.when(F.size(v) < 2, 0).otherwise(let(top, lambda t: F.when(t["g"] > 0, -t["i"]).otherwise(0)))
+
+    return let(F.transform(_c(values), lambda x: x.cast("double")), best)

@@ -55,6 +55,27 @@ def best_alignments(records: DataFrame) -> DataFrame:
     return out.select("qname", "mate", "b.rank", (-F.col("b.neg")).alias("as_score"), "b.part", *(f"b.{c}" for c in rest))
 
 
+def best_pairs(records: DataFrame) -> DataFrame:
+    """The best record of each ``(qname, mate)``, mates of one index part ranked together: ``qname, mate, part, together, rank``.
+
+    The pair of least summed rank comes first, then of the greatest summed score, then
+    of the least part. It stands if both mates are proper or lie on one reference;
+    else each mate has its own best record, as has one without a mate.
+    """
+    mate = F.when(sam.has("flag", "read2"), 2).otherwise(1)
+    own = records.withColumn("mate", mate).withColumn("_s", sam.rank_score(F.col("flag"), F.col("nm"), F.col("mapq"), F.col("aligned") if "aligned" in records.columns else sam.aligned_bases("cigar"), F.col("seq_len")))
+    side = lambda n: own.where(F.col("mate") == n).select("qname", "part", *(F.col(c).alias(f"{c}{n}") for c in ("flag", "rname", "_s", "as_score")))
+    both = side(1).join(side(2), ["qname", "part"])
+    apart = F.col("rname1") != F.col("rname2")
+    rank = sum((F.col(f"_s{n}") + sam.pair_terms(F.col(f"flag{n}"), apart) for n in (1, 2)), F.lit(0).cast("bigint"))
+    proper = sam.has("flag1", "proper") & sam.has("flag2", "proper")
+    best = both.groupBy("qname").agg(F.min(F.struct(rank.alias("rank"), (-F.col("as_score1") - F.col("as_score2")).alias("neg"), "part", (proper | ~apart).alias("together"))).alias("p"))
+    single = own.groupBy("qname", "mate").agg(F.min(F.struct("_s", (-F.col("as_score")).alias("neg"), "part")).alias("o"))
+    j = single.join(best, "qname", "left")
+    together = F.coalesce("p.together", F.lit(False))
+    return j.select("qname", "mate", F.when(together, F.col("p.part")).otherwise(F.col("o.part")).alias("part"), together.alias("together"), F.when(together, F.col("p.rank")).alias("rank"))
+
+
 def fix_mates(records: DataFrame) -> DataFrame:
     """Set RNEXT, PNEXT, mate flags and TLEN from the mate with the same name.
 

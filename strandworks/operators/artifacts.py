@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandworks.config import ArtifactOptions
 from strandworks.functions import dna, quality
+from strandworks.functions.bind import let
 
 #: A side is broadcast only below this many k-mers; beyond, the join shuffles.
 BROADCAST_KMERS = 2_000_000
@@ -62,3 +64,102 @@ def summary(trimmed: DataFrame) -> DataFrame:
         F.count_if(F.col("action") == "trimmed").alias("reads_trimmed"), F.count_if(F.col("action") == "discarded").alias("reads_discarded"),
         F.sum(F.length("seq") - F.col("keep_length")).cast("bigint").alias("bases_removed"),
     )
+
+
+SEGMENTS = 3  # of a window; two substitutions leave one of them whole
+
+
+def _segments(code: str, k: int) -> Column:
+    """Numbered pieces of a code, as an array of structs to explode."""
+    bits = 2 * -(-k // SEGMENTS)
+    mask = (1 << bits) - 1
+    return F.array(*(F.struct(F.lit(i).alias("no"), F.shiftright(F.col(code), i * bits).bitwiseAND(F.lit(mask).cast("long")).alias("bits")) for i in range(SEGMENTS)))
+
+
+def _substitutions(a: str, b: str) -> Column:
+    """Bases in which two codes of one length differ."""
+    d = F.col(a).bitwiseXOR(F.col(b))
+    return F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(F.lit(0x5555555555555555).cast("long")))
+
+
+def quality_runs(marks: Column) -> Column:
+    """``struct(best, second)`` of a string of 1 and 0: the two longest runs of 1 as ``struct(bl, bo)``, earlier ones first on ties."""
+    def made(p):
+        runs = F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.struct((-F.length(F.get(p, i))).alias("m"), (F.length(F.array_join(F.slice(p, F.lit(1), i), "0")) + F.when(i > 0, 1).otherwise(0)).alias("bo")))
+        one = lambda x: F.struct(F.coalesce(-x["m"], F.lit(0)).alias("bl"), F.coalesce(x["bo"], F.lit(0)).alias("bo"))
+        return let(F.sort_array(runs), lambda r: F.struct(one(F.get(r, F.lit(0))).alias("best"), one(F.get(r, F.lit(1))).alias("second")))
+
+    return let(F.split(marks, "0"), made)
+
+
+def artifact_filter(reads: DataFrame, artifacts: DataFrame, options: ArtifactOptions = ArtifactOptions(), min_quality: int = 3, min_length: float = 0.40) -> DataFrame:
+    """What is kept of each read: ``read_id, artifact_id, action, keep_offset, keep_length, rescue_offset, rescue_length``.
+
+    The longest run of good quality comes first. Every ``stride``-th window in it that
+    lies within ``edit_distance`` substitutions of an artifact, on either strand, is a
+    hit; candidates share a third of the window with an artifact. The hits' range is
+    cut out of the run, and the longer flank stays, the left one on ties. A simple
+    repeat with one and a half windows of good bases on both sides is let be. The
+    artifact is that of the last hit, the least id there; a hit on a control genome
+    (kind ``reference``) comes before all and discards the read. A read of which only
+    the quality took something has the next free id, and its second run, if long
+    enough, is rescued. What fails the length rule is discarded.
+    """
+    k = options.match_length
+    if options.edit_distance >= SEGMENTS or k > dna.LONGEST:
+        raise ValueError(f"at most {SEGMENTS - 1} substitutions in at most {dna.LONGEST} bases")
+    seq_len = F.length("seq")
+    runs = reads.withColumn("_r", quality_runs(quality.good_marks("qual", min_quality)))
+    runs = runs.withColumn("_lo", F.when(F.col("_r.best.bl") > 0, F.col("_r.best.bo")).otherwise(0)).withColumn("_hi", F.col("_lo") + F.col("_r.best.bl"))
+    last = F.floor((F.col("_hi") + options.stride - 1) / options.stride) - k // options.stride - F.when(seq_len % options.stride == 0, 0).otherwise(1)
+    first = F.floor(F.col("_lo") / options.stride)
+    probes = runs.where(seq_len >= k).select("read_id", "seq", first.cast("int").alias("a"), last.cast("int").alias("b")).where("a <= b")
+    probes = probes.select("read_id", F.explode(F.sequence(F.col("a") * options.stride, F.col("b") * options.stride, F.lit(options.stride))).alias("pos"), "seq")
+    probes = probes.select("read_id", "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("f")).where((F.length("f") == k) & ~F.col("f").rlike("[^ACGT]"))
+    probes = probes.select("read_id", "pos", dna.code("f").alias("code")).select("read_id", "pos", "code", F.explode(_segments("code", k)).alias("s"))
+    own = artifacts.where(F.length("seq") >= k).select("artifact_id", "kind", F.explode(dna.windows("seq", k)).alias("f")).where(~F.col("f").rlike("[^ACGT]"))
+    own = own.select("artifact_id", "kind", F.explode(F.array(F.col("f"), dna.revcomp("f"))).alias("f")).distinct()
+    own = own.select("artifact_id", "kind", dna.code("f").alias("near")).select("artifact_id", "kind", "near", F.explode(_segments("near", k)).alias("s"))
+    own = F.broadcast(own) if own.count() <= BROADCAST_KMERS else own
+    hits = probes.join(own, "s").where(_substitutions("code", "near") <= options.edit_distance)
+    control = F.max(F.col("kind") == "reference")
+    found = hits.groupBy("read_id").agg(
+        F.min("pos").alias("_a"), (F.max("pos") + k).alias("_b"), control.alias("_control"),
+        F.max(F.struct("pos", (-F.col("artifact_id")).alias("neg"), "kind")).alias("_last"), F.min(F.when(F.col("kind") == "reference", F.col("artifact_id"))).alias("_ref"),
+    )
+    j = runs.join(found, "read_id", "left")
+    lo, hi, a, b = (F.col(c) for c in ("_lo", "_hi", "_a", "_b"))
+    margin = 3 * k // 2
+    let_be = (F.col("_last.kind") == "repeat") & ~F.col("_control") & (a - lo >= margin) & (hi - b >= margin)
+    hit = a.isNotNull() & ~F.coalesce(let_be, F.lit(False))
+    left = (a - lo) >= (hi - b)
+    keep_lo = F.when(hit & ~left, b).otherwise(lo)
+    keep_hi = F.when(hit & left, a).otherwise(hi)
+    size = F.greatest(keep_hi - keep_lo, F.lit(0))
+    only_quality = ~hit & (hi - lo != seq_len)
+    quality_id = artifacts.agg(F.coalesce(F.max(F.when(F.col("kind") != "reference", F.col("artifact_id"))), F.lit(-1)) + 1).first()[0]
+    fails = ~quality.passes_length(size, seq_len, min_length)
+    action = F.when(hit & F.col("_control"), "discarded").when(hit | only_quality, F.when(fails, "discarded").otherwise("trimmed")).otherwise("none")
+    rescued = only_quality & quality.passes_length(F.col("_r.second.bl"), seq_len, min_length)
+    return j.select(
+        "read_id", F.when(hit, F.coalesce("_ref", -F.col("_last.neg"))).when(only_quality, quality_id).cast("int").alias("artifact_id"), action.alias("action"),
+        F.when(action == "discarded", 0).otherwise(keep_lo).cast("int").alias("keep_offset"), F.when(action == "discarded", 0).otherwise(size).cast("int").alias("keep_length"),
+        F.when(rescued, F.col("_r.second.bo")).alias("rescue_offset"), F.when(rescued, F.col("_r.second.bl")).alias("rescue_length"),
+    )
+
+
+def apply_filter(reads: DataFrame, found: DataFrame) -> DataFrame:
+    """Reads cut as :func:`artifact_filter` says, labelled, with ``discarded``; rescued runs follow as ``<name>-qtrim``.
+
+    Rescued reads go on behind the greatest id.
+    """
+    j = reads.join(found, "read_id")
+    trimmed = F.col("action") == "trimmed"
+    cut = lambda c: F.when(trimmed, F.substring(c, F.col("keep_offset") + 1, F.col("keep_length"))).otherwise(F.col(c)).alias(c)
+    kept = [c for c in reads.columns if c not in ("seq", "qual", "label", "discarded")]
+    out = j.select(*kept, cut("seq"), cut("qual"), F.when(trimmed, F.format_string("AFTrim:%d+%d", "keep_offset", "keep_length")).alias("label"), (F.col("action") == "discarded").alias("discarded"))
+    second = lambda c: F.substring(c, F.col("rescue_offset") + 1, F.col("rescue_length")).alias(c)
+    top = reads.agg(F.coalesce(F.max("read_id"), F.lit(-1)).alias("_m"))
+    named = [F.concat("name", F.lit("-qtrim")).alias("name") if c == "name" else (F.col("read_id") + F.col("_m") + 1).alias("read_id") if c == "read_id" else F.col(c) for c in kept]
+    more = j.where("rescue_length IS NOT NULL").crossJoin(F.broadcast(top)).select(*named, second("seq"), second("qual"), F.format_string("AFTrim:%d+%d", "rescue_offset", "rescue_length").alias("label"), F.lit(False).alias("discarded"))
+    return out.unionByName(more)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandworks.config import ExtendOptions, MatchOptions
 from strandworks.functions import dna, sam
 from strandworks.lineage import cut
-from strandworks.operators import kmers
+from strandworks.operators import kmers, ordered
 
 
 class Matcher(Protocol):
@@ -44,22 +44,47 @@ def complete_mates(matches: DataFrame, reads: DataFrame) -> DataFrame:
     return keyed.join(reads.select("read_id", "pair_key"), "pair_key").select("contig_id", "read_id").distinct()
 
 
+def limit_matches(matches: DataFrame, options: MatchOptions = MatchOptions(), seed: int = 0) -> DataFrame:
+    """At most ``max_read_matches`` reads of each contig, the first in hash order."""
+    from strandworks.operators.reads import hash_order
+
+    return ordered.top_of_group(matches, "contig_id", [hash_order("read_id", seed), "read_id"], options.max_read_matches)
+
+
+def best_contig(contigs: DataFrame, candidates: DataFrame, k: int, least_share: float) -> DataFrame:
+    """``contig_id, cand_id, overlap``: the longer candidate with the most windows in common with a contig; null if none has enough.
+
+    ``candidates`` has ``cand_id, seq``; enough is ``least_share`` of the contig's bases.
+    """
+    own = kmers.observe(contigs.withColumnRenamed("contig_id", "read_id"), k)
+    key = kmers.key_of(own)
+    own = own.select(F.col("read_id").alias("contig_id"), key).distinct()
+    theirs = kmers.observe(candidates.withColumnRenamed("cand_id", "read_id"), k).select(F.col("read_id").alias("cand_id"), "pos", key)
+    shared = own.join(theirs, key).groupBy("contig_id", "cand_id").agg(F.countDistinct("pos").alias("overlap"))
+    sized = shared.join(contigs.select("contig_id", F.length("seq").alias("n")), "contig_id").join(candidates.select("cand_id", F.length("seq").alias("m")), "cand_id")
+    good = sized.where((F.col("m") > F.col("n")) & (F.col("overlap") >= F.floor(F.col("n") * least_share)))
+    best = good.groupBy("contig_id").agg(F.max(F.struct("overlap", (-F.col("cand_id")).alias("neg"))).alias("b"))
+    return contigs.select("contig_id").join(best, "contig_id", "left").select("contig_id", (-F.col("b.neg")).alias("cand_id"), "b.overlap")
+
+
 def seed_alignments(contigs: DataFrame, reads: DataFrame, k: int, options: MatchOptions = MatchOptions()) -> DataFrame:
-    """Best ungapped alignment of each matched pair on a seed diagonal, forward strand.
+    """Best ungapped alignment of each matched pair on a seed diagonal, over both strands of the read.
 
-    ``contig_id, read_id, shift, overlap, mismatches``: the contig position of read
-    base 0 is ``shift``; the best has the most matching bases, then the least shift.
+    ``contig_id, read_id, strand, shift, overlap, mismatches``: the contig position of
+    base 0 of the read (``strand`` 0) or of its reverse complement (1) is ``shift``; the
+    best has the most matching bases, then the least shift, then strand 0.
     """
     at = contigs.where(F.length("seq") >= k).select("contig_id", F.length("seq").alias("n"), F.posexplode(dna.windows("seq", k)).alias("cp", "kmer"))
     at = at.where((F.col("cp") < options.max_from_edge) | (F.col("cp") + k > F.col("n") - options.max_from_edge)).drop("n")
-    seeds = reads.where(F.length("seq") >= k).select("read_id", F.posexplode(dna.windows("seq", k)).alias("rp", "kmer"))
-    lines = at.join(seeds, "kmer").select("contig_id", "read_id", (F.col("cp") - F.col("rp")).alias("shift")).distinct()
-    full = lines.join(contigs.select("contig_id", F.col("seq").alias("cs")), "contig_id").join(reads.select("read_id", F.col("seq").alias("rs")), "read_id")
+    turned = reads.select("read_id", F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.col("seq").alias("seq")), F.struct(F.lit(1).alias("strand"), dna.revcomp("seq").alias("seq")))).alias("x")).select("read_id", "x.strand", "x.seq")
+    seeds = turned.where(F.length("seq") >= k).select("read_id", "strand", F.posexplode(dna.windows("seq", k)).alias("rp", "kmer"))
+    lines = at.join(seeds, "kmer").select("contig_id", "read_id", "strand", (F.col("cp") - F.col("rp")).alias("shift")).distinct()
+    full = lines.join(contigs.select("contig_id", F.col("seq").alias("cs")), "contig_id").join(turned.select("read_id", "strand", F.col("seq").alias("rs")), ["read_id", "strand"])
     c0, r0 = F.greatest(F.lit(0), F.col("shift")), F.greatest(F.lit(0), -F.col("shift"))
     n = F.least(F.length("cs") - c0, F.length("rs") - r0)
     cut = full.withColumn("overlap", n).withColumn("mismatches", dna.mismatches(F.substring("cs", c0 + 1, n), F.substring("rs", r0 + 1, n)))
-    best = F.max(F.struct((F.col("overlap") - F.col("mismatches")).alias("m"), (-F.col("shift")).alias("s"), "overlap", "mismatches")).alias("b")
-    return cut.groupBy("contig_id", "read_id").agg(best).select("contig_id", "read_id", (-F.col("b.s")).alias("shift"), "b.overlap", "b.mismatches")
+    best = F.max(F.struct((F.col("overlap") - F.col("mismatches")).alias("m"), (-F.col("shift")).alias("s"), (-F.col("strand")).alias("t"), "overlap", "mismatches")).alias("b")
+    return cut.groupBy("contig_id", "read_id").agg(best).select("contig_id", "read_id", (-F.col("b.t")).alias("strand"), (-F.col("b.s")).alias("shift"), "b.overlap", "b.mismatches")
 
 
 def screen_overhangs(alignments: DataFrame, lengths: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
@@ -129,15 +154,43 @@ def rename(name: str = "name", left: str = "left", right: str = "right"):
     return F.format_string("%s-l%dr%d", base, had(1) + F.col(left), had(2) + F.col(right))
 
 
-def assemble(contigs: DataFrame, reads: DataFrame, k: int, options: ExtendOptions = ExtendOptions(), match_options: MatchOptions = MatchOptions(), rounds: int | None = None) -> DataFrame:
-    """Match reads, count their k-mers, extend; until no contig grows or all have ``max_contig`` bases."""
-    now = contigs.select("contig_id", "seq")
+def near_reads(contigs: DataFrame, reads: DataFrame, k: int, options: MatchOptions = MatchOptions()) -> DataFrame:
+    """Reads for the contigs' ends: matched, screened for overhang, limited by contig, and with ``include_mate`` their mates."""
+    hits = match(contigs, kmers.observe(reads, k), k, options)
+    if options.overlap_only:
+        some = reads.join(hits.select("read_id").distinct(), "read_id", "left_semi")
+        placed = seed_alignments(contigs, some, k, options)
+        sizes = placed.select("contig_id", "read_id").join(contigs.select("contig_id", F.length("seq").alias("n")), "contig_id").join(some.select("read_id", F.length("seq").alias("m")), "read_id")
+        hits = screen_overhangs(placed, sizes, options).select("contig_id", "read_id")
+    hits = limit_matches(hits.select("contig_id", "read_id"), options)
+    if options.include_mate and "pair_key" in reads.columns:
+        hits = complete_mates(hits, reads)
+    return reads.join(hits.select("read_id").distinct(), "read_id", "left_semi")
+
+
+def assemble(
+    contigs: DataFrame, reads: DataFrame, k: int, options: ExtendOptions = ExtendOptions(), match_options: MatchOptions = MatchOptions(overlap_only=False),
+    rounds: int | None = None, greatest_k: int | None = None, step_k: int = 2, assembler: Assembler | None = None,
+) -> DataFrame:
+    """Match reads, count their k-mers, extend; until no contig grows or all have ``max_contig`` bases.
+
+    Where no contig grows with k, k + ``step_k``, ... up to ``greatest_k`` are tried
+    before the end. An ``assembler`` takes the place of the extension: it makes longer
+    candidates of ``contig_id, seq`` and the reads (``cand_id, seq``), of which the best by
+    :func:`best_contig` is taken.
+    """
+    now, size = contigs.select("contig_id", "seq"), k
     for _ in range(rounds or options.max_iterations):
-        hits = match(now, kmers.observe(reads, k), k, match_options)
-        near = reads.join(hits.select("read_id").distinct(), "read_id", "left_semi")
-        grown = extend_both(now, kmers.spectrum(kmers.observe(near, k)), k, options)
-        grown = cut(grown)
+        near = near_reads(now, reads, k, match_options)
+        if assembler is not None:
+            made = cut(assembler(now, near))
+            best = best_contig(now, made, k, 0.5).join(made.select("cand_id", F.col("seq").alias("longer")), "cand_id", "left")
+            grown = cut(now.join(best, "contig_id").select("contig_id", F.coalesce("longer", "seq").alias("seq"), F.lit(0).alias("left"), F.when(F.col("longer").isNotNull(), F.length("longer") - F.length("seq")).otherwise(0).alias("right")))
+        else:
+            grown = cut(extend_both(now, kmers.spectrum(kmers.observe(near, size)), size, options))
         now = grown.select("contig_id", "seq")
         if grown.where("left + `right` > 0").isEmpty():
-            break
+            if assembler is not None or greatest_k is None or size + step_k > greatest_k:
+                break
+            size += step_k
     return now

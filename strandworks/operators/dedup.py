@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandworks.functions import dna, quality
+from strandworks.config import DedupOptions
+from strandworks.functions import dna, quality, stats
+from strandworks.lineage import cut
 
 # Ties between bases of equal weight go to T, then G, then C, then A.
 _TIE = {"A": 0, "C": 1, "G": 2, "T": 3}
@@ -25,21 +27,63 @@ def duplicate_groups(pairs: DataFrame, length: int = 24, offset: int = 0, mode:
     return keyed.groupBy("frag_key").agg(F.count("*").alias("members"), F.min("pair_id").alias("first_pair")).where("members >= 2")
 
 
+def single_key(seq: Column, length: int = 24, offset: int = 0, mode: int = 1) -> Column:
+    """Key of an unpaired read: its first ``2 * length`` bases; mode 2 takes the lesser strand. Null if too short."""
+    key = F.substring(seq, offset + 1, 2 * length)
+    key = dna.canonical(key) if mode == 2 else key
+    return F.when(F.length(seq) >= offset + 2 * length, key)
+
+
+def duplicate_reads(reads: DataFrame, length: int = 24, offset: int = 0, mode: int = 1) -> DataFrame:
+    """``frag_key, members, first_read``: starts of unpaired reads that occur at least twice."""
+    keyed = reads.select("read_id", single_key(F.col("seq"), length, offset, mode).alias("frag_key")).where("frag_key IS NOT NULL")
+    return keyed.groupBy("frag_key").agg(F.count("*").alias("members"), F.min("read_id").alias("first_read")).where("members >= 2")
+
+
+def nearest_roots(counts: DataFrame, mode: int = 1) -> DataFrame:
+    """``frag_key, n, root`` of ``frag_key, n``: where each key ends by going to its strongest neighbour, again and again.
+
+    Neighbours differ in one base; stronger is the greater count, then the greater key,
+    and only a stronger neighbour is followed, so there are no cycles. Keys with one
+    base masked meet in groups of at most four (eight with mode 2, where both strands
+    of a key count). Paths are halved in each round.
+    """
+    strands = F.array(F.col("frag_key"), dna.revcomp("frag_key")) if mode == 2 else F.array("frag_key")
+    each = counts.select("frag_key", "n", F.explode(strands).alias("s"))
+    masks = F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.overlay("s", F.lit("*"), i, F.lit(1)))
+    top = F.max(F.struct("n", "frag_key"))
+    near = each.select("frag_key", "n", F.explode(masks).alias("mask")).withColumn("t", top.over(Window.partitionBy("mask")))
+    step = cut(near.groupBy("frag_key", "n").agg(F.max("t").alias("t")).select("frag_key", "n", F.col("t.frag_key").alias("root")))
+    while True:
+        ahead = step.select(F.col("frag_key").alias("root"), F.col("root").alias("next"))
+        step = cut(step.join(ahead, "root").select("frag_key", "n", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        if step.where("moved").isEmpty():
+            return step.drop("moved")
+        step = step.drop("moved")
+
+
 def consensus(reads: DataFrame) -> DataFrame:
-    """Consensus of each group of reads: ``grp, cons_seq, members``.
+    """Consensus of each group of reads: ``grp, cons_seq, cons_qual, members``.
 
     ``reads`` has ``grp, seq`` and ``q`` (array of integers). A base adds its
     probability to its letter and a third of the rest to the others; the best
-    letter wins. Sums are made by (group, position, letter) with partial
-    aggregation, so the size of a group does not matter.
+    letter wins. Its quality is that of the surest base that says the letter, or of
+    the mean weight where another letter is the surest. Sums are made by (group,
+    position, letter) with partial aggregation, so the size of a group does not matter.
     """
     each = reads.select("grp", F.posexplode(F.arrays_zip(F.split("seq", "").alias("b"), F.col("q").alias("v"))).alias("pos", "x"))
     p = quality.p_correct(F.col("x.v"), 0)
     other = (1 - p) / 3
-    sums = each.groupBy("grp", "pos").agg(*(F.sum(F.when(F.col("x.b") == b, p).when(F.col("x.b").isin(*_TIE), other).otherwise(0.25)).alias(b) for b in _TIE))
+    sums = each.groupBy("grp", "pos").agg(
+        *(F.sum(F.when(F.col("x.b") == b, p).when(F.col("x.b").isin(*_TIE), other).otherwise(0.25)).alias(b) for b in _TIE),
+        F.count("*").alias("of"), F.max(F.when(F.col("x.b").isin(*_TIE), F.struct(p.alias("p"), F.col("x.b").alias("b")))).alias("surest"),
+    )
     best = F.array_max(F.array(*(F.struct(F.round(b, 9).alias("w"), F.lit(t).alias("t"), F.lit(b).alias("base")) for b, t in _TIE.items())))
-    top = sums.select("grp", "pos", best.alias("m"))
-    made = top.groupBy("grp").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col("m.base").alias("b")))), lambda s: s["b"]), "").alias("cons_seq"))
+    top = sums.select("grp", "pos", best.alias("m"), "of", "surest")
+    sure = F.when(F.col("surest.b") == F.col("m.base"), F.col("surest.p")).otherwise(F.col("m.w") / F.col("of"))
+    sign = F.char(quality.to_phred(F.least(F.greatest(sure, F.lit(0.0)), F.lit(1.0))) + 33)
+    rows = F.sort_array(F.collect_list(F.struct("pos", F.col("m.base").alias("b"), sign.alias("q"))))
+    made = top.groupBy("grp").agg(rows.alias("r")).select("grp", *(F.array_join(F.transform("r", lambda s: s[c]), "").alias(n) for c, n in (("b", "cons_seq"), ("q", "cons_qual"))))  # noqa: B023
     return made.join(reads.groupBy("grp").agg(F.count("*").alias("members")), "grp")
 
 
@@ -49,16 +93,56 @@ def centroid(reads: DataFrame, consensus_table: DataFrame) -> DataFrame:
     return near.groupBy("grp").agg(F.min(F.struct("distance", "read_id")).alias("m")).select("grp", "m.read_id", "m.distance")
 
 
-def dedup_fragments(pairs: DataFrame, length: int = 24, offset: int = 0, mode: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Pairs that are no duplicates, and consensus sequences ``C<n>-<first>`` of both mates of each duplicate group."""
+def dedup_fragments(pairs: DataFrame, length: int = 24, offset: int = 0, mode: int = 1, edit_distance: int = 0, by_consensus: bool = True, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Pairs that are no duplicates, and what stands for each duplicate group: ``name, seq, qual, members`` of both mates.
+
+    ``pairs`` has ``pair_id, seq1, seq2, q1, q2`` (arrays of integers). With
+    ``edit_distance`` 1 groups whose keys differ in one base are one, see
+    :func:`nearest_roots`. A group gives the consensus ``C<n>-<first>``, or without
+    ``by_consensus`` one pair by hash order.
+    """
+    if edit_distance > 1:
+        raise ValueError("keys are merged at a distance of 1")
     keyed = pairs.withColumn("frag_key", fragment_key(F.col("seq1"), F.col("seq2"), length, offset, mode))
-    groups = duplicate_groups(pairs, length, offset, mode)
+    if edit_distance:
+        counts = keyed.where("frag_key IS NOT NULL").groupBy("frag_key").agg(F.count("*").alias("n"))
+        keyed = keyed.join(nearest_roots(counts, mode).drop("n"), "frag_key", "left").withColumn("frag_key", F.coalesce("root", "frag_key")).drop("root")
+    groups = cut(keyed.where("frag_key IS NOT NULL").groupBy("frag_key").agg(F.count("*").alias("members"), F.min("pair_id").alias("first_pair"), F.min(F.struct(stats.random_bits("pair_id", seed), "pair_id")).alias("_s")).where("members >= 2"))
     single = keyed.join(groups.select("frag_key"), "frag_key", "left_anti").drop("frag_key")
-    several = keyed.join(groups, "frag_key")
+    several = keyed.join(groups.select("frag_key", F.col("members").alias("_m"), "first_pair", F.col("_s.pair_id").alias("_one")), "frag_key")
     out = None
     for mate in (1, 2):
-        rows = several.select(F.col("frag_key").alias("grp"), F.col(f"seq{mate}").alias("seq"), F.col(f"q{mate}").alias("q"))
-        made = consensus(rows).withColumn("mate", F.lit(mate))
+        seq, q = F.col(f"seq{mate}").alias("seq"), F.col(f"q{mate}").alias("q")
+        if by_consensus:
+            rows = several.select(F.col("frag_key").alias("grp"), seq, q)
+            made = consensus(rows).join(groups.select(F.col("frag_key").alias("grp"), "first_pair"), "grp").select("members", "first_pair", F.col("cons_seq").alias("seq"), F.col("cons_qual").alias("qual"))
+        else:
+            made = several.where("pair_id = _one").select(F.col("_m").alias("members"), "first_pair", seq, quality.quality_text(q).alias("qual"))
+        made = made.select(F.format_string("C%d-%d/%d", "members", "first_pair", F.lit(mate)).alias("name"), "seq", "qual", "members")
         out = made if out is None else out.unionByName(made)
-    named = out.join(groups.select(F.col("frag_key").alias("grp"), "first_pair"), "grp")
-    return single, named.select(F.format_string("C%d-%d/%d", "members", "first_pair", "mate").alias("name"), F.col("cons_seq").alias("seq"), "members")
+    return single, out
+
+
+def dedup_reads(reads: DataFrame, options: DedupOptions = DedupOptions()) -> DataFrame:
+    """``name, seq, qual, members``: reads without duplicate fragments, and what stands for those.
+
+    ``reads`` has ``read_id, name, comment, seq, qual``. Reads without a mate stay as
+    they are, or with ``options.single`` are deduplicated by their own starts.
+    """
+    from strandworks.operators import reads as rd
+
+    found = rd.identify_pairs(reads)
+    side = lambda n: reads.select(F.col("read_id").alias(f"read{n}"), F.col("seq").alias(f"seq{n}"), quality.phreds("qual").alias(f"q{n}"))
+    pairs = found.where("read1 IS NOT NULL AND read2 IS NOT NULL").withColumn("pair_id", F.col("read1")).join(side(1), "read1").join(side(2), "read2")
+    single, made = dedup_fragments(pairs, options.length, options.offset, options.mode, options.edit_distance, options.consensus)
+    kept = reads.join(single.select(F.explode(F.array("read1", "read2")).alias("read_id")), "read_id", "left_semi")
+    alone = reads.join(found.where("read1 IS NULL OR read2 IS NULL").select(F.coalesce("read1", "read2").alias("read_id")), "read_id", "left_semi")
+    plain = lambda df: df.select("name", "seq", "qual", F.lit(1).cast("long").alias("members"))
+    out = plain(kept).unionByName(made)
+    if not options.single:
+        return out.unionByName(plain(alone))
+    keyed = alone.withColumn("frag_key", single_key(F.col("seq"), options.length, options.offset, options.mode))
+    groups = cut(duplicate_reads(alone, options.length, options.offset, options.mode))
+    rows = keyed.join(groups.select("frag_key"), "frag_key").select(F.col("frag_key").alias("grp"), "seq", quality.phreds("qual").alias("q"))
+    ones = consensus(rows).join(groups.select(F.col("frag_key").alias("grp"), "first_read"), "grp").select(F.format_string("C%d-%d", "members", "first_read").alias("name"), F.col("cons_seq").alias("seq"), F.col("cons_qual").alias("qual"), "members")
+    return out.unionByName(plain(keyed.join(groups.select("frag_key"), "frag_key", "left_anti"))).unionByName(ones)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandworks.config import KmerOptions
 from strandworks.functions import dna, quality
 from strandworks.functions.bind import let
-from strandworks.operators import windows
+from strandworks.operators import ordered, windows
 
 EXTENSION_LETTERS = "ACGTNX"
 
@@ -185,15 +185,40 @@ def gc_heatmap(spec: DataFrame) -> DataFrame:
 
 
 def size_history(observations: DataFrame, cuts: int = 20) -> DataFrame:
-    """Growth of the spectrum over the reads: ``part, raw, distinct_kmers, singletons``.
+    """Growth of the spectrum over ``cuts`` equal ranges of read ids, see :func:`history_of`."""
+    bounds = observations.agg(F.min("read_id").alias("lo"), F.max("read_id").alias("hi"))
+    return history_of(observations.crossJoin(F.broadcast(bounds)).withColumn("part", F.floor((F.col("read_id") - F.col("lo")) * cuts / (F.col("hi") - F.col("lo") + 1)).cast("int")))
+
+
+def growth_limits(most: int, first: int = 128, growth: float = 1.05) -> list[int]:
+    """first, and each limit times ``growth``, in whole numbers, up to ``most``."""
+    out = []
+    while first <= most:
+        out.append(first)
+        first = int(first * growth)
+    return out
+
 
-    Reads are taken in read_id order and the id range is cut in ``cuts`` equal parts; the
-    state after each part comes from each k-mer's first and second part, so it
-    takes one aggregate by k-mer, and windows over ``cuts`` rows only.
+def size_history_growth(observations: DataFrame, first: int = 128, growth: float = 1.05) -> DataFrame:
+    """A snapshot of the spectrum's sizes whenever the raw count has grown by 5 %, in read_id order, see :func:`history_of`.
+
+    A read belongs to the first snapshot whose limit the reads before it had not
+    reached; reads are added up by ranges, and there are some hundred limits at most.
     """
-    bounds = observations.agg(F.min("read_id").alias("lo"), F.max("read_id").alias("hi"))
-    parted = observations.crossJoin(F.broadcast(bounds)).withColumn("part", F.floor((F.col("read_id") - F.col("lo")) * cuts / (F.col("hi") - F.col("lo") + 1)).cast("int"))
-    key = key_of(observations)
+    sizes = ordered.running_sum(observations.groupBy("read_id").agg(F.count("*").alias("_n")), "read_id", "_n", "_r")
+    most = sizes.agg(F.max("_r")).first()[0] or 0
+    limits = F.array(*(F.lit(x).cast("long") for x in growth_limits(most, first, growth) or [first]))
+    parts = sizes.select("read_id", F.size(F.filter(limits, lambda x: x <= F.col("_r") - F.col("_n"))).alias("part"))
+    return history_of(observations.join(parts, "read_id"))
+
+
+def history_of(parted: DataFrame) -> DataFrame:
+    """``part, raw, distinct_kmers, singletons`` after each part of the observations.
+
+    The state comes from each k-mer's first and second part, so it takes one aggregate
+    by k-mer, and windows over a row a part only.
+    """
+    key = key_of(parted)
     by_part = parted.groupBy(key, "part").agg(F.count("*").alias("n"))
     seen = by_part.groupBy(key).agg(F.min("part").alias("first"), F.min_by("n", "part").alias("n_first"), F.sort_array(F.collect_list("part")).alias("parts"))
     second = F.when(F.col("n_first") > 1, F.col("first")).otherwise(F.get("parts", F.lit(1)))
@@ -207,6 +232,36 @@ def size_history(observations: DataFrame, cuts: int = 20) -> DataFrame:
     )
 
 
+def sampled_totals(sample: DataFrame, n: int) -> DataFrame:
+    """One row of sizes of a whole spectrum, from the spectrum of one in ``n`` of its k-mers."""
+    return sample.agg((F.count("*") * n).alias("distinct_kmers"), (F.count_if(F.col("n") == 1) * n).alias("singletons"), (F.coalesce(F.sum("n"), F.lit(0)) * n).alias("raw"))
+
+
+def estimate_raw(reads: DataFrame, k: int, peek: int = 5000, of_rows: int | None = None) -> int:
+    """About how many windows the reads have, from the first ``peek`` of them; a statistic, no result depends on it."""
+    some = reads.limit(peek).agg(F.count("*").alias("r"), F.sum(F.greatest(F.length("seq") - k + 1, F.lit(0))).alias("w")).first()
+    return int((some.w or 0) / max(some.r, 1) * (of_rows if of_rows is not None else reads.count()))
+
+
+def error_ratios(observations: DataFrame, spec: DataFrame, k: int, strong: float) -> DataFrame:
+    """``kmer, pos, ratio`` of k-mers over ``strong``: how often their weak 1-substitution neighbours come at each position of a read.
+
+    The ratio is the upper median of the neighbours' counts at a position, times their
+    number, over the k-mer's own count. Strong neighbours correct it: they add to that
+    count, and the same over each of theirs is taken off.
+    """
+    lead = spec.where(F.col("n") > strong).select("kmer", "n")
+    probes = lead.select(F.col("kmer").alias("strong"), "n", F.explode(F.array_distinct(F.transform(dna.neighbours("kmer", k), dna.canonical))).alias("kmer")).where("kmer <> strong")
+    solid = probes.join(lead.select("kmer", F.col("n").alias("m")), "kmer").groupBy("strong").agg(F.sum("m").alias("more"), F.sum(1 / F.col("m")).alias("inverse"))
+    weak = observations.select("kmer", "pos").join(probes.select("kmer").distinct(), "kmer", "left_semi").join(lead.select("kmer"), "kmer", "left_anti")
+    at = weak.groupBy("kmer", "pos").agg(F.count("*").alias("s"))
+    each = probes.join(at, "kmer").groupBy("strong", "n", "pos").agg(F.sort_array(F.collect_list("s")).alias("v"))  # at most 3k values a group
+    mass = F.get("v", F.floor(F.size("v") / 2).cast("int")) * F.size("v")
+    j = each.join(solid, "strong", "left")
+    ratio = F.when(F.col("more").isNull(), mass / F.col("n")).otherwise(mass / (F.col("n") + F.col("more")) - mass * F.col("inverse"))
+    return j.select(F.col("strong").alias("kmer"), "pos", ratio.alias("ratio"))
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row on two spectra: k-mers and visits in common and in all."""
     both = a.select("kmer", F.col("n").alias("na")).join(b.select("kmer", F.col("n").alias("nb")), "kmer", "full_outer")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandworks.config import KmerOptions, SelectOptions
 from strandworks.functions import dna, quality, stats
 from strandworks.functions.bind import let
-from strandworks.operators import kmers
+from strandworks.lineage import cut
+from strandworks.operators import kmers, ordered
 
 
 def quality_trim(reads: DataFrame, min_quality: int = 3, min_length: float = 0.40) -> DataFrame:
@@ -108,6 +109,24 @@ def score_and_trim(scores: DataFrame, k: int, how: str = "MEDIAN") -> DataFrame:
     )
 
 
+def bimodal_splits(scores: DataFrame) -> DataFrame:
+    """``read_id, split``: the number of windows before the drop or rise that divides a read's values best; 0 if none does.
+
+    A split has the difference of the two means less the root of either side's spread,
+    which is the variance, but at least the root of the mean. Windows of one read only.
+    """
+    each = scores.select("read_id", F.posexplode("values").alias("p", "v")).withColumn("v", F.col("v").cast("long"))
+    so_far, whole = Window.partitionBy("read_id").orderBy("p"), Window.partitionBy("read_id")
+    v = F.col("v")
+    sums = each.select("read_id", F.count("*").over(so_far).alias("n"), F.sum(v).over(so_far).alias("s"), F.sum(v * v).over(so_far).alias("q"), F.count("*").over(whole).alias("nn"), F.sum(v).over(whole).alias("ss"), F.sum(v * v).over(whole).alias("qq")).where("n < nn")
+    left, right = (F.col("n"), F.col("s"), F.col("q")), (F.col("nn") - F.col("n"), F.col("ss") - F.col("s"), F.col("qq") - F.col("q"))
+    mean = lambda side: side[1] / side[0]
+    spread = lambda side: F.greatest(F.when(side[0] > 1, (side[2] - side[1] * side[1] / side[0]) / (side[0] - 1)).otherwise(0.0), F.sqrt(mean(side)))
+    gap = F.round(F.abs(mean(left) - mean(right)) - F.sqrt(spread(left)) - F.sqrt(spread(right)), 9)
+    best = sums.groupBy("read_id").agg(F.max(F.struct(gap.alias("g"), (-F.col("n")).alias("neg"))).alias("b"))
+    return best.select("read_id", F.when(F.col("b.g") > 0, -F.col("b.neg")).otherwise(0).alias("split"))
+
+
 def passes(trimmed: DataFrame, reads: DataFrame, options: SelectOptions = SelectOptions()) -> DataFrame:
     """Reads with ``passes``: enough score and length (against the read's length), and not discarded."""
     both = reads.join(trimmed, "read_id", "left")
@@ -152,43 +171,139 @@ def as_output(picked: DataFrame, k: int, scoring: str = "MEDIAN", base: int = 33
     )
 
 
+def depth_ladder(top: int, least: int) -> list[int]:
+    """top, top/2, top/4, ..., not below ``least``."""
+    steps = []
+    while top >= max(least, 1):
+        steps.append(top)
+        top //= 2
+    return steps
+
+
 def partition_by_depth(scored: DataFrame, top: int, least: int) -> DataFrame:
     """Add ``partition``: the greatest of top, top/2, top/4, ... (not below ``least``) that the score reaches; null for none."""
-    depth, cases = top, None
-    while depth >= least and depth > 0:
+    cases = None
+    for depth in depth_ladder(top, least):
         hit = F.col("score") >= depth
         cases = F.when(hit, depth) if cases is None else cases.when(hit, depth)
-        depth //= 2
     return scored.withColumn("partition", cases if cases is not None else F.lit(None).cast("int"))
 
 
-def normalize_random(pairs: DataFrame, target: int, key: str = "pair_key") -> DataFrame:
-    """Pairs kept by depth: all up to ``target``; above, pairs whose hash modulo the score is at most ``target``."""
+def partition_pairs(tested: DataFrame, top: int, least: int, options: SelectOptions = SelectOptions(), remainder_length: float = 0.0) -> DataFrame:
+    """``pair_key, partition``: the greatest depth at which enough mates of a pair pass; 0 for the remainder.
+
+    ``tested`` has ``pair_key, score, trim_length, length``. The remainder, with a
+    ``remainder_length``, are pairs not picked so far of which one mate passes the least
+    depth with at least that length; other pairs are left out.
+    """
+    long_enough = quality.passes_length(F.coalesce("trim_length", F.lit(0)), F.col("length"), options.min_length)
+    of = F.count("*")
+    picks = [F.count_if(long_enough & (F.coalesce("score", F.lit(0.0)) >= d)).alias(f"_{d}") for d in depth_ladder(top, least)]
+    rest = quality.passes_length(F.coalesce("trim_length", F.lit(0)), F.col("length"), remainder_length) if remainder_length else F.lit(False)
+    sums = tested.groupBy("pair_key").agg(*picks, of.alias("_of"), F.count_if(rest & (F.coalesce("score", F.lit(0.0)) >= least)).alias("_rest"))
+    chosen = F.coalesce(*(F.when((F.col(f"_{d}") > 0) & (F.col(f"_{d}") >= F.least(F.lit(options.min_passing_in_pair), F.col("_of"))), d) for d in depth_ladder(top, least)), F.when(F.col("_rest") > 0, 0))
+    return sums.select("pair_key", chosen.cast("int").alias("partition")).where("partition IS NOT NULL")
+
+
+def normalize_random(pairs: DataFrame, target: int, key: str = "pair_key", log_scale: bool = False) -> DataFrame:
+    """Pairs kept by depth: all up to ``target``; above, pairs whose hash modulo the score is at most ``target``.
+
+    With ``log_scale`` the bound above is target * ln(score / target), so deep pairs are kept more often.
+    """
     whole = F.floor("score").cast("bigint")
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return pairs.where((F.col("score") <= target) | (draw % F.greatest(whole, F.lit(1)) <= target))
+    bound = F.lit(float(target)) * F.log(whole / float(target)) if log_scale else F.lit(target)
+    return pairs.where((whole <= target) | (draw % F.greatest(whole, F.lit(1)) <= bound))
 
 
-def optimal_cover(reads_kmers: DataFrame, target: int) -> DataFrame:
-    """Reads chosen greedily, best score first, until each k-mer is covered ``target`` times.
+def optimal_cover(units: DataFrame, target: int) -> DataFrame:
+    """``unit, layer``: reads or pairs picked, best score first, so that k-mers are covered up to ``target`` times.
 
-    ``reads_kmers`` has ``read_id, score, kmers`` and a ``grp`` column; greedy choice is
-    sequential, so it runs inside each group (an Arrow function), and groups are
-    independent: cut the reads by connected k-mers or by hash bucket beforehand.
-    """
-    def choose(pdf):
-        used: dict[str, int] = {}
-        keep = []
-        for rid, ks in zip(*(pdf.sort_values(["score", "read_id"], ascending=[False, True])[c] for c in ("read_id", "kmers"))):
-            mine = set(ks)
-            if any(used.get(m, 0) >= target for m in mine):
-                continue
-            keep.append(rid)
-            for m in mine:
-                used[m] = used.get(m, 0) + 1
-        return pdf[pdf["read_id"].isin(keep)][["grp", "read_id"]]
+    ``units`` has ``unit, score, size`` and ``kmers`` (array of keys, with depth ``depth``
+    for each in ``depths``). In layer d = 1, 2, ..., ``target`` a unit is skipped if one
+    of its k-mers was picked d times before, by any unit of the table; else its score
+    is the sum over its k-mers of depth times what is left of d, over its size, and
+    the best unit comes first. Ties go by a hash of the unit, then by the unit.
 
-    return reads_kmers.select("grp", "read_id", "score", "kmers").groupBy("grp").applyInPandas(choose, "grp long, read_id long")
+    The greedy order is kept without one sequential task: in each round every open unit
+    that is the best of all open units on *all* its k-mers is picked, which is what the
+    sequential pass would do with it, for no other unit can change its k-mers before.
+    Then pick counts grow, full units leave, scores are made anew. Units that share no
+    k-mer never wait for each other; the rounds of a layer are as many as the longest
+    chain of falling scores among units that do.
+    """
+    unit = units.schema["unit"].dataType.simpleString()
+    spark = units.sparkSession
+    each = cut(units.select("unit", "size", F.explode(F.arrays_zip("kmers", "depths")).alias("x")).select("unit", "size", F.col("x.kmers").alias("kmer"), F.col("x.depths").alias("depth")).dropDuplicates(["unit", "kmer"]))
+    picked = spark.createDataFrame([], f"unit {unit}, layer int")
+    counts = spark.createDataFrame([], "kmer " + each.schema["kmer"].dataType.simpleString() + ", c long")
+    rank = F.struct("score", F.xxhash64("unit").alias("tie"), "unit")
+    for layer in range(1, target + 1):
+        live, new = each.join(picked.select("unit"), "unit", "left_anti"), None
+        while new is None or not new.isEmpty():
+            seen = live.join(counts, "kmer", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+            scores = seen.groupBy("unit").agg((F.sum(F.col("depth") * (layer - F.col("c"))) / F.first("size")).alias("score"), F.max("c").alias("most")).where(F.col("most") < layer)
+            open_ = cut(live.select("unit", "size", "kmer", "depth").join(scores.select("unit", "score"), "unit"))
+            best = open_.groupBy("kmer").agg(F.max(rank).alias("top"))
+            wins = open_.join(best, "kmer").groupBy("unit").agg(F.bool_and(F.col("top.unit") == F.col("unit")).alias("won")).where("won")
+            new = cut(wins.select("unit", F.lit(layer).alias("layer")))
+            counts = cut(counts.unionByName(open_.join(new, "unit", "left_semi").groupBy("kmer").agg(F.count("*").alias("c"))).groupBy("kmer").agg(F.sum("c").alias("c")))
+            picked = cut(picked.unionByName(new))
+            live = open_.join(new, "unit", "left_anti")
+    return picked
+
+
+def unique_outputs(reads: DataFrame) -> DataFrame:
+    """Reads without those whose sequence another read of lesser id has; sequences are compared by two 64-bit hashes."""
+    named = reads.withColumns({"_a": F.xxhash64("seq"), "_b": F.xxhash64(F.lit(1), "seq")})
+    first = named.groupBy("_a", "_b").agg(F.min("read_id").alias("read_id"))
+    return reads.join(first.select("read_id"), "read_id", "left_semi")
+
+
+def in_file_order(picked: DataFrame) -> DataFrame:
+    """Picks of each task sorted by read, so that a writer goes through its source once."""
+    return picked.sortWithinPartitions("read_id")
+
+
+def totals(reads: DataFrame) -> DataFrame:
+    """One row: ``reads, pairs, bases, longest``."""
+    keyed = reads if "pair_key" in reads.columns else with_pair_key(reads)
+    whole = keyed.groupBy("pair_key").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("b"), F.max(F.length("seq")).alias("m"))
+    return whole.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reads"), F.count("*").alias("pairs"), F.coalesce(F.sum("b"), F.lit(0)).alias("bases"), F.coalesce(F.max("m"), F.lit(0)).alias("longest"))
+
+
+def output_size(name: str = "name", seq: str = "seq", label: str = "labels", fastq: bool = True) -> Column:
+    """Bytes of a record as it will be written."""
+    said = F.coalesce(F.length(label), F.lit(0))
+    return F.length(name) + F.when(said > 0, said + 1).otherwise(0) + (F.length(seq) * 2 + 6 if fastq else F.length(seq) + 3)
+
+
+def fake_mates(reads: DataFrame) -> DataFrame:
+    """A stand-in for each missing mate: one N of least quality, the other number, ``:fakePair`` behind the comment."""
+    keyed = with_pair_key(reads).where("read_num > 0")
+    alone = keyed.groupBy("pair_key").agg(F.countDistinct("read_num").alias("_n")).where("_n = 1").select("pair_key")
+    rows = keyed.join(alone, "pair_key", "left_semi")
+    comment = F.col("comment").cast("string") if "comment" in reads.columns else F.lit(None).cast("string")
+    by_comment = F.coalesce(comment.rlike("^[12]:[YN]:"), F.lit(False)) & ~F.col("name").rlike("/[12AFBR]$")
+    other = (3 - F.col("read_num")).cast("string")
+    common = F.col("pair_key")
+    name = F.when(by_comment, F.col("name")).otherwise(F.concat(common, F.when(common.endswith("/"), "").otherwise("/"), other))
+    said = F.concat(F.when(by_comment, F.concat(other, F.substring(comment, 2, 1 << 30))).otherwise(F.coalesce(comment, F.lit(""))), F.lit(":fakePair"))
+    return rows.select("read_id", "pair_key", name.alias("name"), said.alias("comment"), F.lit("N").alias("seq"), F.lit(chr(34)).alias("qual"))
+
+
+def sequential_pairs(reads: DataFrame) -> DataFrame:
+    """``pair_key, read1, read2``: mates that follow each other in a file; a read is in one pair at most, the first that fits.
+
+    Such reads share a pair key, so the windows are of one key.
+    """
+    keyed = with_pair_key(reads).where("read_num > 0")
+    order = Window.partitionBy("file_id", "pair_key").orderBy("read_id")
+    linked = (F.lag("read_id").over(order) == F.col("read_id") - 1) & (F.lag("read_num").over(order) != F.col("read_num"))
+    chain = keyed.withColumn("_new", F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)).withColumn("_c", F.sum("_new").over(order))
+    place = Window.partitionBy("file_id", "pair_key", "_c").orderBy("read_id")
+    mates = chain.withColumn("_at", F.row_number().over(place)).withColumns({"_before": F.lag("read_id").over(place), "_num": F.lag("read_num").over(place)}).where("_at % 2 = 0")
+    return mates.select("pair_key", F.when(F.col("_num") == 1, F.col("_before")).otherwise(F.col("read_id")).alias("read1"), F.when(F.col("_num") == 1, F.col("read_id")).otherwise(F.col("_before")).alias("read2"))
 
 
 def hash_order(key: str, seed: int = 0) -> Column:
@@ -210,6 +325,21 @@ def split_parts(reads: DataFrame, parts: int, chunks: int = 0) -> DataFrame:
     return reads.crossJoin(F.broadcast(top)).withColumn("part", F.floor(pair * parts / (F.col("_m") + 1)).cast("int")).drop("_m")
 
 
+def split_mates(reads: DataFrame, min_length: int = 0) -> DataFrame:
+    """Add ``file``: 1 and 2 for records in turn, mates side by side; reads without a mate go to 0 if they have ``min_length`` bases."""
+    keyed = reads if "pair_key" in reads.columns else with_pair_key(reads)
+    sizes = keyed.groupBy("pair_key").agg(F.countDistinct("read_num").alias("_n"))
+    both = keyed.join(sizes, "pair_key")
+    return both.withColumn("file", F.when(F.col("_n") == 2, F.col("read_num")).otherwise(0)).where((F.col("file") > 0) | (F.length("seq") >= min_length)).drop("_n")
+
+
+def split_by_bases(reads: DataFrame, bases: int) -> DataFrame:
+    """Add ``part`` to reads with ``pair_no``: files of some ``bases`` bases, of which the lesser mate of a pair counts."""
+    sizes = reads.groupBy("pair_no").agg(F.min(F.length("seq")).cast("long").alias("_b"))
+    placed = ordered.running_sum(sizes, "pair_no", "_b", "_s")
+    return reads.join(placed.select("pair_no", F.floor((F.col("_s") - F.col("_b")) / bases).cast("int").alias("part")), "pair_no")
+
+
 def to_fasta(reads: DataFrame) -> DataFrame:
     return reads.select("read_id", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("record"))
 

@@ -61,6 +61,17 @@ def likelihoods(pairs: DataFrame, bins: int = 100, top: float = 2**0.5) -> DataF
     return by.withColumn("share", F.col("pairs") / F.sum("pairs").over(Window.partitionBy("same")))
 
 
+def by_distance(pairs: DataFrame) -> DataFrame:
+    """Pairs in order of distance, then of names."""
+    return pairs.orderBy("distance", "a", "b")
+
+
+def sum_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """``group, i, s, n``: sums of vectors by group, an element a row, so that groups of any size are added up in parts."""
+    each = rows.select(group, F.posexplode(vector).alias("i", "x"))
+    return each.groupBy(group, "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
+
+
 def cluster(names: list[str], counts: np.ndarray, threshold: float = 0.175) -> list[list[str]]:
     """Agglomerative clusters of count vectors: the closest pair merges (counts add up) while within ``threshold``.
 

@@ -223,8 +223,9 @@ def contrast_spectra(spark, sf_dir):
     return kmers.contrast(kmers.spectrum(kmers.observe(_bench(spark, sf_dir), K_SMALL)), _spec(spark, sf_dir, K_SMALL))
 
 
-_NB_SQL = f""", nb AS (SELECT DISTINCT kmer, n, least(x, {RC.format('x')}) AS probe FROM (SELECT kmer, n, substring(kmer, 1, i - 1) || b || substring(kmer, i + 1) AS x FROM sp, unnest(generate_series(1, {K_SMALL})) t(i), unnest(['A','C','G','T']) u(b)) WHERE x <> kmer),
-hit AS (SELECT nb.kmer, nb.n, probe, sp.n AS pn FROM nb JOIN sp ON sp.kmer = probe WHERE probe <> nb.kmer)
+# Neighbours are joined before copies of a probe go: fewer rows to compare.
+_NB_SQL = f""", pr AS (SELECT kmer, n, least(x, {RC.format('x')}) AS probe FROM (SELECT kmer, n, substring(kmer, 1, i - 1) || b || substring(kmer, i + 1) AS x FROM sp, unnest(generate_series(1, {K_SMALL})) t(i), unnest(['A','C','G','T']) u(b)) WHERE x <> kmer),
+hit AS (SELECT DISTINCT pr.kmer, pr.n, probe, sp.n AS pn FROM pr JOIN sp ON sp.kmer = probe WHERE probe <> pr.kmer)
 """
 
 
@@ -233,12 +234,12 @@ def error_neighbors(spark, sf_dir):
     return kmers.error_neighbours(_spec(spark, sf_dir, K_SMALL), K_SMALL)
 
 
-@query(_spec_sql(K_SMALL) + _NB_SQL + ", b AS (SELECT kmer, max(struct_pack(pn := pn, probe := probe)).probe AS root FROM hit WHERE pn > n OR (pn = n AND probe > kmer) GROUP BY kmer) SELECT sp.kmer, n, coalesce(root, sp.kmer) AS root FROM sp LEFT JOIN b USING (kmer)")
+@query(_spec_sql(K_SMALL) + _NB_SQL + ", up AS (SELECT * FROM hit WHERE pn > n OR (pn = n AND probe > kmer)), m AS (SELECT kmer, max(pn) AS pn FROM up GROUP BY kmer), b AS (SELECT up.kmer, max(probe) AS root FROM up JOIN m ON up.kmer = m.kmer AND up.pn = m.pn GROUP BY 1) SELECT sp.kmer, n, coalesce(root, sp.kmer) AS root FROM sp LEFT JOIN b USING (kmer)")
 def consolidate_1edit(spark, sf_dir):
     return kmers.consolidate(_spec(spark, sf_dir, K_SMALL), K_SMALL)
 
 
-@query(_spec_sql(K_SMALL) + _NB_SQL + ", lim AS (SELECT probe, max(n - 3 * sqrt(n::DOUBLE)) AS t FROM nb WHERE n > 64 AND probe <> kmer OR n > 64 GROUP BY probe) SELECT kmer, n FROM sp LEFT JOIN lim ON probe = kmer WHERE t IS NULL OR n >= t")
+@query(_spec_sql(K_SMALL) + ", lead AS (SELECT * FROM sp WHERE n > 64)" + _NB_SQL.replace("FROM sp, unnest", "FROM lead, unnest").split("hit AS")[0] + "lim AS (SELECT probe, max(n - 3 * sqrt(n::DOUBLE)) AS t FROM pr GROUP BY probe) SELECT kmer, n FROM sp LEFT JOIN lim ON probe = kmer WHERE t IS NULL OR n >= t")
 def variant_purge(spark, sf_dir):
     return kmers.purge_variants(_spec(spark, sf_dir, K_SMALL), K_SMALL, sigmas=3.0, strong=64).select("kmer", "n")
 
@@ -356,10 +357,11 @@ def normalize_coverage(spark, sf_dir):
 
 @query()
 def optimal_cover(spark, sf_dir):
-    r = derived.reads(spark, sf_dir)
-    one = _values(spark, sf_dir).select("read_id", rd.score(F.col("values"), "MAX").alias("score"))
-    own = r.select("read_id", (F.col("doc_id")).alias("grp"), F.transform(dna.windows("seq", K), dna.canonical).alias("kmers")).join(one, "read_id")
-    return rd.optimal_cover(own, 2)
+    obs = _obs(spark, sf_dir, K)
+    spec = kmers.spectrum(obs, 2, coded=True)
+    own = obs.join(spec.select("code", "n"), "code").groupBy("read_id").agg(F.collect_list("code").alias("kmers"), F.collect_list("n").alias("depths"))
+    sized = derived.reads(spark, sf_dir).select(F.col("read_id").alias("unit"), F.length("seq").alias("size")).join(own.withColumnRenamed("read_id", "unit"), "unit")
+    return rd.optimal_cover(sized, 1)
 
 
 @query(_with(SQL_READS) + "SELECT regexp_replace(name, '/[^/]$', '/') AS pair_key, min(read_id) FILTER (WHERE name LIKE '%/1') AS read1, min(read_id) FILTER (WHERE name LIKE '%/2') AS read2 FROM reads GROUP BY 1")
@@ -425,7 +427,10 @@ b AS (SELECT frag_key, j, substring(seq, j, 1) AS b, """
     + """ AS p FROM x, unnest(generate_series(1, length(seq))) t(j)),
 w AS (SELECT frag_key, j, c, t, round(sum(CASE WHEN b = c THEN p ELSE (1 - p) / 3 END), 9) AS w FROM b, (VALUES ('A', 0), ('C', 1), ('G', 2), ('T', 3)) v(c, t) GROUP BY 1, 2, 3, 4),
 m AS (SELECT frag_key, j, c FROM (SELECT *, row_number() OVER (PARTITION BY frag_key, j ORDER BY w DESC, t DESC) AS rn FROM w) WHERE rn = 1)
-SELECT frag_key AS grp, string_agg(c, '' ORDER BY j) AS cons_seq, any_value(members) AS members FROM m JOIN gr USING (frag_key) GROUP BY 1"""
+, sure AS (SELECT frag_key, j, max(p) AS p, max(p) FILTER (WHERE b = 'T') AS pt, max(p) FILTER (WHERE b = 'G') AS pg, max(p) FILTER (WHERE b = 'C') AS pc, max(p) FILTER (WHERE b = 'A') AS pa, count(*) AS n FROM b GROUP BY 1, 2),
+say AS (SELECT frag_key, j, c, CASE WHEN c = CASE WHEN p = pt THEN 'T' WHEN p = pg THEN 'G' WHEN p = pc THEN 'C' ELSE 'A' END THEN p ELSE (SELECT max(w) FROM w WHERE w.frag_key = sure.frag_key AND w.j = sure.j AND w.c = m.c) / n END AS s FROM m JOIN sure USING (frag_key, j)),
+qv AS (SELECT frag_key, j, c, chr((33 + CASE WHEN s >= 0.9999 THEN 40 ELSE least(40, floor(-10 * log10(1 - s) + 1e-6)) END)::INT) AS q FROM say)
+SELECT frag_key AS grp, string_agg(c, '' ORDER BY j) AS cons_seq, string_agg(q, '' ORDER BY j) AS cons_qual, any_value(members) AS members FROM qv JOIN gr USING (frag_key) GROUP BY 1"""
 )
 def consensus_read(spark, sf_dir):
     p = derived.pairs(spark, sf_dir).withColumn("frag_key", dedup.fragment_key(F.col("seq1"), F.col("seq2")))
@@ -553,8 +558,8 @@ def tnf_cluster(spark, sf_dir):
 
 @query("""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, i - 1 AS i, round(sum(x), 3) AS s, count(*) AS n FROM e GROUP BY 1, 2""")
 def sum_vectors(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    return e.groupBy("label", "i").agg(F.round(F.sum(F.col("x").cast("double")), 3).alias("s"), F.count("*").alias("n"))
+    summed = vectors.sum_vectors(load(spark, sf_dir, "embeddings"), "label", "embedding")
+    return summed.select("label", "i", F.round("s", 3).alias("s"), "n")
 
 
 # ---------------------------------------------------------------- alignments
@@ -631,23 +636,25 @@ def read_contig_match(spark, sf_dir):
 @query(
     _with(SQL_READS, _CONTIG_SQL)
     + f""", cw AS (SELECT contig_id, p, substring(seq, p + 1, {K}) AS m FROM ctg, unnest(generate_series(0, length(seq) - {K})) t(p) WHERE p < 500 OR p + {K} > length(seq) - 500),
-rw AS (SELECT read_id, p, substring(seq, p + 1, {K}) AS m FROM reads, unnest(generate_series(0, length(seq) - {K})) t(p)),
-l AS (SELECT DISTINCT contig_id, read_id, cw.p - rw.p AS shift FROM cw JOIN rw USING (m)),
-x AS (SELECT l.*, ctg.seq AS cs, reads.seq AS rs, least(length(ctg.seq) - greatest(0, shift), length(reads.seq) - greatest(0, -shift)) AS overlap FROM l JOIN ctg USING (contig_id) JOIN reads USING (read_id)),
+rs2 AS (SELECT read_id, 0 AS strand, seq FROM reads UNION ALL SELECT read_id, 1, {RC.format('seq')} FROM reads),
+rw AS (SELECT read_id, strand, p, substring(seq, p + 1, {K}) AS m FROM rs2, unnest(generate_series(0, length(seq) - {K})) t(p)),
+l AS (SELECT DISTINCT contig_id, read_id, strand, cw.p - rw.p AS shift FROM cw JOIN rw USING (m)),
+x AS (SELECT l.*, ctg.seq AS cs, rs2.seq AS rs, least(length(ctg.seq) - greatest(0, shift), length(rs2.seq) - greatest(0, -shift)) AS overlap FROM l JOIN ctg USING (contig_id) JOIN rs2 USING (read_id, strand)),
 y AS (SELECT *, len(list_filter(generate_series(1, overlap), lambda i: substring(cs, greatest(0, shift) + i, 1) <> substring(rs, greatest(0, -shift) + i, 1))) AS mismatches FROM x),
-z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contig_id, read_id ORDER BY overlap - mismatches DESC, shift) AS rn FROM y) WHERE rn = 1)
-SELECT contig_id, read_id, shift, overlap, mismatches FROM z WHERE overlap >= 51 AND (overlap - mismatches) / overlap::DOUBLE >= 0.986 AND (shift < 0 OR shift + length(rs) > length(cs))"""
+z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contig_id, read_id ORDER BY overlap - mismatches DESC, shift, strand) AS rn FROM y) WHERE rn = 1)
+SELECT contig_id, read_id, strand, shift, overlap, mismatches FROM z WHERE overlap >= 51 AND (overlap - mismatches) / overlap::DOUBLE >= 0.986 AND (shift < 0 OR shift + length(rs) > length(cs))"""
 )
 def overhang_screen(spark, sf_dir):
     c, r = _contigs(spark, sf_dir), derived.reads(spark, sf_dir)
     a = assembly.seed_alignments(c, r, K, MatchOptions())
     sizes = a.select("contig_id", "read_id").join(c.select("contig_id", F.length("seq").alias("n")), "contig_id").join(r.select("read_id", F.length("seq").alias("m")), "read_id")
-    return assembly.screen_overhangs(a, sizes).select("contig_id", "read_id", "shift", "overlap", "mismatches")
+    return assembly.screen_overhangs(a, sizes).select("contig_id", "read_id", "strand", "shift", "overlap", "mismatches")
 
 
 @query(
-    _with(SQL_READS, sql_kmers(K), sql_spectrum(), _CONTIG_SQL)
+    _with(SQL_READS, sql_kmers(K), _CONTIG_SQL)
     + f""", e AS (SELECT contig_id, seq, right(seq, {K}) AS ek FROM ctg), x AS (SELECT contig_id, b, substring(ek, 2) || b AS x FROM e, unnest(['A','C','G','T']) u(b)),
+want AS (SELECT least(x, {RC.format('x')}) AS kmer FROM x UNION SELECT least(ek, {RC.format('ek')}) FROM e), sp AS (SELECT kmer, count(*) AS n FROM ck WHERE kmer IN (SELECT kmer FROM want) GROUP BY kmer),
 d AS (SELECT contig_id, sum(n)::BIGINT AS total, max(struct_pack(n := n, b := b)) AS t FROM x JOIN sp ON sp.kmer = least(x, {RC.format('x')}) GROUP BY 1),
 o AS (SELECT contig_id, n AS edge FROM e JOIN sp ON sp.kmer = least(ek, {RC.format('ek')}))
 SELECT contig_id, CASE WHEN total >= 4.8 AND total / edge::DOUBLE > 0.33 AND t.n / total::DOUBLE >= 0.85 THEN t.b END AS base, edge, total, t.n AS top FROM e LEFT JOIN d USING (contig_id) LEFT JOIN o USING (contig_id)"""
@@ -703,8 +710,11 @@ def event_window_counts(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from strandworks.plans import extra  # noqa: F401  (registers its queries; it reads helpers of this module)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

@@ -65,6 +65,20 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def multi_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments of each order's read by three index parts."""
+    k, part = F.col("o_orderkey"), F.col("part")
+    c = F.col("o_custkey") + part
+    rows = load(spark, sf_dir, "orders").withColumn("part", F.explode(F.array(*map(F.lit, range(3)))))
+    lost = c % 13 == 0
+    flag = 1 + F.when(k % 2 == 0, 64).otherwise(128) + F.when(c % 11 == 0, 4).otherwise(0) + F.when(lost, 8).otherwise(0) + F.when(((F.floor(k / 2) + part) % 3 == 0) & ~lost, 2).otherwise(0)
+    return rows.select(
+        F.expr("concat('q', o_orderkey div 2)").alias("qname"), "part", flag.cast("int").alias("flag"), F.concat(F.lit("chr"), (c % 3).cast("string")).alias("rname"),
+        ((k + part * 5) % 7).cast("int").alias("nm"), ((k * 3 + part * 17) % 60).cast("int").alias("mapq"), F.when((k + part) % 3 == 2, 40).otherwise(50).alias("aligned"),
+        (90 + (k * 7 + part) % 11).cast("int").alias("as_score"), F.lit(50).alias("seq_len"),
+    )
+
+
 # ------------------------------------------------------------ SQL of the same tables
 
 SQL_READS = f"""s AS (SELECT doc_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{AS_BASES}') AS dna FROM documents),

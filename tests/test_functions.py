@@ -80,8 +80,8 @@ def test_ranks_and_distances(spark):
 
 
 def test_change_point(spark):
-    assert stats.change_point([30, 34, 31, 34, 33, 29, 4, 3, 2, 4]) == 6
-    assert one(spark, [30.0, 34.0, 31.0, 34.0, 33.0, 29.0, 4.0, 3.0, 2.0, 4.0], stats.change_points("x"), "array<double>") == 6
+    assert one(spark, [30.0, 34.0, 31.0, 34.0, 33.0, 29.0, 4.0, 3.0, 2.0, 4.0], stats.change_point("x"), "array<double>") == 6
+    assert [one(spark, v, stats.change_point("x"), "array<double>") for v in ([], [1.0], [5.0, 5.0, 5.0])] == [0, 0, 0]
 
 
 def test_cigars(spark):
