@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+KEY = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; on a single machine without it a folder below the warehouse, on a cluster an error."""
+    found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"a cluster needs {KEY}, a folder that all its machines share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; below the warehouse where that is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """A reliable checkpoint in :func:`shared_dir`."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

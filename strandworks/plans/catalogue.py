@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandworks.config import ExtendOptions, KmerOptions, MatchOptions, SelectOptions
 from strandworks.functions import dna, quality, sam, stats
+from strandworks.lineage import shared_dir
 from strandworks.operators import align, artifacts, assembly, dedup, kmers, reads as rd, size, vectors
 from strandworks.plans import derived
 from strandworks.plans.derived import SQL_PAIRS, SQL_READS, SQL_READS_N, SQL_RECORDS, load, sql_kmers, sql_p, sql_q, sql_spectrum
@@ -696,10 +697,21 @@ def stream_kmer_count(spark, sf_dir):
     path = f"{sf_dir}/documents.parquet"
     # As a pattern, so that the source takes a single file as well as a folder.
     docs = streaming.stream_of(spark, f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path).schema)
-    name = f"kmers_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    streaming.run_available(derived.cut_reads(docs), K_SMALL, name, f"{root}/{name}")
-    return spark.table(name)
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    counts = streaming.Counts(spark, f"{root}/counts", K_SMALL)
+    streaming.run_available(derived.cut_reads(docs), counts, f"{root}/checkpoint")
+    return counts.counts()
+
+
+@query(_with(SQL_READS, sql_kmers(K_SMALL)) + ", c AS (SELECT kmer, count(*) AS n FROM ck GROUP BY 1) SELECT 1.0::DOUBLE AS reached, sum(n)::BIGINT AS raw, count(*) AS distinct_kmers, count(*) FILTER (WHERE n = 1) AS singletons FROM c")
+def sampling_rounds(spark, sf_dir):
+    import uuid
+
+    from strandworks.streaming import kmers as streaming
+
+    counts = streaming.Counts(spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", K_SMALL, growth=1.0)
+    reached = streaming.sampling_rounds(derived.reads(spark, sf_dir), counts, 4, 1.0)
+    return counts.sizes().orderBy(F.desc("batch")).limit(1).select(F.lit(reached).alias("reached"), "raw", "distinct_kmers", "singletons")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -200,9 +200,33 @@ def test_stream_equals_batch(spark, tmp_path, reads):
 
     reads.select("read_id", "seq").repartition(4).write.parquet(str(tmp_path / "in"))
     stream = streaming.stream_of(spark, str(tmp_path / "in"), "read_id long, seq string")
-    streaming.run_available(stream, 11, "stream_test", str(tmp_path / "ck"))
-    want = kmers.spectrum(kmers.observe(reads, 11)).select("kmer", "n")
-    assert sorted(map(tuple, spark.table("stream_test").collect())) == sorted(map(tuple, want.collect()))
+    counts = streaming.Counts(spark, f"file://{tmp_path}/counts", 11)
+    assert counts.counts().count() == 0 and counts.sizes().count() == 0
+    streaming.run_available(stream, counts, str(tmp_path / "ck"))
+    want = sorted(map(tuple, kmers.spectrum(kmers.observe(reads, 11)).select("kmer", "n").collect()))
+    assert sorted(map(tuple, counts.counts().collect())) == want
+    sizes = counts.sizes().orderBy("batch").collect()
+    assert len(sizes) > 1 and (sizes[-1].raw, sizes[-1].distinct_kmers, sizes[-1].singletons) == (sum(n for _, n in want), len(want), sum(n == 1 for _, n in want))
+    assert all(b.raw >= a.raw * 1.05 for a, b in zip(sizes, sizes[1:]))
+    counts.add(reads, counts.state()["batch"])  # a batch that comes again
+    assert sorted(map(tuple, counts.counts().collect())) == want
+
+
+def test_purge_bounds_the_running_table(spark, tmp_path, reads):
+    from strandworks.streaming import kmers as streaming
+
+    counts = streaming.Counts(spark, f"file://{tmp_path}/purged", 11, growth=1.0, purge_every=2)
+    parts = [reads.where(f"read_id % 4 = {i}") for i in range(4)]
+    want, purged = Counter(), 0
+    for i, part in enumerate(parts):
+        counts.add(part, i)
+        want.update({r.kmer: r.n for r in kmers.spectrum(kmers.observe(part, 11)).collect()})
+        if i % 2:
+            purged += sum(n == 1 for n in want.values())
+            want = Counter({m: n for m, n in want.items() if n > 1})
+    assert {r.kmer: r.n for r in counts.counts().collect()} == dict(want)
+    assert counts.state()["purged"] == purged and counts.state()["batches"] == []
+    assert streaming.sampling_rounds(reads, streaming.Counts(spark, f"file://{tmp_path}/rounds", 11), 5, 0.5) == 0.6
 
 
 def test_discarded_mate_is_a_placeholder(spark):
