@@ -110,9 +110,9 @@ def convert(spark, a) -> None:
 def bam_sort(spark, a) -> None:
     """Sort alignments; unmapped reads go to FASTQ by kind."""
     records = sam.read_alignments(spark, a.input[0])
-    names = [r.rname for r in records.where("rname <> '*'").select("rname").distinct().orderBy("rname").collect()]
+    header, refs = sam.read_header(spark, a.input[0])
     kinds = align.split_unmapped(records)
-    parts = writers.write_bam(kinds.where("kind = 'mapped'"), f"{a.output}/sorted", "@HD\tVN:1.0\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:2147483647\n" for n in names), [(n, 2147483647) for n in names])
+    parts = writers.write_bam(kinds.where("kind = 'mapped'"), f"{a.output}/sorted", sam.sorted_header(header), refs)
     for kind in ("single", "pair_unmapped", "mate_mapped"):
         writers.write_unmapped(kinds.where(F.col("kind") == kind), f"{a.output}/{kind}")
     print("\n".join(parts))

@@ -9,13 +9,15 @@ number, so no record or pair is torn.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions import quality
 
-def _numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file_id, line_no, line`` of text files."""
+def _numbered(spark: SparkSession, paths: list[str], mark: str | None = None) -> DataFrame:
+    """``file_id, line_no, line`` of text files; with ``mark`` also ``record``, how many lines up to here, less one, start with it."""
     lines = None
     for i, path in enumerate(paths):
         one = spark.read.text(path).select(
@@ -23,14 +25,19 @@ def _numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
             F.monotonically_increasing_id().alias("_m"), F.regexp_replace("value", "\r$", "").alias("line"),
         )
         lines = one if lines is None else lines.unionByName(one)
-    splits = lines.groupBy("file_id", "_f", "_b").agg(F.min("_m").alias("least"), F.count("*").alias("n")).collect()
-    starts, at, last = [], 0, None
+    marked = F.col("line").startswith(mark) if mark else F.lit(False)
+    splits = lines.groupBy("file_id", "_f", "_b").agg(F.min("_m").alias("least"), F.count("*").alias("n"), F.count_if(marked).alias("marks")).collect()
+    starts, at, heads, last = [], 0, 0, None
     for r in sorted(splits, key=lambda r: (r.file_id, r["_f"], r["_b"])):
-        at = 0 if r.file_id != last else at
-        starts.append((r.file_id, r["_f"], r["_b"], at - r.least))
-        at, last = at + r.n, r.file_id
-    table = spark.createDataFrame(starts or [(0, "", 0, 0)], "file_id int, _f string, _b long, _shift long")
-    return lines.join(F.broadcast(table), ["file_id", "_f", "_b"]).select("file_id", (F.col("_m") + F.col("_shift")).alias("line_no"), "line")
+        at, heads = (0, 0) if r.file_id != last else (at, heads)
+        starts.append((r.file_id, r["_f"], r["_b"], at - r.least, heads))
+        at, heads, last = at + r.n, heads + r.marks, r.file_id
+    table = spark.createDataFrame(starts or [(0, "", 0, 0, 0)], "file_id int, _f string, _b long, _shift long, _heads long")
+    out = lines.join(F.broadcast(table), ["file_id", "_f", "_b"]).withColumn("line_no", F.col("_m") + F.col("_shift"))
+    if not mark:
+        return out.select("file_id", "line_no", "line")
+    so_far = F.count_if(marked).over(Window.partitionBy("file_id", "_f", "_b").orderBy("_m"))  # of one split
+    return out.withColumn("record", F.col("_heads") + so_far - 1).select("file_id", "record", "line_no", "line")
 
 
 def split_header(head) -> tuple:
@@ -78,26 +85,45 @@ def read_fastq(spark: SparkSession, *paths: str, base: int | None = None, drop_f
     return rows.select("read_id", "file_id", "name", "comment", "seq", "qual")
 
 
-def read_fasta(spark: SparkSession, *paths: str, qual: str | None = None) -> DataFrame:
-    """FASTA files (multi-line) as the same columns; ``qual`` is a companion file of integer qualities, else null."""
-    lines = _numbered(spark, list(paths))
+def companion(spark: SparkSession, path: str) -> str | None:
+    """The path of the quality file that lies beside a FASTA file (``x.fasta`` and ``x.fasta.qual`` or ``x.qual``), if there is one."""
+    for name in (f"{path}.qual", re.sub(r"\.[^./]+$", ".qual", path)):
+        where = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if name != path and where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return name
+    return None
 
-    def records(df: DataFrame, joiner: str) -> DataFrame:
-        heads = df.where(F.col("line").startswith(">")).select("file_id", "line_no").groupBy("file_id").agg(F.sort_array(F.collect_list("line_no")).alias("at"))
-        placed = df.join(heads, "file_id").withColumn("record", F.size(F.filter("at", lambda a: a <= F.col("line_no"))) - 1)
-        body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("line").startswith(">"), F.struct("line_no", "line")))), lambda s: s["line"]), joiner)
-        return placed.groupBy("file_id", "record").agg(F.max(F.when(F.col("line").startswith(">"), F.col("line"))).alias("head"), body.alias("body"))
 
-    rec = records(lines, "")
+def read_fasta(spark: SparkSession, *paths: str, qual: str | list[str] | None = None, ignore_quality: bool = True) -> DataFrame:
+    """FASTA files (multi-line) as the same columns.
+
+    ``qual`` is a companion file of integer qualities, or one for each path; without
+    it and with ``ignore_quality`` off, a quality file beside each path is taken. Reads
+    have null qualities where there is none.
+    """
+    quals = [qual] if isinstance(qual, str) else list(qual) if qual else None
+    if quals is None and not ignore_quality:
+        beside = [companion(spark, p) for p in paths]
+        quals = beside if all(beside) else None  # type: ignore[assignment]
+    if quals is not None and len(quals) != len(paths):
+        raise ValueError("a quality file for each sequence file")
+
+    def records(files: list[str], joiner: str) -> DataFrame:
+        placed = _numbered(spark, files, ">").where("record >= 0")
+        head = F.col("line").startswith(">")
+        body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~head, F.struct("line_no", "line")))), lambda s: s["line"]), joiner)
+        return placed.groupBy("file_id", "record").agg(F.max(F.when(head, F.col("line"))).alias("head"), body.alias("body"))
+
+    rec = records(list(paths), "")
     name, comment = split_header(F.col("head"))
     rows = rec.select("file_id", F.col("record").cast("long"), name.alias("name"), comment.alias("comment"), F.upper("body").alias("seq"))
-    if qual is None:
+    if quals is None:
         return _ids(rows, ["record"]).select("read_id", "file_id", "name", "comment", "seq", F.lit(None).cast("string").alias("qual"))
-    q = records(_numbered(spark, [qual]), " ")
+    q = records(quals, " ")
     q_name, _ = split_header(F.col("head"))
     numbers = F.transform(F.filter(F.split(F.trim("body"), r"\s+"), lambda x: x != ""), lambda x: F.least(x.cast("int"), F.lit(126 - 33)))
-    q = q.select(F.col("record").cast("long").alias("record"), q_name.alias("q_name"), quality.quality_text(numbers).alias("qual"))
-    joined = rows.join(q, "record", "left")
+    q = q.select("file_id", F.col("record").cast("long").alias("record"), q_name.alias("q_name"), quality.quality_text(numbers).alias("qual"))
+    joined = rows.join(q, ["file_id", "record"], "left")
     agreed = F.when((F.col("name") == F.col("q_name")) & (F.length("seq") == F.length("qual")), F.col("qual")).otherwise(F.raise_error(F.concat(F.lit("qualities do not fit "), F.col("name"))))
     return _ids(joined.withColumn("qual", agreed).drop("q_name"), ["record"]).select("read_id", "file_id", "name", "comment", "seq", "qual")
 

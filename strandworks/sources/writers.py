@@ -80,7 +80,7 @@ def write_bam(df: DataFrame, path: str, header: str, refs: list[tuple[str, int]]
     """
     from strandworks.operators import align
 
-    names = sam._FIELDS
+    names = [*sam._FIELDS, *(["tags"] if "tags" in df.columns else [])]
     store, folder = fs.FileSystem.from_uri(path)
     store.create_dir(folder, recursive=True)
 

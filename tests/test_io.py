@@ -115,3 +115,63 @@ def test_spectrum_table(spark):
     back = writers.load_spectrum(spark, "spectrum_test")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, spec.collect()))
     spark.sql("DROP TABLE spectrum_test")
+
+
+TAGS = {"NM": "i:3", "AS": "i:-7", "XA": "A:q", "XF": "f:0.5", "RG": "Z:group one", "XH": "H:1AE3", "XB": "B:s,1,-2,300", "XE": "B:f,0.25"}
+
+
+def many_records(n):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(n):
+        s = "".join(rnd.choice("ACGTN") for _ in range(rnd.choice([1, 50, 151])))
+        rows.append((f"read{i}", 0, rnd.choice(["c1", "c2"]), rnd.randrange(1, 400), 30, f"{len(s)}M", "*", 0, 0, s, "".join(chr(33 + rnd.randrange(41)) for _ in s), {**TAGS, "XI": f"i:{i}"}))
+    return rows
+
+
+@pytest.mark.parametrize("range_bytes", [700, 5000, 1 << 25])
+@pytest.mark.parametrize("block", [333, 0xFF00])
+def test_bam_is_whole_at_any_range(spark, tmp_path, range_bytes, block):
+    rows = many_records(400)
+    raw = b"".join(sam.bgzf_blocks(sam.bam_bytes(HEADER, REFS, rows)))
+    (tmp_path / "a.bam").write_bytes(sam.bgzf(raw, block=block))  # records cross blocks
+    got = sam.read_bam(spark, str(tmp_path / "a.bam"), range_bytes)
+    assert got.rdd.getNumPartitions() == -(-(tmp_path / "a.bam").stat().st_size // range_bytes)
+    assert sorted((*tuple(r)[:11], tuple(sorted(r.tags.items()))) for r in got.collect()) == sorted((*r[:11], tuple(sorted(r[11].items()))) for r in rows)
+    assert sam.read_header(spark, str(tmp_path / "a.bam")) == (HEADER, REFS)
+
+
+def test_tags_and_header_survive_the_sort(spark, tmp_path):
+    rows = many_records(60)
+    (tmp_path / "a.bam").write_bytes(sam.bam_bytes(HEADER, REFS, rows))
+    from strandworks import apps
+
+    apps.main(["bam-sort", str(tmp_path / "a.bam"), "--output", f"file://{tmp_path}/o"], spark)
+    folder = tmp_path / "o" / "sorted"
+    head, refs, _ = sam.bam_records((folder / "head.bam").read_bytes() + sam.BGZF_EOF)
+    assert head == HEADER.replace("VN:1.0", "VN:1.0\tSO:coordinate") and refs == REFS
+    whole = {}
+    for p in folder.glob("part-*.bam"):
+        for r in sam.bam_records((folder / "head.bam").read_bytes() + p.read_bytes())[2]:
+            whole[r[0]] = r
+    assert whole == {r[0]: r for r in rows}
+    (tmp_path / "a.sam").write_text(HEADER + "".join("\t".join([*map(str, r[:11]), *(f"{k}:{v}" for k, v in r[11].items())]) + "\n" for r in rows))
+    assert sam.read_header(spark, str(tmp_path / "a.sam")) == (HEADER, REFS)
+
+
+@pytest.mark.parametrize("split", [300, 1 << 27])
+def test_fasta_is_whole_at_any_split(spark, tmp_path, split):
+    rnd = random.Random(7)
+    recs = [(f"s{i}", ["".join(rnd.choice("ACGTN") for _ in range(rnd.choice([1, 20, 60]))) for _ in range(rnd.choice([0, 1, 3, 40]))]) for i in range(50)]
+    for part, some in (("a", recs[:30]), ("b", recs[30:])):
+        (tmp_path / f"{part}.fasta").write_text("".join(f">{n} about\n" + "".join(f"{x}\n" for x in ls) for n, ls in some))
+        (tmp_path / f"{part}.qual").write_text("".join(f">{n}\n" + "".join(" ".join(str(j % 50) for j in range(len(x))) + "\n" for x in ls) for n, ls in some))
+    paths = [str(tmp_path / f"{p}.fasta") for p in "ab"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        plain = fastx.read_fasta(spark, *paths).orderBy("read_id").collect()
+        rich = fastx.read_fasta(spark, *paths, ignore_quality=False).orderBy("read_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(g.read_id, g.name, g.seq) for g in plain] == [(i, n, "".join(ls)) for i, (n, ls) in enumerate(recs)] and plain[0].qual is None
+    assert [g.qual for g in rich] == ["".join(chr(33 + j % 50) for x in ls for j in range(len(x))) for _, ls in recs]
