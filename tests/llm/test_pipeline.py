@@ -67,3 +67,16 @@ def test_run_is_the_stages_one_after_another(spark, sf):
         assert docs.columns == columns and name
     last = packing.pack(docs).collect()
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf).collect())) == Counter(map(tuple, last))
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_empty_tables_and_clashing_names(spark, sf, empty, wide, docs, name, stage):
+    none = stage(spark, empty, sf)
+    assert none.count() == 0
+    got, plain = stage(spark, wide, sf), stage(spark, docs, sf)
+    if stage is not corpus_pipeline.pack_batches:
+        assert none.columns == empty.columns and got.columns == wide.columns
+        assert Counter(map(tuple, got.select(*docs.columns).collect())) == Counter(map(tuple, plain.collect()))
+        assert {r.score for r in got.collect()} == {"x-score"}
+    else:
+        assert Counter((r.doc_id, r.n_tokens) for r in got.collect()) == Counter((r.doc_id, r.n_tokens) for r in plain.collect())
