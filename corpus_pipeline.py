@@ -17,15 +17,27 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language; a missing ``lang`` is filled in."""
+    """Documents in a recognised language; a missing ``lang`` is filled in.
+
+    Null, empty and letterless texts go. Rows with the same text share their fate,
+    whatever their other columns hold; without any labelled row to learn from, all
+    documents go. An empty table stays empty.
+    """
     cols = docs.columns
-    seen = langid.predict(docs, langid.fit(docs), *cols)
+    # The row goes along as one column, so that no name of it meets one of the prediction.
+    seen = langid.predict(docs.select("text", F.struct(*cols).alias("_row")), langid.fit(docs), "_row")
     kept = seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*cols)
+    return kept.select(*(F.coalesce("_row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"_row.`{c}`").alias(c) for c in cols))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated runs of lines; those of which no word is left go."""
+    """Documents without later copies of repeated runs of lines; those of which no word is left go.
+
+    The first place in order of (doc_id, text hash, line number) keeps its lines, a
+    null doc_id comes first. Null texts, and documents that lose no line, stay as they
+    are; ``n_chars`` is made anew where lines went. Rows with the same doc_id and text are
+    one document and get the same result. An empty table stays empty.
+    """
     cols = docs.columns
     done = linedup.dedup_lines(docs)
     left = done.where((F.col("_ld_gone") == 0) | F.col("text").rlike("[^ \t-\r]"))
@@ -33,17 +45,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each SimHash component.
+
+    Texts without a word, null ones too, have the same fingerprint and are one
+    component. The kept document is the one of least doc_id (null comes first), then of
+    least hash. An empty table stays empty.
+    """
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the temperature mixture wants them."""
+    """Documents as often as the temperature mixture wants them.
+
+    A null source is a source of its own. Documents of small sources come up to four
+    times, so copies come back in here, after near-dedup; of large sources some are left
+    out. Rows with equal doc_id and text share their fate. A budget is undershot by at
+    most one document a source. An empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Batches of documents in optimal length buckets."""
+    """Batches of documents in optimal length buckets; a row for each row, whatever repeats.
+
+    Null and empty texts have length 0. An empty table gives no batch.
+    """
     return packing.pack(docs)
 
 
