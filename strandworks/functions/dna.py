@@ -6,6 +6,10 @@ array for strings shorter than a window. Nulls give nulls.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations, product
+from operator import xor
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +72,27 @@ def kmer_of(number: Column | str) -> Column:
     return F.translate(F.substring(F.conv(_c(number).cast("string"), 10, 4), 2, LONGEST), "0123", "ACGT")
 
 
+def rc_code(number: Column | str, k: int) -> Column:
+    """:func:`code` of the reverse complement of a k-mer of which this is the code: bases swap places by halves."""
+    top = 1 << 2 * k
+    lit = lambda v: F.lit(v).cast("long")
+    x = _c(number).bitwiseXOR(lit(2 * top - 1))  # complements the bases and drops the leading one
+    for shift, keep in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        x = F.shiftrightunsigned(x, shift).bitwiseAND(lit(keep)).bitwiseOR(F.shiftleft(x.bitwiseAND(lit(keep)), shift))
+    return F.shiftrightunsigned(x, 64 - 2 * k).bitwiseOR(lit(top))
+
+
+def canonical_code(number: Column | str, k: int) -> Column:
+    """The lesser of a code and that of the other strand."""
+    return F.least(_c(number), rc_code(number, k))
+
+
+def substitutions(k: int, distance: int = 1) -> list[int]:
+    """What to XOR to a code of k bases to change exactly ``distance`` of them."""
+    each = [[x << 2 * i for x in (1, 2, 3)] for i in range(k)]
+    return [reduce(xor, masks) for some in combinations(each, distance) for masks in product(*some)]
+
+
 def pack_whole(seq: Column | str) -> Column:
     """A sequence of any length as ``words, bases, marks``.
 

@@ -20,7 +20,7 @@ class Matcher(Protocol):
     def __call__(self, contigs: DataFrame, reads: DataFrame) -> DataFrame: ...
 
 
-Assembler = Callable[[DataFrame], DataFrame]  # (contig_id, seq, reads) -> (contig_id, seq)
+Assembler = Callable[[DataFrame, DataFrame], DataFrame]  # contigs (contig_id, seq) and reads -> candidates (cand_id, seq)
 
 
 def contig_kmers(contigs: DataFrame, k: int, edge: int) -> DataFrame:
@@ -154,9 +154,12 @@ def rename(name: str = "name", left: str = "left", right: str = "right"):
     return F.format_string("%s-l%dr%d", base, had(1) + F.col(left), had(2) + F.col(right))
 
 
-def near_reads(contigs: DataFrame, reads: DataFrame, k: int, options: MatchOptions = MatchOptions()) -> DataFrame:
-    """Reads for the contigs' ends: matched, screened for overhang, limited by contig, and with ``include_mate`` their mates."""
-    hits = match(contigs, kmers.observe(reads, k), k, options)
+def near_reads(contigs: DataFrame, reads: DataFrame, k: int, options: MatchOptions = MatchOptions(), matcher: Matcher | None = None) -> DataFrame:
+    """Reads for the contigs' ends: matched, screened for overhang, limited by contig, and with ``include_mate`` their mates.
+
+    A ``matcher`` takes the place of the matching by k-mers.
+    """
+    hits = matcher(contigs, reads) if matcher is not None else match(contigs, kmers.observe(reads, k), k, options)
     if options.overlap_only:
         some = reads.join(hits.select("read_id").distinct(), "read_id", "left_semi")
         placed = seed_alignments(contigs, some, k, options)
@@ -170,7 +173,7 @@ def near_reads(contigs: DataFrame, reads: DataFrame, k: int, options: MatchOptio
 
 def assemble(
     contigs: DataFrame, reads: DataFrame, k: int, options: ExtendOptions = ExtendOptions(), match_options: MatchOptions = MatchOptions(overlap_only=False),
-    rounds: int | None = None, greatest_k: int | None = None, step_k: int = 2, assembler: Assembler | None = None,
+    rounds: int | None = None, greatest_k: int | None = None, step_k: int = 2, assembler: Assembler | None = None, matcher: Matcher | None = None,
 ) -> DataFrame:
     """Match reads, count their k-mers, extend; until no contig grows or all have ``max_contig`` bases.
 
@@ -181,7 +184,7 @@ def assemble(
     """
     now, size = contigs.select("contig_id", "seq"), k
     for _ in range(rounds or options.max_iterations):
-        near = near_reads(now, reads, k, match_options)
+        near = near_reads(now, reads, k, match_options, matcher)
         if assembler is not None:
             made = cut(assembler(now, near))
             best = best_contig(now, made, k, 0.5).join(made.select("cand_id", F.col("seq").alias("longer")), "cand_id", "left")

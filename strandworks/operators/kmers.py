@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandworks.config import KmerOptions
+from strandworks.config import KmerOptions, VariantOptions
 from strandworks.functions import dna, quality
 from strandworks.functions.bind import let
 from strandworks.operators import ordered, windows
@@ -158,8 +158,11 @@ def both_strands(table: DataFrame) -> DataFrame:
         for a, b in zip("ACGTNX", "TGCANX"):
             if f"{side}_{a}" in flipped:
                 flipped[f"{side}_{a}"] = f"{other}_{b}"
-    other = table.where(dna.revcomp("kmer") != F.col("kmer")).select(*(dna.revcomp("kmer").alias("kmer") if c == "kmer" else F.col(src).alias(c) for c, src in flipped.items()))
-    return table.unionByName(other)
+    # One pass: the table may be a whole count, which a union would make twice.
+    own = F.struct(*(F.col(c).alias(c) for c in table.columns))
+    turned = F.struct(*(F.col("_rc").alias(c) if c == "kmer" else F.col(src).alias(c) for c, src in flipped.items()))
+    each = table.withColumn("_rc", dna.revcomp("kmer")).select(F.explode(F.when(F.col("_rc") == F.col("kmer"), F.array(own)).otherwise(F.array(own, turned))).alias("_x"))
+    return each.select("_x.*")
 
 
 def histogram_bucket(n: Column, zoom: int = 256) -> Column:
@@ -251,11 +254,11 @@ def error_ratios(observations: DataFrame, spec: DataFrame, k: int, strong: float
     count, and the same over each of theirs is taken off.
     """
     lead = spec.where(F.col("n") > strong).select("kmer", "n")
-    probes = lead.select(F.col("kmer").alias("strong"), "n", F.explode(F.array_distinct(F.transform(dna.neighbours("kmer", k), dna.canonical))).alias("kmer")).where("kmer <> strong")
-    solid = probes.join(lead.select("kmer", F.col("n").alias("m")), "kmer").groupBy("strong").agg(F.sum("m").alias("more"), F.sum(1 / F.col("m")).alias("inverse"))
-    weak = observations.select("kmer", "pos").join(probes.select("kmer").distinct(), "kmer", "left_semi").join(lead.select("kmer"), "kmer", "left_anti")
+    around = probes(lead, k).select(F.col("kmer").alias("strong"), "n", dna.kmer_of("probe").alias("kmer")).dropDuplicates(["strong", "kmer"])
+    solid = around.join(lead.select("kmer", F.col("n").alias("m")), "kmer").groupBy("strong").agg(F.sum("m").alias("more"), F.sum(1 / F.col("m")).alias("inverse"))
+    weak = observations.select("kmer", "pos").join(around.select("kmer").distinct(), "kmer", "left_semi").join(lead.select("kmer"), "kmer", "left_anti")
     at = weak.groupBy("kmer", "pos").agg(F.count("*").alias("s"))
-    each = probes.join(at, "kmer").groupBy("strong", "n", "pos").agg(F.sort_array(F.collect_list("s")).alias("v"))  # at most 3k values a group
+    each = around.join(at, "kmer").groupBy("strong", "n", "pos").agg(F.sort_array(F.collect_list("s")).alias("v"))  # at most 3k values a group
     mass = F.get("v", F.floor(F.size("v") / 2).cast("int")) * F.size("v")
     j = each.join(solid, "strong", "left")
     ratio = F.when(F.col("more").isNull(), mass / F.col("n")).otherwise(mass / (F.col("n") + F.col("more")) - mass * F.col("inverse"))
@@ -297,11 +300,23 @@ def error_rate(observed: Column, weight: Column, dropped: Column) -> Column:
     return 1 - weight / (observed + dropped)
 
 
+def probes(spec: DataFrame, k: int, distance: int = 1) -> DataFrame:
+    """``spec`` with its ``code`` and a row for each canonical k-mer with exactly ``distance`` substitutions, as ``probe``; a probe may come twice."""
+    masks = F.array(*(F.lit(m).cast("long") for m in dna.substitutions(k, distance)))
+    own = spec if "code" in spec.columns else spec.withColumn("code", dna.code("kmer"))
+    each = own.select("*", F.explode(F.transform(masks, lambda m: F.col("code").bitwiseXOR(m))).alias("_x"))
+    return each.withColumn("probe", dna.canonical_code("_x", k)).drop("_x").where("probe <> code")
+
+
+def _by_probe(spec: DataFrame, value: str = "n") -> DataFrame:
+    return spec.select((F.col("code") if "code" in spec.columns else dna.code("kmer")).alias("probe"), F.col(value).alias("pn"))
+
+
 def error_neighbours(spec: DataFrame, k: int) -> DataFrame:
     """``kmer, n, neighbours, neighbour_n``: how many 1-substitution neighbours a k-mer has in the spectrum, and their visits."""
-    probes = spec.select("kmer", "n", F.explode(F.array_distinct(F.transform(dna.neighbours("kmer", k), dna.canonical))).alias("probe")).where("probe <> kmer")
-    hits = probes.join(spec.select(F.col("kmer").alias("probe"), F.col("n").alias("pn")), "probe")
-    return hits.groupBy("kmer", "n").agg(F.count("*").alias("neighbours"), F.sum("pn").alias("neighbour_n"))
+    hits = probes(spec.select("kmer", "n"), k).drop("kmer").join(_by_probe(spec), "probe")
+    found = hits.groupBy("code", "n").agg(F.collect_set(F.struct("probe", "pn")).alias("s"))  # at most 3k members
+    return found.select(dna.kmer_of("code").alias("kmer"), "n", F.size("s").cast("long").alias("neighbours"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["pn"]).alias("neighbour_n"))
 
 
 def consolidate(spec: DataFrame, k: int) -> DataFrame:
@@ -309,24 +324,27 @@ def consolidate(spec: DataFrame, k: int) -> DataFrame:
 
     Stronger: greater n, then greater k-mer; so chains have no cycles.
     """
-    probes = spec.select("kmer", "n", F.explode(F.array_distinct(F.transform(dna.neighbours("kmer", k), dna.canonical))).alias("probe")).where("probe <> kmer")
-    hits = probes.join(spec.select(F.col("kmer").alias("probe"), F.col("n").alias("pn")), "probe").where("pn > n OR (pn = n AND probe > kmer)")
-    best = hits.groupBy("kmer").agg(F.max(F.struct("pn", "probe")).alias("b"))
-    return spec.join(best, "kmer", "left").select("kmer", "n", F.coalesce("b.probe", "kmer").alias("root"))
+    hits = probes(spec.select("kmer", "n"), k).drop("kmer").join(_by_probe(spec), "probe").where("pn > n OR (pn = n AND probe > code)")
+    best = hits.groupBy("code").agg(F.max(F.struct("pn", "probe")).alias("b")).select(dna.kmer_of("code").alias("kmer"), dna.kmer_of("b.probe").alias("root"))
+    return spec.join(best, "kmer", "left").select("kmer", "n", F.coalesce("root", "kmer").alias("root"))
 
 
-def purge_variants(spec: DataFrame, k: int, sigmas: float, strong: float, factor: float = 20.0, distance: int = 1, value: str = "n") -> DataFrame:
+def purge_variants(spec: DataFrame, k: int, options: VariantOptions = VariantOptions(), value: str = "n") -> DataFrame:
     """The spectrum without weak neighbours of strong k-mers.
 
-    A k-mer with weight c over ``strong`` has the threshold t = c - sigmas * sqrt(c); at
-    substitution distance d, neighbours below t / factor ** (d - 1) go.
+    A k-mer with weight c over ``strong_weight`` has the threshold t = c - sigmas *
+    sqrt(c); at substitution distance d, neighbours below t / distance_factor ** (d - 1)
+    go. Negative ``sigmas`` leave all.
     """
-    lead = spec.where(F.col(value) > strong).select("kmer", F.col(value).alias("c"))
-    lead = lead.withColumn("t", F.col("c") - F.lit(sigmas) * F.sqrt("c"))
-    probes, scale = None, 1.0
-    for d in range(1, distance + 1):
-        near = lead.select(F.explode(F.array_distinct(F.transform(dna.neighbours_within("kmer", k, d), dna.canonical))).alias("kmer"), (F.col("t") / scale).alias("limit"))
-        probes = near if probes is None else probes.union(near)
-        scale *= factor
-    limits = probes.groupBy("kmer").agg(F.max("limit").alias("limit"))
-    return spec.join(limits, "kmer", "left").where(F.col("limit").isNull() | (F.col(value) >= F.col("limit"))).drop("limit")
+    if options.sigmas < 0:
+        return spec
+    lead = spec.where(F.col(value) > options.strong_weight).select("kmer", F.col(value).alias("c"))
+    lead = lead.withColumn("t", F.col("c") - F.lit(options.sigmas) * F.sqrt("c"))
+    near, scale = None, 1.0
+    for d in range(1, options.edit_distance + 1):
+        some = probes(lead, k, d).select(F.col("probe").alias("code"), (F.col("t") / scale).alias("limit"))
+        near = some if near is None else near.union(some)
+        scale *= options.distance_factor
+    limits = near.groupBy("code").agg(F.max("limit").alias("limit"))
+    own = spec if "code" in spec.columns else spec.withColumn("code", dna.code("kmer"))
+    return own.join(limits, "code", "left").where(F.col("limit").isNull() | (F.col(value) >= F.col("limit"))).select(*spec.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions import dna, stats
+from strandworks.operators import windows
 
 
 def dimension(spark: SparkSession, k: int) -> DataFrame:
@@ -28,8 +29,8 @@ def vectors(rows: DataFrame, group: str, k: int = 4) -> DataFrame:
 
     One aggregate by (group, k-mer) with partial sums, then one by group.
     """
-    each = rows.select(group, F.explode(dna.windows("seq", k)).alias("f")).where(~F.col("f").rlike("[^ACGT]"))
-    counts = each.groupBy(group, dna.canonical("f").alias("kmer")).agg(F.count("*").alias("n"))
+    each = windows.windows(rows.select(F.col(group).alias("read_id"), "seq"), k)
+    counts = each.groupBy(F.col("read_id").alias(group), "code").agg(F.count("*").alias("n")).select(group, dna.kmer_of("code").alias("kmer"), "n")
     maps = counts.groupBy(group).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("kmer", "n"))).alias("m"))
     names = canonical_kmers(k)
     return maps.select(group, "total", F.transform(F.array(*map(F.lit, names)), lambda x: F.coalesce(F.element_at("m", x), F.lit(0)).cast("double")).alias("v"))

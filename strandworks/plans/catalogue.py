@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandworks.config import ExtendOptions, KmerOptions, MatchOptions, SelectOptions
+from strandworks.config import ExtendOptions, KmerOptions, MatchOptions, SelectOptions, VariantOptions
 from strandworks.functions import dna, quality, sam, stats
 from strandworks.lineage import shared_dir
 from strandworks.operators import align, artifacts, assembly, dedup, kmers, reads as rd, size, vectors
@@ -240,9 +240,18 @@ def consolidate_1edit(spark, sf_dir):
     return kmers.consolidate(_spec(spark, sf_dir, K_SMALL), K_SMALL)
 
 
-@query(_spec_sql(K_SMALL) + ", lead AS (SELECT * FROM sp WHERE n > 64)" + _NB_SQL.replace("FROM sp, unnest", "FROM lead, unnest").split("hit AS")[0] + "lim AS (SELECT probe, max(n - 3 * sqrt(n::DOUBLE)) AS t FROM pr GROUP BY probe) SELECT kmer, n FROM sp LEFT JOIN lim ON probe = kmer WHERE t IS NULL OR n >= t")
+_SUB = f"unnest(generate_series(1, {K_SMALL})) t(i), unnest(['A','C','G','T']) u(b)"
+
+
+@query(
+    _spec_sql(K_SMALL)
+    + f""", lead AS (SELECT kmer, n - 3 * sqrt(n::DOUBLE) AS t FROM sp WHERE n > 512), s1 AS (SELECT kmer, t, substring(kmer, 1, i - 1) || b || substring(kmer, i + 1) AS x FROM lead, {_SUB}),
+s2 AS (SELECT DISTINCT kmer, t, substring(x, 1, i - 1) || b || substring(x, i + 1) AS y FROM s1, {_SUB}),
+lim AS (SELECT probe, max(t) AS t FROM (SELECT least(x, {RC.format('x')}) AS probe, kmer, t FROM s1 UNION ALL SELECT least(y, {RC.format('y')}), kmer, t / 20 FROM s2) WHERE probe <> kmer GROUP BY probe)
+SELECT kmer, n FROM sp LEFT JOIN lim ON probe = kmer WHERE t IS NULL OR n >= t"""
+)
 def variant_purge(spark, sf_dir):
-    return kmers.purge_variants(_spec(spark, sf_dir, K_SMALL), K_SMALL, sigmas=3.0, strong=64).select("kmer", "n")
+    return kmers.purge_variants(_spec(spark, sf_dir, K_SMALL), K_SMALL, VariantOptions(sigmas=3.0)).select("kmer", "n")
 
 
 # ---------------------------------------------------------------- reads

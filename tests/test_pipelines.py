@@ -1,5 +1,6 @@
 """Read and assembly pipelines against brute force, and invariance under repartitioning."""
 
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from strandworks.config import ArtifactOptions, ExtendOptions, KmerOptions, SelectOptions
+from strandworks.config import ArtifactOptions, ExtendOptions, KmerOptions, SelectOptions, VariantOptions
 from strandworks.functions import dna
 from strandworks.operators import artifacts, assembly, dedup, kmers
 from strandworks.operators import reads as rd
@@ -190,9 +191,37 @@ def test_a_read_matches_itself_and_a_genome_is_rebuilt(spark):
 def test_variants_are_purged(spark):
     strong = "ACGTACGTTAC"
     weak = strong[:5] + "A" + strong[6:]
-    spec = spark.createDataFrame([(min(m, rc(m)), n) for m, n in ((strong, 1000), (weak, 10), ("TTTTTGGGGGC", 10))], "kmer string, n long")
-    left = {r.kmer for r in kmers.purge_variants(spec, 11, 3.0, 512).collect()}
-    assert left == {min(m, rc(m)) for m in (strong, "TTTTTGGGGGC")}
+    two = weak[:8] + "G" + weak[9:]
+    rows = [(min(m, rc(m)), n) for m, n in ((strong, 1000), (weak, 10), (two, 10), ("TTTTTGGGGGC", 10))]
+    spec = spark.createDataFrame(rows, "kmer string, n long")
+    left = lambda **o: {r.kmer for r in kmers.purge_variants(spec, 11, VariantOptions(**o)).collect()}
+    keep = lambda *ms: {min(m, rc(m)) for m in ms}
+    assert left(sigmas=3.0) == keep(strong, "TTTTTGGGGGC")
+    assert left(sigmas=3.0, edit_distance=1) == keep(strong, two, "TTTTTGGGGGC")
+    assert left(sigmas=3.0, distance_factor=200.0) == keep(strong, two, "TTTTTGGGGGC")
+    assert left() == {m for m, _ in rows}
+
+
+def test_codes_of_neighbours(spark):
+    rnd = random.Random(3)
+    for k in (1, 4, 11, 31):
+        own = ["".join(rnd.choice("ACGT") for _ in range(k)) for _ in range(6)]
+        df = spark.createDataFrame([(m,) for m in own], "kmer string").withColumn("code", dna.code("kmer"))
+        assert {r.kmer: r.o for r in df.select("kmer", dna.kmer_of(dna.rc_code("code", k)).alias("o")).collect()} == {m: rc(m) for m in own}
+        for d in (1, 2):
+            if d > k or (k == 31 and d == 2):
+                continue
+            got = {(r.kmer, r.p) for r in kmers.probes(df, k, d).select("kmer", dna.kmer_of("probe").alias("p")).collect()}
+            want = set()
+            for m in own:
+                for at in itertools.combinations(range(k), d):
+                    for new in itertools.product("ACGT", repeat=d):
+                        x = list(m)
+                        for i, b in zip(at, new):
+                            x[i] = b
+                        if sum(a != b for a, b in zip(x, m)) == d:
+                            want.add((m, min("".join(x), rc("".join(x)))))
+            assert got == {w for w in want if w[0] != w[1]}
 
 
 def test_stream_equals_batch(spark, tmp_path, reads):
