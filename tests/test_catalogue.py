@@ -29,3 +29,21 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["kmer", "n"]
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_sorted_results_come_in_order(spark, sf):
+    got = [tuple(r) for r in QUERIES["coordinate_sort"](spark, sf).collect()]
+    key = lambda r: (r[2] == "*", r[2], r[3], r[0], r[1] & 4 > 0, r[1] & 128 > 0, r[1])
+    assert got == sorted(got, key=key) and len({r[2] for r in got}) > 3
+    near = [tuple(r) for r in QUERIES["tnf_distance_sorted"](spark, sf).collect()]
+    assert near == sorted(near, key=lambda r: (r[2], r[0], r[1]))
+
+
+def test_ids_have_room_for_long_texts(spark, tmp_path):
+    """A text of over 600,000 letters keeps its reads apart from those of the next document."""
+    from strandworks.plans import derived
+
+    spark.createDataFrame([(1, "ACGTTGCA" * 90_000), (2, "ABC" * 60), (3, None), (4, "x"), (5, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    reads = derived.reads(spark, str(tmp_path))
+    assert reads.count() == reads.select("read_id").distinct().count() == 12_000 + 3 + 1
+    assert {r.doc_id for r in reads.select("doc_id").distinct().collect()} == {1, 2, 4}
