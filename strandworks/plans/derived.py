@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 AS_BASES = ("ACGT" * 7)[:26] * 2
-READ, STEP, ROOM = 100, 60, 1 << 31
+READ, STEP, PIECE, ROOM = 100, 60, 100, 1 << 31
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,9 +26,12 @@ def dna(text: str):
 
 def cut_reads(docs: DataFrame, ident: str = "doc_id") -> DataFrame:
     """``read_id, doc_id, i, file_id, name, comment, seq, qual`` of documents; a narrow transformation."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("dna") - 1) / STEP).cast("int")))
-    each = docs.select(F.col(ident).alias("doc_id"), dna("text").alias("dna")).select("doc_id", F.posexplode(starts).alias("i", "_"), "dna")
-    cut = each.select("doc_id", "i", F.substring("dna", F.col("i") * STEP + 1, F.lit(READ)).alias("seq")).where(F.length("seq") > 0)
+    # Long texts are cut in pieces of PIECE reads first: what is copied and searched grows with their length, not with its square.
+    held, reach = PIECE * STEP, PIECE * STEP + READ - STEP
+    pieces = F.expr(f"transform(sequence(0, greatest(0, length(dna) - 1) div {held}), c -> substring(dna, cast(c * {held} + 1 AS INT), {reach}))")
+    cuts = F.expr(f"transform(sequence(0, greatest(0, least(length(piece), {held}) - 1) div {STEP}), j -> substring(piece, cast(j * {STEP} + 1 AS INT), {READ}))")
+    each = docs.select(F.col(ident).alias("doc_id"), dna("text").alias("dna")).select("doc_id", F.posexplode(pieces).alias("c", "piece")).select("doc_id", "c", F.posexplode(cuts).alias("j", "seq"))
+    cut = each.where(F.length("seq") > 0).select("doc_id", (F.col("c") * PIECE + F.col("j")).alias("i"), "seq")
     q = "transform(sequence(1, length(seq)), j -> char(33 + IF((j * j * j + read_id * 31) % 257 < 3, 2, 8 + (j * 7 + read_id * 3) % 33)))"
     named = cut.withColumn("read_id", F.col("doc_id") * ROOM + F.col("i")).withColumn("name", F.expr("concat('d', doc_id, '.', i div 2, '/', 1 + i % 2)"))
     return named.select("read_id", "doc_id", "i", F.lit(0).alias("file_id"), "name", F.lit(None).cast("string").alias("comment"), "seq", F.expr(f"array_join({q}, '')").alias("qual"))
