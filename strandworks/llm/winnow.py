@@ -17,8 +17,9 @@ any word are alike (1.0).
 
 The neighbour of a document, in descending doc_id, is found without a global
 sort in one task: documents are cut into doc_id ranges of some thousand rows by
-quantiles, each range gets a copy of the first document of the next one, and the
-rest is a window function within the range. Text is shuffled once.
+quantiles (an id that many rows have, null too, in parts by text hash), each range
+gets a copy of the first document of the next one, and the rest is a window function
+within the range. Text is shuffled once.
 
 Edge cases: null text counts as empty; fewer than K words make one gram; fewer
 than W grams make one window; an edited text of under 6 code points may share
@@ -29,6 +30,8 @@ neighbour; an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,43 +118,52 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"IF(size({a}) = 0 AND size({b}) = 0, 1D, size(array_intersect({a}, {b})) / CAST(size(array_union({a}, {b})) AS DOUBLE))")
 
 
-def _with_range(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with the number of their doc_id range, and ``(range, did)`` of each range's first document."""
+def _with_range(docs: DataFrame) -> tuple[DataFrame, list]:
+    """Documents with the number of their range, and each range with the did and tie of its first document, lowest range first.
+
+    Ranges are cut at quantiles of did. A did that fills several quantiles is cut on by
+    tie, in as many parts, so that rows without an id are not one range.
+    """
     ids = docs.select("did")
     n = ids.count()
     ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    bounds = [] if ranges == 1 else ids.agg(F.percentile_approx("did", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
-    bounds = sorted(set(bounds or []))
+    cuts = [] if ranges == 1 else ids.agg(F.percentile_approx("did", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    times = Counter(cuts or [])
+    bounds = sorted(times)
+    parts = max((c + 1 for c in times.values() if c > 1), default=1)
     if not bounds:
-        number = F.lit(0)
+        number, sub = F.lit(0), F.lit(0)
     else:
-        all_, coarse = (F.array(*(F.lit(b).cast("long") for b in some)) for some in (bounds, bounds[_FINE - 1 :: _FINE] or bounds[-1:]))
+        all_, coarse, many = (F.array(*(F.lit(b).cast(t) for b in some)) for some, t in ((bounds, "long"), (bounds[_FINE - 1 :: _FINE] or bounds[-1:], "long"), ([times[b] for b in bounds], "int")))
         if len(bounds) < _FINE:
             number = F.size(F.filter(all_, lambda b: b <= F.col("did")))
         else:
             major = F.size(F.filter(coarse, lambda b: b <= F.col("did"))) * _FINE
             number = major + F.size(F.filter(F.slice(all_, major + 1, F.lit(_FINE)), lambda b: b <= F.col("did")))
-    ranged = docs.withColumn("range", number)
-    heads = ranged.select("range", "did").groupBy("range").agg(F.max("did").alias("did"))
-    return ranged, heads
+        at = F.get(all_, F.col("_number") - 1)
+        # Ties are even over the 64-bit numbers; the least of them come first, so they get the highest part.
+        share = F.get(many, F.col("_number") - 1)
+        sub = F.when((at == F.col("did")) & (share > 1), share - 1 - F.floor((F.shiftright("tie", 32) + (1 << 31)) * share / (1 << 32))).otherwise(parts - 1)
+    ranged = docs.withColumn("_number", number).withColumn("range", (F.col("_number") * parts + sub).cast("int")).drop("_number")
+    # did falls and tie rises along the order: the greatest of (did, not tie) comes first
+    heads = ranged.groupBy("range").agg(F.max(F.struct("did", F.bitwise_not("tie").alias("late"))).alias("h")).select("range", "h.did", F.bitwise_not("h.late").alias("tie"))
+    return ranged, sorted(heads.collect(), key=lambda r: r["range"])  # at most 2 * MAX_RANGES rows of numbers
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, did, range, tie, next_text)`` in descending doc_id; after the last comes the first.
 
-    The table of range heads is broadcast: at most MAX_RANGES rows of two numbers.
+    The table of range heads is broadcast: at most 2 * MAX_RANGES rows of three numbers.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("did", F.coalesce("doc_id", F.lit(_LEAST_ID).cast("long")))
+    rows = rows.withColumn("did", F.coalesce("doc_id", F.lit(_LEAST_ID).cast("long"))).withColumn("tie", F.xxhash64("text"))
     ranged, heads = _with_range(rows)
-    numbers = sorted(heads.collect(), key=lambda r: r["range"])  # at most MAX_RANGES rows
-    if not numbers:
-        return rows.select("*", F.lit(0).alias("range"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("string").alias("next_text"), F.lit(False).alias("guest"))
-    to = [(r["did"], numbers[(i + 1) % len(numbers)]["range"]) for i, r in enumerate(numbers)]  # a range's head goes to the range above
-    sent_to = docs.sparkSession.createDataFrame(to, "did long, range int")
-    tie = F.xxhash64("text").alias("tie")
-    guests = rows.join(F.broadcast(sent_to), "did").groupBy("range").agg(F.min_by(F.struct("doc_id", "text", "did"), F.xxhash64("text")).alias("h"))
-    own = ranged.select("doc_id", "text", "did", "range", tie, F.lit(False).alias("guest"))
+    if not heads:
+        return rows.select("*", F.lit(0).alias("range"), F.lit(None).cast("string").alias("next_text"), F.lit(False).alias("guest"))
+    to = [(r["did"], r["tie"], heads[(i + 1) % len(heads)]["range"]) for i, r in enumerate(heads)]  # a range's head goes to the range above
+    sent_to = docs.sparkSession.createDataFrame(to, "did long, tie long, range int")
+    guests = rows.join(F.broadcast(sent_to), ["did", "tie"]).groupBy("range").agg(F.min(F.struct("did", "tie", "doc_id", "text")).alias("h"))
+    own = ranged.select("doc_id", "text", "did", "range", "tie", F.lit(False).alias("guest"))
     guest = guests.select("h.doc_id", "h.text", "h.did", "range", F.lit(0).cast("long").alias("tie"), F.lit(True).alias("guest"))
     order = Window.partitionBy("range").orderBy("guest", F.desc("did"), "tie")
     return own.unionByName(guest).withColumn("next_text", F.lead("text").over(order))

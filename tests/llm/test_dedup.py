@@ -245,6 +245,20 @@ def test_edited_texts_and_likeness(docs, rows, monkeypatch, range_rows):
             assert g.near_edited == 1.0
 
 
+def test_rows_without_id_are_several_ranges(spark, monkeypatch):
+    """Null ids and an id that many rows have are cut by text hash, and neighbours stay those of the whole order."""
+    monkeypatch.setattr(winnow, "RANGE_ROWS", 5)
+    rows = [(None, f"text {i} of none") for i in range(60)] + [(7, f"text {i} of seven") for i in range(60)] + [(i, f"text {i}") for i in range(40)] + [(None, "same"), (None, "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tie = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), tie[r[1]]))
+    got = winnow.with_next(df).where("NOT guest").select("doc_id", "text", "range").collect()
+    assert Counter(r["range"] for r in got).most_common(1)[0][1] < 20
+    assert len({r["range"] for r in got if r.doc_id is None}) > 4
+    want = Counter((r[0], hashlib.sha256((r[1][: len(r[1]) - len(r[1]) // 3] + n[1][: len(r[1]) // 3]).encode()).hexdigest()) for r, n in zip(order, order[1:] + order[:1]))
+    assert Counter((r.doc_id, r.edited_sha256) for r in winnow.fingerprint_report(df).select("doc_id", "edited_sha256").collect()) == want
+
+
 def test_winnowing_edges(wide, empty, rows, spark):
     assert winnow.fingerprint_report(wide).count() == len(rows)
     assert winnow.fingerprint_report(empty).count() == 0
