@@ -673,7 +673,21 @@ def contig_extend_step(spark, sf_dir):
     return assembly.extend_step(_contigs(spark, sf_dir), _spec(spark, sf_dir, K), K).drop("seq")
 
 
-@query()
+def _grown(name, start, as_read="seq"):
+    """SQL of a contig table grown to the right: a row each step, then the last of each contig."""
+    turned = RC.format("right(seq, {0})".format(K))
+    return f"""{name}_steps AS (SELECT contig_id, {as_read} AS seq, 0 AS added FROM {start} UNION ALL SELECT contig_id, seq || t.b, added + 1 FROM
+(SELECT contig_id, seq, added, sum(n)::BIGINT AS total, max(struct_pack(n := n, b := b)) AS t FROM (SELECT contig_id, seq, added, b, right(seq, {K - 1}) || b AS x FROM {name}_steps, unnest(['A','C','G','T']) u(b) WHERE added < 50 AND length(seq) < 3000)
+JOIN solid ON solid.kmer = least(x, {RC.format('x')}) GROUP BY 1, 2, 3) JOIN solid e ON e.kmer = least(right(seq, {K}), {turned})
+WHERE total >= 4.8 AND total / e.n::DOUBLE > 0.33 AND t.n / total::DOUBLE >= 0.85 AND instr(seq, right(seq || t.b, {K})) = 0),
+{name} AS (SELECT contig_id, arg_max(seq, added) AS seq, max(added) AS added FROM {name}_steps GROUP BY 1)"""
+
+
+@query(
+    _with(SQL_READS, sql_kmers(K), sql_spectrum(), _CONTIG_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", solid AS MATERIALIZED (SELECT kmer, n FROM sp WHERE n >= 2), {_grown('ctg_r', 'ctg')}, {_grown('ctg_l', 'ctg_r', RC.format('seq'))}
+SELECT contig_id, {RC.format('l.seq')} AS seq, l.added AS "left", r.added AS "right" FROM ctg_l l JOIN ctg_r r USING (contig_id)"""
+)
 def contig_extend(spark, sf_dir):
     from strandworks.lineage import cut
 

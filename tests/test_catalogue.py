@@ -1,5 +1,8 @@
 """Every query of the engine's own operators against its SQL twin."""
 
+import math
+
+import numpy as np
 import pytest
 
 from strandworks.plans import catalogue
@@ -47,3 +50,33 @@ def test_ids_have_room_for_long_texts(spark, tmp_path):
     reads = derived.reads(spark, str(tmp_path))
     assert reads.count() == reads.select("read_id").distinct().count() == 12_000 + 3 + 1
     assert {r.doc_id for r in reads.select("doc_id").distinct().collect()} == {1, 2, 4}
+
+
+def test_clusters_are_those_of_plain_merging(spark, sf):
+    """The closest two clusters merge, their counts summed, until none are within the threshold."""
+    vecs = [({r.g}, [float(x) for x in r.v]) for r in sorted(catalogue._vectors(spark, sf).collect(), key=lambda r: r.g)]
+    unit = lambda v: [x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v]
+    while len(vecs) > 1:
+        near = min((math.dist(unit(vecs[i][1]), unit(vecs[j][1])), i, j) for i in range(len(vecs)) for j in range(i))
+        if near[0] > 0.01:
+            break
+        _, i, j = near
+        (a, x), (b, y) = vecs[i], vecs[j]
+        vecs[j] = (a | b, [p + q for p, q in zip(x, y)])
+        del vecs[i]
+    got = {}
+    for r in QUERIES["tnf_cluster"](spark, sf).collect():
+        got.setdefault(r.cluster, set()).add(r.g)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g, _ in vecs)
+    assert 1 <= len(vecs)
+
+
+def test_size_fit_is_not_beaten_by_a_grid(spark, sf):
+    from strandworks.operators import kmers, size
+
+    curve = sorted(kmers.size_history(catalogue._obs(spark, sf, catalogue.K)).collect(), key=lambda r: r.part)
+    x, u = np.array([float(r.raw) for r in curve]), np.array([float(r.distinct_kmers) for r in curve])
+    loss = lambda a, b: float((((size.unique_growth(x, a, b) - u) * np.log(np.maximum(x, 2))) ** 2).sum())
+    r = {r.model: r for r in QUERIES["estimate_size_fit"](spark, sf).collect()}["growth"]
+    least = min(loss(a, b) for a in np.linspace(0.001, 0.999, 300) for b in np.geomspace(10, 1e9, 300))
+    assert loss(r.error_rate, r.genome_kmers) <= least * (1 + 1e-6)

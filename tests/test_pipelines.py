@@ -14,6 +14,8 @@ from strandworks.operators import artifacts, assembly, dedup, kmers
 from strandworks.operators import reads as rd
 from strandworks.sources import constants
 
+from .oracle import assert_equal, tables
+
 RC = str.maketrans("ACGT", "TGCA")
 
 
@@ -272,5 +274,7 @@ def test_contigs_grow_by_more_than_five_bases(spark, tmp_path):
     letters = "".join(random.Random(5).choices("ABCD", k=400))
     spark.createDataFrame([(i, letters) for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, letters[:392])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    r = catalogue.contig_extend(spark, str(tmp_path)).first()
+    grown = catalogue.contig_extend(spark, str(tmp_path))
+    r = grown.first()
     assert (r["left"], r["right"]) == (0, 8)
+    assert_equal(grown, tables(str(tmp_path)), catalogue.oracle_sql()["contig_extend"])
