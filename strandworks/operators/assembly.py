@@ -109,12 +109,14 @@ def extend_step(contigs: DataFrame, spectrum: DataFrame, k: int, options: Extend
     more than ``max_delta`` of the edge k-mer's, and one has ``min_consensus`` of
     them; ties go to the greater base.
     """
-    edge = contigs.withColumn("edge_kmer", F.substring("seq", F.length("seq") - k + 1, F.lit(k)))
-    probe = edge.select("contig_id", F.posexplode(dna.extensions("edge_kmer")).alias("b", "x")).select("contig_id", F.substring(F.lit("ACGT"), F.col("b") + 1, F.lit(1)).alias("base"), dna.canonical("x").alias("kmer"))
-    depth = spectrum.select("kmer", F.col(value).alias("d"))
-    sums = probe.join(depth, "kmer").groupBy("contig_id").agg(F.sum("d").alias("total"), F.max(F.struct("d", "base")).alias("t"))
-    own = edge.select("contig_id", dna.canonical("edge_kmer").alias("kmer")).join(depth.withColumnRenamed("d", "edge"), "kmer").drop("kmer")
-    j = edge.drop("edge_kmer").join(sums, "contig_id", "left").join(own, "contig_id", "left")
+    edge = F.substring("seq", F.length("seq") - k + 1, F.lit(k))
+    # base 0 is the edge k-mer itself, so that one pass over the spectrum finds all five depths
+    probe = contigs.select("contig_id", F.posexplode(F.concat(F.array(edge), dna.extensions(edge))).alias("b", "x"))
+    probe = probe.select("contig_id", F.when(F.col("b") > 0, F.substring(F.lit("ACGT"), F.col("b"), F.lit(1))).alias("base"), dna.canonical("x").alias("kmer"))
+    hit = probe.join(spectrum.select("kmer", F.col(value).alias("d")), "kmer")
+    grows = F.col("base").isNotNull()
+    sums = hit.groupBy("contig_id").agg(F.sum(F.when(grows, F.col("d"))).alias("total"), F.max(F.when(grows, F.struct("d", "base"))).alias("t"), F.max(F.when(~grows, F.col("d"))).alias("edge"))
+    j = contigs.join(sums, "contig_id", "left")
     take = (F.col("total") >= options.min_coverage) & (F.col("total") / F.col("edge") > options.max_delta) & (F.col("t.d") / F.col("total") >= options.min_consensus)
     return j.select("contig_id", "seq", F.when(take, F.col("t.base")).alias("base"), "edge", "total", F.col("t.d").alias("top"))
 
