@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, linedup, media, mixing, packing, simhash, substring, tokenfiles, toxicity, winnow
+from . import langid, linedup, manifest, media, mixing, packing, simhash, substring, tokenfiles, toxicity, winnow
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
         "op10_line_dedup": linedup.op10_line_dedup,
+        "op13_merkle_manifest": manifest.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring.OP2_SQL, "op10_line_dedup": linedup.OP10_SQL}
+    return {"op2_substring_dedup": substring.OP2_SQL, "op10_line_dedup": linedup.OP10_SQL, "op13_merkle_manifest": manifest.OP13_SQL}
