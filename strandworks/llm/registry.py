@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, linedup, manifest, media, mixing, packing, repair, simhash, substring, tokenfiles, toxicity, winnow
+from . import langid, linedup, manifest, media, mixing, packing, repair, riskrules, simhash, substring, tokenfiles, toxicity, winnow
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
         "op10_line_dedup": linedup.op10_line_dedup,
+        "op11_quality_rules": riskrules.op11_quality_rules,
         "op12_conversation_repair": repair.op12_conversation_repair,
         "op13_merkle_manifest": manifest.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring.OP2_SQL, "op10_line_dedup": linedup.OP10_SQL, "op12_conversation_repair": repair.OP12_SQL, "op13_merkle_manifest": manifest.OP13_SQL}
+    return {"op2_substring_dedup": substring.OP2_SQL, "op10_line_dedup": linedup.OP10_SQL, "op11_quality_rules": riskrules.OP11_SQL, "op12_conversation_repair": repair.OP12_SQL, "op13_merkle_manifest": manifest.OP13_SQL}
