@@ -168,13 +168,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows equal in doc_id and text one stays.
     """
-    cols = docs.columns
-    key = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_k2")]
-    keyed = docs.select("*", *key)
-    rows, roots = components(keyed, "_k1", "_k2")
-    of_fp = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "_k1", "_k2")).alias("b")).join(roots, "fp")
-    best = of_fp.groupBy("root").agg(F.min("b").alias("b")).select("b._k1", "b._k2")
-    return keyed.join(best, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*cols)
+    # The row goes along as one column, so that no name of it meets one of the keys.
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
+    rows, roots = components(keyed, "k1", "k2")
+    of_fp = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("b")).join(roots, "fp")
+    best = of_fp.groupBy("root").agg(F.min("b").alias("b")).select("b.k1", "b.k2")
+    return keyed.join(best, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -23,5 +23,5 @@ def wide(docs):
     """The same documents with columns whose names operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ["fp", "key", "root", "n", "k", "k1", "k2", "range", "tie", "bucket", "batch", "name", "block", "passes", "begin", "size", "lines", "gone", "score", "u", "v", "start", "text_", "guest", "did", "n_tokens"]
+    names = ["fp", "key", "root", "n", "k", "k1", "k2", "_k1", "_k2", "row", "_row", "range", "tie", "bucket", "batch", "name", "block", "passes", "begin", "size", "lines", "gone", "score", "u", "v", "start", "text_", "guest", "did", "n_tokens"]
     return docs.select("*", *(F.lit(f"x-{c}").alias(c) for c in names))
