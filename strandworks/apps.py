@@ -96,7 +96,7 @@ def sample(spark, a) -> None:
 
 def split(spark, a) -> None:
     """Cut a file into parts by pairs."""
-    r = _reads(spark, a).withColumn("pair_no", F.floor(F.col("read_id") / 2))
+    r = _reads(spark, a).withColumn("pair_no", F.expr("read_id div 2"))
     writers.write_reads(reads.split_parts(r, a.parts, a.chunks), a.output, a.format, key="part")
 
 

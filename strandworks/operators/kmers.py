@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandworks.config import KmerOptions, VariantOptions
 from strandworks.functions import dna, quality
 from strandworks.functions.bind import let
+from strandworks.lineage import cut
 from strandworks.operators import ordered, windows
 
 EXTENSION_LETTERS = "ACGTNX"
@@ -190,7 +191,7 @@ def gc_heatmap(spec: DataFrame) -> DataFrame:
 def size_history(observations: DataFrame, cuts: int = 20) -> DataFrame:
     """Growth of the spectrum over ``cuts`` equal ranges of read ids, see :func:`history_of`."""
     bounds = observations.agg(F.min("read_id").alias("lo"), F.max("read_id").alias("hi"))
-    return history_of(observations.crossJoin(F.broadcast(bounds)).withColumn("part", F.floor((F.col("read_id") - F.col("lo")) * cuts / (F.col("hi") - F.col("lo") + 1)).cast("int")))
+    return history_of(observations.crossJoin(F.broadcast(bounds)).withColumn("part", F.expr(f"cast(cast(read_id - lo as decimal(20, 0)) * {cuts} div (cast(hi - lo as decimal(20, 0)) + 1) as int)")))
 
 
 def growth_limits(most: int, first: int = 128, growth: float = 1.05) -> list[int]:
@@ -253,16 +254,17 @@ def error_ratios(observations: DataFrame, spec: DataFrame, k: int, strong: float
     number, over the k-mer's own count. Strong neighbours correct it: they add to that
     count, and the same over each of theirs is taken off.
     """
-    lead = spec.where(F.col("n") > strong).select("kmer", "n")
-    around = probes(lead, k).select(F.col("kmer").alias("strong"), "n", dna.kmer_of("probe").alias("kmer")).dropDuplicates(["strong", "kmer"])
-    solid = around.join(lead.select("kmer", F.col("n").alias("m")), "kmer").groupBy("strong").agg(F.sum("m").alias("more"), F.sum(1 / F.col("m")).alias("inverse"))
-    weak = observations.select("kmer", "pos").join(around.select("kmer").distinct(), "kmer", "left_semi").join(lead.select("kmer"), "kmer", "left_anti")
-    at = weak.groupBy("kmer", "pos").agg(F.count("*").alias("s"))
-    each = around.join(at, "kmer").groupBy("strong", "n", "pos").agg(F.sort_array(F.collect_list("s")).alias("v"))  # at most 3k values a group
+    coded = lambda t: t if "code" in t.columns else t.withColumn("code", dna.code("kmer"))
+    lead = cut(coded(spec).where(F.col("n") > strong).select("code", "n"))
+    around = cut(probes(lead, k).select(F.col("code").alias("strong"), "n", F.col("probe").alias("code")).distinct())
+    solid = around.join(lead.select("code", F.col("n").alias("m")), "code").groupBy("strong").agg(F.sum("m").alias("more"), F.sum(1 / F.col("m")).alias("inverse"))
+    weak = around.select("code").distinct().join(lead.select("code"), "code", "left_anti")
+    at = coded(observations).select("code", "pos").join(weak, "code", "left_semi").groupBy("code", "pos").agg(F.count("*").alias("s"))
+    each = around.join(at, "code").groupBy("strong", "n", "pos").agg(F.sort_array(F.collect_list("s")).alias("v"))  # at most 3k values a group
     mass = F.get("v", F.floor(F.size("v") / 2).cast("int")) * F.size("v")
     j = each.join(solid, "strong", "left")
     ratio = F.when(F.col("more").isNull(), mass / F.col("n")).otherwise(mass / (F.col("n") + F.col("more")) - mass * F.col("inverse"))
-    return j.select(F.col("strong").alias("kmer"), "pos", ratio.alias("ratio"))
+    return j.select(dna.kmer_of("strong").alias("kmer"), "pos", ratio.alias("ratio"))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

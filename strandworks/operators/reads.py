@@ -318,11 +318,11 @@ def random_sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame
 
 def split_parts(reads: DataFrame, parts: int, chunks: int = 0) -> DataFrame:
     """Add ``part``: contiguous ranges of pair numbers, or with ``chunks`` an even interleave of that many pairs."""
-    pair = F.floor(F.col("pair_no")).cast("bigint")
     if chunks:
-        return reads.withColumn("part", (F.floor(pair / chunks) % parts).cast("int"))
-    top = reads.agg(F.max(pair).alias("_m"))
-    return reads.crossJoin(F.broadcast(top)).withColumn("part", F.floor(pair * parts / (F.col("_m") + 1)).cast("int")).drop("_m")
+        return reads.withColumn("part", F.expr(f"cast(pair_no div {chunks} % {parts} as int)"))
+    top = reads.agg(F.max("pair_no").alias("_m"))
+    share = F.expr(f"cast(cast(pair_no as decimal(20, 0)) * {parts} div (cast(_m as decimal(20, 0)) + 1) as int)")
+    return reads.crossJoin(F.broadcast(top)).withColumn("part", share).drop("_m")
 
 
 def split_mates(reads: DataFrame, min_length: int = 0) -> DataFrame:
@@ -337,7 +337,7 @@ def split_by_bases(reads: DataFrame, bases: int) -> DataFrame:
     """Add ``part`` to reads with ``pair_no``: files of some ``bases`` bases, of which the lesser mate of a pair counts."""
     sizes = reads.groupBy("pair_no").agg(F.min(F.length("seq")).cast("long").alias("_b"))
     placed = ordered.running_sum(sizes, "pair_no", "_b", "_s")
-    return reads.join(placed.select("pair_no", F.floor((F.col("_s") - F.col("_b")) / bases).cast("int").alias("part")), "pair_no")
+    return reads.join(placed.select("pair_no", F.expr(f"cast((_s - _b) div {bases} as int)").alias("part")), "pair_no")
 
 
 def to_fasta(reads: DataFrame) -> DataFrame:

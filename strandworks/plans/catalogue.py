@@ -168,7 +168,7 @@ def gc_heatmap(spark, sf_dir):
 @query(
     _with(SQL_READS, sql_kmers(K_SMALL))
     + """, b AS (SELECT min(read_id) AS lo, max(read_id) AS hi FROM reads),
-o AS (SELECT kmer, floor((read_id - lo) * 20 / (hi - lo + 1)::DOUBLE)::INT AS part FROM ck, b),
+o AS (SELECT kmer, ((read_id - lo)::HUGEINT * 20 // (hi - lo + 1))::INT AS part FROM ck, b),
 r AS (SELECT part, row_number() OVER (PARTITION BY kmer ORDER BY part) AS rn FROM o),
 a AS (SELECT part, count(*) AS raw, count(*) FILTER (WHERE rn = 1) AS d, count(*) FILTER (WHERE rn = 2) AS t FROM r GROUP BY part)
 SELECT part, (sum(raw) OVER w)::BIGINT AS raw, (sum(d) OVER w)::BIGINT AS distinct_kmers, (sum(d) OVER w - sum(t) OVER w)::BIGINT AS singletons FROM a WINDOW w AS (ORDER BY part)"""
@@ -235,7 +235,12 @@ def error_neighbors(spark, sf_dir):
     return kmers.error_neighbours(_spec(spark, sf_dir, K_SMALL), K_SMALL)
 
 
-@query(_spec_sql(K_SMALL) + _NB_SQL + ", up AS (SELECT * FROM hit WHERE pn > n OR (pn = n AND probe > kmer)), m AS (SELECT kmer, max(pn) AS pn FROM up GROUP BY kmer), b AS (SELECT up.kmer, max(probe) AS root FROM up JOIN m ON up.kmer = m.kmer AND up.pn = m.pn GROUP BY 1) SELECT sp.kmer, n, coalesce(root, sp.kmer) AS root FROM sp LEFT JOIN b USING (kmer)")
+# K-mers one substitution apart are equal but for one masked base, in one of both strands: the greatest with a masked k-mer is a neighbour of the others.
+@query(_spec_sql(K_SMALL) + f""", ori AS (SELECT kmer, n, kmer AS f FROM sp UNION SELECT kmer, n, {RC.format('kmer')} FROM sp),
+mk AS (SELECT kmer, n, f, substring(f, 1, i - 1) || '.' || substring(f, i + 1) AS m FROM ori, unnest(generate_series(1, {K_SMALL})) t(i)),
+tw AS (SELECT m, max({{'n': n, 'kmer': kmer}}) AS top FROM mk GROUP BY m),
+up AS (SELECT kmer, max(top) AS b FROM (SELECT kmer, n, substring(kmer, 1, i - 1) || '.' || substring(kmer, i + 1) AS m FROM sp, unnest(generate_series(1, {K_SMALL})) t(i)) JOIN tw USING (m) WHERE top > {{'n': n, 'kmer': kmer}} GROUP BY kmer)
+SELECT sp.kmer, n, coalesce((b).kmer, sp.kmer) AS root FROM sp LEFT JOIN up USING (kmer)""")
 def consolidate_1edit(spark, sf_dir):
     return kmers.consolidate(_spec(spark, sf_dir, K_SMALL), K_SMALL)
 
@@ -431,7 +436,7 @@ def dedup_groups(spark, sf_dir):
 
 @query(
     _FRAG_SQL.replace("least(k0, " + RC.format("k0") + ")", "k0")
-    + """, x AS (SELECT frag_key, pair_id * 2 AS read_id, seq1 AS seq FROM fr JOIN gr USING (frag_key)),
+    + """, x AS (SELECT frag_key || m AS frag_key, pair_id * 2 + m - 1 AS read_id, CASE m WHEN 1 THEN seq1 ELSE seq2 END AS seq FROM fr JOIN gr USING (frag_key), (VALUES (1), (2)) t(m)),
 b AS (SELECT frag_key, j, substring(seq, j, 1) AS b, """
     + sql_p("j")
     + """ AS p FROM x, unnest(generate_series(1, length(seq))) t(j)),
@@ -440,14 +445,16 @@ m AS (SELECT frag_key, j, c FROM (SELECT *, row_number() OVER (PARTITION BY frag
 , sure AS (SELECT frag_key, j, max(p) AS p, max(p) FILTER (WHERE b = 'T') AS pt, max(p) FILTER (WHERE b = 'G') AS pg, max(p) FILTER (WHERE b = 'C') AS pc, max(p) FILTER (WHERE b = 'A') AS pa, count(*) AS n FROM b GROUP BY 1, 2),
 say AS (SELECT frag_key, j, c, CASE WHEN c = CASE WHEN p = pt THEN 'T' WHEN p = pg THEN 'G' WHEN p = pc THEN 'C' ELSE 'A' END THEN p ELSE (SELECT max(w) FROM w WHERE w.frag_key = sure.frag_key AND w.j = sure.j AND w.c = m.c) / n END AS s FROM m JOIN sure USING (frag_key, j)),
 qv AS (SELECT frag_key, j, c, chr((33 + CASE WHEN s >= 0.9999 THEN 40 ELSE least(40, floor(-10 * log10(1 - s) + 1e-6)) END)::INT) AS q FROM say)
-SELECT frag_key AS grp, string_agg(c, '' ORDER BY j) AS cons_seq, string_agg(q, '' ORDER BY j) AS cons_qual, any_value(members) AS members FROM qv JOIN gr USING (frag_key) GROUP BY 1"""
+SELECT qv.frag_key AS grp, string_agg(c, '' ORDER BY j) AS cons_seq, string_agg(q, '' ORDER BY j) AS cons_qual, any_value(members) AS members FROM qv JOIN gr ON gr.frag_key = left(qv.frag_key, -1) GROUP BY 1"""
 )
 def consensus_read(spark, sf_dir):
+    """Consensus of each mate of duplicate fragments: groups are named by fragment and mate."""
     p = derived.pairs(spark, sf_dir).withColumn("frag_key", dedup.fragment_key(F.col("seq1"), F.col("seq2")))
     groups = dedup.duplicate_groups(derived.pairs(spark, sf_dir))
-    q = F.expr("transform(sequence(1, length(seq1)), j -> IF((j * j * j + pair_id * 62) % 257 < 3, 2, 8 + (j * 7 + pair_id * 6) % 33))")
-    rows = p.join(groups.select("frag_key"), "frag_key").select(F.col("frag_key").alias("grp"), F.col("seq1").alias("seq"), F.transform(q, lambda x: F.when(x < 3, 0).otherwise(x)).cast("array<int>").alias("q"))
-    return dedup.consensus(rows)
+    mates = F.explode(F.array(*(F.struct(F.lit(str(m)).alias("m"), (F.col("pair_id") * 2 + m - 1).alias("id"), F.col(f"seq{m}").alias("seq")) for m in (1, 2))))
+    q = F.expr("transform(sequence(1, length(x.seq)), j -> IF((j * j * j + x.id % 257 * 31) % 257 < 3, 2, 8 + (j * 7 + x.id % 33 * 3) % 33))")
+    each = p.join(groups.select("frag_key"), "frag_key").select("frag_key", mates.alias("x"))
+    return dedup.consensus(each.select(F.concat("frag_key", "x.m").alias("grp"), F.col("x.seq").alias("seq"), F.transform(q, lambda x: F.when(x < 3, 0).otherwise(x)).cast("array<int>").alias("q")))
 
 
 @query(
@@ -459,9 +466,9 @@ def random_sample(spark, sf_dir):
     return got.select("read_id", F.lit(1).cast("long").alias("one"), rd.hash_order("read_id", 7).alias("o"))
 
 
-@query(_with(SQL_READS) + ", t AS (SELECT max(read_id // 2) AS m FROM reads) SELECT floor((read_id // 2) * 4 / (m + 1)::DOUBLE)::INT AS part, (read_id // 2 // 100) % 4 AS chunk_part, count(*) AS reads, min(read_id) AS lo, max(read_id) AS hi FROM reads, t GROUP BY 1, 2")
+@query(_with(SQL_READS) + ", t AS (SELECT max(read_id // 2) AS m FROM reads) SELECT ((read_id // 2)::HUGEINT * 4 // (m + 1))::INT AS part, (read_id // 2 // 100) % 4 AS chunk_part, count(*) AS reads, min(read_id) AS lo, max(read_id) AS hi FROM reads, t GROUP BY 1, 2")
 def split_parts(spark, sf_dir):
-    numbered = derived.reads(spark, sf_dir).select("read_id", F.floor(F.col("read_id") / 2).alias("pair_no"))
+    numbered = derived.reads(spark, sf_dir).select("read_id", F.expr("read_id div 2").alias("pair_no"))
     chunked = rd.split_parts(numbered, 4, 100).withColumnRenamed("part", "chunk_part")
     both = rd.split_parts(chunked, 4)
     return both.groupBy("part", "chunk_part").agg(F.count("*").alias("reads"), F.min("read_id").alias("lo"), F.max("read_id").alias("hi"))

@@ -2,7 +2,8 @@
 
 Reads come from the letters of each whole text: letters become bases, and every
 60 bases a read of up to 100 starts, the last ones as long as the text goes on.
-Consecutive reads are mates; a text has room for 2**31 reads in the ids. Alignment
+Consecutive reads are mates; a text has room for 2**23 reads (500 million letters) in the
+ids, which leaves room for ids of documents up to 2**40. Alignment
 records come from ``orders``.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 AS_BASES = ("ACGT" * 7)[:26] * 2
-READ, STEP, PIECE, ROOM = 100, 60, 100, 1 << 31
+READ, STEP, PIECE, ROOM = 100, 60, 100, 1 << 23
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,7 +33,7 @@ def cut_reads(docs: DataFrame, ident: str = "doc_id") -> DataFrame:
     cuts = F.expr(f"transform(sequence(0, greatest(0, least(length(piece), {held}) - 1) div {STEP}), j -> substring(piece, cast(j * {STEP} + 1 AS INT), {READ}))")
     each = docs.select(F.col(ident).alias("doc_id"), dna("text").alias("dna")).select("doc_id", F.posexplode(pieces).alias("c", "piece")).select("doc_id", "c", F.posexplode(cuts).alias("j", "seq"))
     cut = each.where(F.length("seq") > 0).select("doc_id", (F.col("c") * PIECE + F.col("j")).alias("i"), "seq")
-    q = "transform(sequence(1, length(seq)), j -> char(33 + IF((j * j * j + read_id * 31) % 257 < 3, 2, 8 + (j * 7 + read_id * 3) % 33)))"
+    q = "transform(sequence(1, length(seq)), j -> char(33 + IF((j * j * j + read_id % 257 * 31) % 257 < 3, 2, 8 + (j * 7 + read_id % 33 * 3) % 33)))"
     named = cut.withColumn("read_id", F.col("doc_id") * ROOM + F.col("i")).withColumn("name", F.expr("concat('d', doc_id, '.', i div 2, '/', 1 + i % 2)"))
     return named.select("read_id", "doc_id", "i", F.lit(0).alias("file_id"), "name", F.lit(None).cast("string").alias("comment"), "seq", F.expr(f"array_join({q}, '')").alias("qual"))
 
@@ -51,7 +52,7 @@ def reads_with_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pair_id, seq1, seq2`` of reads with both mates."""
-    r = reads(spark, sf_dir).select((F.floor(F.col("read_id") / 2)).alias("pair_id"), (F.col("i") % 2).alias("m"), "seq")
+    r = reads(spark, sf_dir).select(F.expr("read_id div 2").alias("pair_id"), (F.col("i") % 2).alias("m"), "seq")
     p = r.groupBy("pair_id").agg(F.max(F.when(F.col("m") == 0, F.col("seq"))).alias("seq1"), F.max(F.when(F.col("m") == 1, F.col("seq"))).alias("seq2"))
     return p.where("seq1 IS NOT NULL AND seq2 IS NOT NULL")
 
@@ -74,7 +75,7 @@ def multi_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("o_custkey") + part
     rows = load(spark, sf_dir, "orders").withColumn("part", F.explode(F.array(*map(F.lit, range(3)))))
     lost = c % 13 == 0
-    flag = 1 + F.when(k % 2 == 0, 64).otherwise(128) + F.when(c % 11 == 0, 4).otherwise(0) + F.when(lost, 8).otherwise(0) + F.when(((F.floor(k / 2) + part) % 3 == 0) & ~lost, 2).otherwise(0)
+    flag = 1 + F.when(k % 2 == 0, 64).otherwise(128) + F.when(c % 11 == 0, 4).otherwise(0) + F.when(lost, 8).otherwise(0) + F.when(((F.expr("o_orderkey div 2") + part) % 3 == 0) & ~lost, 2).otherwise(0)
     return rows.select(
         F.expr("concat('q', o_orderkey div 2)").alias("qname"), "part", flag.cast("int").alias("flag"), F.concat(F.lit("chr"), (c % 3).cast("string")).alias("rname"),
         ((k + part * 5) % 7).cast("int").alias("nm"), ((k * 3 + part * 17) % 60).cast("int").alias("mapq"), F.when((k + part) % 3 == 2, 40).otherwise(50).alias("aligned"),
@@ -102,7 +103,7 @@ SQL_RECORDS = """recs AS (SELECT 'q' || (o_orderkey // 2) AS qname,
 
 
 def sql_q(j: str, read_id: str = "read_id") -> str:
-    return f"(CASE WHEN (({j}) * ({j}) * ({j}) + {read_id} * 31) % 257 < 3 THEN 2 ELSE 8 + (({j}) * 7 + {read_id} * 3) % 33 END)"
+    return f"(CASE WHEN (({j}) * ({j}) * ({j}) + ({read_id} % 257) * 31) % 257 < 3 THEN 2 ELSE 8 + (({j}) * 7 + ({read_id} % 33) * 3) % 33 END)"
 
 
 def sql_p(j: str, read_id: str = "read_id") -> str:

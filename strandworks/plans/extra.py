@@ -54,9 +54,9 @@ def split_mates(spark, sf_dir):
     return rd.split_mates(derived.reads(spark, sf_dir), 50).select("read_id", "file")
 
 
-@query(_with(SQL_READS) + ", p AS (SELECT read_id // 2 AS pair_no, min(length(seq)) AS b FROM reads GROUP BY 1), s AS (SELECT pair_no, floor((sum(b) OVER (ORDER BY pair_no) - b) / 20000)::INT AS part FROM p) SELECT read_id, part FROM reads JOIN s ON pair_no = read_id // 2".replace("s AS (SELECT pair_no", "sized AS (SELECT pair_no").replace("JOIN s ON", "JOIN sized ON"))
+@query(_with(SQL_READS) + ", p AS (SELECT read_id // 2 AS pair_no, min(length(seq)) AS b FROM reads GROUP BY 1), s AS (SELECT pair_no, ((sum(b) OVER (ORDER BY pair_no) - b) // 20000)::INT AS part FROM p) SELECT read_id, part FROM reads JOIN s ON pair_no = read_id // 2".replace("s AS (SELECT pair_no", "sized AS (SELECT pair_no").replace("JOIN s ON", "JOIN sized ON"))
 def split_by_bases(spark, sf_dir):
-    r = derived.reads(spark, sf_dir).withColumn("pair_no", F.floor(F.col("read_id") / 2))
+    r = derived.reads(spark, sf_dir).withColumn("pair_no", F.expr("read_id div 2"))
     return rd.split_by_bases(r, 20_000).select("read_id", "part")
 
 
@@ -236,7 +236,7 @@ SELECT v.strong AS kmer, p AS pos, round(CASE WHEN more IS NULL THEN (vs[len(vs)
 )
 def error_ratios(spark, sf_dir):
     obs = _obs(spark, sf_dir, K_SMALL)
-    found = kmers.error_ratios(obs, kmers.spectrum(obs), K_SMALL, 64)
+    found = kmers.error_ratios(obs, kmers.spectrum(obs, coded=True), K_SMALL, 64)
     return found.select("kmer", "pos", F.round("ratio", 6).alias("ratio"))
 
 

@@ -80,3 +80,18 @@ def test_size_fit_is_not_beaten_by_a_grid(spark, sf):
     r = {r.model: r for r in QUERIES["estimate_size_fit"](spark, sf).collect()}["growth"]
     least = min(loss(a, b) for a in np.linspace(0.001, 0.999, 300) for b in np.geomspace(10, 1e9, 300))
     assert loss(r.error_rate, r.genome_kmers) <= least * (1 + 1e-6)
+
+
+@pytest.mark.parametrize("name", ["dedup_groups", "consensus_read", "split_parts", "split_by_bases", "quality_trim", "spectrum_size_history", "sequential_pairs", "kmer_weighted_count"])
+def test_ids_of_any_size(spark, tmp_path, name):
+    """doc_ids beyond what a double, or a product of ids, can hold exactly."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(60, 900))) for _ in range(8)]
+    ids = [9_000_001, 9_000_002, 138_547_333, 200_000_001, 10**12, 10**12 + 1, 10**12 + 2, 10**12 + 3]
+    pq.write_table(pa.table({"doc_id": ids, "text": texts[:5] + texts[:3]}), f"{tmp_path}/documents.parquet")
+    assert_equal(QUERIES[name](spark, str(tmp_path)), tables(str(tmp_path)), ORACLES[name])
