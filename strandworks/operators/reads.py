@@ -340,13 +340,21 @@ def split_by_bases(reads: DataFrame, bases: int) -> DataFrame:
     return reads.join(placed.select("pair_no", F.expr(f"cast((_s - _b) div {bases} as int)").alias("part")), "pair_no")
 
 
+def fasta_record() -> Column:
+    return F.concat(F.lit(">"), "name", F.lit("\n"), "seq")
+
+
+def fastq_record(columns: list[str]) -> Column:
+    head = F.concat_ws(" ", F.concat(F.lit("@"), "name"), F.nullif(F.col("labels"), F.lit(""))) if "labels" in columns else F.concat(F.lit("@"), "name")
+    return F.concat_ws("\n", head, "seq", F.lit("+"), "qual")
+
+
 def to_fasta(reads: DataFrame) -> DataFrame:
-    return reads.select("read_id", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("record"))
+    return reads.select("read_id", fasta_record().alias("record"))
 
 
 def to_fastq(reads: DataFrame) -> DataFrame:
-    head = F.concat_ws(" ", F.concat(F.lit("@"), "name"), F.nullif(F.col("labels"), F.lit(""))) if "labels" in reads.columns else F.concat(F.lit("@"), "name")
-    return reads.select("read_id", F.concat_ws("\n", head, "seq", F.lit("+"), "qual").alias("record"))
+    return reads.select("read_id", fastq_record(reads.columns).alias("record"))
 
 
 def to_qual(reads: DataFrame) -> DataFrame:

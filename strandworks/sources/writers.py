@@ -12,25 +12,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.operators import kmers, reads
-from strandworks.sources import sam
+from strandworks.sources import sam, sink
 
 FASTQ, FASTA, FASTQ_UNMASKED, FASTA_UNMASKED = range(4)
 
 
-def records(df: DataFrame, kind: int = FASTQ) -> DataFrame:
-    """``read_id, record`` in an output format; the unmasked kinds write ``raw_seq`` (bases under the mask)."""
+def records(df: DataFrame, kind: int = FASTQ, key: str | None = None) -> DataFrame:
+    """``read_id, record`` in an output format, and ``key`` as ``out_key``; the unmasked kinds write ``raw_seq`` (bases under the mask)."""
     src = df.withColumn("seq", F.col("raw_seq")) if kind in (FASTQ_UNMASKED, FASTA_UNMASKED) and "raw_seq" in df.columns else df
-    return reads.to_fastq(src) if kind in (FASTQ, FASTQ_UNMASKED) else reads.to_fasta(src)
+    record = reads.fastq_record(src.columns) if kind in (FASTQ, FASTQ_UNMASKED) else reads.fasta_record()
+    return src.select("read_id", record.alias("record"), *([F.col(key).cast("string").alias("out_key")] if key else []))
 
 
 def write_reads(df: DataFrame, path: str, kind: int = FASTQ, key: str | None = None, compression: str = "none") -> None:
-    """Write reads in read_id order over range partitions; with ``key`` one folder a key."""
-    made = records(df, kind) if key is None else records(df, kind).join(df.select("read_id", F.col(key).alias("out_key")), "read_id")
-    ordered = made.repartitionByRange("read_id").sortWithinPartitions("read_id") if key is None else made.repartition("out_key").sortWithinPartitions("out_key", "read_id")
+    """Write reads in read_id order over range partitions; with ``key`` one folder a key, with a part for each partition."""
+    made = records(df, kind, key)
+    ordered = made.repartitionByRange("read_id").sortWithinPartitions(*(["out_key"] if key else []), "read_id")
     writer = ordered.drop("read_id").write.option("compression", compression)
     (writer.partitionBy("out_key") if key else writer).text(path)
 
 
+def write_read_files(df: DataFrame, folder: str, kind: int = FASTQ, key: str | None = None, template: str = "{Key}{Uniq}", single: bool = False, second_dim: int = 0) -> list[str]:
+    """Write reads in read_id order to named files, one (or parts of one) for each value of ``key``, in one pass; returns the paths.
+
+    See :func:`strandworks.sources.sink.write_files`. Reads are dealt out by range of
+    read_id, so a file of most of the reads is many tasks' work.
+    """
+    made = records(df, kind, key).repartitionByRange("read_id").sortWithinPartitions("read_id")
+    return sink.write_files(made.select((F.col("out_key") if key else F.lit("")).alias("file"), "record"), folder, template, single, second_dim)
+
+
 def write_table_text(df: DataFrame, path: str, *columns: str, order: str | None = None) -> None:
     """Tab-separated text, sorted globally by ``order``."""
     src = df.repartitionByRange(order).sortWithinPartitions(order) if order else df
@@ -58,20 +69,6 @@ def load_spectrum(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
 
 
-def part_name(prefix: Column | str, number: Column | str, of: Column | str) -> Column:
-    """``<prefix>000001of000004``."""
-    p = F.lit(prefix) if isinstance(prefix, str) else prefix
-    return F.format_string("%s%06dof%06d", p, number, of)
-
-
-def fill_template(template: str, file_num: int, num_files: int, uniq: str = "", first: int = 0, second: int = 0) -> str:
-    """File name of a part from ``{FileNum} {NumFiles} {Uniq} {UniqFirst} {UniqSecond} {FirstNum} {SecondNum}``."""
-    values = {"FileNum": f"{file_num:06d}", "NumFiles": f"{num_files:06d}", "Uniq": uniq, "UniqFirst": f"{uniq}-{first:06d}", "UniqSecond": f"{uniq}-{second:06d}", "FirstNum": f"{first:06d}", "SecondNum": f"{second:06d}"}
-    for k, v in values.items():
-        template = template.replace("{" + k + "}", v)
-    return template
-
-
 def write_bam(df: DataFrame, path: str, header: str, refs: list[tuple[str, int]]) -> list[str]:
     """A coordinate-sorted BAM as ordered parts whose concatenation is one file; returns the parts in order.
 
@@ -106,6 +103,22 @@ def write_bam(df: DataFrame, path: str, header: str, refs: list[tuple[str, int]]
     return [ends[0], *(p["name"] for p in parts), ends[1]]
 
 
+def write_bam_file(df: DataFrame, path: str, header: str, refs: list[tuple[str, int]]) -> None:
+    """A coordinate-sorted BAM as one file: the parts of :func:`write_bam`, joined in their order by tasks."""
+    spark = df.sparkSession
+    target = sink.qualified(spark, path)
+    folder = f"{target}._{uuid.uuid4().hex}"
+    store, name = fs.FileSystem.from_uri(folder)
+    try:
+        parts = write_bam(df, folder, header, refs)
+        sizes = store.get_file_info(parts)
+        prefix = folder[: len(folder) - len(name)]
+        sink.join_parts(spark, [(prefix + i.path, i.size) for i in sizes], target)
+    finally:
+        if store.get_file_info(name).type != fs.FileType.NotFound:
+            store.delete_dir(name)
+
+
 def write_unmapped(df: DataFrame, path: str) -> None:
     """Unmapped records as gzip FASTQ, mates marked /1 and /2; an empty sequence is ``N`` with quality ``A``."""
     mark = F.when(F.col("flag").bitwiseAND(0x40) != 0, "/1").when(F.col("flag").bitwiseAND(0x80) != 0, "/2").otherwise("")

@@ -105,7 +105,6 @@ def test_writers(spark, tmp_path):
     assert all(len(x.split("\t")) == 14 for p in (tmp_path / "graph").glob("part-*") for x in p.read_text().splitlines())
     piped = writers.pipe_to(df.select(F.col("seq").alias("record")), ["tr", "ACGT", "TGCA"])
     assert sorted(r.line for r in piped.collect()) == sorted(s.translate(str.maketrans("ACGT", "TGCA")) for _, s, _ in rows)
-    assert writers.fill_template("{Uniq}-{FileNum}of{NumFiles}", 1, 4, "x") == "x-000001of000004"
 
 
 def test_spectrum_table(spark):
