@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+_MADE: dict[str, list[str]] = {}  # by application
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +27,26 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def fresh(spark: SparkSession, tag: str) -> str:
+    """A new path in :func:`shared_dir`; :func:`forget_all` knows it."""
+    path = f"{shared_dir(spark)}/sequences/{tag}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def keep(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table that is written once and read from then on."""
+    path = fresh(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_all(spark: SparkSession) -> int:
+    """Remove every path of this application; results that are not stored yet can no longer be read. Returns how many."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(made)

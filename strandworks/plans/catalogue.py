@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandworks.config import ExtendOptions, KmerOptions, MatchOptions, SelectOptions, VariantOptions
 from strandworks.functions import dna, quality, sam, stats
-from strandworks.lineage import shared_dir
+from strandworks.lineage import fresh
 from strandworks.operators import align, artifacts, assembly, dedup, kmers, reads as rd, size, vectors
 from strandworks.plans import derived
 from strandworks.plans.derived import SQL_PAIRS, SQL_READS, SQL_READS_N, SQL_RECORDS, load, sql_kmers, sql_p, sql_q, sql_spectrum
@@ -720,14 +720,12 @@ def estimate_size_fit(spark, sf_dir):
 
 @query(_spec_sql(K_SMALL) + "SELECT kmer, n FROM sp")
 def stream_kmer_count(spark, sf_dir):
-    import uuid
-
     from strandworks.streaming import kmers as streaming
 
     path = f"{sf_dir}/documents.parquet"
     # As a pattern, so that the source takes a single file as well as a folder.
     docs = streaming.stream_of(spark, f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path).schema)
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = fresh(spark, "stream")
     counts = streaming.Counts(spark, f"{root}/counts", K_SMALL)
     streaming.run_available(derived.cut_reads(docs), counts, f"{root}/checkpoint")
     return counts.counts()
@@ -735,11 +733,9 @@ def stream_kmer_count(spark, sf_dir):
 
 @query(_with(SQL_READS, sql_kmers(K_SMALL)) + ", c AS (SELECT kmer, count(*) AS n FROM ck GROUP BY 1) SELECT 1.0::DOUBLE AS reached, sum(n)::BIGINT AS raw, count(*) AS distinct_kmers, count(*) FILTER (WHERE n = 1) AS singletons FROM c")
 def sampling_rounds(spark, sf_dir):
-    import uuid
-
     from strandworks.streaming import kmers as streaming
 
-    counts = streaming.Counts(spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", K_SMALL, growth=1.0)
+    counts = streaming.Counts(spark, fresh(spark, "rounds"), K_SMALL, growth=1.0)
     reached = streaming.sampling_rounds(derived.reads(spark, sf_dir), counts, 4, 1.0)
     return counts.sizes().orderBy(F.desc("batch")).limit(1).select(F.lit(reached).alias("reached"), "raw", "distinct_kmers", "singletons")
 
@@ -752,7 +748,7 @@ def event_window_counts(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from strandworks.plans import extra  # noqa: F401  (registers its queries; it reads helpers of this module)
+    from strandworks.plans import extra, files  # noqa: F401  (register their queries; they read helpers of this module)
 
     return dict(QUERIES)
 

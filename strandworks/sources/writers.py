@@ -1,8 +1,7 @@
-"""Sinks: sequence text, keyed files, k-mer tables, spectra, alignments, pipes."""
+"""Sinks: sequence text, keyed and named files, k-mer tables, spectra, alignments."""
 
 from __future__ import annotations
 
-import subprocess
 import uuid
 from collections.abc import Iterator
 
@@ -125,13 +124,3 @@ def write_unmapped(df: DataFrame, path: str) -> None:
     none = F.col("seq").isNull() | F.col("seq").isin("", "*")
     made = df.select(F.concat(F.lit("@"), "qname", mark, F.lit("\n"), F.when(none, "N").otherwise(F.col("seq")), F.lit("\n+\n"), F.when(none, "A").otherwise(F.col("qual"))).alias("value"))
     made.write.option("compression", "gzip").text(path)
-
-
-def pipe_to(df: DataFrame, command: list[str], column: str = "record") -> DataFrame:
-    """Feed each partition's records to a command; its output lines come back as rows ``line``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = "".join(f"{x}\n" for b in batches for x in b.column(column).to_pylist())
-        out = subprocess.run(command, input=text.encode(), stdout=subprocess.PIPE, check=True).stdout.decode().splitlines()
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["line"])
-
-    return df.select(column).mapInArrow(run, "line string")

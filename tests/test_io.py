@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandworks.operators import align, kmers
-from strandworks.sources import fastx, sam, writers
+from strandworks.sources import fastx, pipes, sam, writers
 
 
 def fastq(n, base=33, seed=1, extra=""):
@@ -103,7 +103,7 @@ def test_writers(spark, tmp_path):
     graph = kmers.spectrum(kmers.observe(df, 9, extensions=True), 1, 20)
     writers.write_mergraph(graph, str(tmp_path / "graph"))
     assert all(len(x.split("\t")) == 14 for p in (tmp_path / "graph").glob("part-*") for x in p.read_text().splitlines())
-    piped = writers.pipe_to(df.select(F.col("seq").alias("record")), ["tr", "ACGT", "TGCA"])
+    piped = pipes.pipe_to(df.select(F.col("seq").alias("record")), ["tr", "ACGT", "TGCA"])
     assert sorted(r.line for r in piped.collect()) == sorted(s.translate(str.maketrans("ACGT", "TGCA")) for _, s, _ in rows)
 
 
