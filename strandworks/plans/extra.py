@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandworks.config import MatchOptions, SelectOptions
 from strandworks.functions import dna, stats
-from strandworks.operators import align, artifacts, assembly, dedup, kmers, ordered, reads as rd, vectors
+from strandworks.operators import align, artifacts, assembly, dedup, kmers, nucleate, ordered, reads as rd, vectors
 from strandworks.plans import derived
 from strandworks.plans.catalogue import _CONTIG_SQL, _DEPTH, _FRAG_SQL, _RUN_SQL, _VALUES_SQL, _VEC_SQL, K, K_SMALL, RC, _contigs, _obs, _spec, _spec_sql, _values, _vectors, _with, query
 from strandworks.plans.derived import SQL_PAIRS, SQL_READS, load, sql_kmers, sql_q, sql_spectrum
@@ -179,8 +179,23 @@ def best_alignment_pairs(spark, sf_dir):
     + f", h AS (SELECT contig_id, read_id, count(DISTINCT kmer) AS shared FROM (SELECT * FROM cc WHERE p < 500 OR p + {K} > n - 500) JOIN ck USING (kmer) GROUP BY 1, 2) SELECT contig_id, read_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY md5('0:' || read_id), read_id) AS rn FROM h) WHERE rn <= 5"
 )
 def read_contig_match_limited(spark, sf_dir):
-    hits = assembly.match(_contigs(spark, sf_dir), _obs(spark, sf_dir, K), K)
-    return assembly.limit_matches(hits, MatchOptions(max_read_matches=5))
+    contigs, obs, few = _contigs(spark, sf_dir), _obs(spark, sf_dir, K), MatchOptions(max_read_matches=5)
+    return nucleate.shared_kmers(nucleate.match_limited(contigs, obs, K, few), contigs, obs, K, few)
+
+
+@query(
+    _with(SQL_READS, sql_kmers(K), _CONTIG_SQL, sql_kmers(K, "ctg", "cc", "contig_id, length(seq) AS n")).replace("SELECT contig_id, length(seq) AS n, p, f, least", "SELECT contig_id, n, p, f, least")
+    + f", h AS (SELECT DISTINCT contig_id, read_id FROM (SELECT * FROM cc WHERE p < 500 OR p + {K} > n - 500) JOIN ck USING (kmer) WHERE ('0x' || substring(md5('f0:' || read_id), 1, 8))::BIGINT < 0.3 * 4294967296) SELECT contig_id, read_id FROM (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY md5('0:' || read_id), read_id) AS rn FROM h) WHERE rn <= 450"
+)
+def read_contig_match_fraction(spark, sf_dir):
+    """Three of ten reads, picked by hash, may match; then the limit a contig."""
+    return nucleate.match_limited(_contigs(spark, sf_dir), _obs(spark, sf_dir, K), K, fraction=0.3)
+
+
+@query()
+def nucleating_assembly(spark, sf_dir):
+    """Contigs grown with the reads at their ends, in rounds, until none grows; held against a plain version in a test."""
+    return nucleate.nucleate(_contigs(spark, sf_dir), rd.with_pair_key(derived.reads(spark, sf_dir)), nucleate.NucleateOptions(k=K))
 
 
 @query(
