@@ -12,8 +12,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandworks.config import ArtifactOptions, DedupOptions, ExtendOptions, KmerOptions, SelectOptions
-from strandworks.operators import align, artifacts, assembly, dedup, kmers, reads, size, vectors
+from strandworks import lineage
+from strandworks.config import ArtifactOptions, DedupOptions, ExtendOptions, KmerOptions, MatchOptions, SelectOptions
+from strandworks.operators import align, artifacts, assembly, dedup, kmers, nucleate, reads, size, vectors
 from strandworks.session import session
 from strandworks.sources import constants, fastx, sam, writers
 
@@ -51,22 +52,22 @@ def mer_count(spark, a) -> None:
 
 
 def histogram(spark, a) -> None:
-    """Depth histogram and the table of G+C by depth."""
-    spec = kmers.build_spectrum(_reads(spark, a), KmerOptions(k=a.kmer_size, min_depth=1))
-    writers.write_table_text(kmers.histogram(spec), f"{a.output}/histogram", "bucket", "kmers", "visits", "cum_kmers", "cum_visits", order="bucket")
-    writers.write_table_text(kmers.gc_heatmap(spec), f"{a.output}/gc", "n", "gc", "kmers", "visits", order="n")
+    """Depth histogram and the table of G+C by depth, with weights and percentages."""
+    spec = lineage.keep(kmers.build_spectrum(_reads(spark, a), KmerOptions(k=a.kmer_size, min_depth=1)), "spectrum")
+    found = kmers.weighted_histogram(spec)
+    writers.write_table_text(found, f"{a.output}/histogram", *found.columns, order="bucket")
+    writers.write_table_text(kmers.gc_heatmap(spec), f"{a.output}/gc", "n", "gc", "kmers", "visits", "weight", order="n")
 
 
 def estimate_size(spark, a) -> None:
     """Fit a genome size to the growth of the spectrum."""
-    rows = sorted(kmers.size_history(kmers.observe(_reads(spark, a), a.kmer_size)).collect(), key=lambda r: r.part)
-    print(size.fit([r.raw for r in rows], [r.distinct_kmers for r in rows]))
+    print(size.estimate(_reads(spark, a), a.kmer_size, a.fraction, a.partitions))
 
 
 def compare(spark, a) -> None:
     """k-mers that two files have in common."""
     one, two = (kmers.build_spectrum(fastx.read_any(spark, p), KmerOptions(k=a.kmer_size, min_depth=1), weighted=False) for p in a.input[:2])
-    kmers.compare(one, two).show(truncate=False)
+    kmers.compare_report(kmers.compare(one, two, whole=True)).show(truncate=False)
 
 
 def tnf(spark, a) -> None:
@@ -83,6 +84,16 @@ def extend(spark, a) -> None:
     made.select(F.concat(F.lit(">"), F.col("contig_id").cast("string"), F.lit("\n"), "seq").alias("value")).write.text(a.output)
 
 
+def nucleate_contigs(spark, a) -> None:
+    """Grow the contigs of the first file with the reads of the others, each in a group of its own; one FASTA file."""
+    contigs = fastx.read_any(spark, a.input[0]).select(F.col("read_id").alias("contig_id"), "name", "seq")
+    r = reads.with_pair_key(fastx.read_any(spark, *a.input[1:]))
+    options = nucleate.NucleateOptions(k=a.kmer_size, k_steps=a.k_steps, extend=ExtendOptions(max_contig=a.max_contig, min_coverage=a.min_coverage), match=MatchOptions(max_read_matches=a.max_read_matches))
+    made = nucleate.nucleate(contigs, r, options, nucleate.command_assembler(a.assembler) if a.assembler else None)
+    named = made.join(contigs.select("contig_id", "name"), "contig_id").withColumn("name", F.when(F.col("rounds") > 0, assembly.rename()).otherwise(F.col("name")))
+    writers.write_read_files(named.withColumn("read_id", F.col("contig_id")), a.output, writers.FASTA, template="contigs.fasta", single=True)
+
+
 def sample(spark, a) -> None:
     """Exactly n reads or pairs."""
     r = reads.with_pair_key(_reads(spark, a))
@@ -95,9 +106,14 @@ def sample(spark, a) -> None:
 
 
 def split(spark, a) -> None:
-    """Cut a file into parts by pairs."""
+    """Cut a file into parts by pairs, a folder each; or with ``--mates`` into files of first mates, second mates and others."""
     r = _reads(spark, a).withColumn("pair_no", F.expr("read_id div 2"))
-    writers.write_reads(reads.split_parts(r, a.parts, a.chunks), a.output, a.format, key="part")
+    if a.mates:
+        name = F.element_at(F.array(*map(F.lit, ("unpaired", "read1", "read2"))), F.col("file") + 1)
+        split = reads.split_mates(r, a.min_read_length).withColumn("out_file", name)
+        print("\n".join(writers.write_read_files(split, a.output, a.format, key="out_file", template=a.template, single=not a.in_parts)))
+    else:
+        writers.write_reads(reads.split_parts(r, a.parts, a.chunks), a.output, a.format, key="part")
 
 
 def convert(spark, a) -> None:
@@ -118,7 +134,7 @@ def bam_sort(spark, a) -> None:
     print("\n".join(parts))
 
 
-PROGRAMS = {f.__name__.replace("_", "-"): f for f in (filter_reads, dedup_reads, mer_count, histogram, estimate_size, compare, tnf, extend, sample, split, convert, bam_sort)}
+PROGRAMS = {f.__name__.removesuffix("_contigs").replace("_", "-"): f for f in (filter_reads, dedup_reads, mer_count, histogram, estimate_size, compare, tnf, extend, nucleate_contigs, sample, split, convert, bam_sort)}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -159,6 +175,19 @@ def parser() -> argparse.ArgumentParser:
         elif name == "split":
             p.add_argument("--parts", type=int, default=2)
             p.add_argument("--chunks", type=int, default=0)
+            p.add_argument("--mates", action="store_true")
+            p.add_argument("--in-parts", action="store_true", help="a file for each partition instead of one")
+            p.add_argument("--template", default="{Key}.fastq", help="names of files: {Key} {FileNum} {NumFiles} {Uniq}")
+            p.add_argument("--min-read-length", type=int, default=0)
+        elif name == "estimate-size":
+            p.add_argument("--fraction", type=float, default=0.5)
+            p.add_argument("--partitions", type=int, default=100)
+        elif name == "nucleate":
+            p.add_argument("--k-steps", type=int, default=0)
+            p.add_argument("--max-contig", type=int, default=3000)
+            p.add_argument("--max-read-matches", type=int, default=450)
+            p.add_argument("--min-coverage", type=float, default=4.8)
+            p.add_argument("--assembler", nargs=argparse.REMAINDER, help="a command that reads a contig and its reads as FASTA and writes contigs")
     return top
 
 

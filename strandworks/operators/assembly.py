@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandworks.config import ExtendOptions, MatchOptions
 from strandworks.functions import dna, sam
-from strandworks.lineage import cut
+from strandworks.lineage import keep
 from strandworks.operators import kmers, ordered
 
 
@@ -136,7 +136,7 @@ def extend(contigs: DataFrame, spectrum: DataFrame, k: int, options: ExtendOptio
         seen = F.expr(f"instr(seq, substring(concat(seq, base), length(seq) + 2 - {k}, {k})) > 0")
         fresh = F.col("base").isNotNull() & ~seen & (F.length("seq") < options.max_contig)
         now = j.select("contig_id", F.when(F.col("open") & fresh, longer).otherwise(F.col("seq")).alias("seq"), (F.col("added") + F.when(F.col("open") & fresh, 1).otherwise(0)).alias("added"), (F.col("open") & fresh).alias("open"))
-        now = cut(now)
+        now = keep(now, "extend")
         if now.where("open").isEmpty():
             break
     return now.select("contig_id", "seq", "added")
@@ -188,11 +188,11 @@ def assemble(
     for _ in range(rounds or options.max_iterations):
         near = near_reads(now, reads, k, match_options, matcher)
         if assembler is not None:
-            made = cut(assembler(now, near))
+            made = keep(assembler(now, near), "candidates")
             best = best_contig(now, made, k, 0.5).join(made.select("cand_id", F.col("seq").alias("longer")), "cand_id", "left")
-            grown = cut(now.join(best, "contig_id").select("contig_id", F.coalesce("longer", "seq").alias("seq"), F.lit(0).alias("left"), F.when(F.col("longer").isNotNull(), F.length("longer") - F.length("seq")).otherwise(0).alias("right")))
+            grown = keep(now.join(best, "contig_id").select("contig_id", F.coalesce("longer", "seq").alias("seq"), F.lit(0).alias("left"), F.when(F.col("longer").isNotNull(), F.length("longer") - F.length("seq")).otherwise(0).alias("right")), "grown")
         else:
-            grown = cut(extend_both(now, kmers.spectrum(kmers.observe(near, size)), size, options))
+            grown = keep(extend_both(now, kmers.spectrum(kmers.observe(near, size)), size, options), "grown")
         now = grown.select("contig_id", "seq")
         if grown.where("left + `right` > 0").isEmpty():
             if assembler is not None or greatest_k is None or size + step_k > greatest_k:

@@ -183,9 +183,25 @@ def histogram(spec: DataFrame, zoom: int = 256) -> DataFrame:
     return by.select("bucket", "kmers", "visits", F.sum("kmers").over(top).alias("cum_kmers"), F.sum("visits").over(top).alias("cum_visits"))
 
 
+def weighted_histogram(spec: DataFrame, zoom: int = 256) -> DataFrame:
+    """The histogram as it is reported: ``bucket, cum_kmers, kmers, pct_kmers, visits, pct_visits, weight, quality, pct_weight``.
+
+    ``spec`` has the weight ``w`` of each k-mer; ``quality`` is the weight of a visit.
+    Percentages are of the whole table, over at most ``zoom`` + 64 rows.
+    """
+    by = spec.groupBy(histogram_bucket(F.col("n"), zoom).alias("bucket")).agg(F.count("*").alias("kmers"), F.sum("n").alias("visits"), F.sum("w").alias("weight"))
+    top, whole = Window.orderBy(F.desc("bucket")), Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    share = lambda c: 100.0 * F.col(c) / F.sum(c).over(whole)
+    return by.select(
+        "bucket", F.sum("kmers").over(top).alias("cum_kmers"), "kmers", share("kmers").alias("pct_kmers"), "visits", share("visits").alias("pct_visits"),
+        "weight", (F.col("weight") / F.col("visits")).alias("quality"), share("weight").alias("pct_weight"),
+    )
+
+
 def gc_heatmap(spec: DataFrame) -> DataFrame:
-    """``n, gc, kmers, visits`` for each depth and number of G or C."""
-    return spec.groupBy("n", dna.gc_count("kmer").alias("gc")).agg(F.count("*").alias("kmers"), F.sum("n").alias("visits"))
+    """``n, gc, kmers, visits`` for each depth and number of G or C, and ``weight`` if the spectrum has one."""
+    more = [F.sum("w").alias("weight")] if "w" in spec.columns else []
+    return spec.groupBy("n", dna.gc_count("kmer").alias("gc")).agg(F.count("*").alias("kmers"), F.sum("n").alias("visits"), *more)
 
 
 def size_history(observations: DataFrame, cuts: int = 20) -> DataFrame:
@@ -267,16 +283,49 @@ def error_ratios(observations: DataFrame, spec: DataFrame, k: int, strong: float
     return j.select(dna.kmer_of("strong").alias("kmer"), "pos", ratio.alias("ratio"))
 
 
-def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row on two spectra: k-mers and visits in common and in all."""
+def compare(a: DataFrame, b: DataFrame, whole: bool = False) -> DataFrame:
+    """One row on two spectra: k-mers and visits in common and in all; with ``whole`` also all visits, ``all_a`` and ``all_b``."""
     both = a.select("kmer", F.col("n").alias("na")).join(b.select("kmer", F.col("n").alias("nb")), "kmer", "full_outer")
     common = F.col("na").isNotNull() & F.col("nb").isNotNull()
     return both.agg(
         F.count_if(common).alias("common"), F.count("na").alias("total_a"), F.count("nb").alias("total_b"),
         F.coalesce(F.sum(F.when(common, F.col("na"))), F.lit(0)).alias("visits_a"), F.coalesce(F.sum(F.when(common, F.col("nb"))), F.lit(0)).alias("visits_b"),
+        *([F.coalesce(F.sum("na"), F.lit(0)).alias("all_a"), F.coalesce(F.sum("nb"), F.lit(0)).alias("all_b")] if whole else []),
     )
 
 
+def compare_report(found: DataFrame) -> DataFrame:
+    """:func:`compare`'s row with percentages of k-mers and of visits in common, of either spectrum; null where one is empty."""
+    share = lambda part, of: 100.0 * F.col(part) / F.nullif(F.col(of), F.lit(0))
+    return found.select("total_a", "total_b", "common", share("common", "total_a").alias("pct_a"), share("visits_a", "all_a").alias("pct_visits_a"), share("common", "total_b").alias("pct_b"), share("visits_b", "all_b").alias("pct_visits_b"))
+
+
+def permuted_scores(spec: DataFrame, k: int, weight: float = 0.1, second: float = 0.0, strong: float = 512.0) -> DataFrame:
+    """``kmer, solid_score, weak_score``: what a k-mer's 1-substitution neighbours count, in k-mers over ``strong`` and in the others.
+
+    Neighbours' counts are summed times ``weight``. With ``second`` the counts of the
+    neighbours' own neighbours come in, whether the spectrum has the k-mer between or
+    not, but for the k-mer itself. Each neighbour counts once. A k-mer between is a row
+    for each of its neighbours, so rows are 3k for a k-mer, not their square.
+    """
+    own = spec.select((F.col("code") if "code" in spec.columns else dna.code("kmer")).alias("code"), "n")
+    kind = F.col("n") > strong
+    around = cut(probes(own, k).select("code", "n", "probe").distinct())
+    near = around.select("code", "probe").join(own.select(F.col("code").alias("probe"), F.when(kind, F.col("n")).otherwise(0).alias("s"), F.when(kind, 0).otherwise(F.col("n")).alias("w")), "probe")
+    first = near.groupBy("code").agg((F.sum("s") * weight).alias("s1"), (F.sum("w") * weight).alias("w1"))
+    out = own.join(first, "code", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    if second <= 0:
+        return out.select(dna.kmer_of("code").alias("kmer"), zero(F.col("s1")).alias("solid_score"), zero(F.col("w1")).alias("weak_score"))
+    between = around.groupBy("probe").agg(F.sum(F.when(kind, F.col("n"))).alias("ts"), F.sum(F.when(~kind, F.col("n"))).alias("tw"))
+    back = F.col("n")  # the k-mer itself is a neighbour of each k-mer between
+    far = around.join(between, "probe").groupBy("code").agg(
+        F.sum(F.coalesce("ts", F.lit(0)) - F.when(kind, back).otherwise(0)).alias("s2"), F.sum(F.coalesce("tw", F.lit(0)) - F.when(kind, 0).otherwise(back)).alias("w2")
+    )
+    both = out.join(far, "code", "left")
+    return both.select(dna.kmer_of("code").alias("kmer"), (zero(F.col("s1")) + second * F.coalesce("s2", F.lit(0))).alias("solid_score"), (zero(F.col("w1")) + second * F.coalesce("w2", F.lit(0))).alias("weak_score"))
+
+
 def compare_per_read(observations: DataFrame, other: DataFrame) -> DataFrame:
     """``read_id, kmers, common``: how many of a read's different k-mers the other spectrum has."""
     key = key_of(observations, other)
@@ -298,10 +347,6 @@ def contrast(truth: DataFrame, test: DataFrame, weak_depth: int = 2) -> DataFram
     return both.select("kmer", kind.alias("kind"))
 
 
-def error_rate(observed: Column, weight: Column, dropped: Column) -> Column:
-    return 1 - weight / (observed + dropped)
-
-
 def probes(spec: DataFrame, k: int, distance: int = 1) -> DataFrame:
     """``spec`` with its ``code`` and a row for each canonical k-mer with exactly ``distance`` substitutions, as ``probe``; a probe may come twice."""
     masks = F.array(*(F.lit(m).cast("long") for m in dna.substitutions(k, distance)))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandworks.config import KmerOptions, SelectOptions
 from strandworks.functions import dna, quality, stats
 from strandworks.functions.bind import let
-from strandworks.lineage import cut
-from strandworks.operators import kmers, ordered
+from strandworks.lineage import keep
+from strandworks.operators import kmers, ordered, windows
+
+
+_log = logging.getLogger(__name__)
 
 
 def quality_trim(reads: DataFrame, min_quality: int = 3, min_length: float = 0.40) -> DataFrame:
@@ -72,17 +78,20 @@ def identify_pairs(reads: DataFrame) -> DataFrame:
     return found.select("pair_key", "read1", "read2")
 
 
-def window_scores(observations: DataFrame, spectrum: DataFrame, min_depth: int = 2) -> DataFrame:
-    """``read_id, values``: depth of each window in order; missing or shallow k-mers are 0.
+def window_scores(observations: DataFrame, spectrum: DataFrame, min_depth: int, reads: DataFrame, k: int) -> DataFrame:
+    """``read_id, values``: depth of each window of a read in order; missing or shallow k-mers are 0.
 
-    Only windows before the first letter other than ACGT count: those whose
-    positions follow each other from 0.
+    Only windows before the first letter other than ACGT count. Reads without any
+    window have no row, discarded ones neither. Windows of k-mers that are deep enough
+    are all that is shuffled by read; zeros are filled in from the read's length.
     """
     key = kmers.key_of(observations, spectrum)
     depth = spectrum.select(key, "n").where(F.col("n") >= min_depth)
-    hit = observations.select("read_id", "pos", key).join(depth, key, "left")
-    by_read = hit.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0)).alias("n")))).alias("v"))
-    return by_read.select("read_id", F.expr("transform(filter(v, (s, i) -> s.pos = i), s -> s.n)").alias("values"))
+    hits = observations.select("read_id", "pos", key).join(depth, key).groupBy("read_id").agg(F.collect_list(F.struct("pos", "n")).alias("hits"))
+    src = reads.where("NOT discarded") if "discarded" in reads.columns else reads
+    held = src.where(F.col("seq").rlike(f"[ACGT]{{{k}}}"))
+    sized = held.select("read_id", F.greatest(F.length(F.regexp_extract("seq", "^[ACGT]*", 0)) - (k - 1), F.lit(0)).alias("size"))
+    return windows.spread(sized.join(hits, "read_id", "left"))
 
 
 def score(values: Column, how: str) -> Column:
@@ -147,13 +156,14 @@ def filter_reads(reads: DataFrame, k: int, options: SelectOptions = SelectOption
     """The filtering pipeline: quality trim, count k-mers, score and trim, select pairs.
 
     ``reads`` need ``read_id, name, comment, seq, qual``. Returned reads keep the
-    columns of the pipeline; :func:`as_output` cuts and labels them.
+    columns of the pipeline; :func:`as_output` cuts and labels them. Trimmed reads, and
+    what their scores say, are written tables: both are read several times.
     """
-    first = with_pair_key(apply_quality_trim(reads, min_quality, trim_min_length))
-    # All windows are scored, those with enough weight are counted: one observation with a weight serves both.
-    obs = kmers.observe(first, k, weighted=True, options=KmerOptions(k=k, min_quality=min_quality, min_weight=min_weight), every=True)
-    spec = kmers.spectrum(obs.where(F.col("weight") > min_weight), min_depth, coded=True)
-    trimmed = score_and_trim(window_scores(obs, spec, min_depth), k, options.scoring)
+    first = keep(with_pair_key(apply_quality_trim(reads, min_quality, trim_min_length)), "trimmed")
+    # All windows are scored, those with enough weight are counted.
+    counted = kmers.observe(first, k, weighted=True, options=KmerOptions(k=k, min_quality=min_quality, min_weight=min_weight))
+    spec = kmers.spectrum(counted, min_depth, coded=True)
+    trimmed = keep(score_and_trim(window_scores(kmers.observe(first, k), spec, min_depth, first, k), k, options.scoring), "scores")
     return select_pairs(passes(trimmed, first, options), options.min_passing_in_pair)
 
 
@@ -216,7 +226,7 @@ def normalize_random(pairs: DataFrame, target: int, key: str = "pair_key", log_s
     return pairs.where((whole <= target) | (draw % F.greatest(whole, F.lit(1)) <= bound))
 
 
-def optimal_cover(units: DataFrame, target: int) -> DataFrame:
+def optimal_cover(units: DataFrame, target: int, ratio: float = 1.0, rounds: list[int] | None = None) -> DataFrame:
     """``unit, layer``: reads or pairs picked, best score first, so that k-mers are covered up to ``target`` times.
 
     ``units`` has ``unit, score, size`` and ``kmers`` (array of keys, with depth ``depth``
@@ -230,26 +240,34 @@ def optimal_cover(units: DataFrame, target: int) -> DataFrame:
     sequential pass would do with it, for no other unit can change its k-mers before.
     Then pick counts grow, full units leave, scores are made anew. Units that share no
     k-mer never wait for each other; the rounds of a layer are as many as the longest
-    chain of falling scores among units that do.
+    chain of falling ranks among units that do. With ``ratio`` over 1 scores are compared by
+    level, powers of it, and units of a level by their hash: ranks are then random within a
+    level, so a chain has some log of its units for each level, whatever the scores are
+    (exact scores along a tiling of reads may fall one by one). The choice is the sequential
+    one for these ranks. ``rounds``, if given, gets the number of rounds of each layer.
     """
     unit = units.schema["unit"].dataType.simpleString()
     spark = units.sparkSession
-    each = cut(units.select("unit", "size", F.explode(F.arrays_zip("kmers", "depths")).alias("x")).select("unit", "size", F.col("x.kmers").alias("kmer"), F.col("x.depths").alias("depth")).dropDuplicates(["unit", "kmer"]))
+    each = keep(units.select("unit", "size", F.explode(F.arrays_zip("kmers", "depths")).alias("x")).select("unit", "size", F.col("x.kmers").alias("kmer"), F.col("x.depths").alias("depth")).dropDuplicates(["unit", "kmer"]), "cover")
     picked = spark.createDataFrame([], f"unit {unit}, layer int")
     counts = spark.createDataFrame([], "kmer " + each.schema["kmer"].dataType.simpleString() + ", c long")
-    rank = F.struct("score", F.xxhash64("unit").alias("tie"), "unit")
+    level = F.floor(F.log("score") / float(math.log(ratio))) if ratio > 1 else F.col("score")
+    rank = F.struct(level.alias("level"), F.xxhash64("unit").alias("tie"), "unit")
     for layer in range(1, target + 1):
-        live, new = each.join(picked.select("unit"), "unit", "left_anti"), None
+        live, new, turns = each.join(picked.select("unit"), "unit", "left_anti"), None, 0
         while new is None or not new.isEmpty():
             seen = live.join(counts, "kmer", "left").withColumn("c", F.coalesce("c", F.lit(0)))
             scores = seen.groupBy("unit").agg((F.sum(F.col("depth") * (layer - F.col("c"))) / F.first("size")).alias("score"), F.max("c").alias("most")).where(F.col("most") < layer)
-            open_ = cut(live.select("unit", "size", "kmer", "depth").join(scores.select("unit", "score"), "unit"))
+            open_ = keep(live.select("unit", "size", "kmer", "depth").join(scores.select("unit", "score"), "unit"), "cover")
             best = open_.groupBy("kmer").agg(F.max(rank).alias("top"))
             wins = open_.join(best, "kmer").groupBy("unit").agg(F.bool_and(F.col("top.unit") == F.col("unit")).alias("won")).where("won")
-            new = cut(wins.select("unit", F.lit(layer).alias("layer")))
-            counts = cut(counts.unionByName(open_.join(new, "unit", "left_semi").groupBy("kmer").agg(F.count("*").alias("c"))).groupBy("kmer").agg(F.sum("c").alias("c")))
-            picked = cut(picked.unionByName(new))
-            live = open_.join(new, "unit", "left_anti")
+            new = keep(wins.select("unit", F.lit(layer).alias("layer")), "cover")
+            counts = keep(counts.unionByName(open_.join(new, "unit", "left_semi").groupBy("kmer").agg(F.count("*").alias("c"))).groupBy("kmer").agg(F.sum("c").alias("c")), "cover")
+            picked = keep(picked.unionByName(new), "cover")
+            live, turns = open_.join(new, "unit", "left_anti"), turns + 1
+        if rounds is not None:
+            rounds.append(turns)
+        _log.info("layer %d took %d rounds", layer, turns)
     return picked
 
 

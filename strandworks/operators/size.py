@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandworks.operators import kmers
 
 
 def unique_growth(x: np.ndarray, a: float, b: float) -> np.ndarray:
@@ -57,3 +61,25 @@ def saturating_fit(x, u) -> dict[str, float]:
         found.append((float(((basis @ coef - u) ** 2).sum()), d, *coef))
     err, d, c, e = min(found)
     return {"genome_kmers": float(c), "half": float(d), "error_rate": float(e), "residual": err}
+
+
+def estimate(reads: DataFrame, k: int, fraction: float = 0.5, partitions: int = 100, first: int = 128, growth: float = 1.05) -> dict[str, float]:
+    """Error rate and genome size from as many of ``partitions`` hash parts of the reads as reach ``fraction``.
+
+    The curve has a snapshot whenever the k-mers seen have grown by 5 %, in order of
+    read_id; the driver gets these, some hundred rows at any size. Raw and distinct
+    k-mers of all reads are carried on from the fraction read. Empty if there are fewer
+    than three snapshots.
+    """
+    rounds = min(partitions, -(-int(round(fraction * partitions * 1e9)) // 10**9))
+    part = F.conv(F.substring(F.md5(F.col("read_id").cast("string")), 1, 8), 16, 10).cast("bigint") % partitions
+    snapshots = sorted(kmers.size_history_growth(kmers.observe(reads.where(part < rounds), k), first, growth).collect(), key=lambda r: r.part)
+    if len(snapshots) < 3:
+        return {}
+    x, u = [float(r.raw) for r in snapshots], [float(r.distinct_kmers) for r in snapshots]
+    found, other, read = fit(x, u), saturating_fit(x, u), rounds / partitions
+    raw = x[-1] / read
+    return {
+        "fraction": read, "snapshots": float(len(x)), "error_rate": found["error_rate"], "genome_kmers": found["genome_kmers"], "raw_kmers": raw,
+        "distinct_kmers": raw * found["error_rate"] + found["genome_kmers"], "saturating_genome_kmers": other["genome_kmers"], "saturating_error_rate": other["error_rate"],
+    }

@@ -136,3 +136,32 @@ def windows(reads: DataFrame, k: int, probabilities: np.ndarray | None = None, e
 
     src = reads.where(F.length("seq") >= k)
     return src.select("read_id", "seq", *(["qual"] if quals else [])).mapInArrow(run, schema)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``read_id, values`` of ``read_id, size, hits``: an array of ``size`` zeros, with n at pos for each hit (pos, n); hits behind the end are left out."""
+    kind = rows.schema["read_id"].dataType.simpleString()
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Rows of some SEGMENT values at once, or one longer row."""
+        total, row = np.cumsum(batch.column("size").to_numpy().astype(np.int64)), 0
+        while row < batch.num_rows:
+            before = total[row - 1] if row else 0
+            end = max(row + 1, int(np.searchsorted(total, before + SEGMENT, side="right")))
+            yield batch.slice(row, end - row)
+            row = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in pieces(whole)):
+            size, hits = batch.column("size").to_numpy().astype(np.int64), batch.column("hits")
+            first = np.append(0, np.cumsum(size))
+            out = np.zeros(first[-1], np.int64)
+            held = pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False)
+            flat = hits.flatten()
+            row = np.repeat(np.arange(len(size)), held)
+            pos = flat.field("pos").to_numpy(zero_copy_only=False)
+            fits = pos < size[row]
+            out[(first[row] + pos)[fits]] = flat.field("n").to_numpy(zero_copy_only=False)[fits]
+            yield pa.RecordBatch.from_arrays([batch.column("read_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(out))], ["read_id", "values"])
+
+    return rows.select("read_id", "size", "hits").mapInArrow(run, f"read_id {kind}, values array<bigint>")

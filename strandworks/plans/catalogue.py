@@ -284,8 +284,9 @@ _VALUES_SQL = _spec_sql(K) + ", v AS (SELECT ck.read_id, p, CASE WHEN n >= 2 THE
 
 
 def _values(spark, sf_dir):
-    obs = _obs(spark, sf_dir, K)
-    return rd.window_scores(obs, kmers.spectrum(obs, 2, coded=True))
+    reads = derived.reads(spark, sf_dir)
+    obs = kmers.observe(reads, K)
+    return rd.window_scores(obs, kmers.spectrum(obs, 2, coded=True), 2, reads, K)
 
 
 def _score(how: str, sql: str) -> None:
@@ -336,8 +337,9 @@ _SOME_SQL = ", seen AS (SELECT DISTINCT read_id FROM ck)\n"
 
 @query(_VALUES_N_SQL + _TRIM_SQL + _SOME_SQL + "SELECT read_id, coalesce(trim_offset, 0) AS trim_offset, coalesce(trim_length, 0) AS trim_length, coalesce(score, 0) AS score, coalesce(windows, 0) AS windows FROM seen LEFT JOIN trim_ USING (read_id)")
 def longest_run_trim_n(spark, sf_dir):
-    obs = kmers.observe(derived.reads_with_n(spark, sf_dir), K)
-    return rd.score_and_trim(rd.window_scores(obs, kmers.spectrum(obs, 2, coded=True)), K, "MEDIAN")
+    reads = derived.reads_with_n(spark, sf_dir)
+    obs = kmers.observe(reads, K)
+    return rd.score_and_trim(rd.window_scores(obs, kmers.spectrum(obs, 2, coded=True), 2, reads, K), K, "MEDIAN")
 
 
 @query(
@@ -372,11 +374,13 @@ def normalize_coverage(spark, sf_dir):
 
 @query()
 def optimal_cover(spark, sf_dir):
+    """Pairs picked so that k-mers are covered up to twice, best level first; held against the sequential choice in a test."""
     obs = _obs(spark, sf_dir, K)
     spec = kmers.spectrum(obs, 2, coded=True)
-    own = obs.join(spec.select("code", "n"), "code").groupBy("read_id").agg(F.collect_list("code").alias("kmers"), F.collect_list("n").alias("depths"))
-    sized = derived.reads(spark, sf_dir).select(F.col("read_id").alias("unit"), F.length("seq").alias("size")).join(own.withColumnRenamed("read_id", "unit"), "unit")
-    return rd.optimal_cover(sized, 1)
+    pair = F.expr("read_id div 2").alias("unit")
+    own = obs.join(spec.select("code", "n"), "code").groupBy(pair).agg(F.collect_list(F.struct("code", "n")).alias("x"))
+    sized = derived.reads(spark, sf_dir).groupBy(pair).agg(F.sum(F.length("seq")).alias("size"))
+    return rd.optimal_cover(own.join(sized, "unit").select("unit", "size", F.col("x.code").alias("kmers"), F.col("x.n").alias("depths")), 2, ratio=1.1)
 
 
 @query(_with(SQL_READS) + "SELECT regexp_replace(name, '/[^/]$', '/') AS pair_key, min(read_id) FILTER (WHERE name LIKE '%/1') AS read1, min(read_id) FILTER (WHERE name LIKE '%/2') AS read2 FROM reads GROUP BY 1")
@@ -731,12 +735,32 @@ def stream_kmer_count(spark, sf_dir):
     return counts.counts()
 
 
-@query(_with(SQL_READS, sql_kmers(K_SMALL)) + ", c AS (SELECT kmer, count(*) AS n FROM ck GROUP BY 1) SELECT 1.0::DOUBLE AS reached, sum(n)::BIGINT AS raw, count(*) AS distinct_kmers, count(*) FILTER (WHERE n = 1) AS singletons FROM c")
+@query(
+    _with(SQL_READS, sql_kmers(K_SMALL))
+    + """, x AS (SELECT kmer, count(*) FILTER (WHERE part < 2) AS early, count(*) FILTER (WHERE part >= 2) AS late FROM (SELECT kmer, (read_id // 2) % 4 AS part FROM ck) GROUP BY 1),
+y AS (SELECT kmer, CASE WHEN early > 1 THEN early ELSE 0 END + late AS n FROM x) SELECT kmer, n FROM y WHERE n > 1"""
+)
+def stream_kmer_purge(spark, sf_dir):
+    """Reads that come as four batches, a new query for each, which goes on where the one before ended; k-mers seen once go after every second batch."""
+    from strandworks.streaming import kmers as streaming
+
+    root = fresh(spark, "stream")
+    counts = streaming.Counts(spark, f"{root}/counts", K_SMALL, purge_every=2)
+    reads = derived.reads(spark, sf_dir).select("read_id", "seq")
+    for part in range(4):
+        reads.where(F.expr("read_id div 2") % 4 == part).write.mode("append").parquet(f"{root}/reads")
+        again = streaming.Counts(spark, f"{root}/counts", K_SMALL, purge_every=2)  # all it knows lies in files
+        streaming.run_available(streaming.stream_of(spark, f"{root}/reads", reads.schema, files_per_batch=1 << 20), again, f"{root}/checkpoint")
+    return counts.counts()
+
+
+@query(_with(SQL_READS, sql_kmers(K_SMALL)) + ", c AS (SELECT kmer, count(*) AS n FROM ck WHERE ('0x' || substring(md5(read_id::VARCHAR), 1, 8))::BIGINT % 8 < 4 GROUP BY 1) SELECT 0.5::DOUBLE AS reached, sum(n)::BIGINT AS raw, count(*) AS distinct_kmers, count(*) FILTER (WHERE n = 1) AS singletons FROM c")
 def sampling_rounds(spark, sf_dir):
+    """Rounds of an eighth of the reads each, until at least 0.45 of them is counted."""
     from strandworks.streaming import kmers as streaming
 
     counts = streaming.Counts(spark, fresh(spark, "rounds"), K_SMALL, growth=1.0)
-    reached = streaming.sampling_rounds(derived.reads(spark, sf_dir), counts, 4, 1.0)
+    reached = streaming.sampling_rounds(derived.reads(spark, sf_dir), counts, 8, 0.45)
     return counts.sizes().orderBy(F.desc("batch")).limit(1).select(F.lit(reached).alias("reached"), "raw", "distinct_kmers", "singletons")
 
 

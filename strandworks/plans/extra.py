@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from strandworks.config import MatchOptions, SelectOptions
 from strandworks.functions import dna, stats
-from strandworks.operators import align, artifacts, assembly, dedup, kmers, nucleate, ordered, reads as rd, vectors
+from strandworks.operators import align, artifacts, assembly, dedup, kmers, nucleate, ordered, reads as rd, size, vectors
 from strandworks.plans import derived
-from strandworks.plans.catalogue import _CONTIG_SQL, _DEPTH, _FRAG_SQL, _RUN_SQL, _VALUES_SQL, _VEC_SQL, K, K_SMALL, RC, _contigs, _obs, _spec, _spec_sql, _values, _vectors, _with, query
-from strandworks.plans.derived import SQL_PAIRS, SQL_READS, load, sql_kmers, sql_q, sql_spectrum
+from strandworks.plans.catalogue import _BENCH_READS, _bench, _CONTIG_SQL, _DEPTH, _FRAG_SQL, _RUN_SQL, _VALUES_SQL, _VEC_SQL, K, K_SMALL, K_TINY, RC, _contigs, _obs, _spec, _spec_sql, _values, _vectors, _with, query
+from strandworks.plans.derived import SQL_PAIRS, SQL_READS, load, sql_kmers, sql_p, sql_q, sql_spectrum
 from strandworks.sources import constants
 
 _KEYED = ", keyed AS (SELECT *, regexp_replace(name, '/[^/]$', '/') AS pair_key, CASE WHEN name LIKE '%/1' THEN 1 ELSE 2 END AS read_num FROM reads)\n"
@@ -192,6 +192,67 @@ def read_contig_match_fraction(spark, sf_dir):
     return nucleate.match_limited(_contigs(spark, sf_dir), _obs(spark, sf_dir, K), K, fraction=0.3)
 
 
+_WEIGHTED_SQL = (
+    _with(SQL_READS, sql_kmers(K_SMALL))
+    + f""", wk AS (SELECT kmer, list_reduce(list_transform(generate_series(p + 1, p + {K_SMALL}), lambda j: {sql_p('j')}), lambda a, b: a * b) AS w FROM ck),
+sp AS (SELECT kmer, count(*) AS n, sum(w) AS w FROM wk WHERE w > 0.1 GROUP BY kmer)
+"""
+)
+
+
+def _weighted(spark, sf_dir):
+    return kmers.spectrum(kmers.observe(derived.reads(spark, sf_dir), K_SMALL, weighted=True))
+
+
+@query(
+    _WEIGHTED_SQL
+    + """, b AS (SELECT CASE WHEN n <= 256 THEN n ELSE pow(2, floor(log2(n::DOUBLE)))::BIGINT END AS bucket, count(*) AS kmers, sum(n)::BIGINT AS visits, sum(w) AS weight FROM sp GROUP BY 1)
+SELECT bucket, (sum(kmers) OVER c)::BIGINT AS cum_kmers, kmers, round(100.0::DOUBLE * kmers / sum(kmers) OVER (), 6) AS pct_kmers, visits, round(100.0::DOUBLE * visits / sum(visits) OVER (), 6) AS pct_visits,
+round(weight, 4) AS weight, round(weight / visits, 6) AS quality, round(100.0::DOUBLE * weight / sum(weight) OVER (), 6) AS pct_weight FROM b WINDOW c AS (ORDER BY bucket DESC)"""
+)
+def weighted_histogram(spark, sf_dir):
+    """Depth histogram with weights and percentages."""
+    digits = {"pct_kmers": 6, "pct_visits": 6, "weight": 4, "quality": 6, "pct_weight": 6}
+    found = kmers.weighted_histogram(_weighted(spark, sf_dir))
+    return found.select(*(F.round(c, digits[c]).alias(c) if c in digits else c for c in found.columns))
+
+
+@query(_WEIGHTED_SQL + "SELECT n, length(regexp_replace(kmer, '[^GC]', '', 'g')) AS gc, count(*) AS kmers, sum(n)::BIGINT AS visits, round(sum(w), 5) AS weight FROM sp GROUP BY 1, 2")
+def gc_heatmap_weights(spark, sf_dir):
+    return kmers.gc_heatmap(_weighted(spark, sf_dir)).withColumn("weight", F.round("weight", 5))
+
+
+@query(
+    _with(SQL_READS, sql_kmers(K), sql_spectrum(), _BENCH_READS, sql_kmers(K, "br", "bk"), sql_spectrum("bp", "bk"))
+    + """, c AS (SELECT count(sp.kmer) AS total_a, count(bp.kmer) AS total_b, count(*) FILTER (WHERE sp.kmer IS NOT NULL AND bp.kmer IS NOT NULL) AS common, sum(sp.n) AS na, sum(bp.n) AS nb,
+coalesce(sum(sp.n) FILTER (WHERE bp.kmer IS NOT NULL), 0) AS va, coalesce(sum(bp.n) FILTER (WHERE sp.kmer IS NOT NULL), 0) AS vb FROM sp FULL JOIN bp ON sp.kmer = bp.kmer)
+SELECT total_a, total_b, common, round(100.0::DOUBLE * common / total_a, 6) AS pct_a, round(100.0::DOUBLE * va / na, 6) AS pct_visits_a, round(100.0::DOUBLE * common / total_b, 6) AS pct_b, round(100.0::DOUBLE * vb / nb, 6) AS pct_visits_b FROM c"""
+)
+def compare_percent(spark, sf_dir):
+    found = kmers.compare_report(kmers.compare(_spec(spark, sf_dir, K), kmers.spectrum(kmers.observe(_bench(spark, sf_dir), K)), whole=True))
+    return found.select(*(F.round(c, 6).alias(c) if c.startswith("pct") else c for c in found.columns))
+
+
+_PERMUTED_SQL = _spec_sql(K_TINY) + f""", nb AS MATERIALIZED (SELECT DISTINCT kmer, n, least(x, {RC.format('x')}) AS probe FROM (SELECT kmer, n, substring(kmer, 1, i - 1) || b || substring(kmer, i + 1) AS x FROM sp, unnest(generate_series(1, {K_TINY})) t(i), unnest(['A','C','G','T']) u(b)) WHERE least(x, {RC.format('x')}) <> kmer),
+one AS (SELECT nb.kmer, sum(sp.n) FILTER (WHERE sp.n > 512) AS s, sum(sp.n) FILTER (WHERE sp.n <= 512) AS w FROM nb JOIN sp ON sp.kmer = probe GROUP BY 1),
+two AS (SELECT a.kmer, sum(b.n) FILTER (WHERE b.n > 512) AS s, sum(b.n) FILTER (WHERE b.n <= 512) AS w FROM nb a JOIN nb b ON a.probe = b.probe AND a.kmer <> b.kmer GROUP BY 1)
+SELECT sp.kmer, round(0.1::DOUBLE * coalesce(one.s, 0) + 0.01::DOUBLE * coalesce(two.s, 0), 6) AS solid_score, round(0.1::DOUBLE * coalesce(one.w, 0) + 0.01::DOUBLE * coalesce(two.w, 0), 6) AS weak_score FROM sp LEFT JOIN one USING (kmer) LEFT JOIN two ON two.kmer = sp.kmer"""
+
+
+@query(_PERMUTED_SQL)
+def permuted_scores(spark, sf_dir):
+    """Scores of k-mers by their neighbours and the neighbours of these."""
+    found = kmers.permuted_scores(_spec(spark, sf_dir, K_TINY), K_TINY, 0.1, 0.01)
+    return found.select("kmer", F.round("solid_score", 6).alias("solid_score"), F.round("weak_score", 6).alias("weak_score"))
+
+
+@query()
+def estimate_size_sampled(spark, sf_dir):
+    """Size and error rate from half of the reads and snapshots at 5 % growth; held against a fit of plainly counted snapshots in a test."""
+    found = size.estimate(derived.reads(spark, sf_dir), K, 0.5)
+    return spark.createDataFrame(sorted(found.items()), "name string, value double")
+
+
 @query()
 def nucleating_assembly(spark, sf_dir):
     """Contigs grown with the reads at their ends, in rounds, until none grows; held against a plain version in a test."""

@@ -1,7 +1,9 @@
 """k-mer counting over a stream of reads, and event-time counts.
 
 The running table lies in files, not in the memory of the driver or of a state store:
-each micro-batch writes its own counts as Parquet under its number (a batch that is
+a keyed state of Python functions costs a call to the store for each k-mer of a batch,
+where a merge of two tables of counts is one aggregation, and the purge of k-mers seen
+once is a filter over the table, not a timer for each of its keys. So each micro-batch writes its own counts as Parquet under its number (a batch that is
 run again writes the same folder anew), and a compaction merges what lies there into
 one table. Event-time windows are an addition: the batch programs have no event time.
 """
@@ -114,7 +116,7 @@ def sampling_rounds(reads: DataFrame, counts: Counts, parts: int, fraction: floa
     Rounds taken in by an earlier run are not repeated.
     """
     done = counts.state()["batch"] + 1
-    part = F.pmod(F.xxhash64("read_id"), F.lit(parts))
+    part = F.conv(F.substring(F.md5(F.col("read_id").cast("string")), 1, 8), 16, 10).cast("bigint") % parts
     while done < parts and done / parts < fraction:
         counts.add(reads.where(part == done), done)
         done += 1

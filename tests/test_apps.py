@@ -23,11 +23,20 @@ def test_programs(spark, tmp_path, capsys):
     assert out("s").count("\n") == 7 * 2 * 4
     run("split", src, "--output", tmp_path / "p", "--parts", 4)
     assert len(list((tmp_path / "p").glob("part=*"))) + len(list((tmp_path / "p").glob("out_key=*"))) == 4
+    run("split", src, "--output", tmp_path / "mates", "--mates")
+    assert sorted(p.name for p in (tmp_path / "mates").iterdir()) == ["read1.fastq", "read2.fastq"]
+    assert (tmp_path / "mates" / "read1.fastq").read_text() == "".join(f"{x}\n" for i, x in enumerate(text.splitlines()) if i % 8 < 4)
+    run("split", src, "--output", tmp_path / "more", "--mates", "--in-parts", "--template", "{Key}.{Uniq}.fq")
+    assert (tmp_path / "more" / "read2.000000of000001.fq").exists()
+    (tmp_path / "seed.fa").write_text(f">seed\n{g[100:170]}\n")
+    run("nucleate", tmp_path / "seed.fa", src, "--output", tmp_path / "n", "--kmer-size", 21, "--min-coverage", 2.0)
+    head, grown = (tmp_path / "n" / "contigs.fasta").read_text().split()
+    assert grown in g and len(grown) > 200 and head.startswith(">seed-l")
     run("convert", src, "--output", tmp_path / "c")
     assert out("c/fasta").count(">") == out("c/qual").count(">") == 80
     run("compare", src, src, "--kmer-size", 21)
     run("tnf", src, src)
-    run("estimate-size", src, "--kmer-size", 21)
+    run("estimate-size", src, "--kmer-size", 21, "--fraction", 1.0)
     assert "genome_kmers" in capsys.readouterr().out
 
 

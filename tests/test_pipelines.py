@@ -1,5 +1,6 @@
 """Read and assembly pipelines against brute force, and invariance under repartitioning."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -278,3 +279,26 @@ def test_contigs_grow_by_more_than_five_bases(spark, tmp_path):
     r = grown.first()
     assert (r["left"], r["right"]) == (0, 8)
     assert_equal(grown, tables(str(tmp_path)), catalogue.oracle_sql()["contig_extend"])
+
+
+def test_size_from_snapshots_of_a_sample(spark):
+    """The same curve as counting the sampled reads one after another, and its fit."""
+    from strandworks.operators import size
+
+    g, rnd, k = genome(3000, 41), random.Random(9), 15
+    rows = [(i, g[a : a + 60]) for i, a in enumerate(rnd.randrange(0, 2940) for _ in range(900))]
+    got = size.estimate(spark.createDataFrame(rows, "read_id long, seq string"), k, fraction=0.32, partitions=10)
+    some = [(i, s) for i, s in rows if int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 10 < 4]
+    limit, raw, seen, curve = 128, 0, set(), {}
+    for _, s in some:
+        part = sum(x <= raw for x in kmers.growth_limits(10**6))
+        for w in (s[j : j + k] for j in range(len(s) - k + 1)):
+            seen.add(min(w, rc(w)))
+            raw += 1
+        curve[part] = (raw, len(seen))
+    x, u = zip(*(curve[p] for p in sorted(curve)))
+    want = size.fit(x, u)
+    assert got["fraction"] == 0.4 and got["snapshots"] == len(x) and got["raw_kmers"] == raw / 0.4
+    assert abs(got["genome_kmers"] - want["genome_kmers"]) < 1e-6 * want["genome_kmers"] and abs(got["error_rate"] - want["error_rate"]) < 1e-9
+    assert abs(got["genome_kmers"] - 2986) < 300
+    assert size.estimate(spark.createDataFrame([(1, "ACGT")], "read_id long, seq string"), k) == {}

@@ -1,5 +1,6 @@
 """Artifact filter, duplicates, covers and pairing against brute force."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -102,8 +103,8 @@ def test_artifact_filter(spark):
         artifacts.artifact_filter(reads, constants.artifacts(spark), ArtifactOptions(edit_distance=3))
 
 
-def brute_cover(units, target):
-    """Sequential: best score first, made anew before each pick."""
+def brute_cover(units, target, ratio=1.0):
+    """Sequential: best score (or level of it) first, made anew before each pick."""
     tie, picked, counts = {u: t for u, t, *_ in units}, {}, defaultdict(int)
     for layer in range(1, target + 1):
         while True:
@@ -112,6 +113,7 @@ def brute_cover(units, target):
                 if u in picked or any(counts[k] >= layer for k in ks):
                     continue
                 score = sum(d * (layer - counts[k]) for k, d in ks.items()) / size
+                score = math.floor(math.log(score) / math.log(ratio)) if ratio > 1 else score
                 best = max(best or (score, tie[u], u), (score, tie[u], u))
             if best is None:
                 break
@@ -121,16 +123,28 @@ def brute_cover(units, target):
     return picked
 
 
-@pytest.mark.parametrize("target", [1, 3])
-def test_optimal_cover_is_the_sequential_one(spark, target):
+@pytest.mark.parametrize("target,ratio", [(1, 1.0), (3, 1.0), (2, 1.3)])
+def test_optimal_cover_is_the_sequential_one(spark, target, ratio):
     rnd = random.Random(target)
     depth = {k: rnd.randrange(2, 6) for k in range(25)}
     sets = [sorted(rnd.sample(range(25), rnd.randrange(1, 5))) for _ in range(40)]
     rows = [(u, 10.0, ks, [depth[k] for k in ks]) for u, ks in enumerate(sets)]
     df = spark.createDataFrame(rows, "unit long, size double, kmers array<long>, depths array<int>")
     tie = {r.unit: r.h for r in df.select("unit", F.xxhash64("unit").alias("h")).collect()}
-    got = {r.unit: r.layer for r in rd.optimal_cover(df, target).collect()}
-    assert got == brute_cover([(u, tie[u], 10.0, {k: depth[k] for k in ks}) for u, _, ks, _ in rows], target)
+    got = {r.unit: r.layer for r in rd.optimal_cover(df, target, ratio).collect()}
+    assert got == brute_cover([(u, tie[u], 10.0, {k: depth[k] for k in ks}) for u, _, ks, _ in rows], target, ratio)
+
+
+def test_levels_bound_the_rounds_of_a_cover(spark):
+    """Units along a tiling whose scores fall one by one: a chain as long as the tiling, but for levels."""
+    rows = [(i, 1000.0, [i, i + 1], [5000 - i, 5000 - i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "unit long, size double, kmers array<long>, depths array<int>")
+    tie = {r.unit: r.h for r in df.select("unit", F.xxhash64("unit").alias("h")).collect()}
+    exact, level = [], []
+    assert {r.unit for r in rd.optimal_cover(df, 1, rounds=exact).collect()} == set(range(0, 60, 2))
+    got = {r.unit: r.layer for r in rd.optimal_cover(df, 1, 1.1, level).collect()}
+    assert got == brute_cover([(u, tie[u], s, dict(zip(ks, ds))) for u, s, ks, ds in rows], 1, 1.1)
+    assert level[0] < exact[0] / 2 and exact[0] >= 30
 
 
 def test_dedup_reads(spark):
