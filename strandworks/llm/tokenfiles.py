@@ -1,7 +1,7 @@
 """Operator 6, token-ID output: tokenised documents in sorted-string-table shards.
 
-Documents are range-partitioned and sorted by doc_id; each task tokenises its
-range and writes one shard in the shared folder (see ``sstable``), under a name
+Documents are range-partitioned and sorted by doc_id, then by text hash, so an id
+that very many rows have, null too, is many shards; each task tokenises its range and writes one shard in the shared folder (see ``sstable``), under a name
 of its own, so a retried task never touches another's file. The manifest, a row a
 shard, comes from the tasks that Spark counted as done and is written last, beside
 the shards: a folder with a manifest is whole, and files that it does not name are
@@ -42,7 +42,7 @@ TOKENIZER = "byte_bpe_50k.json"
 CACHE_ENTRIES = 800_000
 CACHE_CHARS = 40
 MANIFEST_NAME = "manifest"
-MANIFEST = "path string, first_id long, last_id long, n_docs long, n_tokens long"
+MANIFEST = "path string, first_id long, last_id long, n_docs long, n_tokens long, first_hash long, last_hash long"
 # Every character that any definition of white space holds, before a space.
 _WHITE_THEN_SPACE = tuple(f"{c} " for c in map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -148,33 +148,35 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_file(tokenizer))
         end = end_id.to_bytes(encode.width, "little")
-        store = name = out = writer = first = last = None
+        store = name = out = writer = first = last = first_h = last_h = None
         tokens = 0
         gc.disable()  # cached ids and pieces are no garbage, and are many
         try:
             for batch in batches:
-                for ident, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                for ident, text, h in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("h").to_pylist()):
                     ids = encode(text.as_py())
                     if writer is None:
                         store, folder = fs.FileSystem.from_uri(path)
                         store.create_dir(folder, recursive=True)
-                        name, first = f"shard-{uuid.uuid4().hex}.sst", ident
+                        name, first, first_h = f"shard-{uuid.uuid4().hex}.sst", ident, h
                         out = store.open_output_stream(f"{folder}/{name}", compression=None)
                         writer = Writer(out, encode.width)
                     writer.add(key_of(ident), ids + end)
                     tokens += len(ids) // encode.width + 1
-                    last = ident
+                    last, last_h = ident, h
         finally:
             gc.enable()
         if writer is not None:
             writer.close()
             out.close()
-            columns = [[f"{path}/{name}"], [first], [last], [writer.entries], [tokens]]
-            kinds = [pa.string(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "first_id", "last_id", "n_docs", "n_tokens"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+            columns = [[f"{path}/{name}"], [first], [last], [writer.entries], [tokens], [first_h], [last_h]]
+            kinds = [pa.string(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "first_id", "last_id", "n_docs", "n_tokens", "first_hash", "last_hash"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    # An id that many rows have, null too, is cut by text hash, and equal rows by their place in the input.
+    order = [F.asc_nulls_first("doc_id"), "h", "row"]
+    ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", "h")
     done = ordered.mapInArrow(run, MANIFEST).collect()  # a row a shard, from the tasks that count
     docs.sparkSession.createDataFrame([tuple(r) for r in done], MANIFEST).coalesce(1).write.parquet(f"{path}/{MANIFEST_NAME}")
     return open_shards(docs.sparkSession, path)
@@ -191,7 +193,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     The manifest has one row for each shard, so the driver may hold it: it grows
     with the number of range partitions, not with documents.
     """
-    shards = sorted(manifest.collect(), key=lambda r: (r.first_id is not None, r.first_id or 0, r.last_id or 0))
+    shards = sorted(manifest.collect(), key=lambda r: (r.first_id is not None, r.first_id or 0, r.first_hash, r.last_id is not None, r.last_id or 0, r.last_hash))
     starts, at = [], 0
     for s in shards:
         starts.append((s.path, at))

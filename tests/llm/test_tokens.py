@@ -94,3 +94,26 @@ def test_manifest_is_written_last(spark, docs, rows):
     with store.open_output_stream(f"{folder}/shard-leftover.sst") as out:
         out.write(b"half a shard")
     assert tokenfiles.read_shards(spark, tokenfiles.open_shards(spark, path)).count() == len(rows)
+
+
+def test_an_id_of_all_rows_is_many_shards(spark):
+    """Null ids with different texts, and one row over and over: shards share them, and starts count through."""
+    from pyspark.sql import functions as F
+
+    from strandworks.llm import tokenfiles
+    from strandworks.llm.scratch import fresh
+
+    texts = spark.range(6000, numPartitions=5).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 3000, F.concat(F.lit("text number "), "id")).otherwise("the same").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = tokenfiles.write_shards(texts, fresh(spark, "test-shards"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes) == 3000
+    rows = sorted(tokenfiles.read_shards(spark, manifest).collect(), key=lambda r: r.start)
+    at = 0
+    for r in rows:
+        assert r.doc_id is None and r.start == at
+        at += r.n_tokens
+    assert len(tokenfiles.lookup(manifest, None)) == 6000
