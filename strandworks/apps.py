@@ -30,8 +30,20 @@ def filter_reads(spark, a) -> None:
         table = constants.artifacts(spark, reference_fasta=a.reference)
         found = artifacts.artifact_filter(r, table, ArtifactOptions(edit_distance=a.edits), a.min_quality, a.min_read_length)
         r = artifacts.apply_filter(r, found).where("NOT discarded")
-    picked = reads.filter_reads(r, a.kmer_size, SelectOptions(scoring=a.scoring, min_length=a.min_read_length, min_passing_in_pair=a.min_passing_in_pair), a.min_quality, a.min_depth, a.min_weight, a.min_read_length)
-    if a.max_depth > 0:
+    options = SelectOptions(scoring=a.scoring, min_length=a.min_read_length, min_passing_in_pair=a.min_passing_in_pair)
+    tested = reads.test_reads(r, a.kmer_size, options, a.min_quality, a.min_depth, a.min_weight, a.min_read_length)
+    if a.partition_by_depth > 0:
+        parts = reads.partition_pairs(tested.withColumn("length", F.length("seq")), a.partition_by_depth, a.min_depth, options, a.remainder_trim)
+        found = lineage.keep(tested.join(parts, "pair_key"), "partitions")
+        key = F.when(F.col("partition") > 0, F.concat(F.lit("depth-"), F.col("partition").cast("string"))).otherwise("remainder")
+        out = reads.as_output(found, a.kmer_size, a.scoring).join(found.select("read_id", key.alias("out_file")), "read_id")
+        print("\n".join(writers.write_read_files(out, a.output, a.format, key="out_file", template="{Key}.fastq" if a.format in (0, 2) else "{Key}.fasta", single=True)))
+        return
+    picked = reads.select_pairs(tested, a.min_passing_in_pair)
+    if a.max_depth > 0 and a.normalization == "OPTIMAL":
+        cover = reads.optimal_cover(reads.cover_units(picked, a.kmer_size), a.max_depth, ratio=1.1)
+        picked = picked.join(cover.select(F.col("unit").alias("pair_key")), "pair_key", "left_semi")
+    elif a.max_depth > 0:
         top = picked.groupBy("pair_key").agg(F.max("score").alias("score"))
         picked = picked.join(reads.normalize_random(top, a.max_depth).select("pair_key"), "pair_key", "left_semi")
     writers.write_reads(reads.as_output(picked, a.kmer_size, a.scoring), a.output, a.format)
@@ -155,6 +167,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--min-passing-in-pair", type=int, default=1)
             p.add_argument("--min-quality", type=int, default=3)
             p.add_argument("--max-depth", type=int, default=-1)
+            p.add_argument("--normalization", default="RANDOM", choices=["RANDOM", "OPTIMAL"])
+            p.add_argument("--partition-by-depth", type=int, default=-1, help="files for this depth, a half, a quarter, ... of it")
+            p.add_argument("--remainder-trim", type=float, default=0.0, help="also a file of pairs that no depth takes, of which one mate has this length")
             p.add_argument("--artifacts", action="store_true")
             p.add_argument("--edits", type=int, default=2)
             p.add_argument("--reference", help="FASTA of control genomes whose reads are discarded")

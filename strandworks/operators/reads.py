@@ -156,15 +156,33 @@ def filter_reads(reads: DataFrame, k: int, options: SelectOptions = SelectOption
     """The filtering pipeline: quality trim, count k-mers, score and trim, select pairs.
 
     ``reads`` need ``read_id, name, comment, seq, qual``. Returned reads keep the
-    columns of the pipeline; :func:`as_output` cuts and labels them. Trimmed reads, and
-    what their scores say, are written tables: both are read several times.
+    columns of the pipeline; :func:`as_output` cuts and labels them.
+    """
+    tested = test_reads(reads, k, options, min_quality, min_depth, min_weight, trim_min_length)
+    return select_pairs(tested, options.min_passing_in_pair)
+
+
+def test_reads(reads: DataFrame, k: int, options: SelectOptions = SelectOptions(), min_quality: int = 3, min_depth: int = 2, min_weight: float = 0.10, trim_min_length: float = 0.40) -> DataFrame:
+    """All reads of the filtering pipeline with their trims, scores and ``passes``, before pairs are selected.
+
+    Trimmed reads, and what their scores say, are written tables: both are read several times.
     """
     first = keep(with_pair_key(apply_quality_trim(reads, min_quality, trim_min_length)), "trimmed")
     # All windows are scored, those with enough weight are counted.
     counted = kmers.observe(first, k, weighted=True, options=KmerOptions(k=k, min_quality=min_quality, min_weight=min_weight))
     spec = kmers.spectrum(counted, min_depth, coded=True)
     trimmed = keep(score_and_trim(window_scores(kmers.observe(first, k), spec, min_depth, first, k), k, options.scoring), "scores")
-    return select_pairs(passes(trimmed, first, options), options.min_passing_in_pair)
+    return passes(trimmed, first, options)
+
+
+def cover_units(picked: DataFrame, k: int) -> DataFrame:
+    """Pairs of a filtering as units of :func:`optimal_cover`: the k-mers of their trimmed reads, with depths among all that were picked."""
+    cut = picked.where("trim_length > 0 AND NOT discarded").select("read_id", "pair_key", F.substring("seq", F.col("trim_offset") + 1, F.col("trim_length")).alias("seq"))
+    obs = kmers.observe(cut, k)
+    deep = obs.join(kmers.spectrum(obs, 1, coded=True).select("code", "n"), "code").select("read_id", "code", "n")
+    own = deep.join(cut.select("read_id", "pair_key"), "read_id").groupBy(F.col("pair_key").alias("unit")).agg(F.collect_list(F.struct("code", "n")).alias("x"))
+    sizes = cut.groupBy(F.col("pair_key").alias("unit")).agg(F.sum(F.length("seq")).alias("size"))
+    return own.join(sizes, "unit").select("unit", "size", F.col("x.code").alias("kmers"), F.col("x.n").alias("depths"))
 
 
 def as_output(picked: DataFrame, k: int, scoring: str = "MEDIAN", base: int = 33) -> DataFrame:

@@ -27,10 +27,10 @@ def canonical_kmers(k: int) -> list[str]:
 def vectors(rows: DataFrame, group: str, k: int = 4) -> DataFrame:
     """``group, total, v``: counts of canonical k-mers of each group's sequences in dimension order.
 
-    One aggregate by (group, k-mer) with partial sums, then one by group.
+    Windows are counted batch by batch, so what is shuffled are a batch's groups times
+    4**k counts at most; then one aggregate by (group, k-mer), and one by group.
     """
-    each = windows.windows(rows.select(F.col(group).alias("read_id"), "seq"), k)
-    counts = each.groupBy(F.col("read_id").alias(group), "code").agg(F.count("*").alias("n")).select(group, dna.kmer_of("code").alias("kmer"), "n")
+    counts = windows.counts(rows, group, k).groupBy(group, "code").agg(F.sum("n").alias("n")).select(group, dna.kmer_of("code").alias("kmer"), "n")
     maps = counts.groupBy(group).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("kmer", "n"))).alias("m"))
     names = canonical_kmers(k)
     return maps.select(group, "total", F.transform(F.array(*map(F.lit, names)), lambda x: F.coalesce(F.element_at("m", x), F.lit(0)).cast("double")).alias("v"))

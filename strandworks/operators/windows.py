@@ -165,3 +165,38 @@ def spread(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("read_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(out))], ["read_id", "values"])
 
     return rows.select("read_id", "size", "hits").mapInArrow(run, f"read_id {kind}, values array<bigint>")
+
+
+def counts(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """``group, code, n``: how often each group's sequences have a canonical k-mer, a row for each group and k-mer of a batch; for short k-mers.
+
+    Null groups are one group. Windows with letters other than ACGT do not count.
+    """
+    if not 0 < k <= 12:
+        raise ValueError("counts by batch are for k-mers of 1 to 12 bases")
+    kind = rows.schema[group].dataType.simpleString()
+    packed = lambda a, b, m, n: a << np.int64(2 * n) | b
+    turned = lambda a, b, m, n: a | b << np.int64(2 * m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = _text(batch.column("seq"), "")
+            found = batch.column(group).dictionary_encode(null_encoding="encode")
+            of = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for a in range(0, len(data), SEGMENT):
+                codes = _CODE[data[a : a + SEGMENT + k - 1]]
+                if len(codes) < k:
+                    continue
+                start = np.arange(len(codes) - k + 1)
+                row = np.searchsorted(off, start + a, side="right") - 1
+                bad = np.append(0, np.cumsum(codes > 3))
+                fine = (bad[k:] == bad[:-k]) & (start + a + k <= off[row + 1])
+                bases = codes.astype(np.int64) & 3
+                code = np.minimum(composed(bases, k, packed), composed(3 - bases, k, turned))[fine]
+                some, times = np.unique(of[row[fine]] << np.int64(2 * k) | code, return_counts=True)
+                keys, n = np.concatenate([keys, some]), np.concatenate([n, times])
+            groups = found.dictionary.take(pa.array(keys >> np.int64(2 * k)))
+            yield pa.RecordBatch.from_arrays([groups, pa.array(keys & (1 << 2 * k) - 1 | np.int64(1) << np.int64(2 * k)), pa.array(n)], [group, "code", "n"])
+
+    return rows.select(group, "seq").mapInArrow(run, f"{group} {kind}, code bigint, n bigint")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandworks.config import ExtendOptions, KmerOptions, MatchOptions, SelectOptions, VariantOptions
 from strandworks.functions import dna, quality, sam, stats
 from strandworks.lineage import fresh
-from strandworks.operators import align, artifacts, assembly, dedup, kmers, reads as rd, size, vectors
+from strandworks.operators import align, artifacts, assembly, dedup, kmers, reads as rd, size, vectors, windows
 from strandworks.plans import derived
 from strandworks.plans.derived import SQL_PAIRS, SQL_READS, SQL_READS_N, SQL_RECORDS, load, sql_kmers, sql_p, sql_q, sql_spectrum
 from strandworks.sources import constants
@@ -108,10 +108,14 @@ def extend_kmer(spark, sf_dir):
     return _spec(spark, sf_dir, K_TINY).select("kmer", both.alias("x")).select("kmer", "x.side", F.explode("x.e").alias("ext"))
 
 
-@query("""WITH b AS (SELECT unnest(['A','C','G','T']) AS x), m AS (SELECT a.x || c.x || d.x || e.x AS kmer FROM b a, b c, b d, b e)
-SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS idx FROM m WHERE kmer <= translate(reverse(kmer), 'ACGT', 'TGCA')""")
+@query(_with(SQL_READS, sql_kmers(4)) + """, b AS (SELECT unnest(['A','C','G','T']) AS x), m AS (SELECT a.x || c.x || d.x || e.x AS kmer FROM b a, b c, b d, b e),
+dim AS (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS idx FROM m WHERE kmer <= translate(reverse(kmer), 'ACGT', 'TGCA')), n AS (SELECT kmer, count(*) AS n FROM ck GROUP BY 1)
+SELECT kmer, idx, coalesce(n, 0) AS n FROM dim LEFT JOIN n USING (kmer)""")
 def canonical_dimension(spark, sf_dir):
-    return vectors.dimension(spark, 4).select("kmer", F.col("idx").cast("long").alias("idx"))
+    """Places of the canonical 4-mers in a vector, and how often the reads have each."""
+    counts = windows.counts(derived.reads(spark, sf_dir).select(F.lit(0).alias("g"), "seq"), "g", 4).groupBy("code").agg(F.sum("n").alias("n"))
+    dims = vectors.dimension(spark, 4).withColumn("code", dna.code("kmer"))
+    return dims.join(counts, "code", "left").select("kmer", F.col("idx").cast("long").alias("idx"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(_spec_sql(K_SMALL) + "SELECT kmer, n, n_fwd, round(n_fwd / n::DOUBLE, 6) AS bias FROM sp")
@@ -519,7 +523,7 @@ def union_append(spark, sf_dir):
 # ---------------------------------------------------------------- vectors
 
 _VEC_SQL = f"""WITH b AS (SELECT unnest(['A','C','G','T']) AS x), dim AS (SELECT kmer, row_number() OVER (ORDER BY kmer) AS idx FROM (SELECT a.x || c.x || d.x || e.x AS kmer FROM b a, b c, b d, b e) WHERE kmer <= {RC.format('kmer')}),
-g AS (SELECT source AS g, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{derived.LETTERS}', '{derived.AS_BASES}') AS dna FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+g AS (SELECT coalesce(source, '') AS g, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{derived.LETTERS}', '{derived.AS_BASES}') AS dna FROM documents WHERE text IS NOT NULL),
 f AS (SELECT g, substring(dna, i, 4) AS f FROM g, unnest(generate_series(1, length(dna) - 3)) t(i)),
 c AS (SELECT g, least(f, {RC.format('f')}) AS kmer, count(*) AS n FROM f GROUP BY 1, 2),
 a AS (SELECT DISTINCT g FROM c), v AS (SELECT a.g, idx, dim.kmer, coalesce(n, 0)::DOUBLE AS n FROM a CROSS JOIN dim LEFT JOIN c ON c.g = a.g AND c.kmer = dim.kmer),
@@ -528,7 +532,8 @@ nrm AS (SELECT g, sqrt(sum(n * n)) AS l2, sum(n) AS total FROM v GROUP BY g), u
 
 
 def _vectors(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").select(F.col("source").alias("g"), derived.dna("text").alias("seq"))
+    """Vectors of sources; documents without a source are one group, named by the empty text."""
+    d = load(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("g"), derived.dna("text").alias("seq"))
     return vectors.vectors(d, "g", 4)
 
 

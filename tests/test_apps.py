@@ -13,6 +13,11 @@ def test_programs(spark, tmp_path, capsys):
     out = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
     run("filter-reads", src, "--output", tmp_path / "f", "--kmer-size", 21, "--scoring", "MEDIAN", "--artifacts")
     assert out("f").count("MedianScore") == 80
+    run("filter-reads", src, "--output", tmp_path / "parts", "--kmer-size", 21, "--scoring", "MEDIAN", "--partition-by-depth", 8, "--remainder-trim", 0.4)
+    files = sorted(p.name for p in (tmp_path / "parts").iterdir())
+    assert files and set(files) <= {"depth-8.fastq", "depth-4.fastq", "depth-2.fastq", "remainder.fastq"} and sum((tmp_path / "parts" / f).read_text().count("\n") for f in files) == 80 * 4
+    run("filter-reads", src, "--output", tmp_path / "cover", "--kmer-size", 21, "--max-depth", 1, "--normalization", "OPTIMAL")
+    assert 2 <= out("cover").count("Score") < 40
     run("dedup-reads", src, "--output", tmp_path / "d")
     assert out("d").count("@C2-") == 40 and out("d").count("@f") == 0
     run("mer-count", src, "--output", tmp_path / "m", "--kmer-size", 21)
