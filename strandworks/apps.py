@@ -27,8 +27,12 @@ def filter_reads(spark, a) -> None:
     """Trim, count, score and select reads."""
     r = _reads(spark, a)
     if a.artifacts:
-        table = constants.artifacts(spark, reference_fasta=a.reference)
-        found = artifacts.artifact_filter(r, table, ArtifactOptions(edit_distance=a.edits), a.min_quality, a.min_read_length)
+        table = constants.artifacts(spark, a.mask_simple_repeats, a.reference, a.control, constants.CIRCULAR)
+        found = artifacts.artifact_filter(r, table, ArtifactOptions(edit_distance=a.edits), a.min_quality, a.min_read_length, by_pair=True)
+        if a.discarded:
+            found = lineage.keep(found, "artifact-filter")
+            gone = artifacts.discarded_reads(r, found, table)
+            print("\n".join(writers.write_read_files(gone, a.discarded, writers.FASTQ, key="out_file", template="{Key}.fastq", single=True)))
         r = artifacts.apply_filter(r, found).where("NOT discarded")
     options = SelectOptions(scoring=a.scoring, min_length=a.min_read_length, min_passing_in_pair=a.min_passing_in_pair)
     tested = reads.test_reads(r, a.kmer_size, options, a.min_quality, a.min_depth, a.min_weight, a.min_read_length)
@@ -172,7 +176,10 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--remainder-trim", type=float, default=0.0, help="also a file of pairs that no depth takes, of which one mate has this length")
             p.add_argument("--artifacts", action="store_true")
             p.add_argument("--edits", type=int, default=2)
-            p.add_argument("--reference", help="FASTA of control genomes whose reads are discarded")
+            p.add_argument("--mask-simple-repeats", action="store_true", help="simple repeats are artifacts too")
+            p.add_argument("--reference", help="FASTA of further artifacts; reads that end in one are discarded")
+            p.add_argument("--control", help="FASTA of control genomes such as PhiX; their pairs are discarded")
+            p.add_argument("--discarded", help="folder for the discarded reads, Control.fastq and Artifact.fastq")
         elif name == "dedup-reads":
             p.add_argument("--length", type=int, default=24)
             p.add_argument("--mode", type=int, default=1)

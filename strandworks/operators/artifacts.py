@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandworks.config import ArtifactOptions
 from strandworks.functions import dna, quality
 from strandworks.functions.bind import let
+from strandworks.lineage import cut
+from strandworks.operators.reads import with_pair_key
 
 #: A side is broadcast only below this many k-mers; beyond, the join shuffles.
 BROADCAST_KMERS = 2_000_000
@@ -43,13 +45,13 @@ def match(reads: DataFrame, artifacts: DataFrame, k: int = 24, edits: int = 1, s
 def trim_artifacts(reads: DataFrame, hits: DataFrame, artifacts: DataFrame, min_length: float = 0.40) -> DataFrame:
     """Reads with ``action, keep_offset, keep_length``: the longer flank of a hit is kept if it passes the length rule.
 
-    Hits of kind ``reference`` discard the read.
+    Hits of kind ``reference`` or ``control`` discard the read.
     """
     joined = reads.join(hits.join(artifacts.select("artifact_id", F.col("name").alias("artifact"), "kind"), "artifact_id"), "read_id", "left")
     n = F.length("seq")
     left, right = F.col("hit_start"), n - F.col("hit_end")
     keep = F.greatest(left, right)
-    action = F.when(F.col("artifact_id").isNull(), "none").when((F.col("kind") == "reference") | ~quality.passes_length(keep, n, min_length), "discarded").otherwise("trimmed")
+    action = F.when(F.col("artifact_id").isNull(), "none").when(F.col("kind").isin("reference", "control") | ~quality.passes_length(keep, n, min_length), "discarded").otherwise("trimmed")
     return joined.withColumns({
         "action": action,
         "keep_offset": F.when(action == "none", 0).when(left >= right, 0).otherwise(F.col("hit_end")),
@@ -92,18 +94,24 @@ def quality_runs(marks: Column) -> Column:
     return let(F.split(marks, "0"), made)
 
 
-def artifact_filter(reads: DataFrame, artifacts: DataFrame, options: ArtifactOptions = ArtifactOptions(), min_quality: int = 3, min_length: float = 0.40) -> DataFrame:
+def artifact_filter(
+    reads: DataFrame, artifacts: DataFrame, options: ArtifactOptions = ArtifactOptions(), min_quality: int = 3, min_length: float = 0.40, by_pair: bool = False
+) -> DataFrame:
     """What is kept of each read: ``read_id, artifact_id, action, keep_offset, keep_length, rescue_offset, rescue_length``.
 
     The longest run of good quality comes first. Every ``stride``-th window in it that
     lies within ``edit_distance`` substitutions of an artifact, on either strand, is a
-    hit; candidates share a third of the window with an artifact. The hits' range is
-    cut out of the run, and the longer flank stays, the left one on ties. A simple
-    repeat with one and a half windows of good bases on both sides is let be. The
-    artifact is that of the last hit, the least id there; a hit on a control genome
-    (kind ``reference``) comes before all and discards the read. A read of which only
-    the quality took something has the next free id, and its second run, if long
-    enough, is rescued. What fails the length rule is discarded.
+    hit on the nearest artifact, the least id on ties; candidates share a third of the
+    window with an artifact. The hits' range is cut out of the run, and the longer flank
+    stays, the left one on ties. A simple repeat with one and a half windows of good
+    bases on both sides is let be. The artifact is that of the last hit. If that is of
+    kind ``reference``, the read is discarded; a hit on a ``control`` genome anywhere
+    comes before all and discards it too. A read of which only the quality took
+    something has the next free id, and its second run, if long enough, is rescued. What
+    fails the length rule is discarded.
+
+    ``by_pair``: reads of one common name answer for each other. A control hit discards
+    them all, a reference those of them that lose something.
     """
     k = options.match_length
     if options.edit_distance >= SEGMENTS or k > dna.LONGEST:
@@ -122,32 +130,48 @@ def artifact_filter(reads: DataFrame, artifacts: DataFrame, options: ArtifactOpt
     own = own.select("artifact_id", "kind", dna.code("f").alias("near")).select("artifact_id", "kind", "near", F.explode(_segments("near", k)).alias("s"))
     own = F.broadcast(own) if own.count() <= BROADCAST_KMERS else own
     hits = probes.join(own, "s").where(_substitutions("code", "near") <= options.edit_distance)
-    control = F.max(F.col("kind") == "reference")
-    found = hits.groupBy("read_id").agg(
-        F.min("pos").alias("_a"), (F.max("pos") + k).alias("_b"), control.alias("_control"),
-        F.max(F.struct("pos", (-F.col("artifact_id")).alias("neg"), "kind")).alias("_last"), F.min(F.when(F.col("kind") == "reference", F.col("artifact_id"))).alias("_ref"),
+    nearest = hits.groupBy("read_id", "pos").agg(F.min(F.struct(_substitutions("code", "near").alias("d"), "artifact_id", "kind")).alias("h"))
+    found = nearest.groupBy("read_id").agg(
+        F.min("pos").alias("_a"), (F.max("pos") + k).alias("_b"), F.max_by("h", "pos").alias("_last"),
+        F.min(F.when(F.col("h.kind") == "control", F.col("h.artifact_id"))).alias("_control_id"),
     )
-    j = runs.join(found, "read_id", "left")
+    if by_pair:
+        found = cut(found)
+        grave = found.where((F.col("_last.kind") == "reference") | F.col("_control_id").isNotNull()).join(with_pair_key(reads).select("read_id", "pair_key"), "read_id")
+        grave = grave.groupBy("pair_key").agg(F.min("_control_id").alias("_mate_id"), F.lit(True).alias("_mate"))
+        j = with_pair_key(runs).join(found, "read_id", "left").join(grave, "pair_key", "left").withColumn("_control_id", F.coalesce("_control_id", "_mate_id"))
+    else:
+        j = runs.join(found, "read_id", "left").withColumn("_mate", F.lit(None).cast("boolean"))
     lo, hi, a, b = (F.col(c) for c in ("_lo", "_hi", "_a", "_b"))
     margin = 3 * k // 2
-    let_be = (F.col("_last.kind") == "repeat") & ~F.col("_control") & (a - lo >= margin) & (hi - b >= margin)
+    control = F.col("_control_id").isNotNull()
+    let_be = (F.col("_last.kind") == "repeat") & ~control & (a - lo >= margin) & (hi - b >= margin)
     hit = a.isNotNull() & ~F.coalesce(let_be, F.lit(False))
     left = (a - lo) >= (hi - b)
     keep_lo = F.when(hit & ~left, b).otherwise(lo)
     keep_hi = F.when(hit & left, a).otherwise(hi)
     size = F.greatest(keep_hi - keep_lo, F.lit(0))
     only_quality = ~hit & (hi - lo != seq_len)
-    quality_id = artifacts.agg(F.coalesce(F.max(F.when(F.col("kind") != "reference", F.col("artifact_id"))), F.lit(-1)) + 1).first()[0]
+    quality_id = artifacts.agg(F.coalesce(F.max(F.when(~F.col("kind").isin("control", "reference"), F.col("artifact_id"))), F.lit(-1)) + 1).first()[0]
+    lost = (hit & (F.col("_last.kind") == "reference")) | ((hit | only_quality) & F.coalesce("_mate", F.lit(False)))
     fails = ~quality.passes_length(size, seq_len, min_length)
-    action = F.when(hit & F.col("_control"), "discarded").when(hit | only_quality, F.when(fails, "discarded").otherwise("trimmed")).otherwise("none")
+    action = F.when(control | lost, "discarded").when(hit | only_quality, F.when(fails, "discarded").otherwise("trimmed")).otherwise("none")
     rescued = only_quality & quality.passes_length(F.col("_r.second.bl"), seq_len, min_length)
     return j.select(
-        "read_id", F.when(hit, F.coalesce("_ref", -F.col("_last.neg"))).when(only_quality, quality_id).cast("int").alias("artifact_id"), action.alias("action"),
+        "read_id", F.when(control, F.col("_control_id")).when(hit, F.col("_last.artifact_id")).when(only_quality, quality_id).cast("int").alias("artifact_id"), action.alias("action"),
         F.when(action == "discarded", 0).otherwise(keep_lo).cast("int").alias("keep_offset"), F.when(action == "discarded", 0).otherwise(size).cast("int").alias("keep_length"),
         F.when(rescued, F.col("_r.second.bo")).alias("rescue_offset"), F.when(rescued, F.col("_r.second.bl")).alias("rescue_length"),
     )
 
 
+def discarded_reads(reads: DataFrame, found: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Whole reads that :func:`artifact_filter` discards, labelled with the artifact's name, with ``out_file``: ``Control`` or ``Artifact``."""
+    named = F.broadcast(artifacts.select("artifact_id", F.col("name").alias("_artifact"), "kind"))  # of artifacts, not of reads
+    gone = reads.drop("label").join(found.where("action = 'discarded'").select("read_id", "artifact_id"), "read_id").join(named, "artifact_id", "left")
+    kept = [c for c in reads.columns if c != "label"]
+    return gone.select(*kept, F.coalesce("_artifact", F.lit("MinQualityTrim")).alias("label"), F.when(F.col("kind") == "control", "Control").otherwise("Artifact").alias("out_file"))
+
+
 def apply_filter(reads: DataFrame, found: DataFrame) -> DataFrame:
     """Reads cut as :func:`artifact_filter` says, labelled, with ``discarded``; rescued runs follow as ``<name>-qtrim``.
 
@@ -155,9 +179,9 @@ def apply_filter(reads: DataFrame, found: DataFrame) -> DataFrame:
     """
     j = reads.join(found, "read_id")
     trimmed = F.col("action") == "trimmed"
-    cut = lambda c: F.when(trimmed, F.substring(c, F.col("keep_offset") + 1, F.col("keep_length"))).otherwise(F.col(c)).alias(c)
+    part = lambda c: F.when(trimmed, F.substring(c, F.col("keep_offset") + 1, F.col("keep_length"))).otherwise(F.col(c)).alias(c)
     kept = [c for c in reads.columns if c not in ("seq", "qual", "label", "discarded")]
-    out = j.select(*kept, cut("seq"), cut("qual"), F.when(trimmed, F.format_string("AFTrim:%d+%d", "keep_offset", "keep_length")).alias("label"), (F.col("action") == "discarded").alias("discarded"))
+    out = j.select(*kept, part("seq"), part("qual"), F.when(trimmed, F.format_string("AFTrim:%d+%d", "keep_offset", "keep_length")).alias("label"), (F.col("action") == "discarded").alias("discarded"))
     second = lambda c: F.substring(c, F.col("rescue_offset") + 1, F.col("rescue_length")).alias(c)
     top = reads.agg(F.coalesce(F.max("read_id"), F.lit(-1)).alias("_m"))
     named = [F.concat("name", F.lit("-qtrim")).alias("name") if c == "name" else (F.col("read_id") + F.col("_m") + 1).alias("read_id") if c == "read_id" else F.col(c) for c in kept]

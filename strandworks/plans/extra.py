@@ -107,7 +107,7 @@ def partition_remainder(spark, sf_dir):
 
 # ---------------------------------------------------------------- artifacts and duplicates
 
-_ART = ", ".join(f"({i}, '{k}', '{s}')" for i, _, k, s in constants.artifact_rows())
+_ART = ", ".join(f"({i}, '{k}', '{s}')" for i, _, k, s in constants.artifact_rows(circular=constants.CIRCULAR))
 _WINDOW = 24
 _FILTER_SQL = _with(SQL_READS) + _RUN_SQL + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY bl DESC, bo) AS rn FROM runs),
 lim AS (SELECT rq.read_id, rq.seq, len, CASE WHEN rq.bl > 0 THEN rq.bo ELSE 0 END AS lo, CASE WHEN rq.bl > 0 THEN rq.bo ELSE 0 END + rq.bl AS hi, ranked.bo AS so, ranked.bl AS sl FROM rq LEFT JOIN ranked ON ranked.read_id = rq.read_id AND rn = 2),
@@ -115,8 +115,8 @@ art AS (SELECT * FROM (VALUES {_ART}) t(artifact_id, kind, seq)),
 aw AS (SELECT DISTINCT artifact_id, kind, substring(seq, i, {_WINDOW}) AS m FROM art, unnest(generate_series(1, length(seq) - {_WINDOW - 1})) t(i)),
 am AS (SELECT * FROM aw WHERE NOT regexp_matches(m, '[^ACGT]') UNION SELECT artifact_id, kind, {RC.format('m')} FROM aw WHERE NOT regexp_matches(m, '[^ACGT]')),
 pr AS (SELECT read_id, p, substring(seq, p + 1, {_WINDOW}) AS f FROM lim, unnest(generate_series((lo // 4) * 4, ((hi + 3) // 4 - 6 - CASE WHEN len % 4 = 0 THEN 0 ELSE 1 END) * 4, 4)) t(p) WHERE len >= {_WINDOW} AND p + {_WINDOW} <= len),
-near AS (""" + " UNION ALL ".join(f"SELECT read_id, p, artifact_id, kind FROM pr JOIN am ON substring(f, {a}, 8) = substring(m, {a}, 8) WHERE hamming(f, m) <= 2" for a in (1, 9, 17)) + f"""),
-one AS (SELECT read_id, min(p) AS a, max(p) + {_WINDOW} AS b FROM near GROUP BY 1), lst AS (SELECT near.read_id, min(artifact_id) AS artifact_id FROM near JOIN one ON near.read_id = one.read_id AND p + {_WINDOW} = b GROUP BY 1),
+near AS (""" + " UNION ALL ".join(f"SELECT read_id, p, hamming(f, m) * 1000 + artifact_id AS rank FROM pr JOIN am ON substring(f, {a}, 8) = substring(m, {a}, 8) WHERE hamming(f, m) <= 2" for a in (1, 9, 17)) + f"""),
+one AS (SELECT read_id, min(p) AS a, max(p) + {_WINDOW} AS b FROM near GROUP BY 1), lst AS (SELECT near.read_id, min(rank) % 1000 AS artifact_id FROM near JOIN one ON near.read_id = one.read_id AND p + {_WINDOW} = b GROUP BY 1),
 z AS (SELECT lim.*, a, b, artifact_id, kind, a IS NOT NULL AND NOT (kind = 'repeat' AND a - lo >= 36 AND hi - b >= 36) AS hit FROM lim LEFT JOIN one USING (read_id) LEFT JOIN lst USING (read_id) LEFT JOIN (SELECT artifact_id, kind FROM art) k USING (artifact_id)),
 y AS (SELECT *, CASE WHEN hit AND a - lo < hi - b THEN b ELSE lo END AS klo, CASE WHEN hit AND a - lo >= hi - b THEN a ELSE hi END AS khi, NOT hit AND hi - lo <> len AS only_q FROM z),
 x AS (SELECT *, greatest(khi - klo, 0) AS size, CASE WHEN NOT hit AND NOT only_q THEN 'none' WHEN greatest(khi - klo, 0) > 1 AND len * 0.4 <= greatest(khi - klo, 0) THEN 'trimmed' ELSE 'discarded' END AS action FROM y)
@@ -128,7 +128,7 @@ x AS (SELECT *, greatest(khi - klo, 0) AS size, CASE WHEN NOT hit AND NOT only_q
 CASE WHEN action = 'discarded' THEN 0 ELSE size END::INT AS keep_length, CASE WHEN only_q AND sl > 1 AND len * 0.4 <= sl THEN so END AS rescue_offset, CASE WHEN only_q AND sl > 1 AND len * 0.4 <= sl THEN sl END AS rescue_length FROM x"""
 )
 def artifact_filter(spark, sf_dir):
-    return artifacts.artifact_filter(derived.reads(spark, sf_dir), constants.artifacts(spark))
+    return artifacts.artifact_filter(derived.reads(spark, sf_dir), constants.artifacts(spark, circular=constants.CIRCULAR))
 
 
 @query(_with(SQL_READS) + ", k AS (SELECT read_id, substring(seq, 1, 48) AS f FROM reads WHERE length(seq) >= 48) SELECT frag_key, count(*) AS members, min(read_id) AS first_read FROM (SELECT read_id, least(f, " + RC.format("f") + ") AS frag_key FROM k) GROUP BY 1 HAVING count(*) >= 2")

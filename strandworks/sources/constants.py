@@ -47,25 +47,35 @@ REPEAT_BASES = 120
 SATELLITE = ("SUBTEL_sat#Satellite", "GCGCCTCTCTGCGCCTGCGCCGGCGCSSC", 4)
 
 
-def artifact_rows(repeats: bool = True) -> list[tuple[int, str, str, str]]:
-    """``(artifact_id, name, kind, seq)``."""
+#: Artifacts are taken as circles in windows of this length.
+CIRCULAR = 24
+
+
+def artifact_rows(repeats: bool = True, circular: int = 0) -> list[tuple[int, str, str, str]]:
+    """``(artifact_id, name, kind, seq)``; the first ``circular`` bases come again at the end, so that windows of that length run on."""
     rows = [(name, "adapter", seq) for name, seq in ADAPTERS]
     if repeats:
         made = [(f"({u})n#Simple_repeat", "repeat", (u * REPEAT_BASES)[:REPEAT_BASES]) for u in REPEAT_UNITS]
         at = REPEAT_UNITS.index("CACCAT")
         name, unit, times = SATELLITE
         rows += [*made[:at], (name, "repeat", unit * times), *made[at:]]
-    return [(i, *r) for i, r in enumerate(rows)]
+    return [(i, name, kind, seq + seq[:circular]) for i, (name, kind, seq) in enumerate(rows)]
+
+
+#: Ids of control genomes, then of reference sequences, start here.
+CONTROL_ID, REFERENCE_ID = 500_000, 1_000_000
 
 
-def artifacts(spark: SparkSession, repeats: bool = True, reference_fasta: str | None = None) -> DataFrame:
-    """The artifact table; ``reference_fasta`` adds control genomes (such as PhiX) of kind ``reference``."""
-    table = spark.createDataFrame(artifact_rows(repeats), "artifact_id int, name string, kind string, seq string")
-    if reference_fasta is None:
-        return table
+def artifacts(spark: SparkSession, repeats: bool = True, reference_fasta: str | None = None, control_fasta: str | None = None, circular: int = 0) -> DataFrame:
+    """The artifact table, with files of further artifacts (kind ``reference``, linear) and of control genomes such as PhiX (``control``, circular as the rest)."""
     from pyspark.sql import functions as F
 
+    from strandworks.functions import dna
     from strandworks.sources import fastx
 
-    extra = fastx.read_fasta(spark, reference_fasta)
-    return table.unionByName(extra.select((F.lit(1_000_000) + F.col("read_id")).cast("int").alias("artifact_id"), "name", F.lit("reference").alias("kind"), "seq"))
+    table = spark.createDataFrame(artifact_rows(repeats, circular), "artifact_id int, name string, kind string, seq string")
+    for path, kind, first, extra in ((control_fasta, "control", CONTROL_ID, circular), (reference_fasta, "reference", REFERENCE_ID, 0)):
+        if path is not None:
+            more = fastx.read_fasta(spark, path)
+            table = table.unionByName(more.select((F.lit(first) + F.col("read_id")).cast("int").alias("artifact_id"), "name", F.lit(kind).alias("kind"), dna.circularize("seq", extra).alias("seq")))
+    return table

@@ -13,6 +13,10 @@ def test_programs(spark, tmp_path, capsys):
     out = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
     run("filter-reads", src, "--output", tmp_path / "f", "--kmer-size", 21, "--scoring", "MEDIAN", "--artifacts")
     assert out("f").count("MedianScore") == 80
+    (tmp_path / "phi.fa").write_text(f">phi\n{g[:100]}\n")
+    run("filter-reads", src, "--output", tmp_path / "f2", "--kmer-size", 21, "--artifacts", "--mask-simple-repeats", "--control", tmp_path / "phi.fa", "--discarded", tmp_path / "gone")
+    gone = (tmp_path / "gone" / "Control.fastq").read_text()
+    assert gone.count("\n") % 8 == 0 and gone.count("\n") // 4 + out("f2").count("\n") // 4 == 80 and gone.count("@f0/") == 2
     run("filter-reads", src, "--output", tmp_path / "parts", "--kmer-size", 21, "--scoring", "MEDIAN", "--partition-by-depth", 8, "--remainder-trim", 0.4)
     files = sorted(p.name for p in (tmp_path / "parts").iterdir())
     assert files and set(files) <= {"depth-8.fastq", "depth-4.fastq", "depth-2.fastq", "remainder.fastq"} and sum((tmp_path / "parts" / f).read_text().count("\n") for f in files) == 80 * 4

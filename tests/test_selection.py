@@ -34,23 +34,27 @@ def brute_filter(seq, qual, table, min_length, k=24, edits=2, stride=4):
     lo, hi = (lo, lo + n) if n else (0, 0)
     last = (hi + stride - 1) // stride - k // stride - (0 if len(seq) % stride == 0 else 1)
     hits = []
+    differ = lambda x, y: sum(a != b for a, b in zip(x, y))
     for p in range(lo // stride * stride, last * stride + 1, stride):
         f = seq[p : p + k]
         if len(f) < k or set(f) - set("ACGT"):
             continue
+        at = []
         for ident, _, kind, art in table:
             for w in range(len(art) - k + 1):
                 m = art[w : w + k]
-                if not set(m) - set("ACGT") and (near(f, m, edits) or near(f, rc(m), edits)):
-                    hits.append((p, ident, kind))
+                if not set(m) - set("ACGT"):
+                    at.append((min(differ(f, m), differ(f, rc(m))), ident, kind))
+        if min(at, default=(k,))[0] <= edits:
+            hits.append((p, *min(at)[1:]))
     hit = control = False
     ident = None
     keep = (lo, hi)
     if hits:
         a, b = min(h[0] for h in hits), max(h[0] for h in hits) + k
-        at_end = min((h[1], h[2]) for h in hits if h[0] == b - k)
-        refs = [h[1] for h in hits if h[2] == "reference"]
-        control = bool(refs)
+        at_end = max(hits)[1:]
+        refs = [h[1] for h in hits if h[2] == "control"]
+        control = bool(refs) or at_end[1] == "reference"
         hit = control or not (at_end[1] == "repeat" and a - lo >= 36 and hi - b >= 36)
         if hit:
             ident = min(refs) if refs else at_end[0]
@@ -60,21 +64,21 @@ def brute_filter(seq, qual, table, min_length, k=24, edits=2, stride=4):
     only = not hit and hi - lo != len(seq)
     action = "none" if not hit and not only else "discarded" if control or not enough(size) else "trimmed"
     if only:
-        ident = max(t[0] for t in table if t[2] != "reference") + 1
+        ident = max(t[0] for t in table if t[2] not in ("control", "reference")) + 1
     rescue = second if only and enough(second[1]) else None
     return ident, action, keep[0] if action != "discarded" else 0, size if action != "discarded" else 0, rescue
 
 
 def test_artifact_filter(spark):
     rnd = random.Random(6)
-    table = [(0, "a", "adapter", "GATCGGAAGAGCGGTTCAGCAGGAATGCCGAG"), (1, "b", "adapter", "ACACTCTTTCCCTACACGACGCTCTTCCGATCT"), (2, "(CAG)n", "repeat", "CAG" * 40), (3, "odd", "adapter", "GCGSSCGCGCCTCTCTGCGCC"), (9, "phi", "reference", genome(300, 77))]
+    table = [(0, "a", "adapter", "GATCGGAAGAGCGGTTCAGCAGGAATGCCGAG"), (1, "b", "adapter", "ACACTCTTTCCCTACACGACGCTCTTCCGATCT"), (2, "(CAG)n", "repeat", "CAG" * 40), (3, "odd", "adapter", "GCGSSCGCGCCTCTCTGCGCC"), (9, "phi", "control", genome(300, 77)), (11, "own", "reference", genome(200, 78))]
     rows = []
     for i in range(120):
         n = rnd.choice([20, 60, 90, 100, 151])
         s = list(genome(n, 1000 + i))
-        kind = i % 6
-        if kind < 4 and n >= 60:
-            src = table[[0, 1, 2, 4][kind]][3]
+        kind = i % 7
+        if kind < 5 and n >= 60:
+            src = table[[0, 1, 2, 4, 5][kind]][3]
             a = rnd.randrange(0, max(1, len(src) - 40))
             piece = list(src[a : a + rnd.choice([28, 32, 40])])
             for _ in range(rnd.randrange(4)):
@@ -103,6 +107,33 @@ def test_artifact_filter(spark):
         artifacts.artifact_filter(reads, constants.artifacts(spark), ArtifactOptions(edit_distance=3))
 
 
+def test_artifact_filter_of_pairs(spark, tmp_path):
+    """A control hit takes the mate along, a reference the mate that loses something; windows run round the end of an artifact."""
+    phi, own = genome(200, 77), genome(200, 78)
+    adapter = dict((n, s) for _, n, _, s in constants.artifact_rows())["Solexa_5_prime_adapter"]
+    clean = [genome(100, 500 + i) for i in range(8)]
+    good, bad = "I" * 100, "I" * 60 + "#" * 40
+    (tmp_path / "phi.fa").write_text(f">phi\n{phi}\n")
+    (tmp_path / "own.fa").write_text(f">own\n{own}\n")
+    rows = [
+        ("a/1", phi[190:] + phi[:14] + clean[0][24:], good), ("a/2", clean[1], good),  # over the control's end
+        ("b/1", clean[2][:60] + own[20:60], good), ("b/2", clean[3], bad),
+        ("c/1", clean[4][:60] + own[20:60], good), ("c/2", clean[5], good),
+        ("d/1", clean[6][:70] + (adapter * 2)[25:49] + clean[6][94:], good), ("d/2", clean[7], bad),  # over the adapter's end
+        ("e/1", clean[0][:50] + (own[190:] + own[:40]) + clean[1][:0], good[:100]),
+    ]
+    reads = spark.createDataFrame([(i, n, None, s, q) for i, (n, s, q) in enumerate(rows)], READ)
+    table = constants.artifacts(spark, False, str(tmp_path / "own.fa"), str(tmp_path / "phi.fa"), constants.CIRCULAR)
+    found = artifacts.artifact_filter(reads, table, by_pair=True)
+    got = {rows[r.read_id][0]: (r.artifact_id, r.action, r.keep_length) for r in found.collect()}
+    assert {n: got[n][1] for n in got} == {"a/1": "discarded", "a/2": "discarded", "b/1": "discarded", "b/2": "discarded", "c/1": "discarded", "c/2": "none", "d/1": "trimmed", "d/2": "trimmed", "e/1": "discarded"}
+    assert got["a/1"][0] == got["a/2"][0] == constants.CONTROL_ID and got["b/1"][0] == constants.REFERENCE_ID and got["d/2"][0] == len(constants.ADAPTERS) and got["d/2"][2] == 60
+    alone = {rows[r.read_id][0]: r.action for r in artifacts.artifact_filter(reads, table).collect()}
+    assert alone["a/1"] == "discarded" and alone["a/2"] == "none" and alone["b/2"] == "trimmed"
+    gone = {r.name: (r.label, r.out_file, len(r.seq)) for r in artifacts.discarded_reads(reads, found, table).collect()}
+    assert set(gone) == {n for n in got if got[n][1] == "discarded"} and gone["a/2"] == ("phi", "Control", 100) and gone["b/1"] == ("own", "Artifact", 100)
+
+
 def brute_cover(units, target, ratio=1.0):
     """Sequential: best score (or level of it) first, made anew before each pick."""
     tie, picked, counts = {u: t for u, t, *_ in units}, {}, defaultdict(int)
