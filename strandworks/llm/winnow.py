@@ -1,8 +1,8 @@
 """Operator 4, document fingerprints by winnowing. DataFrame functions only.
 
 A text's words (runs of characters outside ``\\x20\\x09-\\x0D``) are hashed; every
-run of ``K`` words is a gram with its own 64-bit hash; of every ``W`` consecutive
-grams the one of least hash is chosen, the rightmost on ties. Chosen hashes are
+run of ``K`` words is a gram with a polynomial hash of its words, as rolling from gram
+to gram gives it (62 bits, see ``rolled``); of every ``W`` consecutive grams the one of least hash is chosen, the rightmost on ties. Chosen hashes are
 kept with their positions. Any run of ``K + W - 1`` or more words that two texts
 share gives them a common chosen hash.
 
@@ -10,7 +10,7 @@ Words do not serve texts of few words or of long unspaced ones. So the words ove
 ``LONG`` code points, or all words of a text of under ``2 * (K + W - 1)``, joined by
 blanks, give grams of ``CHARS`` code points too, one chosen of ``CHARS_W`` in turn;
 where there are under ``SMALL`` code points, all of these and all grams of
-``FEW_CHARS`` are kept. Every gram is hashed anew, there is no rolling hash.
+``FEW_CHARS`` are kept.
 
 Likeness is the Jaccard index of the sets of chosen hashes; two texts without
 any word are alike (1.0).
@@ -30,6 +30,7 @@ neighbour; an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,7 +44,9 @@ CHARS_W = 8
 SMALL = 64
 FEW_CHARS = 4
 RANGE_ROWS = 2000
-MAX_RANGES = 4096
+MAX_RANGES = 65_536
+PRIME = (1 << 31) - 1
+BASES = (1_000_003, 16_777_619)
 _FINE = 64
 _WHITE = "[ \t-\r]+"
 _LEAST_ID = -(1 << 63)
@@ -57,13 +60,43 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def gram_hashes(words: str, k: int = K) -> Column:
-    """Hashes of the k-word grams of an array column of word hashes."""
-    run = ", ".join(f"{words}[i + {j}]" for j in range(k))
-    return F.expr(
-        f"CASE WHEN size({words}) >= {k} THEN transform(sequence(0, size({words}) - {k}), i -> xxhash64({run})) "
-        f"WHEN size({words}) > 0 THEN array(xxhash64({words})) ELSE array() END"
-    ).cast("array<long>")
+def residues(hashes: Column) -> Column:
+    """The two residues of each 64-bit hash, 31 bits each, in one number."""
+    return F.transform(hashes, lambda h: h.bitwiseAND(F.lit((1 << 62) - 1).cast("long")))
+
+
+def _joined(left: str, right: str, m: int, r: int) -> Column:
+    """Gram hashes of ``m + r`` words from those of ``m`` words and those of the ``r`` words behind them."""
+    x, y = f"{left}[i]", f"{right}[i + {m}]"
+    high = f"(shiftright({x}, 31) * {pow(BASES[0], r, PRIME)}L + shiftright({y}, 31)) % {PRIME}L"
+    low = f"(({x} & {PRIME}L) * {pow(BASES[1], r, PRIME)}L + ({y} & {PRIME}L)) % {PRIME}L"
+    return F.expr(f"IF(size({left}) > {r}, transform(sequence(0, size({left}) - {r + 1}), i -> shiftleft({high}, 31) | {low}), array())").cast("array<long>")
+
+
+def rolled(df: DataFrame, words: str, ks: dict[int, str]) -> DataFrame:
+    """Add a column of gram hashes for each k of ``ks`` (k and column name) to an array column of residues.
+
+    The hash of words w1 .. wk is w1 * B ** (k - 1) + ... + wk modulo PRIME, for each of
+    two bases: the value that rolling from one gram to the next gives. Arrays cannot
+    carry a running value, so hashes of 2m words come from two of m words, one
+    multiplication each: the work for a gram grows with the logarithm of k. All words
+    make one gram where there are fewer than k.
+    """
+    have, step = {1: words}, df
+
+    def level(k: int) -> str:
+        nonlocal step
+        if k not in have:
+            m = k // 2 if k & (k - 1) == 0 else 1 << (k.bit_length() - 1)
+            left, right = level(m), level(k - m)
+            have[k] = f"{words}_{k}"
+            step = step.withColumn(have[k], _joined(left, right, m, k - m))
+        return have[k]
+
+    for k, name in ks.items():
+        found = level(k)
+        step = step.withColumn(name, F.expr(f"CASE WHEN size({words}) >= {k} THEN {found} WHEN size({words}) > 0 THEN array(xxhash64({words})) ELSE array() END").cast("array<long>"))
+    return step.drop(*(name for m, name in have.items() if m > 1))
 
 
 def chosen_positions(grams: str, w: int = W) -> Column:
@@ -84,7 +117,7 @@ def chosen_positions(grams: str, w: int = W) -> Column:
 
 def winnow(df: DataFrame, text: str, prefix: str, k: int = K, w: int = W) -> DataFrame:
     """Add ``<prefix>hash`` and ``<prefix>pos``: chosen hashes and their positions."""
-    step = df.withColumn(f"{prefix}w", word_hashes(F.col(text))).withColumn(f"{prefix}g", gram_hashes(f"{prefix}w", k))
+    step = rolled(df.withColumn(f"{prefix}w", residues(word_hashes(F.col(text)))), f"{prefix}w", {k: f"{prefix}g"})
     step = step.withColumn(f"{prefix}pos", chosen_positions(f"{prefix}g", w))
     return step.withColumn(f"{prefix}hash", F.expr(f"transform({prefix}pos, p -> {prefix}g[p])")).drop(f"{prefix}w", f"{prefix}g")
 
@@ -92,14 +125,14 @@ def winnow(df: DataFrame, text: str, prefix: str, k: int = K, w: int = W) -> Dat
 def fingerprint(df: DataFrame, text: str, prefix: str, k: int = K, w: int = W) -> DataFrame:
     """:func:`winnow` with the character grams of long words and of short texts behind the word grams."""
     p = prefix
-    step = df.withColumn(f"{p}s", words_of(F.col(text))).withColumn(f"{p}w", F.transform(f"{p}s", lambda x: F.xxhash64(x)))
+    step = df.withColumn(f"{p}s", words_of(F.col(text))).withColumn(f"{p}w", residues(F.transform(f"{p}s", lambda x: F.xxhash64(x))))
     few = F.size(f"{p}s") < 2 * (k + w - 1)
     stretch = F.array_join(F.filter(f"{p}s", lambda x: few | (F.char_length(x) > LONG)), " ")
-    step = step.withColumn(f"{p}c", F.filter(F.split(stretch, ""), lambda x: x != "")).drop(f"{p}s")
+    step = step.withColumn(f"{p}c", residues(F.transform(F.filter(F.split(stretch, ""), lambda x: x != ""), lambda x: F.xxhash64(x)))).drop(f"{p}s")
     small = F.size(f"{p}c") < SMALL
     none = F.array().cast("array<long>")
-    step = step.withColumn(f"{p}g", gram_hashes(f"{p}w", k)).withColumn(f"{p}cg", gram_hashes(f"{p}c", CHARS))
-    step = step.withColumn(f"{p}fg", F.when(small, gram_hashes(f"{p}c", FEW_CHARS)).otherwise(none))
+    step = rolled(rolled(step, f"{p}w", {k: f"{p}g"}), f"{p}c", {CHARS: f"{p}cg", FEW_CHARS: f"{p}fg"})
+    step = step.withColumn(f"{p}fg", F.when(small, F.col(f"{p}fg")).otherwise(none))
     every = F.expr(f"IF(size({p}cg) > 0, sequence(0, size({p}cg) - 1), array())").cast("array<int>")
     step = step.withColumn(f"{p}wpos", chosen_positions(f"{p}g", w)).withColumn(f"{p}cpos", F.when(small, every).otherwise(chosen_positions(f"{p}cg", CHARS_W)))
     step = step.withColumn(f"{p}hash", F.expr(f"concat(transform({p}wpos, i -> {p}g[i]), transform({p}cpos, i -> {p}cg[i]), {p}fg)"))
@@ -127,19 +160,21 @@ def _with_range(docs: DataFrame) -> tuple[DataFrame, list]:
     ids = docs.select("did")
     n = ids.count()
     ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    cuts = [] if ranges == 1 else ids.agg(F.percentile_approx("did", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    cuts = [] if ranges == 1 else ids.agg(F.percentile_approx("did", [i / ranges for i in range(1, ranges)], max(10_000, 8 * ranges))).first()[0]
     times = Counter(cuts or [])
     bounds = sorted(times)
     parts = max((c + 1 for c in times.values() if c > 1), default=1)
     if not bounds:
         number, sub = F.lit(0), F.lit(0)
     else:
-        all_, coarse, many = (F.array(*(F.lit(b).cast(t) for b in some)) for some, t in ((bounds, "long"), (bounds[_FINE - 1 :: _FINE] or bounds[-1:], "long"), ([times[b] for b in bounds], "int")))
-        if len(bounds) < _FINE:
+        fine = max(_FINE, math.isqrt(len(bounds)))
+        # numbers as one literal, which the optimizer folds to an array
+        all_, coarse, many = (F.split(F.lit(",".join(map(str, some))), ",").cast(f"array<{t}>") for some, t in ((bounds, "long"), (bounds[fine - 1 :: fine] or bounds[-1:], "long"), ([times[b] for b in bounds], "int")))
+        if len(bounds) < fine:
             number = F.size(F.filter(all_, lambda b: b <= F.col("did")))
         else:
-            major = F.size(F.filter(coarse, lambda b: b <= F.col("did"))) * _FINE
-            number = major + F.size(F.filter(F.slice(all_, major + 1, F.lit(_FINE)), lambda b: b <= F.col("did")))
+            major = F.size(F.filter(coarse, lambda b: b <= F.col("did"))) * fine
+            number = major + F.size(F.filter(F.slice(all_, major + 1, F.lit(fine)), lambda b: b <= F.col("did")))
         at = F.get(all_, F.col("_number") - 1)
         # Ties are even over the 64-bit numbers; the least of them come first, so they get the highest part.
         share = F.get(many, F.col("_number") - 1)

@@ -191,11 +191,21 @@ def brute_winnow(spark, text, hashes, k=5, w=4):
     h = [hashes[x] for x in words(text)]
     if not h:
         return []
-    seqs = [h[i : i + k] for i in range(len(h) - k + 1)] if len(h) >= k else [h]
-    if len(h) >= k:
-        grams = [r.h for r in spark.createDataFrame([(i, *s) for i, s in enumerate(seqs)], "i int, " + ", ".join(f"c{j} long" for j in range(k))).selectExpr("i", f"xxhash64({', '.join(f'c{j}' for j in range(k))}) h").orderBy("i").collect()]
+    r = [x & ((1 << 62) - 1) for x in h]
+    if len(h) >= k:  # one residue of a gram after the other, rolled from the gram before
+        parts = []
+        for base, ws in ((winnow.BASES[0], [x >> 31 for x in r]), (winnow.BASES[1], [x & winnow.PRIME for x in r])):
+            at = 0
+            for x in ws[:k]:
+                at = (at * base + x) % winnow.PRIME
+            lane = [at]
+            for old, new in zip(ws, ws[k:]):
+                at = ((at - old * pow(base, k - 1, winnow.PRIME)) * base + new) % winnow.PRIME
+                lane.append(at)
+            parts.append(lane)
+        grams = [(x << 31) | y for x, y in zip(*parts)]
     else:
-        grams = [spark.createDataFrame([(h,)], "a array<long>").selectExpr("xxhash64(a) h").first().h]
+        grams = [spark.createDataFrame([(r,)], "a array<long>").selectExpr("xxhash64(a) h").first().h]
     low = ~3
     chosen = []
     for i in range(max(1, len(grams) - w + 1)):
@@ -214,6 +224,16 @@ def test_winnowing(spark, docs, rows):
         assert list(zip(r.a_pos, r.a_hash)) == brute_winnow(spark, r.text, hashes), r.text[:40]
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 7, 12])
+def test_rolled_hashes_of_any_length(spark, k):
+    xs = [(i * 0x9E3779B97F4A7C15) % (1 << 62) for i in range(1, 16)]
+    got = winnow.rolled(spark.createDataFrame([(xs,), (xs[:k],), ([],)], "w array<long>"), "w", {k: "g"}).collect()
+    lane = lambda ws, b: sum(x * pow(b, k - 1 - j, winnow.PRIME) for j, x in enumerate(ws)) % winnow.PRIME
+    gram = lambda ws: (lane([x >> 31 for x in ws], winnow.BASES[0]) << 31) | lane([x & winnow.PRIME for x in ws], winnow.BASES[1])
+    want = xs if k == 1 else [gram(xs[i : i + k]) for i in range(len(xs) - k + 1)]
+    assert got[0].g == want and len(got[1].g) == 1 and got[2].g == []
+
+
 def test_match_guarantee(spark):
     """Texts that share K + W - 1 words share a chosen hash."""
     shared = prose(9, winnow.K + winnow.W - 1).replace("\n", " ")
