@@ -17,10 +17,6 @@ from .test_pipelines import genome, rc
 READ = "read_id long, name string, comment string, seq string, qual string"
 
 
-def near(a, b, n):
-    return sum(x != y for x, y in zip(a, b)) <= n
-
-
 def brute_filter(seq, qual, table, min_length, k=24, edits=2, stride=4):
     runs, i = [], 0
     while i <= len(qual):
