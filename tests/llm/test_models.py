@@ -52,6 +52,34 @@ def test_language_edges(docs, rows, wide, empty):
     assert {r.lang_pred for r in langid.predict(docs, None, "doc_id").collect()} == {"und"}
 
 
+def brute_language(net, text):
+    """Label and score of one text by plain loops over its bytes, windows and filters."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    kind = lambda b: 29 + b - 128 if b >= 128 else 26 if b in b" \t\n\v\f\r" else 27 if chr(b).isdigit() else ord(chr(b).lower()) - 97 if chr(b).isalpha() else 28
+    classes = [kind(b) for b in text.encode()]
+    total, mass = np.zeros(len(net.labels)), 0.0
+    for i in range(0, len(classes), langid.WINDOW):
+        part = classes[i : i + langid.WINDOW]
+        window = net.embed[part + [26] * (langid.WINDOW - len(part))]
+        pooled = [max(float((window[j : j + w] * f[:, :, c]).sum()) for j in range(langid.WINDOW - w + 1)) + net.bias[w][c] for w, f in net.filters.items() for c in range(langid.FILTERS)]
+        logits = np.maximum(pooled, 0) @ net.dense + net.dense_bias
+        letters = sum(c < 26 or c > 28 for c in part) + 1e-6
+        total += letters * (logits - logits.max() - np.log(np.exp(logits - logits.max()).sum()))
+        mass += letters
+    p = np.exp(total / mass)
+    return net.labels[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_language_of_a_text_by_plain_loops(spark):
+    net = langid.train(["the cat sat on the mat and ran away " * 30, "der hund und die katze waren im haus " * 30, "le chat et le chien sont dans la maison " * 30] * 4, ["en", "de", "fr"] * 4, epochs=2)
+    texts = [None, "", "  \n", "12 + 34", "a", "The cat is 9 years old.", "die Katze war müde " * 31, "é" * 128 + "x", "日本語の文 " * 40, "le chien\tdort\x0bici " * 26, "x" * 256, "y" * 257, "ª½"]
+    got = {r.i: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3), net, "i").collect()}
+    for i, text in enumerate(texts):
+        label, score = brute_language(net, text)
+        assert got[i][0] == label and abs(got[i][1] - score) < 1e-4, (text, got[i], label, score)
+
+
 def test_long_text_is_read_to_its_end():
     net = langid.train(["ab cd ef gh " * 60, "xy zw uv st " * 60] * 20, ["a", "b"] * 20, epochs=8)
     texts = ["ab cd ef gh " * 200 + "xy zw uv st " * 4000, "xy zw uv st " * 200 + "ab cd ef gh " * 4000]
