@@ -131,6 +131,38 @@ def artifact_filter(spark, sf_dir):
     return artifacts.artifact_filter(derived.reads(spark, sf_dir), constants.artifacts(spark, circular=constants.CIRCULAR))
 
 
+_ADAPTERS = constants.artifact_rows(False, constants.CIRCULAR)
+_CONTROL, _REFERENCE, _SCALE = constants.CONTROL_ID, constants.REFERENCE_ID, 10**9
+_PAIR_SQL = _FILTER_SQL[: _FILTER_SQL.index("art AS (")] + f"""bd AS (SELECT item_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{derived.LETTERS}', '{derived.AS_BASES}') AS s FROM benchmark WHERE text IS NOT NULL),
+art AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{s}')" for i, _, k, s in _ADAPTERS)}) t(artifact_id, kind, seq)
+  UNION ALL SELECT CASE WHEN item_id % 2 = 0 THEN {_CONTROL} ELSE {_REFERENCE} END + item_id // 2, CASE WHEN item_id % 2 = 0 THEN 'control' ELSE 'reference' END, CASE WHEN item_id % 2 = 0 THEN s || substring(s, 1, {_WINDOW}) ELSE s END FROM bd),
+""" + _FILTER_SQL[_FILTER_SQL.index("aw AS (") : _FILTER_SQL.index("one AS (")].replace("* 1000 + artifact_id", f"* {_SCALE} + artifact_id") + f"""nearest AS (SELECT read_id, p, min(rank) % {_SCALE} AS artifact_id FROM near GROUP BY 1, 2),
+f AS (SELECT read_id, min(p) AS a, max(p) + {_WINDOW} AS b, arg_max(artifact_id, p) AS last_id, min(artifact_id) FILTER (WHERE artifact_id >= {_CONTROL} AND artifact_id < {_REFERENCE}) AS own FROM nearest GROUP BY 1),
+named AS (SELECT read_id, regexp_replace(name, '/[^/]$', '/') AS pair_key FROM reads),
+g AS (SELECT pair_key, min(own) AS theirs FROM f JOIN named USING (read_id) WHERE own IS NOT NULL OR last_id >= {_REFERENCE} GROUP BY 1),
+z AS (SELECT lim.*, a, b, last_id, coalesce(own, theirs) AS ctl, g.pair_key IS NOT NULL AS mate, a IS NOT NULL AS hit FROM lim JOIN named USING (read_id) LEFT JOIN f USING (read_id) LEFT JOIN g USING (pair_key)),
+y AS (SELECT *, CASE WHEN hit AND a - lo < hi - b THEN b ELSE lo END AS klo, CASE WHEN hit AND a - lo >= hi - b THEN a ELSE hi END AS khi, NOT hit AND hi - lo <> len AS only_q FROM z),
+x AS (SELECT *, greatest(khi - klo, 0) AS size, CASE WHEN ctl IS NOT NULL OR (hit AND last_id >= {_REFERENCE}) OR ((hit OR only_q) AND mate) THEN 'discarded' WHEN NOT hit AND NOT only_q THEN 'none'
+  WHEN greatest(khi - klo, 0) > 1 AND len * 0.4 <= greatest(khi - klo, 0) THEN 'trimmed' ELSE 'discarded' END AS action FROM y)
+"""  # noqa: E501
+
+
+@query(
+    _PAIR_SQL + f"""SELECT read_id, CASE WHEN ctl IS NOT NULL THEN ctl WHEN hit THEN last_id WHEN only_q THEN {len(_ADAPTERS)} END AS artifact_id, action, CASE WHEN action = 'discarded' THEN 0 ELSE klo END::INT AS keep_offset,
+CASE WHEN action = 'discarded' THEN 0 ELSE size END::INT AS keep_length, CASE WHEN only_q AND sl > 1 AND len * 0.4 <= sl THEN so END AS rescue_offset, CASE WHEN only_q AND sl > 1 AND len * 0.4 <= sl THEN sl END AS rescue_length FROM x"""
+)
+def artifact_filter_pairs(spark, sf_dir):
+    """Mates against the adapters and the benchmark's passages: those of even ids are control genomes, the others references."""
+    even, half = F.col("item_id") % 2 == 0, F.expr("item_id div 2")
+    seq = derived.dna("text")
+    passages = load(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(
+        (F.when(even, _CONTROL).otherwise(_REFERENCE) + half).cast("int").alias("artifact_id"), F.col("item_id").cast("string").alias("name"),
+        F.when(even, "control").otherwise("reference").alias("kind"), F.when(even, F.concat(seq, F.substring(seq, 1, _WINDOW))).otherwise(seq).alias("seq"),
+    )
+    table = constants.artifacts(spark, False, circular=constants.CIRCULAR).unionByName(passages)
+    return artifacts.artifact_filter(derived.reads(spark, sf_dir), table, by_pair=True)
+
+
 @query(_with(SQL_READS) + ", k AS (SELECT read_id, substring(seq, 1, 48) AS f FROM reads WHERE length(seq) >= 48) SELECT frag_key, count(*) AS members, min(read_id) AS first_read FROM (SELECT read_id, least(f, " + RC.format("f") + ") AS frag_key FROM k) GROUP BY 1 HAVING count(*) >= 2")
 def dedup_single_groups(spark, sf_dir):
     return dedup.duplicate_reads(derived.reads(spark, sf_dir), mode=2)
