@@ -73,7 +73,7 @@ def estimate(reads: DataFrame, k: int, fraction: float = 0.5, partitions: int =
     """
     rounds = min(partitions, -(-int(round(fraction * partitions * 1e9)) // 10**9))
     part = F.conv(F.substring(F.md5(F.col("read_id").cast("string")), 1, 8), 16, 10).cast("bigint") % partitions
-    snapshots = sorted(kmers.size_history_growth(kmers.observe(reads.where(part < rounds), k), first, growth).collect(), key=lambda r: r.part)
+    snapshots = sorted(kmers.size_history_growth_of(reads.where(part < rounds), k, first, growth).collect(), key=lambda r: r.part)
     if len(snapshots) < 3:
         return {}
     x, u = [float(r.raw) for r in snapshots], [float(r.distinct_kmers) for r in snapshots]
