@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandworks.config import DedupOptions
 from strandworks.functions import dna, quality, stats
-from strandworks.lineage import cut
+from strandworks.lineage import cut, keep
 
 # Ties between bases of equal weight go to T, then G, then C, then A.
 _TIE = {"A": 0, "C": 1, "G": 2, "T": 3}
@@ -46,13 +46,22 @@ def nearest_roots(counts: DataFrame, mode: int = 1) -> DataFrame:
     Neighbours differ in one base; stronger is the greater count, then the greater key,
     and only a stronger neighbour is followed, so there are no cycles. Keys with one
     base masked meet in groups of at most four (eight with mode 2, where both strands
-    of a key count). Paths are halved in each round.
+    of a key count). Such keys have a half in common, so only keys that share one with
+    another are masked, in the other half. Paths are halved in each round.
     """
+    counts = keep(counts.select("frag_key", "n"), "keys")
     strands = F.array(F.col("frag_key"), dna.revcomp("frag_key")) if mode == 2 else F.array("frag_key")
     each = counts.select("frag_key", "n", F.explode(strands).alias("s"))
-    masks = F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.overlay("s", F.lit("*"), i, F.lit(1)))
+    half = F.floor(F.length("s") / 2).cast("int")
+    sides = F.array(*(F.struct(F.lit(i).alias("no"), whole.alias("whole"), rest.alias("rest")) for i, whole, rest in (
+        (0, F.substring("s", F.lit(1), half), F.substring("s", half + 1, F.length("s"))), (1, F.substring("s", half + 1, F.length("s")), F.substring("s", F.lit(1), half)))))
+    halves = each.select("frag_key", "n", F.explode(sides).alias("h")).select("frag_key", "n", "h.no", "h.whole", "h.rest", F.xxhash64("h.no", "h.whole").alias("_h"))
+    shared = halves.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+    masks = F.transform(F.sequence(F.lit(1), F.length("rest")), lambda i: F.overlay("rest", F.lit("*"), i, F.lit(1)))
     top = F.max(F.struct("n", "frag_key"))
-    near = each.select("frag_key", "n", F.explode(masks).alias("mask")).withColumn("t", top.over(Window.partitionBy("mask")))
+    some = keep(halves.join(shared, "_h", "left_semi").where("length(rest) > 0"), "halves")
+    near = some.select("frag_key", "n", "no", "whole", F.explode(masks).alias("mask")).withColumn("t", top.over(Window.partitionBy("no", "whole", "mask"))).select("frag_key", "n", "t")
+    near = near.unionByName(counts.select("frag_key", "n", F.struct("n", "frag_key").alias("t")))  # keys without a neighbour stay
     step = cut(near.groupBy("frag_key", "n").agg(F.max("t").alias("t")).select("frag_key", "n", F.col("t.frag_key").alias("root")))
     while True:
         ahead = step.select(F.col("frag_key").alias("root"), F.col("root").alias("next"))
