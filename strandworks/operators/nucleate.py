@@ -71,8 +71,9 @@ def match_limited(contigs: DataFrame, observations: DataFrame, k: int, options:
 def shared_kmers(pairs: DataFrame, contigs: DataFrame, observations: DataFrame, k: int, options: MatchOptions = MatchOptions()) -> DataFrame:
     """``contig_id, read_id, shared``: how many k-mers of the contig's ends a matched read has."""
     key = kmers.key_of(observations)
-    own = observations.select("read_id", key).distinct().join(pairs, "read_id")
-    return own.join(_ends(contigs, key, k, options), ["contig_id", key]).groupBy("contig_id", "read_id").agg(F.count("*").alias("shared"))
+    pairs = lineage.keep(pairs, "pairs")  # few, so that only matched reads' windows are compared
+    own = observations.select("read_id", key).join(pairs, "read_id").join(_ends(contigs, key, k, options), ["contig_id", key])
+    return own.groupBy("contig_id", "read_id").agg(F.countDistinct(key).alias("shared"))
 
 
 # --------------------------------------------------------------- one contig's growth
