@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandworks.functions import dna
-from strandworks.operators import kmers
+from strandworks.operators import runs
 
 SIZES = "batch long, raw long, distinct_kmers long, singletons long, purged long"
 
@@ -79,8 +79,7 @@ class Counts:
         state = self.state()
         if batch <= state["batch"]:
             return
-        obs = kmers.observe(reads, self.k)
-        obs.groupBy("code").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        runs.counts(reads, self.k).select("code", "n").write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         seen = self.spark.read.schema("code long, n long").parquet(f"{self.path}/batch={batch}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         state = state | {"batch": batch, "batches": [*state["batches"], batch], "raw": state["raw"] + seen, "since": state["since"] + 1}
         if self.purge_every and state["since"] >= self.purge_every:
