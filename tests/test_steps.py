@@ -66,3 +66,14 @@ def test_a_batch_of_a_stream_is_counted_from_runs(spark, tmp_path, monkeypatch):
     counts = streaming.Counts(spark, f"file://{tmp_path}/counts", 5)
     counts.add(spark.createDataFrame([(1, "ACGTTGCATT")], "read_id long, seq string"), 0)
     assert len(calls) == 1 and counts.counts().agg(F.sum("n")).first()[0] == 6
+
+
+def test_snapshots_are_found_by_a_search(spark, sf):
+    from strandworks.operators import windows
+
+    rows = spark.createDataFrame([(None,), (-5,), (3,), (4,), (9,), (100,)], "x long")
+    assert [r.p for r in windows.placed(rows, "x", [4, 9], "p").collect()] == [0, 0, 0, 1, 2, 2]
+    assert [r.p for r in windows.placed(rows, "x", [4, 9], "p", [7, 8]).collect()] == [7, 7, 7, 7, 8, 8]
+    assert [r.p for r in windows.placed(rows, "x", [], "p", []).collect()] == [0] * 6
+    plan = kmers.size_history_growth_of(derived.reads(spark, sf), 11)._jdf.queryExecution().executedPlan().toString()
+    assert "filter(" not in plan and "lambda" not in plan
