@@ -77,3 +77,16 @@ def test_snapshots_are_found_by_a_search(spark, sf):
     assert [r.p for r in windows.placed(rows, "x", [], "p", []).collect()] == [0] * 6
     plan = kmers.size_history_growth_of(derived.reads(spark, sf), 11)._jdf.queryExecution().executedPlan().toString()
     assert "filter(" not in plan and "lambda" not in plan
+
+
+def test_a_step_joins_numbers(spark, sf):
+    plan = QUERIES["contig_extend_step"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "spectrum" not in plan and "kmer string" not in plan and "code" in plan
+
+
+def test_a_step_by_codes_is_one_by_text(spark):
+    reads = spark.createDataFrame([(i, s) for i, s in enumerate(["ACGTTGCATT", "CGTTGCATTG", "GTTGCATTGA"] * 4)], "read_id long, seq string")
+    contigs = spark.createDataFrame([(1, "ACGTTGCATT"), (2, "TTGN"), (3, "AC"), (4, "GGGGGGGG"), (5, None)], "contig_id long, seq string")
+    spec = kmers.count(reads, 5, coded=True)
+    a, b = (sorted(map(str, assembly.extend_step(contigs, s, 5).collect())) for s in (spec, spec.drop("code")))
+    assert a == b and "base='G'" in "".join(a)
