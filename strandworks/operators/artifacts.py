@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from strandworks.config import ArtifactOptions
 from strandworks.functions import dna, quality
 from strandworks.functions.bind import let
 from strandworks.lineage import cut
+from strandworks.operators import runs, windows
 from strandworks.operators.reads import with_pair_key
 
 #: A side is broadcast only below this many k-mers; beyond, the join shuffles.
@@ -68,14 +74,76 @@ def summary(trimmed: DataFrame) -> DataFrame:
     )
 
 
-SEGMENTS = 3  # of a window; two substitutions leave one of them whole
-
-
-def _segments(code: str, k: int) -> Column:
-    """Numbered pieces of a code, as an array of structs to explode."""
-    bits = 2 * -(-k // SEGMENTS)
-    mask = (1 << bits) - 1
-    return F.array(*(F.struct(F.lit(i).alias("no"), F.shiftright(F.col(code), i * bits).bitwiseAND(F.lit(mask).cast("long")).alias("bits")) for i in range(SEGMENTS)))
+PARTS = 4  # of a window; two substitutions leave two of them whole
+_PAIRS = list(combinations(range(PARTS), 2))
+SLOTS = 1 << 22  # bits for each pair of parts in the table of an artifact set's seeds
+
+
+def _seeds(code: str, k: int) -> Column:
+    """The pairs of parts of a code, numbered, as an array to explode."""
+    bits = 2 * -(-k // PARTS)
+    part = lambda i: F.shiftright(F.col(code), i * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    return F.array(*(F.lit(n << 40).cast("long").bitwiseOR(F.shiftleft(part(i), bits)).bitwiseOR(part(j)) for n, (i, j) in enumerate(_PAIRS)))
+
+
+def _seed(codes: np.ndarray, n: int, k: int) -> np.ndarray:
+    """:func:`_seeds` of codes, of one pair of parts."""
+    bits = 2 * -(-k // PARTS)
+    i, j = (codes >> np.int64(at * bits) & np.int64((1 << bits) - 1) for at in _PAIRS[n])
+    return np.int64(n << 40) | i << np.int64(bits) | j
+
+
+def _slot(seeds: np.ndarray) -> np.ndarray:
+    return runs.mixed(seeds) % np.uint32(SLOTS)
+
+
+def _seed_table(codes: DataFrame, k: int) -> np.ndarray:
+    """Bits of the slots that have a seed, for each pair of parts; the driver gets PARTS * SLOTS / 32 words at most, whatever the set's size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = batch.column("near").to_numpy()
+            at = np.unique(np.concatenate([_slot(_seed(code, n, k)).astype(np.int64) + n * SLOTS for n in range(len(_PAIRS))]))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bits"])
+
+    words = codes.select("near").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    table = np.zeros(len(_PAIRS) * SLOTS // 32, np.uint32)
+    table[[w.word for w in words]] = [w.bits for w in words]
+    return table
+
+
+def _probes(reads: DataFrame, k: int, stride: int, table: np.ndarray) -> DataFrame:
+    """``read_id, pos, code, s``: windows from ``first`` to ``last``, each ``stride``-th, with the seeds of theirs that the table has a bit for."""
+    kind = reads.schema["read_id"].dataType.simpleString()
+    packed = lambda a, b, m, n: a << np.int64(2 * n) | b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = windows._text(batch.column("seq"), "")
+            lengths, ids = np.diff(off), batch.column("read_id")
+            low, high = (batch.column(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+            for a, b, at, end in windows._segments(lengths, k, windows.SEGMENT):
+                lo, hi = (int(off[a]), int(off[b])) if end < 0 else (int(off[a]) + at, int(off[a]) + end + k - 1)
+                begin = low[a:b] if end < 0 else np.maximum(low[a:b], -(-at // stride) * stride)
+                stop = np.minimum(high[a:b], lengths[a:b] - k if end < 0 else end - 1)
+                count = np.maximum((stop - begin) // stride + 1, 0)
+                row = np.repeat(np.arange(b - a), count)
+                pos = begin[row] + stride * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+                start = off[a:b][row] - lo + pos
+                codes = windows._CODE[data[lo:hi]]
+                bad = np.append(0, np.cumsum(codes > 3))
+                fine = bad[start + k] == bad[start]
+                row, pos, start = row[fine], pos[fine], start[fine]
+                if not len(row):
+                    continue
+                code = windows.composed(codes.astype(np.int64) & 3, k, packed)[start] | np.int64(1) << np.int64(2 * k)
+                for n in range(len(_PAIRS)):
+                    seed = _seed(code, n, k)
+                    slot = _slot(seed) + np.uint32(n * SLOTS)
+                    hit = np.flatnonzero(table[slot >> np.uint32(5)] >> (slot & np.uint32(31)) & np.uint32(1))
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[hit] + a)), pa.array(pos[hit].astype(np.int32)), pa.array(code[hit]), pa.array(seed[hit])], ["read_id", "pos", "code", "s"])
+
+    return reads.mapInArrow(run, f"read_id {kind}, pos int, code long, s long")
 
 
 def _substitutions(a: str, b: str) -> Column:
@@ -101,8 +169,8 @@ def artifact_filter(
 
     The longest run of good quality comes first. Every ``stride``-th window in it that
     lies within ``edit_distance`` substitutions of an artifact, on either strand, is a
-    hit on the nearest artifact, the least id on ties; candidates share a third of the
-    window with an artifact. The hits' range is cut out of the run, and the longer flank
+    hit on the nearest artifact, the least id on ties; candidates share two quarters of
+    the window with an artifact. The hits' range is cut out of the run, and the longer flank
     stays, the left one on ties. A simple repeat with one and a half windows of good
     bases on both sides is let be. The artifact is that of the last hit. If that is of
     kind ``reference``, the read is discarded; a hit on a ``control`` genome anywhere
@@ -114,22 +182,20 @@ def artifact_filter(
     them all, a reference those of them that lose something.
     """
     k = options.match_length
-    if options.edit_distance >= SEGMENTS or k > dna.LONGEST:
-        raise ValueError(f"at most {SEGMENTS - 1} substitutions in at most {dna.LONGEST} bases")
+    if options.edit_distance > PARTS - 2 or k > dna.LONGEST:
+        raise ValueError(f"at most {PARTS - 2} substitutions in at most {dna.LONGEST} bases")
     seq_len = F.length("seq")
-    runs = reads.withColumn("_r", quality_runs(quality.good_marks("qual", min_quality)))
-    runs = runs.withColumn("_lo", F.when(F.col("_r.best.bl") > 0, F.col("_r.best.bo")).otherwise(0)).withColumn("_hi", F.col("_lo") + F.col("_r.best.bl"))
+    trimmed = reads.withColumn("_r", quality_runs(quality.good_marks("qual", min_quality)))
+    trimmed = trimmed.withColumn("_lo", F.when(F.col("_r.best.bl") > 0, F.col("_r.best.bo")).otherwise(0)).withColumn("_hi", F.col("_lo") + F.col("_r.best.bl"))
     last = F.floor((F.col("_hi") + options.stride - 1) / options.stride) - k // options.stride - F.when(seq_len % options.stride == 0, 0).otherwise(1)
     first = F.floor(F.col("_lo") / options.stride)
-    probes = runs.where(seq_len >= k).select("read_id", "seq", first.cast("int").alias("a"), last.cast("int").alias("b")).where("a <= b")
-    probes = probes.select("read_id", F.explode(F.sequence(F.col("a") * options.stride, F.col("b") * options.stride, F.lit(options.stride))).alias("pos"), "seq")
-    probes = probes.select("read_id", "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("f")).where((F.length("f") == k) & ~F.col("f").rlike("[^ACGT]"))
-    probes = probes.select("read_id", "pos", dna.code("f").alias("code")).select("read_id", "pos", "code", F.explode(_segments("code", k)).alias("s"))
+    probed = trimmed.where(seq_len >= k).select("read_id", "seq", (first * options.stride).cast("long").alias("first"), (last * options.stride).cast("long").alias("last")).where("first <= last")
     own = artifacts.where(F.length("seq") >= k).select("artifact_id", "kind", F.explode(dna.windows("seq", k)).alias("f")).where(~F.col("f").rlike("[^ACGT]"))
     own = own.select("artifact_id", "kind", F.explode(F.array(F.col("f"), dna.revcomp("f"))).alias("f")).distinct()
-    own = own.select("artifact_id", "kind", dna.code("f").alias("near")).select("artifact_id", "kind", "near", F.explode(_segments("near", k)).alias("s"))
+    codes = own.select("artifact_id", "kind", dna.code("f").alias("near"))
+    own = codes.select("artifact_id", "kind", "near", F.explode(_seeds("near", k)).alias("s"))
     own = F.broadcast(own) if own.count() <= BROADCAST_KMERS else own
-    hits = probes.join(own, "s").where(_substitutions("code", "near") <= options.edit_distance)
+    hits = _probes(probed, k, options.stride, _seed_table(codes, k)).join(own, "s").where(_substitutions("code", "near") <= options.edit_distance)
     nearest = hits.groupBy("read_id", "pos").agg(F.min(F.struct(_substitutions("code", "near").alias("d"), "artifact_id", "kind")).alias("h"))
     found = nearest.groupBy("read_id").agg(
         F.min("pos").alias("_a"), (F.max("pos") + k).alias("_b"), F.max_by("h", "pos").alias("_last"),
@@ -139,9 +205,9 @@ def artifact_filter(
         found = cut(found)
         grave = found.where((F.col("_last.kind") == "reference") | F.col("_control_id").isNotNull()).join(with_pair_key(reads).select("read_id", "pair_key"), "read_id")
         grave = grave.groupBy("pair_key").agg(F.min("_control_id").alias("_mate_id"), F.lit(True).alias("_mate"))
-        j = with_pair_key(runs).join(found, "read_id", "left").join(grave, "pair_key", "left").withColumn("_control_id", F.coalesce("_control_id", "_mate_id"))
+        j = with_pair_key(trimmed).join(found, "read_id", "left").join(grave, "pair_key", "left").withColumn("_control_id", F.coalesce("_control_id", "_mate_id"))
     else:
-        j = runs.join(found, "read_id", "left").withColumn("_mate", F.lit(None).cast("boolean"))
+        j = trimmed.join(found, "read_id", "left").withColumn("_mate", F.lit(None).cast("boolean"))
     lo, hi, a, b = (F.col(c) for c in ("_lo", "_hi", "_a", "_b"))
     margin = 3 * k // 2
     control = F.col("_control_id").isNotNull()

@@ -232,3 +232,29 @@ def test_reads_of_both_strands_overhang(spark):
     assert near_ones == {0, 1}
     grown = assembly.assemble(contigs, reads, 21, rounds=1, assembler=lambda c, r: spark.createDataFrame([(7, g[90:210]), (8, g[20:130])], "cand_id long, seq string")).first()
     assert grown.seq == g[90:210]
+
+
+def test_only_windows_with_a_seed_of_an_artifact_are_joined(spark, sf, monkeypatch):
+    import random
+
+    from strandworks.operators import artifacts
+    from strandworks.plans import derived
+
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    art = word(40)
+    table = spark.createDataFrame([(0, "a", "adapter", art)], "artifact_id int, name string, kind string, seq string")
+    near = art[:5] + ("A" if art[5] != "A" else "C") + art[6:20] + ("G" if art[20] != "G" else "T") + art[21:]
+    seqs = [word(200) + near + word(100), word(400), word(30) + art[3:38] + word(50), word(36) + near, "N" * 40, word(10)]
+    reads = spark.createDataFrame([(i, f"r{i}", s, "I" * len(s)) for i, s in enumerate(seqs)], "read_id long, name string, seq string, qual string")
+    want = sorted(map(tuple, artifacts.artifact_filter(reads, table).collect()))
+    assert [r[0] for r in want if r[1] == 0] == [0, 2, 3]
+    codes = table.selectExpr("0L as near").where("false")
+    none = artifacts._seed_table(codes, 24)
+    probed = derived.reads(spark, sf).selectExpr("read_id", "seq", "0L as first", "96L as last")
+    assert not none.any() and artifacts._probes(probed, 24, 4, none).count() == 0
+    every = artifacts._probes(probed, 24, 4, ~none).select("read_id", "pos", "code")
+    assert every.count() == 6 * every.distinct().count() > 0
+    monkeypatch.setattr(artifacts.windows, "SEGMENT", 64)  # long rows come in pieces
+    assert sorted(map(tuple, artifacts.artifact_filter(reads, table).collect())) == want
+    assert artifacts._probes(probed, 24, 4, ~none).count() == 6 * every.distinct().count()
