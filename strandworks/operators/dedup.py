@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandworks.config import DedupOptions
 from strandworks.functions import dna, quality, stats
 from strandworks.lineage import cut, keep
+from strandworks.operators import piles
 
 # Ties between bases of equal weight go to T, then G, then C, then A.
 _TIE = {"A": 0, "C": 1, "G": 2, "T": 3}
@@ -77,23 +78,16 @@ def consensus(reads: DataFrame) -> DataFrame:
     ``reads`` has ``grp, seq`` and ``q`` (array of integers). A base adds its
     probability to its letter and a third of the rest to the others; the best
     letter wins. Its quality is that of the surest base that says the letter, or of
-    the mean weight where another letter is the surest. Sums are made by (group,
-    position, letter) with partial aggregation, so the size of a group does not matter.
+    the mean weight where another letter is the surest. See :mod:`piles` for the sums;
+    the size of a group does not matter.
     """
-    each = reads.select("grp", F.posexplode(F.arrays_zip(F.split("seq", "").alias("b"), F.col("q").alias("v"))).alias("pos", "x"))
-    p = quality.p_correct(F.col("x.v"), 0)
-    other = (1 - p) / 3
-    sums = each.groupBy("grp", "pos").agg(
-        *(F.sum(F.when(F.col("x.b") == b, p).when(F.col("x.b").isin(*_TIE), other).otherwise(0.25)).alias(b) for b in _TIE),
-        F.count("*").alias("of"), F.max(F.when(F.col("x.b").isin(*_TIE), F.struct(p.alias("p"), F.col("x.b").alias("b")))).alias("surest"),
-    )
-    best = F.array_max(F.array(*(F.struct(F.round(b, 9).alias("w"), F.lit(t).alias("t"), F.lit(b).alias("base")) for b, t in _TIE.items())))
-    top = sums.select("grp", "pos", best.alias("m"), "of", "surest")
-    sure = F.when(F.col("surest.b") == F.col("m.base"), F.col("surest.p")).otherwise(F.col("m.w") / F.col("of"))
-    sign = F.char(quality.to_phred(F.least(F.greatest(sure, F.lit(0.0)), F.lit(1.0))) + 33)
-    rows = F.sort_array(F.collect_list(F.struct("pos", F.col("m.base").alias("b"), sign.alias("q"))))
-    made = top.groupBy("grp").agg(rows.alias("r")).select("grp", *(F.array_join(F.transform("r", lambda s: s[c]), "").alias(n) for c, n in (("b", "cons_seq"), ("q", "cons_qual"))))  # noqa: B023
-    return made.join(reads.groupBy("grp").agg(F.count("*").alias("members")), "grp")
+    sums = piles.sums(reads.select("grp", "seq", "q"))
+    best = lambda x: F.array_max(F.array(*(F.struct(F.round(x[b], 9).alias("w"), F.lit(t).alias("t")) for b, t in _TIE.items())))
+    top = F.transform(F.arrays_zip(*_TIE, "of", "sure", "letter"), lambda x: F.struct(best(x).alias("m"), x["of"].alias("of"), x["sure"].alias("sure"), x["letter"].alias("letter")))
+    sure = lambda x: F.when(x["letter"] == x["m"]["t"], x["sure"]).otherwise(x["m"]["w"] / x["of"])
+    sign = lambda x: F.char(quality.to_phred(F.least(F.greatest(sure(x), F.lit(0.0)), F.lit(1.0))) + 33)
+    text = lambda of: F.array_join(F.transform("r", of), "")
+    return sums.select("grp", top.alias("r"), "members").select("grp", text(lambda x: F.substring(F.lit("".join(_TIE)), x["m"]["t"] + 1, F.lit(1))).alias("cons_seq"), text(sign).alias("cons_qual"), "members")
 
 
 def centroid(reads: DataFrame, consensus_table: DataFrame) -> DataFrame:
