@@ -20,6 +20,7 @@ doc_id, text and, for training, lang are read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -190,20 +191,19 @@ def bucket_of(mod: int, ident: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """Texts and languages of about ``rows`` rows, as many of each language as there are, by hash order.
+def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame | None:
+    """``text, lang`` of about ``rows`` rows, as many of each language as there are, in one part by hash order; None without a label.
 
-    What the driver gets is bounded by ``rows`` documents.
+    The driver gets the number of rows of each language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()}
     if not counts:
-        return [], []
+        return None
     each = max(1, rows // len(counts))
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*(F.lit(x) for k, v in counts.items() for x in (k, min(1.0, each / v))))
-    got = known.where(draw < share[F.col("lang")]).orderBy(draw).limit(rows).select("text", "lang").collect()
-    return [r.text for r in got], [r.lang for r in got]
+    return known.where(draw < share[F.col("lang")]).orderBy(draw).limit(rows).select("text", "lang")
 
 
 def predict(docs: DataFrame, net: ByteNet | None, *carry: str) -> DataFrame:
@@ -232,9 +232,18 @@ def predict(docs: DataFrame, net: ByteNet | None, *carry: str) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> ByteNet | None:
-    """Train on the labelled rows that are not held out."""
-    texts, langs = labelled_sample(docs.where(bucket_of(HELD_OUT_MOD) != 0))
-    return train(texts, langs) if texts else None
+    """Train on the labelled rows that are not held out, in a task: the driver, whose memory is the narrowest, gets the weights."""
+    sample = labelled_sample(docs.where(bucket_of(HELD_OUT_MOD) != 0))
+    if sample is None:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t, v) for b in batches for t, v in zip(b.column("text").to_pylist(), b.column("lang").to_pylist())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*map(list, zip(*rows))))], pa.binary())], ["net"])
+
+    made = sample.mapInArrow(run, "net binary").collect()
+    return pickle.loads(made[0].net) if made else None
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

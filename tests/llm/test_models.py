@@ -1,3 +1,4 @@
+import os
 import zlib
 from collections import Counter
 
@@ -52,6 +53,12 @@ def test_language_edges(docs, rows, wide, empty):
     assert {r.lang_pred for r in langid.predict(docs, None, "doc_id").collect()} == {"und"}
 
 
+def test_network_is_trained_in_a_task(docs, monkeypatch):
+    """The texts of the sample do not go through the driver."""
+    monkeypatch.setattr(langid, "train", lambda texts, langs: os.getpid())
+    assert langid.fit(docs) not in (None, os.getpid())
+
+
 def brute_language(net, text):
     """Label and score of one text by plain loops over its bytes, windows and filters."""
     if text is None or not any(c.isalpha() for c in text):
