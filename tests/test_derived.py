@@ -23,3 +23,9 @@ def test_reads_are_slices_of_letters(spark, monkeypatch):
 def test_reads_take_no_text_function_a_letter(spark, sf):
     plan = derived.reads(spark, sf).select("seq")._jdf.queryExecution().executedPlan().toString()
     assert "translate(" not in plan and "transform(" not in plan
+
+
+def test_names_follow_from_read_ids(spark):
+    docs = spark.createDataFrame([t for t in TEXTS if t[0] is not None] + [(2**40 - 1, "abc" * 99), (-(2**39), "Abc" * 99)], "doc_id long, text string")
+    got = derived.cut_reads(docs).select("name", derived.name_of("read_id").alias("made")).collect()
+    assert len(got) > 400 and all(r.name == r.made for r in got)
