@@ -265,7 +265,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     was that stands elsewhere too (0: none).
     """
     gone = deleted_lines(docs, min_lines, min_words, runs, fold)
-    joined = docs.select("*", *_doc_keys()).join(gone, _DOC, "left")
+    # A row of numbers for each document that loses lines is hashed; else whole texts would be sorted. A partition of it grows with the lines lost.
+    joined = docs.select("*", *_doc_keys()).join(gone.hint("shuffle_hash"), _DOC, "left")
     cols = [F.when(F.col("_ld_del").isNull(), F.col("text")).otherwise(without_lines("text", "_ld_del")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     more = [F.coalesce("_ld_run", F.lit(0)).cast("long").alias("_ld_run")] if runs else []
     return joined.select(*cols, F.coalesce(F.size("_ld_del"), F.lit(0)).alias("_ld_gone"), F.size(F.split("text", "\n")).alias("_ld_lines"), *more)

@@ -338,6 +338,13 @@ def test_line_dedup(docs, rows, min_lines, min_words, fold):
             assert g._ld_gone == len(g.orig.split("\n")) - (len(g.text.split("\n")) if g._ld_gone < len(g.orig.split("\n")) else 0)
 
 
+def test_texts_are_not_sorted_to_meet_their_deleted_lines(docs):
+    """The join that texts go through hashes the deleted lines; a sort would hold whole texts in pages."""
+    plan = linedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join [_ld_k" in x and "LeftOuter" in x]
+    assert len(joins) == 1 and "ShuffledHashJoin" in joins[0]
+
+
 def test_line_dedup_edges(wide, empty, rows):
     got = linedup.dedup_lines(wide)
     assert got.count() == len(rows) and "x-n" in {r.n for r in got.collect()}
