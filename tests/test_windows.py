@@ -81,3 +81,25 @@ def test_empty_and_discarded(spark):
     assert kmers.spectrum(kmers.observe(none, 21, weighted=True), coded=True).columns == ["kmer", "n", "n_fwd", "w", "code"]
     gone = spark.createDataFrame([(1, "ACGT" * 9, "I" * 36)], SCHEMA).withColumn("discarded", F.lit(True))
     assert kmers.observe(gone, 21).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7, 8])
+@pytest.mark.parametrize("segment", [1 << 20, 16])
+def test_short_kmers_are_counted_in_a_table(odd, monkeypatch, k, segment):
+    monkeypatch.setattr(windows, "SEGMENT", segment)
+    _, df = odd
+    want = kmers.spectrum(kmers.observe(df, k), 2, coded=True)
+    got = kmers.count(df, k, 2, coded=True)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert kmers.count(df.withColumn("discarded", F.lit(True)), k).count() == 0
+
+
+@pytest.mark.parametrize("name", ["extend_kmer", "permute_neighbors", "permuted_scores"])
+def test_windows_of_short_kmers_are_not_dealt_out_by_minimizer(spark, sf, monkeypatch, name):
+    """Of 7 bases there are some 32 minimizers, whatever the input: a task would hold a large part of all windows."""
+    from strandworks.operators import runs
+    from strandworks.plans import catalogue
+
+    dealt, made = [], runs._by_bucket
+    monkeypatch.setattr(runs, "_by_bucket", lambda *a, **b: dealt.append(a) or made(*a, **b))
+    assert catalogue.queries()[name](spark, sf).count() > 0 and not dealt
