@@ -258,3 +258,26 @@ def test_only_windows_with_a_seed_of_an_artifact_are_joined(spark, sf, monkeypat
     monkeypatch.setattr(artifacts.windows, "SEGMENT", 64)  # long rows come in pieces
     assert sorted(map(tuple, artifacts.artifact_filter(reads, table).collect())) == want
     assert artifacts._probes(probed, 24, 4, ~none).count() == 6 * every.distinct().count()
+
+
+def test_splits_are_those_of_each_place(spark, monkeypatch):
+    from fractions import Fraction
+
+    monkeypatch.setattr(rd.windows, "SEGMENT", 50)
+    rnd = random.Random(8)
+    rows = [(1, []), (2, [7]), (3, None), (4, [5, 5]), (5, [0, 9]), (6, [0] * 9), (7, [0, 0, 50, 50, 0, 0]), (8, [4 * 10**9, 4 * 10**9, 1, 1]), (9, [3] * 120 + [300] * 90), (None, [1, 1, 90, 90])]
+    rows += [(i, [rnd.choice([0, 2, 3, 40])] * rnd.randrange(1, 6) + [rnd.randrange(60) for _ in range(rnd.randrange(9))]) for i in range(10, 60)]
+
+    def spread(x):
+        mean = Fraction(sum(x), len(x))
+        return max(float(sum((y - mean) ** 2 for y in x) / (len(x) - 1)) if len(x) > 1 else 0.0, math.sqrt(mean))
+
+    def best(v):
+        gap = lambda n: round(float(abs(Fraction(sum(v[:n]), n) - Fraction(sum(v[n:]), len(v) - n))) - math.sqrt(spread(v[:n])) - math.sqrt(spread(v[n:])), 6)
+        top = max(range(1, len(v)), key=lambda n: (gap(n), -n))
+        return top if gap(top) > 0 else 0
+
+    df = spark.createDataFrame(rows, "read_id long, values array<bigint>")
+    found = rd.bimodal_splits(df)
+    assert {r.read_id: r.split for r in found.collect()} == {i: best(v) for i, v in rows if v and len(v) > 1}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
