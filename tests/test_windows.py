@@ -103,3 +103,27 @@ def test_windows_of_short_kmers_are_not_dealt_out_by_minimizer(spark, sf, monkey
     dealt, made = [], runs._by_bucket
     monkeypatch.setattr(runs, "_by_bucket", lambda *a, **b: dealt.append(a) or made(*a, **b))
     assert catalogue.queries()[name](spark, sf).count() > 0 and not dealt
+
+
+def test_starts_of_md5_are_those_of_the_text():
+    import hashlib
+
+    import numpy as np
+
+    rnd = random.Random(9)
+    for k in range(1, dna.LONGEST + 1):
+        mers = ["".join(rnd.choices("ACGT", k=k)) for _ in range(40)]
+        codes = np.array([int("1" + "".join(f"{'ACGT'.index(b):02b}" for b in m), 2) for m in mers])
+        assert windows.md5_start(codes, k).tolist() == [int(hashlib.md5(m.encode()).hexdigest()[:8], 16) for m in mers]
+
+
+@pytest.mark.parametrize("k", [5, 21, 33])
+def test_a_sample_is_taken_before_rows_are_made(spark, sf, odd, k):
+    from strandworks.plans import catalogue
+
+    _, df = odd
+    for weighted in (False, True):
+        want = kmers.observe(df, k, weighted, weighted).where(kmers.in_sample("kmer", 3))
+        assert sorted(map(str, kmers.observe(df, k, weighted, weighted, sample=3).collect())) == sorted(map(str, want.collect()))
+    for name in ("kmer_subsample",):
+        assert "md5" not in catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
