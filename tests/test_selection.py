@@ -174,6 +174,43 @@ def test_levels_bound_the_rounds_of_a_cover(spark):
     assert level[0] < exact[0] / 2 and exact[0] >= 30
 
 
+@pytest.mark.parametrize("few", [0, 1 << 21])
+def test_a_cover_by_classes_is_one_by_kmers(spark, monkeypatch, few):
+    """K-mers that the same pairs have are one; rounds of many links are whole steps, the last ones of a layer are in one task."""
+    from strandworks.operators import covers, kmers
+
+    monkeypatch.setattr(covers, "FEW", few)
+    rnd, g = random.Random(3), genome(300, 4)
+    rows = [(u * 10**9 + m, u, g[at : at + rnd.randrange(20, 60)]) for u in range(40) for m in (0, 1) for at in [rnd.randrange(280)]] + [(5, 99, "A" * 90), (6, 100, "ACG"), (7, 101, None)]
+    df = spark.createDataFrame(rows, "read_id long, unit long, seq string")
+    obs = kmers.observe(df, 11).join(df.select("read_id", "unit"), "read_id")
+    deep = obs.join(kmers.spectrum(obs, 2, coded=True).select("code", "n"), "code").select("unit", "code", "n").distinct().collect()
+    have, size, depth = defaultdict(dict), defaultdict(int), {r.code: r.n for r in deep}
+    for r in deep:
+        have[r.unit][r.code] = r.n
+    for _, u, s in rows:
+        size[u] += len(s or "")
+    tie = {r.unit: r.h for r in df.select("unit", F.xxhash64("unit").alias("h")).collect()}
+    want = brute_cover([(u, tie[u], size[u], ks) for u, ks in have.items()], 2, 1.1)
+    assert {r.unit: r.layer for r in rd.pair_cover(df, 11, 2, 1.1).collect()} == want and set(want.values()) == {1, 2}
+    found = covers.classes(df, 11, "unit")
+    assert found.count() < len(depth) and found.agg(F.sum("weight")).first()[0] == sum(depth.values())
+    names = spark.createDataFrame([(f"pair {u}", float(size[u]), list(ks), list(ks.values())) for u, ks in have.items()], "unit string, size double, kmers array<long>, depths array<long>")
+    tie = {r.unit: r.h for r in names.select("unit", F.xxhash64("unit").alias("h")).collect()}
+    want = brute_cover([(f"pair {u}", tie[f"pair {u}"], size[u], ks) for u, ks in have.items()], 2, 1.1)
+    assert {r.unit: r.layer for r in rd.optimal_cover(names, 2, 1.1).collect()} == want
+
+
+def test_hashes_of_units_are_those_of_spark(spark):
+    import numpy as np
+
+    from strandworks.operators import covers
+
+    x = [0, 1, -1, 10**12, -(1 << 63), (1 << 63) - 1]
+    want = [r.h for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i long, v long").orderBy("i").select(F.xxhash64("v").alias("h")).collect()]
+    assert covers.ties(np.array(x)).tolist() == want
+
+
 def test_dedup_reads(spark):
     g = genome(400, 31)
     a, b = g[:60], rc(g[200:260])
